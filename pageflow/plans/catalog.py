@@ -637,3 +637,35 @@ def q_round_robin(spark, sf):
 @register("durations", _ATT + "SELECT url, epoch(max(ts)) - epoch(min(ts)) AS duration_s, count(*) AS tries FROM attempts GROUP BY url")
 def q_durations(spark, sf):
     return T.durations(X.attempts(t(spark, sf, "events")))
+
+
+# ============================================================ ST: streaming (availableNow runs, read back)
+from pageflow.streaming import jobs as ST  # noqa: E402
+
+_ST1_SQL = (
+    f"SELECT page_id, {O.page_text('html')} AS text, CAST(len(list_distinct(list_filter(list_transform({O.hrefs('html')}, "
+    f"lambda h: {O.normalize('h', 'url')}), lambda x: {O.is_valid('x', O.netloc('url'))}))) AS BIGINT) AS n_links FROM pages"
+)
+
+
+@register("stream_ingest", _ST1_SQL)
+def q_stream_ingest(spark, sf):
+    return spark.read.parquet(ST.ingest_pages(spark, f"{sf}/pages.parquet"))
+
+
+@register("stream_dedup", "SELECT DISTINCT md5(html) AS h FROM pages")
+def q_stream_dedup(spark, sf):
+    return spark.read.parquet(ST.dedup_stream(spark, f"{sf}/pages.parquet")).select("h")
+
+
+@register("stream_visited", O.cte(visited=O.VISITED) + f"SELECT url FROM visited UNION SELECT {O.normalize('url')} FROM pages")
+def q_stream_visited(spark, sf):
+    pages = t(spark, sf, "pages")
+    return spark.read.parquet(ST.visited_upsert_stream(spark, f"{sf}/pages.parquet", X.visited(pages)))
+
+
+@register("stream_counters", (
+    "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, event_type, count(*) AS n, "
+    "count(*) FILTER (WHERE event_type = 'error') AS errors, sum(value) AS value_sum FROM events GROUP BY 1, 2"))
+def q_stream_counters(spark, sf):
+    return spark.read.parquet(ST.event_counters(spark, f"{sf}/events.parquet"))
