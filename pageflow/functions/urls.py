@@ -86,57 +86,77 @@ def site_base(u: ColumnOrName) -> Column:
     return F.concat(url_scheme(u), F.lit("://"), url_netloc(u))
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn`` as a lambda variable.
+
+    Nested Column helpers would otherwise copy the same sub-expression into every place
+    that uses it (the plan grows geometrically with nesting); binding keeps it linear.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def _remove_dot_segments(path: Column, relative: Column) -> Column:
     """urljoin's segment walk: drop empty middle segments (relative refs only), skip ".",
     pop on "..", and end with "/" when the last segment was "." or ".."."""
-    segs = F.split(path, "/")
-    segs = F.when(
-        relative,
-        F.filter(segs, lambda x, i: (i == 0) | (i == F.size(segs) - 1) | (x != "")),
-    ).otherwise(segs)
-    walked = F.aggregate(
-        segs,
-        F.array().cast("array<string>"),
-        lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(x == ".", acc)
-        .otherwise(F.array_append(acc, x)),
-    )
-    joined = F.array_join(walked, "/")
-    ends_dot = F.element_at(segs, -1).isin(".", "..")
-    joined = F.when(ends_dot & (F.size(walked) > 0), F.concat(joined, F.lit("/"))).otherwise(joined)
-    joined = F.when(joined == "", F.lit("/")).otherwise(joined)
-    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+
+    def walk(segs: Column) -> Column:
+        walked = F.aggregate(
+            segs,
+            F.array().cast("array<string>"),
+            lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(x == ".", acc)
+            .otherwise(F.array_append(acc, x)),
+        )
+
+        def finish(w: Column) -> Column:
+            joined = F.array_join(w, "/")
+            ends_dot = F.element_at(segs, -1).isin(".", "..")
+            joined = F.when(ends_dot & (F.size(w) > 0), F.concat(joined, F.lit("/"))).otherwise(joined)
+            return let(F.when(joined == "", F.lit("/")).otherwise(joined),
+                       lambda j: F.when(j.startswith("/"), j).otherwise(F.concat(F.lit("/"), j)))
+
+        return let(walked, finish)
+
+    def prune(segs: Column) -> Column:
+        return F.when(relative, F.filter(segs, lambda x, i: (i == 0) | (i == F.size(segs) - 1) | (x != ""))).otherwise(segs)
+
+    return let(let(F.split(path, "/"), prune), walk)
 
 
 def resolve_parts(base: ColumnOrName, ref: ColumnOrName) -> Column:
     """``urlparse(urljoin(base, ref))`` as struct(scheme, netloc, path) - path without params."""
     base, ref = _col(base), _col(ref)
-    bs, bn, bp = url_scheme(base), url_netloc(base), F.regexp_extract(base, URL_SPLIT, 3)
-    rs, rn, rp = url_scheme(ref), url_netloc(ref), F.regexp_extract(ref, URL_SPLIT, 3)
-    foreign_scheme = (rs != "") & (rs != bs)
-    own = foreign_scheme | (rn != "")
-    scheme = F.when(rs == "", bs).otherwise(rs)
-    netloc = F.when(own, rn).otherwise(bn)
-    relative = ~rp.startswith("/")
-    merged = F.when(relative, F.concat(F.regexp_extract(F.when(bp == "", F.lit("/")).otherwise(bp), r"^(.*/)", 1), rp)).otherwise(rp)
-    # Dot-segment walk only where it can change something; otherwise the path is final.
-    needs_walk = relative | merged.rlike(r"/\.\.?(/|$)")
-    walked = F.when(needs_walk, _remove_dot_segments(merged, relative)).otherwise(merged)
-    path = F.when(own, rp).when(rp == "", bp).otherwise(walked)
-    path = F.regexp_replace(path, r";[^/]*$", "")
-    # An empty reference returns the base unchanged.
-    empty = ref.isNull() | (ref == "")
-    return F.struct(
-        F.when(empty, bs).otherwise(scheme).alias("scheme"),
-        F.when(empty, bn).otherwise(netloc).alias("netloc"),
-        F.when(empty, F.regexp_replace(bp, r";[^/]*$", "")).otherwise(path).alias("path"),
+    parts = F.struct(
+        url_scheme(base).alias("bs"), url_netloc(base).alias("bn"), F.regexp_extract(base, URL_SPLIT, 3).alias("bp"),
+        url_scheme(ref).alias("rs"), url_netloc(ref).alias("rn"), F.regexp_extract(ref, URL_SPLIT, 3).alias("rp"),
+        (ref.isNull() | (ref == "")).alias("empty"),
     )
 
+    def body(p: Column) -> Column:
+        bs, bn, bp, rs, rn, rp = p["bs"], p["bn"], p["bp"], p["rs"], p["rn"], p["rp"]
+        own = ((rs != "") & (rs != bs)) | (rn != "")
+        relative = ~rp.startswith("/")
+        merged = F.when(relative, F.concat(F.regexp_extract(F.when(bp == "", F.lit("/")).otherwise(bp), r"^(.*/)", 1), rp)).otherwise(rp)
+
+        def walk_if_needed(m: Column) -> Column:
+            # Dot-segment walk only where it can change something; otherwise the path is final.
+            needs_walk = relative | m.rlike(r"/\.\.?(/|$)")
+            return F.when(needs_walk, _remove_dot_segments(m, relative)).otherwise(m)
+
+        path = F.when(own, rp).when(rp == "", bp).otherwise(let(merged, walk_if_needed))
+        path = F.regexp_replace(path, r";[^/]*$", "")
+        return F.struct(
+            F.when(p["empty"], bs).when(rs == "", bs).otherwise(rs).alias("scheme"),
+            F.when(p["empty"], bn).when(own, rn).otherwise(bn).alias("netloc"),
+            F.when(p["empty"], F.regexp_replace(bp, r";[^/]*$", "")).otherwise(path).alias("path"),
+        )
+
+    return let(parts, body)
+
 
 def resolve_url(base: ColumnOrName, ref: ColumnOrName) -> Column:
     """U2 as a string ``scheme://netloc/path`` (query/fragment dropped)."""
-    p = resolve_parts(base, ref)
-    return F.concat(p["scheme"], F.lit("://"), p["netloc"], p["path"])
+    return let(resolve_parts(base, ref), lambda p: F.concat(p["scheme"], F.lit("://"), p["netloc"], p["path"]))
 
 
 def normalize_url(u: ColumnOrName, base: ColumnOrName | None = None, mode: str = "whole") -> Column:
@@ -160,9 +180,10 @@ def normalize_url(u: ColumnOrName, base: ColumnOrName | None = None, mode: str =
 
 def same_site(u: ColumnOrName, host: ColumnOrName, strict: bool = False) -> Column:
     """Netloc equals the site's host; lenient mode also passes an empty netloc."""
-    n = url_netloc(u)
     h = _col(host)
-    return (n == h) if strict else ((n == "") | (n == h))
+    if strict:
+        return url_netloc(u) == h
+    return let(url_netloc(u), lambda n: (n == "") | (n == h))
 
 
 # Exclusion patterns applied to the lower-cased URL.
@@ -176,12 +197,15 @@ def is_valid_url(u: ColumnOrName, host: ColumnOrName, assets: bool = True) -> Co
 
     ``assets=False`` is the two-pattern variant (no ``.css/.js/.json/.xml`` rule).
     """
-    u = _col(u)
-    low = F.lower(u)
-    bad = low.rlike(EXCLUDE_AUTH) | low.rlike(EXCLUDE_FRAGMENT)
-    if assets:
-        bad = bad | low.rlike(EXCLUDE_ASSET)
-    return u.isNotNull() & (u != "") & same_site(u, host) & ~bad
+    h = _col(host)
+
+    def check(v: Column) -> Column:
+        low = F.lower(v)
+        pattern = "|".join([EXCLUDE_AUTH, EXCLUDE_FRAGMENT] + ([EXCLUDE_ASSET] if assets else []))
+        n = url_netloc(v)
+        return F.coalesce(v != "", F.lit(False)) & ((n == "") | (n == h)) & ~low.rlike(pattern)
+
+    return let(_col(u), check)
 
 
 def exclude_substrings(u: ColumnOrName, needles: list[str]) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageflow.functions import urls as U
-from pageflow.operators.ranking import group_row_number, group_running_sum
+from pageflow.operators.ranking import group_row_number, rank_in_groups, running_sum_in_groups
 from pageflow.session import checkpoint_dir
 
 PAGE_EXTS = (".html", ".htm")
@@ -44,6 +44,9 @@ def page_keys(pages: DataFrame) -> DataFrame:
 
 
 def _persist(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Reliable checkpoint into the shared ``spark.checkpoint.dir``; with ``keys`` the data is
+    hash-partitioned on them first, and the checkpoint keeps that partitioning so later
+    joins on the same keys shuffle only the other side."""
     checkpoint_dir(df.sparkSession)
     if keys:
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -73,15 +76,20 @@ def crawl_reach(
     Returns ``(host, url, depth, rank, status)``: every discovered URL with its depth,
     its discovery rank inside the site (K4) and one of processed / failed / file /
     duplicate / skipped.
+
+    Per level: the frontier joins the page keys (only the frontier shuffles), the level
+    is persisted for its few reuses, and only cross-level state (frontier, seen, hashes)
+    is checkpointed.
     """
     keys = _persist(page_keys(pages), ["host", "url"])
     e = _persist(edges.select("host", "src", "dst", "pos"), ["host", "src"])
-    frontier = group_row_number(seeds.select("host", "url").distinct(), ["host"], ["url"], "lrank")
-    frontier = frontier.select("host", "url", F.lit(0).alias("depth"), F.col("lrank"), F.col("lrank").alias("rank"))
-    frontier = _persist(frontier)
+    start = seeds.select("host", "url").distinct()
+    frontier = rank_in_groups(start, ["host"], ["url"], "lrank", None)
+    frontier = _persist(frontier.select("host", "url", F.lit(0).alias("depth"), "lrank", F.col("lrank").alias("rank")))
     seen = _persist(frontier.select("host", "url", "depth", "rank"), ["host", "url"])
+    n_seen = n_front = seen.count()
     hashes = None
-    visited_parts: list[DataFrame] = []
+    parts: list[DataFrame] = []
     depth = 0
     while depth < max_levels:
         f = frontier.join(keys, ["host", "url"], "left")
@@ -91,8 +99,7 @@ def crawl_reach(
         f = f.withColumn("alive", alive)
         if dedup:
             if hashes is not None:
-                old = hashes.withColumn("old", F.lit(True))
-                f = f.join(old, ["host", "h"], "left")
+                f = f.join(hashes.withColumn("old", F.lit(True)), ["host", "h"], "left")
             else:
                 f = f.withColumn("old", F.lit(None).cast("boolean"))
             firsts = f.filter("alive AND old IS NULL").groupBy("host", "h").agg(F.min("lrank").alias("first_rank"))
@@ -101,7 +108,7 @@ def crawl_reach(
             f = f.withColumn("dup", dup).withColumn("alive", F.col("alive") & ~F.col("dup"))
         else:
             f = f.withColumn("dup", F.lit(False))
-        f = _persist(f.select("host", "url", "depth", "rank", "lrank", "h", "alive", "dup"))
+        f = f.select("host", "url", "depth", "rank", "lrank", "h", "alive", "dup").persist()
         # candidate links of expanding pages, minus everything discovered; first discoverer wins
         parents = f.filter("alive").select("host", F.col("url").alias("src"), F.col("lrank").alias("parent_rank"))
         cand = parents.join(e, ["host", "src"]).select("host", F.col("dst").alias("url"), "parent_rank", "pos")
@@ -111,11 +118,13 @@ def crawl_reach(
         processed = f.withColumn("processed", F.lit(True))
         if max_pages:
             # K3: pages of this level run in rank order while discovered(site) < max_pages.
+            first = first.persist()
             new_per_parent = first.groupBy("host", F.col("parent_rank").alias("lrank")).agg(F.count("*").alias("n_new"))
             counts = seen.groupBy("host").agg(F.count("*").alias("n_seen"))
             lv = f.join(new_per_parent, ["host", "lrank"], "left").fillna(0, ["n_new"]).join(counts, "host")
-            lv = group_running_sum(lv, ["host"], ["lrank"], "n_new", "before")
+            lv = running_sum_in_groups(lv, ["host"], ["lrank"], "n_new", "before", n_front)
             processed = lv.withColumn("processed", (F.col("n_seen") + F.col("before")) < max_pages).drop("n_new", "n_seen", "before")
+            processed = processed.persist()
             ok_parents = processed.filter("processed AND alive").select("host", F.col("lrank").alias("parent_rank"))
             first = first.join(ok_parents, ["host", "parent_rank"], "left_semi")
         status = (
@@ -126,21 +135,28 @@ def crawl_reach(
             .when(F.lit(max_depth > 0) & (F.col("depth") > max_depth), F.lit("skipped"))
             .otherwise(F.lit("processed"))
         )
-        visited_parts.append(_persist(processed.select("host", "url", "depth", "rank", status.alias("status"))))
+        # The level's output stays a persisted view of this level: its inputs are checkpoints,
+        # so a lost block is recomputed from them, never from the whole loop.
+        parts.append(processed.select("host", "url", "depth", "rank", status.alias("status")))
         if dedup:
-            fresh = processed.filter("processed AND alive").select("host", "h").distinct()
-            hashes = _persist(fresh if hashes is None else hashes.unionByName(fresh).distinct(), ["host", "h"])
+            fresh = processed.filter("processed AND alive").select("host", "h")
+            hashes = _persist((fresh if hashes is None else hashes.unionByName(fresh)).distinct(), ["host", "h"])
         # rank new URLs after the site's largest rank, ordered by (parent rank, pos)
-        nxt = group_row_number(first, ["host"], ["parent_rank", "pos", "url"], "lrank")
+        first = _persist(first)
+        n_new = first.count()
+        if n_new == 0:
+            break
+        nxt = rank_in_groups(first, ["host"], ["parent_rank", "pos", "url"], "lrank", n_new)
         top = seen.groupBy("host").agg(F.max("rank").alias("top"))
         nxt = nxt.join(top, "host").select("host", "url", F.lit(depth + 1).alias("depth"), "lrank", (F.col("top") + F.col("lrank")).alias("rank"))
-        frontier = _persist(nxt)
-        if frontier.isEmpty():
-            break
+        # persisted, not checkpointed: its inputs (first, seen) are checkpoints already
+        frontier = nxt.persist()
+        n_front = n_new
         seen = _persist(seen.unionByName(frontier.select("host", "url", "depth", "rank")), ["host", "url"])
+        n_seen += n_new
         depth += 1
-    out = visited_parts[0]
-    for part in visited_parts[1:]:
+    out = parts[0]
+    for part in parts[1:]:
         out = out.unionByName(part)
     return out
 

@@ -75,3 +75,25 @@ def group_running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str
     cond = [F.col("t._pid") == F.col("p._pid")] + [F.col(f"t.{c}").eqNullSafe(F.col(f"p.{c}")) for c in group_cols]
     out = t.join(p, cond, "inner").select("t.*", F.col("p._off"))
     return out.withColumn(name, (F.col("_off") + F.col("_local")).cast("long")).drop("_pid", "_local", "_off")
+
+
+# Below this many rows a plain window is used: one task per group holds at most this
+# many small rows, which is cheap; above it the skew-proof layout is used.
+SMALL_RANK_ROWS = 2_000_000
+
+
+def rank_in_groups(df: DataFrame, group_cols: list[str], order_cols: list[str], name: str, rows: int | None) -> DataFrame:
+    """Row number per group, choosing the plan by a *measured* row count ``rows``."""
+    if rows is not None and rows <= SMALL_RANK_ROWS:
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        return df.withColumn(name, F.row_number().over(w).cast("long"))
+    return group_row_number(df, group_cols, order_cols, name)
+
+
+def running_sum_in_groups(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str, name: str,
+                          rows: int | None) -> DataFrame:
+    """Exclusive running sum per group, choosing the plan by a measured row count ``rows``."""
+    if rows is not None and rows <= SMALL_RANK_ROWS:
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(value_col).over(w), F.lit(0)).cast("long"))
+    return group_running_sum(df, group_cols, order_cols, value_col, name)
