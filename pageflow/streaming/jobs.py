@@ -114,19 +114,24 @@ def _latest_version(spark: SparkSession, out: str, below: int | None) -> str:
 
 
 def event_counters(spark: SparkSession, path: str, out: str | None = None, trigger: dict | None = None,
-                   window: str = "1 day", lateness: str = "1 hour") -> str:
-    """ST4: crawl counters per event-time tumbling window and type, with a watermark that
-    drops rows later than ``lateness``. Complete output is written per batch."""
+                   window: str = "1 day", lateness: str = "1 hour", max_files: int | None = None) -> str:
+    """ST4: crawl counters per event-time tumbling window and type. Update mode: a row later
+    than the watermark (max event time - ``lateness``) is dropped and finished windows'
+    state is evicted. Each micro-batch writes its updated windows under its batch id
+    (idempotent on replay); the table is the latest update per window, compacted at the end."""
     out = out or scratch(spark, "counters")
-    s = file_stream(spark, path).withColumn("et", ntz_to_instant("ts"))
+    s = file_stream(spark, path, max_files).withColumn("et", ntz_to_instant("ts"))
     agg = s.withWatermark("et", lateness).groupBy(F.window("et", window).alias("w"), "event_type").agg(
         F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.sum("value").alias("value_sum")
     )
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.select(F.unix_seconds(F.col("w.start")).alias("window_start"), "event_type", "n", "errors", "value_sum") \
-            .write.mode("overwrite").parquet(f"{out}/data")
+            .write.mode("overwrite").parquet(f"{out}/updates/batch_id={batch_id}")
 
-    w = agg.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", f"{out}/_checkpoint")
+    w = agg.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{out}/_checkpoint")
     _run(w, trigger or {"availableNow": True})
+    ups = spark.read.parquet(f"{out}/updates")
+    latest = ups.groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "errors", "value_sum"), "batch_id").alias("r"))
+    latest.select("window_start", "event_type", "r.n", "r.errors", "r.value_sum").write.mode("overwrite").parquet(f"{out}/data")
     return f"{out}/data"
