@@ -123,11 +123,22 @@ def _remove_dot_segments(path: Column, relative: Column) -> Column:
     return let(let(F.split(path, "/"), prune), walk)
 
 
-def resolve_parts(base: ColumnOrName, ref: ColumnOrName) -> Column:
-    """``urlparse(urljoin(base, ref))`` as struct(scheme, netloc, path) - path without params."""
-    base, ref = _col(base), _col(ref)
+def base_parts(base: ColumnOrName) -> Column:
+    """Parts of a base URL, computed once per row and reused for every reference resolved
+    against it (pass to ``resolve_parts(..., parts=...)``)."""
+    base = _col(base)
+    return F.struct(url_scheme(base).alias("bs"), url_netloc(base).alias("bn"), F.regexp_extract(base, URL_SPLIT, 3).alias("bp"))
+
+
+def resolve_parts(base: ColumnOrName | None, ref: ColumnOrName, parts: Column | None = None) -> Column:
+    """``urlparse(urljoin(base, ref))`` as struct(scheme, netloc, path) - path without params.
+
+    ``parts`` (from :func:`base_parts`) replaces ``base`` when the base is shared by many refs.
+    """
+    ref = _col(ref)
+    bparts = parts if parts is not None else base_parts(base)
     parts = F.struct(
-        url_scheme(base).alias("bs"), url_netloc(base).alias("bn"), F.regexp_extract(base, URL_SPLIT, 3).alias("bp"),
+        bparts["bs"].alias("bs"), bparts["bn"].alias("bn"), bparts["bp"].alias("bp"),
         url_scheme(ref).alias("rs"), url_netloc(ref).alias("rn"), F.regexp_extract(ref, URL_SPLIT, 3).alias("rp"),
         (ref.isNull() | (ref == "")).alias("empty"),
     )
@@ -154,12 +165,12 @@ def resolve_parts(base: ColumnOrName, ref: ColumnOrName) -> Column:
     return let(parts, body)
 
 
-def resolve_url(base: ColumnOrName, ref: ColumnOrName) -> Column:
+def resolve_url(base: ColumnOrName | None, ref: ColumnOrName, parts: Column | None = None) -> Column:
     """U2 as a string ``scheme://netloc/path`` (query/fragment dropped)."""
-    return let(resolve_parts(base, ref), lambda p: F.concat(p["scheme"], F.lit("://"), p["netloc"], p["path"]))
+    return let(resolve_parts(base, ref, parts), lambda p: F.concat(p["scheme"], F.lit("://"), p["netloc"], p["path"]))
 
 
-def normalize_url(u: ColumnOrName, base: ColumnOrName | None = None, mode: str = "whole") -> Column:
+def normalize_url(u: ColumnOrName, base: ColumnOrName | None = None, mode: str = "whole", parts: Column | None = None) -> Column:
     """Canonical URL key.
 
     mode ``whole``: resolve against ``base`` (when given), keep ``scheme://netloc/path``,
@@ -171,10 +182,10 @@ def normalize_url(u: ColumnOrName, base: ColumnOrName | None = None, mode: str =
         return F.concat(url_scheme(u), F.lit("://"), url_netloc(u), F.regexp_replace(url_path(u), r"/+$", ""))
     if mode != "whole":
         raise ValueError(f"unknown normalize mode {mode!r}")
-    if base is None:
+    if base is None and parts is None:
         s = F.concat(url_scheme(u), F.lit("://"), url_netloc(u), url_path(u))
     else:
-        s = resolve_url(base, u)
+        s = resolve_url(base, u, parts)
     return F.regexp_replace(s, r"/+$", "")
 
 

@@ -21,18 +21,20 @@ def best_candidate(cands: DataFrame) -> DataFrame:
     """Per doc the method whose *stripped* text is longest; ties go to the earlier
     method; all blank -> ('', ''). The returned text is the unstripped one.
 
-    One hash aggregate on doc_id with a partial ``max_by``; no window.
+    One aggregate on doc_id with a partial ``max_by`` keyed by a single long score
+    (length, then earlier method): each input partition keeps only its best candidate
+    per doc before the shuffle, so at most one text per doc and partition moves.
     """
-    n = F.length(strip_ws("text"))
-    scored = cands.select("doc_id", "method", "text", n.alias("n"), "method_rank")
-    best = scored.groupBy("doc_id").agg(
-        F.max_by(F.struct("text", "method"), F.when(F.col("n") > 0, F.struct("n", (-F.col("method_rank")).alias("r")))).alias("b"),
-        F.max("n").alias("max_n"),
+    n = F.length(strip_ws("text")).cast("long")
+    # score orders by length, then earlier method; method ranks are small (< 1000)
+    score = F.when(n > 0, n * 1000 + (999 - F.col("method_rank")))
+    best = cands.select("doc_id", "text", "method", score.alias("score")).groupBy("doc_id").agg(
+        F.max_by(F.struct("text", "method"), "score").alias("b"), F.max("score").alias("top")
     )
     return best.select(
         "doc_id",
-        F.when(F.col("max_n") > 0, F.col("b.text")).otherwise(F.lit("")).alias("text"),
-        F.when(F.col("max_n") > 0, F.col("b.method")).otherwise(F.lit("")).alias("method"),
+        F.when(F.col("top").isNotNull(), F.col("b.text")).otherwise(F.lit("")).alias("text"),
+        F.when(F.col("top").isNotNull(), F.col("b.method")).otherwise(F.lit("")).alias("method"),
     )
 
 

@@ -40,15 +40,18 @@ def link_edges(pages: DataFrame, resolve: str = "page", assets: bool = True) ->
     first position (D1). No shuffle: everything is per row.
     """
     base = F.col("url") if resolve == "page" else U.site_base("url")
-    host = U.url_netloc("url")
-    hrefs = H.extract_hrefs("html")
-    items = F.transform(hrefs, lambda h, i: F.struct(U.normalize_url(h, base).alias("dst"), i.alias("pos")))
-    valid = F.filter(items, lambda x: U.is_valid_url(x["dst"], host, assets))
+    page = F.struct(U.base_parts(base).alias("b"), U.url_netloc("url").alias("host"), H.extract_hrefs("html").alias("hrefs"))
+
+    def per_page(pg: Column) -> Column:
+        # page-level values (base parts, host) are evaluated once per page, not per link
+        items = F.transform(pg["hrefs"], lambda h, i: F.struct(U.normalize_url(h, parts=pg["b"]).alias("dst"), i.alias("pos")))
+        return _first_per_key(F.filter(items, lambda x: U.is_valid_url(x["dst"], pg["host"], assets)))
+
     return pages.select(
         "page_id",
-        host.alias("host"),
+        U.url_netloc("url").alias("host"),
         U.normalize_url("url").alias("src"),
-        F.inline(_first_per_key(valid)),
+        F.inline(U.let(page, per_page)),
     ).select("page_id", "host", "src", "dst", "pos")
 
 
@@ -99,21 +102,18 @@ def _join_keep_query(base: Column, ref: Column) -> Column:
 def graph_summary(edges: DataFrame, pages_keys: DataFrame) -> DataFrame:
     """K7: per page key: out-degree, in-degree, and how many of its targets are dangling
     (absent from the snapshot). ``edges(host, src, dst)``, ``pages_keys(url)``.
+
+    One pass over the edges: each distinct edge emits an out-row for its source and an
+    in-row for its target, and a single aggregate sums them.
     """
     e = edges.select("host", "src", "dst").distinct()
-    known = pages_keys.select(F.col("url").alias("dst")).distinct().withColumn("known", F.lit(True))
-    out = (
-        e.join(known, "dst", "left")
-        .groupBy("host", F.col("src").alias("url"))
-        .agg(F.count("*").alias("out_degree"), F.count_if(F.col("known").isNull()).alias("dangling"))
-    )
-    inn = e.groupBy("host", F.col("dst").alias("url")).agg(F.count("*").alias("in_degree"))
-    return (
-        out.join(inn, ["host", "url"], "full")
-        .select(
-            "host", "url",
-            F.coalesce("out_degree", F.lit(0)).alias("out_degree"),
-            F.coalesce("in_degree", F.lit(0)).alias("in_degree"),
-            F.coalesce("dangling", F.lit(0)).alias("dangling"),
-        )
+    known = pages_keys.select(F.col("url").alias("dst")).distinct().withColumn("known", F.lit(1))
+    e = e.join(known, "dst", "left")
+    dangling = F.when(F.col("known").isNull(), 1).otherwise(0)
+    roles = e.select("host", F.explode(F.array(
+        F.struct(F.col("src").alias("url"), F.lit(1).alias("o"), F.lit(0).alias("i"), dangling.alias("d")),
+        F.struct(F.col("dst").alias("url"), F.lit(0).alias("o"), F.lit(1).alias("i"), F.lit(0).alias("d")),
+    )).alias("r"))
+    return roles.groupBy("host", F.col("r.url").alias("url")).agg(
+        F.sum("r.o").alias("out_degree"), F.sum("r.i").alias("in_degree"), F.sum("r.d").alias("dangling")
     )
