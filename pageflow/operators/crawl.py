@@ -49,8 +49,8 @@ def _persist(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     joins on the same keys shuffle only the other side."""
     checkpoint_dir(df.sparkSession)
     if keys:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartition(n, *keys)
+        # no fixed count: AQE sizes the partitions; they stay hash-clustered on ``keys``
+        df = df.repartition(*keys)
     return df.checkpoint(eager=True)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageflow.functions import urls as U
 from pageflow.functions.urls import ColumnOrName, _col
+from pageflow.operators.ranking import group_row_number
 
 
 def content_route(status: ColumnOrName, ctype: ColumnOrName, url: ColumnOrName, mode: str = "strict") -> Column:
@@ -65,7 +66,7 @@ def assign_filenames(files: DataFrame, order_col: str, category_col: str = "cate
     The name is the path basename (``md5(url).unknown`` when empty). The k-th repeat of
     a name gets ``stem_k.ext``. A generated name that equals another row's name is
     resolved by further passes until every name in a category is unique (earlier rows win).
-    Windows partition by (scope, category, name): a hot category is spread by name.
+    Numbering is per (scope, category, name) and skew-proof (see ``ranking``).
     """
     base = F.regexp_extract(U.url_path("url"), r"([^/]*)$", 1)
     original = F.when(base == "", F.concat(U.url_key("url"), F.lit(".unknown"))).otherwise(base)
@@ -73,8 +74,8 @@ def assign_filenames(files: DataFrame, order_col: str, category_col: str = "cate
     df = df.withColumn("_ext", F.regexp_extract("original_name", r"[^.](\.[^.]*)$", 1))
     df = df.withColumn("_stem", F.expr("substring(original_name, 1, length(original_name) - length(_ext))"))
     keys = [*scope, category_col]
-    w = Window.partitionBy(*keys, "original_name").orderBy(order_col)
-    df = df.withColumn("_k", F.row_number().over(w) - 1)
+    # skew-proof numbering: a name repeated by a third of all rows is split over many tasks
+    df = group_row_number(df, [*keys, "original_name"], [order_col], "_k").withColumn("_k", F.col("_k") - 1)
 
     def named(k: Column) -> Column:
         return F.when(k == 0, F.col("original_name")).otherwise(F.concat(F.col("_stem"), F.lit("_"), k.cast("string"), F.col("_ext")))
@@ -87,7 +88,6 @@ def assign_filenames(files: DataFrame, order_col: str, category_col: str = "cate
         clash = df.groupBy(*keys, "filename").count().filter("count > 1").limit(1).count()
         if clash == 0:
             break
-        wn = Window.partitionBy(*keys, "filename").orderBy(order_col)
-        df = df.withColumn("_rank", F.row_number().over(wn) - 1)
+        df = group_row_number(df, [*keys, "filename"], [order_col], "_rank").withColumn("_rank", F.col("_rank") - 1)
         df = df.withColumn("_k", F.col("_k") + F.col("_rank")).withColumn("filename", named(F.col("_k"))).drop("_rank")
     return df.drop("_ext", "_stem", "_k")
