@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageflow.functions.urls import ColumnOrName, _col
+from pageflow.functions.urls import ColumnOrName, _col, let
 
 # Python's str.isspace() set, as a Java regex class (Java's \s is ASCII only).
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -64,18 +64,23 @@ def _decode_numeric(c: Column) -> Column:
         rest = F.regexp_replace(x, r"^(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", "")
         return F.when(i == 0, x).when(ok, F.concat(ch, rest)).otherwise(F.concat(F.lit("&#"), x))
 
-    return F.when(c.contains("&#"), F.array_join(F.transform(F.split(c, "&#"), piece), "")).otherwise(c)
+    return let(c, lambda v: F.when(v.contains("&#"), F.array_join(F.transform(F.split(v, "&#"), piece), "")).otherwise(v))
 
 
 def unescape_html(c: ColumnOrName) -> Column:
     """Decode character references: numeric ones and the named set above, ``&amp;`` last."""
-    c = _col(c)
-    out = _decode_numeric(c)
-    named = out
-    for ent, ch in NAMED_ENTITIES:
-        named = F.replace(named, F.lit(ent), F.lit(ch))
-    named = F.replace(named, F.lit("&amp;"), F.lit("&"))
-    return F.when(out.contains("&"), named).otherwise(out)
+    names = F.create_map(*[x for ent, ch in NAMED_ENTITIES + [("&amp;", "&")] for x in (F.lit(ent[1:-1]), F.lit(ch))])
+
+    def piece(x: Column, i: Column) -> Column:
+        # each piece after an '&': a known name followed by ';' is replaced, once
+        name = F.regexp_extract(x, r"^([A-Za-z][A-Za-z0-9]{1,7});", 1)
+        ch = F.try_element_at(names, name)
+        return F.when(i == 0, x).when(ch.isNotNull(), F.concat(ch, F.substring(x, F.length(name) + 2, 1 << 30))).otherwise(F.concat(F.lit("&"), x))
+
+    def named(out: Column) -> Column:
+        return F.when(out.contains("&"), F.array_join(F.transform(F.split(out, "&"), piece), "")).otherwise(out)
+
+    return let(_decode_numeric(_col(c)), named)
 
 
 def strip_ws(c: ColumnOrName) -> Column:
