@@ -42,8 +42,12 @@ TAG = r"(?s)<[^>]*>"
 COMMENT = r"(?s)<!--.*?-->"
 
 
+# Void elements (no closing tag): only the tag itself is removed.
+VOID_TAGS = ("meta", "link")
+
+
 def _element_pattern(tags: tuple[str, ...]) -> str:
-    alts = "|".join(rf"<{t}\b.*?</{t}\s*>" for t in tags)
+    alts = "|".join(rf"<{t}\b[^>]*>" if t in VOID_TAGS else rf"<{t}\b.*?</{t}\s*>" for t in tags)
     return rf"(?is)<!--.*?-->|{alts}"
 
 

@@ -90,6 +90,7 @@ def crawl_reach(
     n_seen = n_front = seen.count()
     hashes = None
     parts: list[DataFrame] = []
+    cached: list[DataFrame] = []
     depth = 0
     while depth < max_levels:
         f = frontier.join(keys, ["host", "url"], "left")
@@ -109,6 +110,7 @@ def crawl_reach(
         else:
             f = f.withColumn("dup", F.lit(False))
         f = f.select("host", "url", "depth", "rank", "lrank", "h", "alive", "dup").persist()
+        cached.append(f)
         # candidate links of expanding pages, minus everything discovered; first discoverer wins
         parents = f.filter("alive").select("host", F.col("url").alias("src"), F.col("lrank").alias("parent_rank"))
         cand = parents.join(e, ["host", "src"]).select("host", F.col("dst").alias("url"), "parent_rank", "pos")
@@ -119,12 +121,14 @@ def crawl_reach(
         if max_pages:
             # K3: pages of this level run in rank order while discovered(site) < max_pages.
             first = first.persist()
+            cached.append(first)
             new_per_parent = first.groupBy("host", F.col("parent_rank").alias("lrank")).agg(F.count("*").alias("n_new"))
             counts = seen.groupBy("host").agg(F.count("*").alias("n_seen"))
             lv = f.join(new_per_parent, ["host", "lrank"], "left").fillna(0, ["n_new"]).join(counts, "host")
             lv = running_sum_in_groups(lv, ["host"], ["lrank"], "n_new", "before", n_front)
             processed = lv.withColumn("processed", (F.col("n_seen") + F.col("before")) < max_pages).drop("n_new", "n_seen", "before")
             processed = processed.persist()
+            cached.append(processed)
             ok_parents = processed.filter("processed AND alive").select("host", F.col("lrank").alias("parent_rank"))
             first = first.join(ok_parents, ["host", "parent_rank"], "left_semi")
         status = (
@@ -135,8 +139,8 @@ def crawl_reach(
             .when(F.lit(max_depth > 0) & (F.col("depth") > max_depth), F.lit("skipped"))
             .otherwise(F.lit("processed"))
         )
-        # The level's output stays a persisted view of this level: its inputs are checkpoints,
-        # so a lost block is recomputed from them, never from the whole loop.
+        # The level's output is a view of this level's persisted rows (inputs are checkpoints,
+        # so a lost block is recomputed from them); all levels are written once at the end.
         parts.append(processed.select("host", "url", "depth", "rank", status.alias("status")))
         if dedup:
             fresh = processed.filter("processed AND alive").select("host", "h")
@@ -151,6 +155,7 @@ def crawl_reach(
         nxt = nxt.join(top, "host").select("host", "url", F.lit(depth + 1).alias("depth"), "lrank", (F.col("top") + F.col("lrank")).alias("rank"))
         # persisted, not checkpointed: its inputs (first, seen) are checkpoints already
         frontier = nxt.persist()
+        cached.append(frontier)
         n_front = n_new
         seen = _persist(seen.unionByName(frontier.select("host", "url", "depth", "rank")), ["host", "url"])
         n_seen += n_new
@@ -158,6 +163,10 @@ def crawl_reach(
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
+    # the result is written once to the checkpoint folder; level caches are then released
+    out = _persist(out)
+    for c in cached:
+        c.unpersist()
     return out
 
 

@@ -116,7 +116,7 @@ def md5(u: str) -> str:
 
 # ---------------------------------------------------------------- HTML
 def strip_elements(h: str, tags: tuple[str, ...] = ("script", "style")) -> str:
-    alts = "|".join(rf"<{t}\b.*?</{t}\s*>" for t in tags)
+    alts = "|".join(rf"<{t}\b[^>]*>" if t in ("meta", "link") else rf"<{t}\b.*?</{t}\s*>" for t in tags)
     return f"regexp_replace({h}, {lit('(?is)<!--.*?-->|' + alts)}, '', 'g')"
 
 
