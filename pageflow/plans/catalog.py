@@ -669,3 +669,56 @@ def q_stream_visited(spark, sf):
     "count(*) FILTER (WHERE event_type = 'error') AS errors, sum(value) AS value_sum FROM events GROUP BY 1, 2"))
 def q_stream_counters(spark, sf):
     return spark.read.parquet(ST.event_counters(spark, f"{sf}/events.parquet"))
+
+
+# ============================================================ S2, S6-S8: sinks written, then scanned back
+def _sink_dir(spark: SparkSession, name: str) -> str:
+    return ST.scratch(spark, name)
+
+
+@register("file_scan", f"SELECT {O.netloc('url')} AS host, CAST(sum(strlen(url) + 1) AS BIGINT) AS bytes, count(*) AS lines FROM pages GROUP BY 1")
+def q_file_scan(spark, sf):
+    """S2 over files Spark writes from the pages table: one text file set per site, read back
+    as binary files (metadata only) and summed per site."""
+    out = _sink_dir(spark, "files")
+    p = t(spark, sf, "pages").select(U.url_netloc("url").alias("host"), "url")
+    p.write.mode("overwrite").partitionBy("host").text(out)
+    files = S.read_files(spark, out, glob="*.txt")
+    per = files.select(F.regexp_extract("path", r"/host=([^/]*)/", 1).alias("host"), "length")
+    lines = spark.read.text(out).groupBy("host").agg(F.count("*").alias("lines"))
+    return per.groupBy("host").agg(F.sum("length").cast("long").alias("bytes")).join(lines, "host")
+
+
+@register("metadata_sink", O.cte(fetches=O.FETCHES) + (
+    "SELECT host, count(*) AS records, CAST(sum(status_code) AS BIGINT) AS status_sum FROM fetches GROUP BY host"))
+def q_metadata_sink(spark, sf):
+    """Page metadata written as one JSON document per record (partitioned by site), read back."""
+    out = _sink_dir(spark, "meta")
+    f = X.fetches(t(spark, sf, "pages")).select("host", "url", "status_code", "content_type", U.url_key("url", ".json").alias("key"))
+    S.write_metadata(f, out)
+    back = spark.read.schema("url STRING, status_code INT, content_type STRING, key STRING").json(out)
+    back = back.withColumn("host", U.url_netloc("url"))
+    return back.groupBy("host").agg(F.count("*").alias("records"), F.sum("status_code").cast("long").alias("status_sum"))
+
+
+@register("stats_sink", _STATS_SQL)
+def q_stats_sink(spark, sf):
+    """Per-site crawl statistics written as one JSON document per site, read back."""
+    out = _sink_dir(spark, "stats")
+    S.write_stats(q_crawl_stats(spark, sf), out)
+    back = spark.read.schema("pages_processed LONG, files_downloaded LONG, errors LONG, duration_s LONG, pages_crawled LONG, host STRING").json(out)
+    return back.select("host", "pages_processed", "files_downloaded", "errors", "duration_s", "pages_crawled")
+
+
+@register("text_sink", (
+    f"SELECT {O.netloc('url')} AS host, count(*) AS records, CAST(sum(length({O.page_text('html')})) AS BIGINT) AS text_chars, "
+    "count(DISTINCT md5(url) || '.txt') AS keys FROM pages GROUP BY 1"))
+def q_text_sink(spark, sf):
+    """Page text records keyed by URL hash, written partitioned by site, read back."""
+    out = _sink_dir(spark, "text")
+    p = t(spark, sf, "pages")
+    recs = p.select(U.url_netloc("url").alias("host"), U.url_key("url", ".txt").alias("key"), H.page_text("html").alias("text"))
+    S.write_text(recs, out)
+    back = spark.read.parquet(out)
+    return back.groupBy("host").agg(F.count("*").alias("records"), F.sum(F.length("text")).cast("long").alias("text_chars"),
+                                    F.count_distinct("key").alias("keys"))
