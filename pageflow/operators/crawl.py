@@ -54,6 +54,13 @@ def _persist(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def crawl_reach(
     seeds: DataFrame,
     edges: DataFrame,
@@ -77,30 +84,36 @@ def crawl_reach(
     its discovery rank inside the site (K4) and one of processed / failed / file /
     duplicate / skipped.
 
-    Per level: the frontier joins the page keys (only the frontier shuffles), the level
-    is persisted for its few reuses, and only cross-level state (frontier, seen, hashes)
-    is checkpointed.
+    Per level one checkpoint holds the level's new URLs (ranked) and the body hashes it
+    consumed; the seen set and the hash set are unions of those checkpoints, so every
+    level's plan reads checkpoints only (flat lineage) and costs about two jobs.
     """
     keys = _persist(page_keys(pages), ["host", "url"])
     e = _persist(edges.select("host", "src", "dst", "pos"), ["host", "src"])
+    # proven bound for the ranking plan: new URLs of a level <= frontier size x max out-degree
+    max_out = e.groupBy("host", "src").count().agg(F.max("count")).first()[0] or 0
     start = seeds.select("host", "url").distinct()
-    frontier = rank_in_groups(start, ["host"], ["url"], "lrank", None)
-    frontier = _persist(frontier.select("host", "url", F.lit(0).alias("depth"), "lrank", F.col("lrank").alias("rank")))
-    seen = _persist(frontier.select("host", "url", "depth", "rank"), ["host", "url"])
-    n_seen = n_front = seen.count()
-    hashes = None
+    level0 = rank_in_groups(start, ["host"], ["url"], "lrank", None)
+    level0 = _persist(level0.select(F.lit("u").alias("kind"), "host", "url", F.lit(0).alias("depth"), "lrank",
+                                    F.col("lrank").alias("rank"), F.lit(None).cast("string").alias("h")))
+    frontier = level0.filter("kind = 'u'")
+    seen_parts = [frontier.select("host", "url", "depth", "rank")]
+    hash_parts: list[DataFrame] = []
+    n_front = frontier.count()
     parts: list[DataFrame] = []
     cached: list[DataFrame] = []
     depth = 0
     while depth < max_levels:
-        f = frontier.join(keys, ["host", "url"], "left")
+        seen = _union(seen_parts)
+        f = frontier.select("host", "url", "depth", "lrank", "rank").join(keys, ["host", "url"], "left")
         alive = F.col("h").isNotNull() & expandable_route("url", html_as_page)
         if max_depth:
             alive = alive & (F.col("depth") <= max_depth)
         f = f.withColumn("alive", alive)
         if dedup:
-            if hashes is not None:
-                f = f.join(hashes.withColumn("old", F.lit(True)), ["host", "h"], "left")
+            if hash_parts:
+                old = _union(hash_parts).select("host", "h").withColumn("old", F.lit(True))
+                f = f.join(old, ["host", "h"], "left")
             else:
                 f = f.withColumn("old", F.lit(None).cast("boolean"))
             firsts = f.filter("alive AND old IS NULL").groupBy("host", "h").agg(F.min("lrank").alias("first_rank"))
@@ -117,13 +130,13 @@ def crawl_reach(
         cand = cand.join(seen.select("host", "url"), ["host", "url"], "left_anti")
         first = cand.groupBy("host", "url").agg(F.min(F.struct("parent_rank", "pos")).alias("by"))
         first = first.select("host", "url", F.col("by.parent_rank").alias("parent_rank"), F.col("by.pos").alias("pos"))
+        counts = seen.groupBy("host").agg(F.count("*").alias("n_seen"))
         processed = f.withColumn("processed", F.lit(True))
         if max_pages:
             # K3: pages of this level run in rank order while discovered(site) < max_pages.
             first = first.persist()
             cached.append(first)
             new_per_parent = first.groupBy("host", F.col("parent_rank").alias("lrank")).agg(F.count("*").alias("n_new"))
-            counts = seen.groupBy("host").agg(F.count("*").alias("n_seen"))
             lv = f.join(new_per_parent, ["host", "lrank"], "left").fillna(0, ["n_new"]).join(counts, "host")
             lv = running_sum_in_groups(lv, ["host"], ["lrank"], "n_new", "before", n_front)
             processed = lv.withColumn("processed", (F.col("n_seen") + F.col("before")) < max_pages).drop("n_new", "n_seen", "before")
@@ -139,32 +152,30 @@ def crawl_reach(
             .when(F.lit(max_depth > 0) & (F.col("depth") > max_depth), F.lit("skipped"))
             .otherwise(F.lit("processed"))
         )
-        # The level's output is a view of this level's persisted rows (inputs are checkpoints,
-        # so a lost block is recomputed from them); all levels are written once at the end.
+        # the level's output: a view of this level's persisted rows, written once at the end
         parts.append(processed.select("host", "url", "depth", "rank", status.alias("status")))
+        # rank new URLs after the site's largest rank (= its discovered count), by (parent rank, pos)
+        bound = n_front * max_out
+        nxt = rank_in_groups(first, ["host"], ["parent_rank", "pos", "url"], "lrank", bound)
+        nxt = nxt.join(counts, "host").select(
+            F.lit("u").alias("kind"), "host", "url", F.lit(depth + 1).alias("depth"), "lrank",
+            (F.col("n_seen") + F.col("lrank")).alias("rank"), F.lit(None).cast("string").alias("h"))
+        state = nxt
         if dedup:
-            fresh = processed.filter("processed AND alive").select("host", "h")
-            hashes = _persist((fresh if hashes is None else hashes.unionByName(fresh)).distinct(), ["host", "h"])
-        # rank new URLs after the site's largest rank, ordered by (parent rank, pos)
-        first = _persist(first)
-        n_new = first.count()
-        if n_new == 0:
+            fresh = processed.filter("processed AND alive").select("host", "h").distinct()
+            state = state.unionByName(fresh.select(F.lit("h").alias("kind"), "host", F.lit(None).cast("string").alias("url"),
+                                                   F.lit(None).cast("int").alias("depth"), F.lit(None).cast("long").alias("lrank"),
+                                                   F.lit(None).cast("long").alias("rank"), "h"))
+        state = _persist(state)
+        hash_parts.append(state.filter("kind = 'h'").select("host", "h"))
+        frontier = state.filter("kind = 'u'")
+        n_front = frontier.count()
+        if n_front == 0:
             break
-        nxt = rank_in_groups(first, ["host"], ["parent_rank", "pos", "url"], "lrank", n_new)
-        top = seen.groupBy("host").agg(F.max("rank").alias("top"))
-        nxt = nxt.join(top, "host").select("host", "url", F.lit(depth + 1).alias("depth"), "lrank", (F.col("top") + F.col("lrank")).alias("rank"))
-        # persisted, not checkpointed: its inputs (first, seen) are checkpoints already
-        frontier = nxt.persist()
-        cached.append(frontier)
-        n_front = n_new
-        seen = _persist(seen.unionByName(frontier.select("host", "url", "depth", "rank")), ["host", "url"])
-        n_seen += n_new
+        seen_parts.append(frontier.select("host", "url", "depth", "rank"))
         depth += 1
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
     # the result is written once to the checkpoint folder; level caches are then released
-    out = _persist(out)
+    out = _persist(_union(parts))
     for c in cached:
         c.unpersist()
     return out
