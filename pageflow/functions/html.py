@@ -38,7 +38,9 @@ NAMED_ENTITIES = [
 ]
 
 SENTINEL = "\u0001"
-TAG = r"(?s)<[^>]*>"
+# A tag is '<' + letter, '/', '!' or '?' up to the next '>' - never across another '<', so
+# a stray '<' in text costs O(1) instead of a scan to the end of the document.
+TAG = r"(?s)<[!/?A-Za-z][^<>]*>"
 COMMENT = r"(?s)<!--.*?-->"
 
 
@@ -133,8 +135,8 @@ def block_text(html: ColumnOrName) -> Column:
     A block's text runs from its open tag to the next block-level tag (open or close).
     """
     body = strip_elements(html, DROP_SCRIPT_STYLE)
-    block_open = r"(?i)<(?:p|h[1-6]|li)(?:\s[^>]*)?>"
-    boundary = r"(?i)</?(?:" + "|".join(BOUNDARY_TAGS) + r")(?:\s[^>]*)?/?>"
+    block_open = r"(?i)<(?:p|h[1-6]|li)(?:\s[^<>]*)?>"
+    boundary = r"(?i)</?(?:" + "|".join(BOUNDARY_TAGS) + r")(?:\s[^<>]*)?/?>"
     marked = F.regexp_replace(F.regexp_replace(body, block_open, SENTINEL + "B"), boundary, SENTINEL + "E")
     pieces = F.filter(F.split(marked, SENTINEL), lambda x: x.startswith("B"))
     texts = F.transform(pieces, lambda x: clean_text(unescape_html(F.regexp_replace(F.substring(x, 2, 1 << 30), TAG, " "))))
@@ -171,7 +173,7 @@ def with_source(text: ColumnOrName, url: ColumnOrName, style: str = "markdown",
 
 
 # Anchor href attribute, double-quoted, single-quoted or bare.
-HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+HREF = r"""(?is)<a\s(?:[^<>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
 
 
 def extract_hrefs(html: ColumnOrName) -> Column:

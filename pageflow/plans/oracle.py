@@ -150,7 +150,7 @@ def clean(c: str) -> str:
 
 
 def text_nodes(body: str) -> str:
-    pieces = f"string_split(regexp_replace({body}, '(?s)<[^>]*>', chr(1), 'g'), chr(1))"
+    pieces = f"string_split(regexp_replace({body}, '(?s)<[!/?A-Za-z][^<>]*>', chr(1), 'g'), chr(1))"
     return f"list_filter(list_transform({pieces}, lambda x: {strip_ws(unescape('x'))}), lambda x: x <> '')"
 
 
@@ -165,11 +165,11 @@ def title(h: str) -> str:
 
 def block_text(h: str) -> str:
     body = strip_elements(h)
-    opened = f"regexp_replace({body}, '(?i)<(?:p|h[1-6]|li)(?:\\s[^>]*)?>', chr(1) || 'B', 'g')"
-    boundary = r"(?i)</?(?:" + "|".join(BOUNDARY_TAGS) + r")(?:\s[^>]*)?/?>"
+    opened = f"regexp_replace({body}, '(?i)<(?:p|h[1-6]|li)(?:\\s[^<>]*)?>', chr(1) || 'B', 'g')"
+    boundary = r"(?i)</?(?:" + "|".join(BOUNDARY_TAGS) + r")(?:\s[^<>]*)?/?>"
     marked = f"regexp_replace({opened}, {lit(boundary)}, chr(1) || 'E', 'g')"
     pieces = f"list_filter(string_split({marked}, chr(1)), lambda x: starts_with(x, 'B'))"
-    inner = "regexp_replace(substr(x, 2), '(?s)<[^>]*>', ' ', 'g')"
+    inner = "regexp_replace(substr(x, 2), '(?s)<[!/?A-Za-z][^<>]*>', ' ', 'g')"
     texts = f"list_transform({pieces}, lambda x: {clean(unescape(inner))})"
     return clean(f"array_to_string({texts}, ' ')")
 
@@ -177,10 +177,10 @@ def block_text(h: str) -> str:
 def visible_text(h: str) -> str:
     body = strip_elements(h, ("script", "style", "noscript"))
     body = f"regexp_replace({body}, '(?is)<title\\b.*?</title\\s*>|<!doctype[^>]*>|<head\\b[^>]*>[^<]*', ' ', 'g')"
-    return clean(unescape(f"regexp_replace({body}, '(?s)<[^>]*>', ' ', 'g')"))
+    return clean(unescape(f"regexp_replace({body}, '(?s)<[!/?A-Za-z][^<>]*>', ' ', 'g')"))
 
 
-HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+HREF = r"""(?is)<a\s(?:[^<>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
 
 
 def hrefs(h: str) -> str:

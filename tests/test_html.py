@@ -107,3 +107,15 @@ def test_unescape_numeric(spark):
 def test_clean_text_unicode_ws(spark):
     df = spark.createDataFrame([("  a \x1c b 　",)], "s string")
     assert df.select(H.clean_text("s").alias("c")).first().c == "a b"
+
+
+def test_stray_angle_brackets_stay_linear(spark):
+    """A text full of '<' without '>' (math, code) must not make tag matching quadratic."""
+    import time
+
+    html = "<p>" + "a < b " * 40000 + "</p>"
+    df = spark.createDataFrame([(html,)], "html string")
+    t0 = time.time()
+    r = df.select(H.page_text("html").alias("t"), H.block_text("html").alias("b"), F.size(H.extract_hrefs("html")).alias("n")).first()
+    assert time.time() - t0 < 20
+    assert r.t.startswith("a < b a < b") and r.n == 0 and r.b.startswith("a < b")
