@@ -47,3 +47,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="pageflow-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
+
+
+def scale_conf(input_bytes: int, cores: int, html_heavy: bool = True) -> dict[str, str]:
+    """Settings for a cluster run sized from the input volume (apply with ``spark.conf.set``
+    or at submit time). Shuffle partitions target ~200 MB each after AQE's coalescing; a
+    page table (long html strings) is read in 128 MB splits so a task's decoded rows fit
+    in executor memory; skewed join partitions are split by AQE.
+    """
+    target = 200 * 1024 * 1024
+    parts = max(cores * 2, min(200_000, input_bytes // target or 1))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.shuffle.partitions": str(int(parts)),
+        "spark.sql.files.maxPartitionBytes": str((128 if html_heavy else 256) * 1024 * 1024),
+        # broadcast only what AQE measured small; never a table whose size grows unchecked
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    }

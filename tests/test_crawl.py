@@ -5,9 +5,7 @@ from collections import defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
-from pageflow.functions import urls as U
 from pageflow.operators import crawl as K
-from pageflow.operators.dedup import content_hash
 from pageflow.plans import fixtures as X
 
 
