@@ -65,7 +65,7 @@ def scale_conf(input_bytes: int, cores: int, html_heavy: bool = True) -> dict[st
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
         "spark.sql.shuffle.partitions": str(int(parts)),
         "spark.sql.files.maxPartitionBytes": str((128 if html_heavy else 256) * 1024 * 1024),
-        # broadcast only what AQE measured small; never a table whose size grows unchecked
-        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        # broadcast only what AQE *measured* small at run time; no broadcast from plan estimates
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     }
