@@ -516,7 +516,36 @@ def q_crawl_depth_limited(spark, sf):
     return r.filter(F.col("depth") <= 2).select("host", "url", F.col("depth").cast("long").alias("depth"))
 
 
-@register("crawl_budget", None)
+def _budget_sql(max_pages: int) -> str:
+    """Sequential oracle for K3: one recursion step pops one URL per site (FIFO), exactly the
+    crawler's loop; state is (queue, seen, depths, hashes, statuses) as lists."""
+    route = f"({O.category('k_url')} IS NULL OR {O.suffix('k_url')} IN ('.html', '.htm'))"
+    keys = (f"SELECT host, url, h FROM (SELECT {O.netloc('url')} AS host, {O.normalize('url')} AS url, md5(html) AS h, "
+            f"row_number() OVER (PARTITION BY {O.netloc('url')}, {O.normalize('url')} ORDER BY page_id) AS rn FROM pages) WHERE rn = 1")
+    links = "SELECT host, src, list(dst ORDER BY pos) AS dsts FROM site_tree GROUP BY host, src"
+    step = (
+        "SELECT host, step + 1 AS step, list_concat(queue[2:], fresh) AS queue, list_concat(seen, fresh) AS seen, "
+        "list_concat(depths, list_transform(fresh, lambda x: d + 1)) AS depths, "
+        "CASE WHEN st = 'processed' THEN list_append(hashes, h) ELSE hashes END AS hashes, list_append(statuses, st) AS statuses FROM ("
+        "SELECT *, CASE WHEN st = 'processed' THEN list_filter(coalesce(dsts, []::VARCHAR[]), "
+        "lambda x, i: NOT list_contains(seen, x) AND list_position(dsts, x) = i) ELSE []::VARCHAR[] END AS fresh FROM ("
+        f"SELECT s.*, k.h, l.dsts, s.depths[s.step + 1] AS d, CASE WHEN k.h IS NULL THEN 'failed' WHEN NOT {route} THEN 'file' "
+        "WHEN list_contains(s.hashes, k.h) THEN 'duplicate' ELSE 'processed' END AS st FROM "
+        "(SELECT *, queue[1] AS k_url FROM budget) s LEFT JOIN keys k ON k.host = s.host AND k.url = s.k_url "
+        f"LEFT JOIN links l ON l.host = s.host AND l.src = s.k_url WHERE len(s.queue) > 0 AND len(s.seen) < {max_pages}))"
+    )
+    body = O.cte(site_tree=O.SITE_TREE, tree_seeds=O.TREE_SEEDS, keys=keys, links=links).rstrip("\n") + (
+        ", budget(host, step, queue, seen, depths, hashes, statuses) AS ("
+        "SELECT host, 0, [url], [url], [0], []::VARCHAR[], []::VARCHAR[] FROM tree_seeds UNION ALL " + step + ")\n"
+        "SELECT host, url, CAST(depth AS BIGINT) AS depth, CAST(rank AS BIGINT) AS rank, "
+        "CASE WHEN rank > step THEN 'skipped' ELSE statuses[rank] END AS status FROM ("
+        "SELECT host, step, statuses, unnest(seen) AS url, unnest(depths) AS depth, generate_subscripts(seen, 1) AS rank FROM "
+        "(SELECT * FROM budget QUALIFY row_number() OVER (PARTITION BY host ORDER BY step DESC) = 1))"
+    )
+    return body.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("crawl_budget", _budget_sql(5))
 def q_crawl_budget(spark, sf):
     pages = t(spark, sf, "pages")
     r = K.crawl_reach(X.tree_seeds(pages), X.site_tree(pages), pages, max_pages=5)
