@@ -2,8 +2,8 @@
 
 First-wins de-duplication never uses a window over the duplicate key (a hot key - e.g.
 thousands of empty pages with one hash - would land in one task): the winner's order
-value is found with a partial (map-side combined) ``min`` aggregate, and rows are kept
-by an equi-join on ``(key, order)``, which is unique and so spreads evenly.
+value is found with a partial (map-side combined) ``min`` aggregate over narrow columns,
+and the payload is filtered by an anti-join on the unique order column.
 """
 
 from __future__ import annotations
@@ -15,13 +15,19 @@ from pageflow.functions import urls as U
 
 
 def first_wins(df: DataFrame, key: Column, order_col: str) -> DataFrame:
-    """Keep, per ``key``, the row with the smallest ``order_col`` (unique within a key)."""
-    keyed = df.withColumn("_key", key)
-    winners = keyed.groupBy("_key").agg(F.min(order_col).alias("_win"))
-    return (
-        keyed.join(winners, (keyed["_key"] == winners["_key"]) & (keyed[order_col] == winners["_win"]), "left_semi")
-        .drop("_key")
-    )
+    """Keep, per ``key``, the row with the smallest ``order_col`` (``order_col`` unique).
+
+    Only narrow ``(key, order)`` columns are shuffled: a partial ``min``/``count`` aggregate
+    finds keys that repeat, their non-first rows ("losers") are listed, and the payload is
+    filtered with an anti-join on ``order_col``. When duplicates are rare the loser list is
+    small and AQE broadcasts it by its measured size, so the payload (html, text) never
+    moves; otherwise it is shuffled once.
+    """
+    narrow = df.select(key.alias("_key"), F.col(order_col).alias("_ord"))
+    groups = narrow.groupBy("_key").agg(F.min("_ord").alias("_win"), F.count("*").alias("_n")).filter("_n > 1")
+    losers = narrow.join(groups, narrow["_key"].eqNullSafe(groups["_key"])).filter(F.col("_ord") != F.col("_win"))
+    losers = losers.select(F.col("_ord").alias(order_col))
+    return df.join(losers, order_col, "left_anti")
 
 
 def content_hash(c: str | Column) -> Column:
