@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageflow.functions import urls as U
-from pageflow.operators.ranking import group_row_number, rank_in_groups, running_sum_in_groups
+from pageflow.operators.ranking import rank_in_groups, running_sum_in_groups
 from pageflow.session import checkpoint_dir
 
 PAGE_EXTS = (".html", ".htm")
@@ -183,7 +183,7 @@ def crawl_reach(
 
 def assign_batches(df: DataFrame, k: int, group_cols: list[str], order_cols: list[str]) -> DataFrame:
     """K5: rows of each site in order, ``k`` per round: ``batch = floor((row_number - 1) / k)``."""
-    r = group_row_number(df, group_cols, order_cols, "seq")
+    r = rank_in_groups(df, group_cols, order_cols, "seq")
     return r.withColumn("batch", F.floor((F.col("seq") - 1) / F.lit(k)).cast("long"))
 
 

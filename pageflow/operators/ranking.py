@@ -3,8 +3,10 @@
 ``row_number() over (partition by g order by o)`` sends a whole group to one task; when
 one host or one name holds a third of all rows that task does a third of the job. Here
 the rows are range-partitioned on ``(g, o)`` (the sampler splits a hot group over many
-partitions), numbered inside each partition, and the per-(partition, group) counts - a
-table of at most #partitions rows per group - give each piece its offset.
+partitions), written once, numbered inside each partition, and the per-(partition,
+group) counts - a table of at most #partitions rows per group - give each piece its
+offset. Operators call :func:`rank_in_groups` / :func:`running_sum_in_groups`, which use
+a plain window when a measured row count (or proven bound) is small.
 """
 
 from __future__ import annotations
@@ -13,14 +15,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _range_split(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Range-partition on ``cols``, sort inside, tag rows with partition id, and write the
+    result once (reliable checkpoint).
+
+    The write matters: Spark's range partitioner seeds its sample with the RDD id, so two
+    executions of the same range shuffle may cut different bounds. Offsets and rows must
+    come from one materialized copy.
+    """
+    from pageflow.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n, *[F.col(c) for c in cols]).sortWithinPartitions(*cols)
+    tagged = ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    return tagged.checkpoint(eager=True)
+
+
 def group_row_number(df: DataFrame, group_cols: list[str], order_cols: list[str], name: str = "rn") -> DataFrame:
     """Adds ``name`` = 1-based row number of each row inside its group, by ``order_cols``.
 
     ``order_cols`` should make the order total (end with a unique id) so that a
     recomputed partition numbers its rows the same way.
     """
-    ordered = df.repartitionByRange(*[F.col(c) for c in group_cols + order_cols]).sortWithinPartitions(*group_cols, *order_cols)
-    tagged = ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    tagged = _range_split(df, group_cols + order_cols)
     pieces = tagged.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
@@ -39,8 +57,7 @@ def group_running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str
     """
     import pandas as pd
 
-    ordered = df.repartitionByRange(*[F.col(c) for c in group_cols + order_cols]).sortWithinPartitions(*group_cols, *order_cols)
-    tagged = ordered.withColumn("_pid", F.spark_partition_id())
+    tagged = _range_split(df, group_cols + order_cols).drop("_mid")
     from pyspark.sql.types import LongType, StructField, StructType
 
     out_schema = StructType([*tagged.schema.fields, StructField("_local", LongType())])
@@ -82,18 +99,23 @@ def group_running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str
 SMALL_RANK_ROWS = 2_000_000
 
 
-def rank_in_groups(df: DataFrame, group_cols: list[str], order_cols: list[str], name: str, rows: int | None) -> DataFrame:
-    """Row number per group, choosing the plan by a *measured* row count ``rows``."""
-    if rows is not None and rows <= SMALL_RANK_ROWS:
+def rank_in_groups(df: DataFrame, group_cols: list[str], order_cols: list[str], name: str, rows: int | None = None) -> DataFrame:
+    """Row number per group, choosing the plan by a row count: ``rows`` when the caller has a
+    measured count or a proven bound, else the input is counted."""
+    if rows is None:
+        rows = df.count()
+    if rows <= SMALL_RANK_ROWS:
         w = Window.partitionBy(*group_cols).orderBy(*order_cols)
         return df.withColumn(name, F.row_number().over(w).cast("long"))
     return group_row_number(df, group_cols, order_cols, name)
 
 
 def running_sum_in_groups(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str, name: str,
-                          rows: int | None) -> DataFrame:
-    """Exclusive running sum per group, choosing the plan by a measured row count ``rows``."""
-    if rows is not None and rows <= SMALL_RANK_ROWS:
+                          rows: int | None = None) -> DataFrame:
+    """Exclusive running sum per group, choosing the plan by a measured count or bound ``rows``."""
+    if rows is None:
+        rows = df.count()
+    if rows <= SMALL_RANK_ROWS:
         w = Window.partitionBy(*group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(name, F.coalesce(F.sum(value_col).over(w), F.lit(0)).cast("long"))
     return group_running_sum(df, group_cols, order_cols, value_col, name)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pageflow.functions import urls as U
 from pageflow.functions.urls import ColumnOrName, _col
-from pageflow.operators.ranking import group_row_number
+from pageflow.operators.ranking import rank_in_groups
 
 
 def content_route(status: ColumnOrName, ctype: ColumnOrName, url: ColumnOrName, mode: str = "strict") -> Column:
@@ -74,8 +74,8 @@ def assign_filenames(files: DataFrame, order_col: str, category_col: str = "cate
     df = df.withColumn("_ext", F.regexp_extract("original_name", r"[^.](\.[^.]*)$", 1))
     df = df.withColumn("_stem", F.expr("substring(original_name, 1, length(original_name) - length(_ext))"))
     keys = [*scope, category_col]
-    # skew-proof numbering: a name repeated by a third of all rows is split over many tasks
-    df = group_row_number(df, [*keys, "original_name"], [order_col], "_k").withColumn("_k", F.col("_k") - 1)
+    # numbering is skew-proof above a measured size: a name repeated by a third of all rows is split over many tasks
+    df = rank_in_groups(df, [*keys, "original_name"], [order_col], "_k").withColumn("_k", F.col("_k") - 1)
 
     def named(k: Column) -> Column:
         return F.when(k == 0, F.col("original_name")).otherwise(F.concat(F.col("_stem"), F.lit("_"), k.cast("string"), F.col("_ext")))
@@ -88,6 +88,6 @@ def assign_filenames(files: DataFrame, order_col: str, category_col: str = "cate
         clash = df.groupBy(*keys, "filename").count().filter("count > 1").limit(1).count()
         if clash == 0:
             break
-        df = group_row_number(df, [*keys, "filename"], [order_col], "_rank").withColumn("_rank", F.col("_rank") - 1)
+        df = rank_in_groups(df, [*keys, "filename"], [order_col], "_rank").withColumn("_rank", F.col("_rank") - 1)
         df = df.withColumn("_k", F.col("_k") + F.col("_rank")).withColumn("filename", named(F.col("_k"))).drop("_rank")
     return df.drop("_ext", "_stem", "_k")

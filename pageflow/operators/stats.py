@@ -15,9 +15,9 @@ from pageflow.functions.urls import CATALOGUES
 
 def _numbered(attempts: DataFrame) -> DataFrame:
     """Attempt number per url in (ts, seq) order; skew-proof (a hot url is split)."""
-    from pageflow.operators.ranking import group_row_number
+    from pageflow.operators.ranking import rank_in_groups
 
-    return group_row_number(attempts, ["url"], ["ts", "seq"], "attempt")
+    return rank_in_groups(attempts, ["url"], ["ts", "seq"], "attempt")
 
 
 def retry_outcome(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
@@ -109,9 +109,9 @@ def rank_endpoints(stats: DataFrame) -> DataFrame:
 
 def assign_round_robin(df: DataFrame, n: int, group_cols: list[str], order_cols: list[str]) -> DataFrame:
     """The i-th row (in order) of each group goes to endpoint ``(i-1) mod n``."""
-    from pageflow.operators.ranking import group_row_number
+    from pageflow.operators.ranking import rank_in_groups
 
-    r = group_row_number(df, group_cols, order_cols, "rr_seq")
+    r = rank_in_groups(df, group_cols, order_cols, "rr_seq")
     return r.withColumn("endpoint", F.pmod(F.col("rr_seq") - 1, F.lit(n)).cast("long"))
 
 

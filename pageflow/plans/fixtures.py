@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pageflow.functions import urls as U
 from pageflow.operators.links import nav_links as _nav_links
-from pageflow.operators.ranking import group_row_number
+from pageflow.operators.ranking import rank_in_groups
 
 # File extensions of the ``files`` view, by page_id mod 8.
 FILE_EXTS = [".pdf", ".csv", ".PNG", ".zip", ".tar.gz", ".xyz", ".mp3", ""]
@@ -114,7 +114,7 @@ def site_tree(pages: DataFrame) -> DataFrame:
     (pos 0) and 2r+1 (pos 1), and every rank > 1 links back to rank 1 (pos 2) - a
     binary tree with cycles. Keys are normalized URLs."""
     p = pages.select("page_id", U.url_netloc("url").alias("host"), U.normalize_url("url").alias("key"))
-    r = group_row_number(p, ["host"], ["page_id"], "r")
+    r = rank_in_groups(p, ["host"], ["page_id"], "r")
     src = r.select("host", F.col("r").alias("sr"), F.col("key").alias("src"))
     targets = src.select(
         "host", "sr", "src",

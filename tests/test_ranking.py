@@ -30,3 +30,18 @@ def test_group_running_sum_equals_window(spark):
     j = got.join(exp, ["g", "o"])
     assert j.count() == 30000
     assert j.filter("before != b2").count() == 0
+
+
+def test_operators_on_the_skew_proof_path(spark, sf_dir, monkeypatch):
+    """Force the large-data path (threshold 0) and compare operators with plain windows."""
+    from pageflow.operators import crawl as K
+    from pageflow.operators import ranking
+    from pageflow.plans import fixtures as X
+
+    monkeypatch.setattr(ranking, "SMALL_RANK_ROWS", 0)
+    f = X.fetches(X.table(spark, sf_dir, "pages")).select("page_id", "host")
+    got = K.fetch_schedule(f, 3, 1.0, ["host"], ["page_id"])
+    exp = f.withColumn("seq2", F.row_number().over(Window.partitionBy("host").orderBy("page_id")))
+    j = got.join(exp, ["page_id", "host"])
+    assert j.count() == f.count()
+    assert j.filter("seq != seq2 OR batch != floor((seq2 - 1) / 3)").count() == 0
