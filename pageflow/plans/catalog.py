@@ -690,7 +690,7 @@ def q_stream_dedup(spark, sf):
 @register("stream_visited", O.cte(visited=O.VISITED) + f"SELECT url FROM visited UNION SELECT {O.normalize('url')} FROM pages")
 def q_stream_visited(spark, sf):
     pages = t(spark, sf, "pages")
-    return spark.read.parquet(ST.visited_upsert_stream(spark, f"{sf}/pages.parquet", X.visited(pages)))
+    return ST.read_visited(spark, ST.visited_upsert_stream(spark, f"{sf}/pages.parquet", X.visited(pages)))
 
 
 @register("stream_counters", (

@@ -81,36 +81,28 @@ def dedup_stream(spark: SparkSession, path: str, out: str | None = None, trigger
 
 
 def visited_upsert_stream(spark: SparkSession, path: str, visited: DataFrame, out: str | None = None, trigger: dict | None = None) -> str:
-    """ST3: each micro-batch inserts its new normalized keys into the visited table
-    (insert-or-ignore). The table is written per batch id, so a replayed batch rewrites
-    the same version; the latest version is the table."""
+    """ST3: insert-or-ignore of normalized keys into the visited table while pages arrive.
+
+    The earlier runs' table is a static side (anti-join); keys repeated inside the stream
+    are dropped by ``dropDuplicates`` state (state store - RocksDB on a cluster); only new
+    keys are appended through the exactly-once file sink. The visited table is the earlier
+    table plus the sink. Nothing is rewritten per micro-batch.
+    """
     out = out or scratch(spark, "visited")
-    visited.select("url").write.mode("overwrite").parquet(f"{out}/v-0000000000")
+    visited.select("url").write.mode("overwrite").parquet(f"{out}/table/run=0")
+    earlier = spark.read.parquet(f"{out}/table/run=0")
     s = page_stream(spark, path)
-    keys = s.select(U.normalize_url("url").alias("url"))
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        from pageflow.operators.dedup import mark_visited
+    keys = s.select(U.normalize_url("url").alias("url")).join(earlier, "url", "left_anti").dropDuplicates(["url"])
+    w = keys.writeStream.format("parquet").option("path", f"{out}/table/run=1").option("checkpointLocation", f"{out}/_checkpoint") \
+        .outputMode("append")
+    _run(w, trigger or {"availableNow": True})
+    return f"{out}/table"
 
-        prev = _latest_version(spark, out, batch_id + 1)
-        cur = mark_visited(spark.read.parquet(prev), batch)
-        cur.write.mode("overwrite").parquet(f"{out}/v-{batch_id + 1:010d}")
 
-    w = keys.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{out}/_checkpoint")
-    _run(w, trigger or {"availableNow": True})
-    return _latest_version(spark, out, None)
-
-
-def _latest_version(spark: SparkSession, out: str, below: int | None) -> str:
-    """Path of the highest visited version (below ``below`` when given), via Hadoop FS listing."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(out)
-    fs = p.getFileSystem(conf)
-    names = sorted(st.getPath().getName() for st in fs.listStatus(p) if st.getPath().getName().startswith("v-"))
-    if below is not None:
-        names = [n for n in names if int(n[2:]) < below]
-    return f"{out}/{names[-1]}"
+def read_visited(spark: SparkSession, table: str) -> DataFrame:
+    """The visited table written by :func:`visited_upsert_stream`: earlier keys plus the
+    sink's committed files (read through the sink path, so its commit log applies)."""
+    return spark.read.parquet(f"{table}/run=0").unionByName(spark.read.parquet(f"{table}/run=1"))
 
 
 def event_counters(spark: SparkSession, path: str, out: str | None = None, trigger: dict | None = None,

@@ -23,7 +23,9 @@ def test_visited_upsert_across_batches(spark, sf_dir):
         shutil.copy(part, f"{folder}/part-{i}.parquet")
     empty = pages.limit(0).select(U.normalize_url("url").alias("url"))
     out = ST.visited_upsert_stream(spark, folder, empty, trigger={"availableNow": True})
-    got = {r.url for r in spark.read.parquet(out).collect()}
+    got_rows = ST.read_visited(spark, out).collect()
+    got = {r.url for r in got_rows}
+    assert len(got_rows) == len(got), "keys stay unique"
     exp = {r.k for r in pages.select(U.normalize_url("url").alias("k")).distinct().collect()}
     assert got == exp
 
