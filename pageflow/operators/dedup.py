@@ -58,13 +58,16 @@ def filter_visited(df: DataFrame, visited: DataFrame, url_col: str = "url", keep
     return keyed.join(v, "_vkey", how).drop("_vkey")
 
 
-def mark_visited(visited: DataFrame, new: DataFrame, url_col: str = "url") -> DataFrame:
-    """Insert-or-ignore: the visited table plus new normalized keys it lacks.
+def new_visited_keys(visited: DataFrame, new: DataFrame, url_col: str = "url") -> DataFrame:
+    """D4 delta: the normalized keys of ``new`` that the visited table lacks (distinct).
+    Appending exactly these rows keeps the table key-unique without rewriting it."""
+    return new.select(U.normalize_url(url_col).alias("url")).distinct().join(visited.select("url"), "url", "left_anti")
 
-    Returns the *complete* new visited table (write it to a new path; keys stay unique).
-    """
-    fresh = new.select(U.normalize_url(url_col).alias("url")).distinct().join(visited.select("url"), "url", "left_anti")
-    return visited.select("url").unionByName(fresh)
+
+def mark_visited(visited: DataFrame, new: DataFrame, url_col: str = "url") -> DataFrame:
+    """Insert-or-ignore: the visited table plus new normalized keys it lacks (the
+    complete table as a view; to persist it, append :func:`new_visited_keys`)."""
+    return visited.select("url").unionByName(new_visited_keys(visited, new, url_col))
 
 
 def upsert_crawled(crawled: DataFrame, batch: DataFrame) -> DataFrame:
