@@ -50,12 +50,24 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# What urlsplit removes before parsing - leading C0 controls and spaces, and
+# tab / CR / LF anywhere.
+URL_JUNK = r"^[\x00-\x20]+|[\t\r\n]"
+
+
+def _clean(u: Column) -> Column:
+    return F.regexp_replace(u, URL_JUNK, "")
+
+
 def url_parts(u: ColumnOrName) -> Column:
     """``urlparse`` parts as a struct(scheme, netloc, path, params, query, fragment).
 
     scheme is lower-cased; netloc verbatim; path excludes ``;params`` of the last segment.
     """
-    u = _col(u)
+    return let(_clean(_col(u)), _parts_of)
+
+
+def _parts_of(u: Column) -> Column:
     raw_path = F.regexp_extract(u, URL_SPLIT, 3)
     return F.struct(
         F.lower(F.regexp_extract(u, URL_SPLIT, 1)).alias("scheme"),
@@ -68,17 +80,17 @@ def url_parts(u: ColumnOrName) -> Column:
 
 
 def url_scheme(u: ColumnOrName) -> Column:
-    return F.lower(F.regexp_extract(_col(u), URL_SPLIT, 1))
+    return F.lower(F.regexp_extract(_clean(_col(u)), URL_SPLIT, 1))
 
 
 def url_netloc(u: ColumnOrName) -> Column:
     """netloc exactly as ``urlparse(u).netloc`` (case, port and userinfo kept)."""
-    return F.regexp_extract(_col(u), URL_SPLIT, 2)
+    return F.regexp_extract(_clean(_col(u)), URL_SPLIT, 2)
 
 
 def url_path(u: ColumnOrName) -> Column:
     """``urlparse(u).path``: no query, fragment or last-segment params."""
-    return F.regexp_replace(F.regexp_extract(_col(u), URL_SPLIT, 3), r";[^/]*$", "")
+    return F.regexp_replace(F.regexp_extract(_clean(_col(u)), URL_SPLIT, 3), r";[^/]*$", "")
 
 
 def site_base(u: ColumnOrName) -> Column:
@@ -126,8 +138,9 @@ def _remove_dot_segments(path: Column, relative: Column) -> Column:
 def base_parts(base: ColumnOrName) -> Column:
     """Parts of a base URL, computed once per row and reused for every reference resolved
     against it (pass to ``resolve_parts(..., parts=...)``)."""
-    base = _col(base)
-    return F.struct(url_scheme(base).alias("bs"), url_netloc(base).alias("bn"), F.regexp_extract(base, URL_SPLIT, 3).alias("bp"))
+    return let(_clean(_col(base)), lambda b: F.struct(
+        F.lower(F.regexp_extract(b, URL_SPLIT, 1)).alias("bs"), F.regexp_extract(b, URL_SPLIT, 2).alias("bn"),
+        F.regexp_extract(b, URL_SPLIT, 3).alias("bp")))
 
 
 def resolve_parts(base: ColumnOrName | None, ref: ColumnOrName, parts: Column | None = None) -> Column:
@@ -135,13 +148,17 @@ def resolve_parts(base: ColumnOrName | None, ref: ColumnOrName, parts: Column |
 
     ``parts`` (from :func:`base_parts`) replaces ``base`` when the base is shared by many refs.
     """
-    ref = _col(ref)
+    raw_ref = _col(ref)
     bparts = parts if parts is not None else base_parts(base)
-    parts = F.struct(
-        bparts["bs"].alias("bs"), bparts["bn"].alias("bn"), bparts["bp"].alias("bp"),
-        url_scheme(ref).alias("rs"), url_netloc(ref).alias("rn"), F.regexp_extract(ref, URL_SPLIT, 3).alias("rp"),
-        (ref.isNull() | (ref == "")).alias("empty"),
-    )
+
+    def gather(r: Column) -> Column:
+        return F.struct(
+            bparts["bs"].alias("bs"), bparts["bn"].alias("bn"), bparts["bp"].alias("bp"),
+            F.lower(F.regexp_extract(r, URL_SPLIT, 1)).alias("rs"), F.regexp_extract(r, URL_SPLIT, 2).alias("rn"),
+            F.regexp_extract(r, URL_SPLIT, 3).alias("rp"), (raw_ref.isNull() | (raw_ref == "")).alias("empty"),
+        )
+
+    parts = let(_clean(raw_ref), gather)
 
     def body(p: Column) -> Column:
         bs, bn, bp, rs, rn, rp = p["bs"], p["bn"], p["bp"], p["rs"], p["rn"], p["rp"]
@@ -183,7 +200,9 @@ def normalize_url(u: ColumnOrName, base: ColumnOrName | None = None, mode: str =
     if mode != "whole":
         raise ValueError(f"unknown normalize mode {mode!r}")
     if base is None and parts is None:
-        s = F.concat(url_scheme(u), F.lit("://"), url_netloc(u), url_path(u))
+        s = let(_clean(u), lambda c: F.concat(
+            F.lower(F.regexp_extract(c, URL_SPLIT, 1)), F.lit("://"), F.regexp_extract(c, URL_SPLIT, 2),
+            F.regexp_replace(F.regexp_extract(c, URL_SPLIT, 3), r";[^/]*$", "")))
     else:
         s = resolve_url(base, u, parts)
     return F.regexp_replace(s, r"/+$", "")

@@ -82,6 +82,7 @@ def domain_links(pages: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
 def _join_keep_query(base: Column, ref: Column) -> Column:
     """``urljoin`` keeping the reference's query and fragment (params of the last segment kept too)."""
     p = U.resolve_parts(base, ref)
+    ref = U._clean(ref)
     raw_path = F.regexp_extract(ref, U.URL_SPLIT, 3)
     params = F.regexp_extract(raw_path, r";([^/]*)$", 1)
     q = F.regexp_extract(ref, U.URL_SPLIT, 4)

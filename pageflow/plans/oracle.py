@@ -8,7 +8,7 @@ expressions, usually column names of a CTE, so statements stay readable.
 from __future__ import annotations
 
 from pageflow.functions.html import BOUNDARY_TAGS, NAMED_ENTITIES
-from pageflow.functions.urls import CATALOGUES, URL_SPLIT
+from pageflow.functions.urls import CATALOGUES, URL_JUNK, URL_SPLIT
 from pageflow.plans.fixtures import FILE_EXTS, METHODS, SITEMAP_CHUNK, SITEMAP_NS
 
 # Python's whitespace class in RE2 (RE2's \s lacks \v).
@@ -20,16 +20,21 @@ def lit(s: str) -> str:
 
 
 # ---------------------------------------------------------------- URLs
+def cleaned(u: str) -> str:
+    """What urlsplit parses: leading C0 controls/spaces and tab/CR/LF removed."""
+    return f"regexp_replace({u}, {lit(URL_JUNK)}, '', 'g')"
+
+
 def scheme(u: str) -> str:
-    return f"lower(regexp_extract({u}, {lit(URL_SPLIT)}, 1))"
+    return f"lower(regexp_extract({cleaned(u)}, {lit(URL_SPLIT)}, 1))"
 
 
 def netloc(u: str) -> str:
-    return f"regexp_extract({u}, {lit(URL_SPLIT)}, 2)"
+    return f"regexp_extract({cleaned(u)}, {lit(URL_SPLIT)}, 2)"
 
 
 def raw_path(u: str) -> str:
-    return f"regexp_extract({u}, {lit(URL_SPLIT)}, 3)"
+    return f"regexp_extract({cleaned(u)}, {lit(URL_SPLIT)}, 3)"
 
 
 def path(u: str) -> str:
@@ -37,11 +42,11 @@ def path(u: str) -> str:
 
 
 def query(u: str) -> str:
-    return f"regexp_extract({u}, {lit(URL_SPLIT)}, 4)"
+    return f"regexp_extract({cleaned(u)}, {lit(URL_SPLIT)}, 4)"
 
 
 def fragment(u: str) -> str:
-    return f"regexp_extract({u}, {lit(URL_SPLIT)}, 5)"
+    return f"regexp_extract({cleaned(u)}, {lit(URL_SPLIT)}, 5)"
 
 
 def site_base(u: str) -> str:

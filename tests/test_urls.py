@@ -14,7 +14,8 @@ BASES = ["https://e.com", "https://e.com/", "https://e.com/a/b", "https://e.com/
          "https://e.com/a/b/c.html?x=1"]
 REFS = ["", "#t", "?q=2", "c", "c/", "./c", "../c", "../../../c", "/a/../b//", "/p;x=1?q#f", "//o.com/x",
         "HTTPS://E.com/A", "mailto:a@b", "javascript:void(0)", "tel:123", "c//d/./e/..", ".", "..", "a/./b/../",
-        "https://e.com/x/", "/", "//", "/.env", "x;y/z;w", "http://e.com/q"]
+        "https://e.com/x/", "/", "//", "/.env", "x;y/z;w", "http://e.com/q", " /a b ", "\t//o.com/x\n", " \x01mailto:x",
+        "/p\ta\rth", "  ", "\n"]
 
 
 def py_normalize(base, ref):
@@ -32,7 +33,7 @@ def test_resolve_and_normalize_match_urllib(spark):
 
 
 def test_parts_match_urlparse(spark):
-    urls = [b for b in BASES] + ["HTTP://X.org", "a b|c", "https://h/p;q/r;s", "//h/p", "mailto:x@y", "/rel?x#y"]
+    urls = [b for b in BASES] + ["HTTP://X.org", "a b|c", "https://h/p;q/r;s", "//h/p", "mailto:x@y", "/rel?x#y", " \thttps://h/a\nb "]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     got = df.select("u", U.url_parts("u").alias("p")).collect()
     for r in got:
