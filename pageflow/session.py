@@ -36,7 +36,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (HDFS/S3/DBFS) folder there; it is read from the
-    session. Only when it is unset (local tests) a scratch folder is made.
+    session. Only in local mode, when it is unset (tests), a scratch folder is made; on a
+    cluster a missing setting is an error rather than a silent driver-local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -44,6 +45,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: on a cluster it must name a shared folder "
+            "(HDFS/S3/DBFS); a driver-local folder would not be visible to executors"
+        )
     local = tempfile.mkdtemp(prefix="pageflow-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
