@@ -50,6 +50,13 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Schemes whose last path segment carries ";params", and schemes that
+# resolve relative references (the standard library's uses_params / uses_relative).
+USES_PARAMS = ["", "ftp", "hdl", "prospero", "http", "imap", "https", "shttp", "rtsp", "rtsps", "rtspu", "sip",
+               "sips", "mms", "sftp", "tel"]
+USES_RELATIVE = ["", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms", "prospero",
+                 "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss"]
+
 # What urlsplit removes before parsing - leading C0 controls and spaces, and
 # tab / CR / LF anywhere.
 URL_JUNK = r"^[\x00-\x20]+|[\t\r\n]"
@@ -67,13 +74,20 @@ def url_parts(u: ColumnOrName) -> Column:
     return let(_clean(_col(u)), _parts_of)
 
 
+def _no_params(path: Column, scheme: Column) -> Column:
+    """Drop ``;params`` of the last segment when the scheme has params."""
+    return F.when(scheme.isin(*USES_PARAMS), F.regexp_replace(path, r";[^/]*$", "")).otherwise(path)
+
+
 def _parts_of(u: Column) -> Column:
     raw_path = F.regexp_extract(u, URL_SPLIT, 3)
+    scheme = F.lower(F.regexp_extract(u, URL_SPLIT, 1))
+    has_params = scheme.isin(*USES_PARAMS)
     return F.struct(
-        F.lower(F.regexp_extract(u, URL_SPLIT, 1)).alias("scheme"),
+        scheme.alias("scheme"),
         F.regexp_extract(u, URL_SPLIT, 2).alias("netloc"),
-        F.regexp_replace(raw_path, r";[^/]*$", "").alias("path"),
-        F.regexp_extract(raw_path, r";([^/]*)$", 1).alias("params"),
+        _no_params(raw_path, scheme).alias("path"),
+        F.when(has_params, F.regexp_extract(raw_path, r";([^/]*)$", 1)).otherwise(F.lit("")).alias("params"),
         F.regexp_extract(u, URL_SPLIT, 4).alias("query"),
         F.regexp_extract(u, URL_SPLIT, 5).alias("fragment"),
     )
@@ -90,7 +104,7 @@ def url_netloc(u: ColumnOrName) -> Column:
 
 def url_path(u: ColumnOrName) -> Column:
     """``urlparse(u).path``: no query, fragment or last-segment params."""
-    return F.regexp_replace(F.regexp_extract(_clean(_col(u)), URL_SPLIT, 3), r";[^/]*$", "")
+    return let(_clean(_col(u)), lambda c: _no_params(F.regexp_extract(c, URL_SPLIT, 3), F.lower(F.regexp_extract(c, URL_SPLIT, 1))))
 
 
 def site_base(u: ColumnOrName) -> Column:
@@ -161,8 +175,13 @@ def resolve_parts(base: ColumnOrName | None, ref: ColumnOrName, parts: Column |
     parts = let(_clean(raw_ref), gather)
 
     def body(p: Column) -> Column:
-        bs, bn, bp, rs, rn, rp = p["bs"], p["bn"], p["bp"], p["rs"], p["rn"], p["rp"]
-        own = ((rs != "") & (rs != bs)) | (rn != "")
+        bs, bn, rs, rn, rp_raw = p["bs"], p["bn"], p["rs"], p["rn"], p["rp"]
+        eff = F.when(rs == "", bs).otherwise(rs)
+        # a foreign or non-relative scheme returns the reference unchanged
+        passthrough = ((rs != "") & (rs != bs)) | ~eff.isin(*USES_RELATIVE)
+        netted = ~passthrough & (rn != "")
+        bp = _no_params(p["bp"], bs)
+        rp = _no_params(rp_raw, F.when(passthrough, rs).otherwise(eff))
         relative = ~rp.startswith("/")
         merged = F.when(relative, F.concat(F.regexp_extract(F.when(bp == "", F.lit("/")).otherwise(bp), r"^(.*/)", 1), rp)).otherwise(rp)
 
@@ -171,12 +190,11 @@ def resolve_parts(base: ColumnOrName | None, ref: ColumnOrName, parts: Column |
             needs_walk = relative | m.rlike(r"/\.\.?(/|$)")
             return F.when(needs_walk, _remove_dot_segments(m, relative)).otherwise(m)
 
-        path = F.when(own, rp).when(rp == "", bp).otherwise(let(merged, walk_if_needed))
-        path = F.regexp_replace(path, r";[^/]*$", "")
+        path = F.when(passthrough | netted, rp).when(rp_raw == "", bp).otherwise(let(merged, walk_if_needed))
         return F.struct(
-            F.when(p["empty"], bs).when(rs == "", bs).otherwise(rs).alias("scheme"),
-            F.when(p["empty"], bn).when(own, rn).otherwise(bn).alias("netloc"),
-            F.when(p["empty"], F.regexp_replace(bp, r";[^/]*$", "")).otherwise(path).alias("path"),
+            F.when(p["empty"], bs).when(passthrough, rs).otherwise(eff).alias("scheme"),
+            F.when(p["empty"], bn).when(passthrough | netted, rn).otherwise(bn).alias("netloc"),
+            F.when(p["empty"], bp).otherwise(path).alias("path"),
         )
 
     return let(parts, body)
@@ -202,7 +220,7 @@ def normalize_url(u: ColumnOrName, base: ColumnOrName | None = None, mode: str =
     if base is None and parts is None:
         s = let(_clean(u), lambda c: F.concat(
             F.lower(F.regexp_extract(c, URL_SPLIT, 1)), F.lit("://"), F.regexp_extract(c, URL_SPLIT, 2),
-            F.regexp_replace(F.regexp_extract(c, URL_SPLIT, 3), r";[^/]*$", "")))
+            _no_params(F.regexp_extract(c, URL_SPLIT, 3), F.lower(F.regexp_extract(c, URL_SPLIT, 1)))))
     else:
         s = resolve_url(base, u, parts)
     return F.regexp_replace(s, r"/+$", "")

@@ -92,7 +92,8 @@ def q_seed_frontier(spark, sf):
 # ============================================================ U: URL functions
 _PARTS_SQL = (
     f"SELECT page_id, {O.scheme('url')} AS scheme, {O.netloc('url')} AS netloc, {O.path('url')} AS path, "
-    f"regexp_extract({O.raw_path('url')}, ';([^/]*)$', 1) AS params, {O.query('url')} AS query, {O.fragment('url')} AS fragment FROM pages"
+    f"CASE WHEN {O._in(O.scheme('url'), U.USES_PARAMS)} THEN regexp_extract({O.raw_path('url')}, ';([^/]*)$', 1) ELSE '' END AS params, "
+    f"{O.query('url')} AS query, {O.fragment('url')} AS fragment FROM pages"
 )
 
 

@@ -7,8 +7,10 @@ expressions, usually column names of a CTE, so statements stay readable.
 
 from __future__ import annotations
 
+import itertools
+
 from pageflow.functions.html import BOUNDARY_TAGS, NAMED_ENTITIES
-from pageflow.functions.urls import CATALOGUES, URL_JUNK, URL_SPLIT
+from pageflow.functions.urls import CATALOGUES, URL_JUNK, URL_SPLIT, USES_PARAMS, USES_RELATIVE
 from pageflow.plans.fixtures import FILE_EXTS, METHODS, SITEMAP_CHUNK, SITEMAP_NS
 
 # Python's whitespace class in RE2 (RE2's \s lacks \v).
@@ -37,8 +39,16 @@ def raw_path(u: str) -> str:
     return f"regexp_extract({cleaned(u)}, {lit(URL_SPLIT)}, 3)"
 
 
+def _in(x: str, values: list[str]) -> str:
+    return f"({x} IN ({', '.join(lit(v) for v in values)}))"
+
+
+def no_params(p: str, sch: str) -> str:
+    return f"(CASE WHEN {_in(sch, USES_PARAMS)} THEN regexp_replace({p}, ';[^/]*$', '') ELSE {p} END)"
+
+
 def path(u: str) -> str:
-    return f"regexp_replace({raw_path(u)}, ';[^/]*$', '')"
+    return no_params(raw_path(u), scheme(u))
 
 
 def query(u: str) -> str:
@@ -57,31 +67,61 @@ def rstrip_slash(s: str) -> str:
     return f"regexp_replace({s}, '/+$', '')"
 
 
+_names = itertools.count()
+
+
+def let(value: str, fn) -> str:
+    """Bind ``value`` once as a lambda variable (SQL text would otherwise repeat it)."""
+    v = f"v{next(_names)}"
+    return f"(list_transform([{value}], lambda {v}: {fn(v)})[1])"
+
+
 def _walk(merged: str, relative: str) -> str:
-    segs0 = f"string_split({merged}, '/')"
-    segs = f"(CASE WHEN {relative} THEN list_filter({segs0}, lambda x, i: i = 1 OR i = len({segs0}) OR x <> '') ELSE {segs0} END)"
-    walked = (f"list_reduce({segs}, lambda acc, x: CASE WHEN x = '..' THEN acc[1:-2] WHEN x = '.' THEN acc "
-              f"ELSE list_append(acc, x) END, []::VARCHAR[])")
-    joined = f"array_to_string({walked}, '/')"
-    joined = f"(CASE WHEN {segs}[-1] IN ('.', '..') AND len({walked}) > 0 THEN {joined} || '/' ELSE {joined} END)"
-    joined = f"(CASE WHEN {joined} = '' THEN '/' ELSE {joined} END)"
-    return f"(CASE WHEN starts_with({joined}, '/') THEN {joined} ELSE '/' || {joined} END)"
+    def with_segs(segs0: str) -> str:
+        segs_expr = f"(CASE WHEN {relative} THEN list_filter({segs0}, lambda x, i: i = 1 OR i = len({segs0}) OR x <> '') ELSE {segs0} END)"
+
+        def with_pruned(segs: str) -> str:
+            walked = (f"list_reduce({segs}, lambda acc, x: CASE WHEN x = '..' THEN acc[1:-2] WHEN x = '.' THEN acc "
+                      f"ELSE list_append(acc, x) END, []::VARCHAR[])")
+
+            def finish(w: str) -> str:
+                joined = f"array_to_string({w}, '/')"
+                joined = f"(CASE WHEN {segs}[-1] IN ('.', '..') AND len({w}) > 0 THEN {joined} || '/' ELSE {joined} END)"
+                return let(f"(CASE WHEN {joined} = '' THEN '/' ELSE {joined} END)",
+                           lambda j: f"(CASE WHEN starts_with({j}, '/') THEN {j} ELSE '/' || {j} END)")
+
+            return let(walked, finish)
+
+        return let(segs_expr, with_pruned)
+
+    return let(f"string_split({merged}, '/')", with_segs)
 
 
 def resolve(base: str, ref: str) -> str:
     """``scheme://netloc/path`` of ``urljoin(base, ref)`` (params/query/fragment dropped)."""
-    bs, bn, bp = scheme(base), netloc(base), raw_path(base)
-    rs, rn, rp = scheme(ref), netloc(ref), raw_path(ref)
-    own = f"(({rs} <> '' AND {rs} <> {bs}) OR {rn} <> '')"
-    relative = f"(NOT starts_with({rp}, '/'))"
-    merged = f"(CASE WHEN {relative} THEN regexp_extract(CASE WHEN {bp} = '' THEN '/' ELSE {bp} END, '^(.*/)', 1) || {rp} ELSE {rp} END)"
-    p = f"(CASE WHEN {own} THEN {rp} WHEN {rp} = '' THEN {bp} ELSE {_walk(merged, relative)} END)"
-    p = f"regexp_replace({p}, ';[^/]*$', '')"
-    sch = f"(CASE WHEN {rs} = '' THEN {bs} ELSE {rs} END)"
-    net = f"(CASE WHEN {own} THEN {rn} ELSE {bn} END)"
-    empty = f"({ref} IS NULL OR {ref} = '')"
-    return (f"(CASE WHEN {empty} THEN {bs} || '://' || {bn} || regexp_replace({bp}, ';[^/]*$', '') "
-            f"ELSE {sch} || '://' || {net} || {p} END)")
+    parts = (f"{{'bs': {scheme(base)}, 'bn': {netloc(base)}, 'bp': {raw_path(base)}, 'rs': {scheme(ref)}, "
+             f"'rn': {netloc(ref)}, 'rp': {raw_path(ref)}, 'empty': ({ref} IS NULL OR {ref} = '')}}")
+
+    def body(p: str) -> str:
+        bs, bn, rs, rn, rp_raw = f"{p}.bs", f"{p}.bn", f"{p}.rs", f"{p}.rn", f"{p}.rp"
+        eff = f"(CASE WHEN {rs} = '' THEN {bs} ELSE {rs} END)"
+        passthrough = f"(({rs} <> '' AND {rs} <> {bs}) OR NOT {_in(eff, USES_RELATIVE)})"
+        derived = (f"{{'eff': {eff}, 'pt': {passthrough}, 'bp': {no_params(f'{p}.bp', bs)}, "
+                   f"'rp': {no_params(rp_raw, f'(CASE WHEN {passthrough} THEN {rs} ELSE {eff} END)')}}}")
+
+        def finish(d: str) -> str:
+            pt, bp, rp = f"{d}.pt", f"{d}.bp", f"{d}.rp"
+            netted = f"(NOT {pt} AND {rn} <> '')"
+            relative = f"(NOT starts_with({rp}, '/'))"
+            merged = f"(CASE WHEN {relative} THEN regexp_extract(CASE WHEN {bp} = '' THEN '/' ELSE {bp} END, '^(.*/)', 1) || {rp} ELSE {rp} END)"
+            path_ = f"(CASE WHEN {pt} OR {netted} THEN {rp} WHEN {rp_raw} = '' THEN {bp} ELSE {_walk(merged, relative)} END)"
+            sch = f"(CASE WHEN {pt} THEN {rs} ELSE {d}.eff END)"
+            net = f"(CASE WHEN {pt} OR {netted} THEN {rn} ELSE {bn} END)"
+            return f"(CASE WHEN {p}.empty THEN {bs} || '://' || {bn} || {bp} ELSE {sch} || '://' || {net} || {path_} END)"
+
+        return let(derived, finish)
+
+    return let(parts, body)
 
 
 def normalize(u: str, base: str | None = None, mode: str = "whole") -> str:

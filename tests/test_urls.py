@@ -86,3 +86,22 @@ def test_sanitize_and_unquote(spark):
         assert r.l == name
     assert got[0].q == unquote(urls[0])
     assert got[3].q == unquote(urls[3])
+
+
+def test_random_references_match_urljoin(spark):
+    """Seeded random base x reference pairs built from URL-significant pieces."""
+    rng = random.Random(11)
+    pieces = ["a", "b", "..", ".", "", "x.html", ";p=1", "?q=1", "#f", "//", "%41", " ", "c d"]
+
+    def ref():
+        head = rng.choice(["", "/", "//h.org/", "./", "../", "https://e.com/", "mailto:"])
+        return head + "/".join(rng.choice(pieces) for _ in range(rng.randint(0, 5)))
+
+    def base():
+        return "https://e.com" + "".join(rng.choice(["/a", "/b/", "/c.html", "/..", "/d;x", "?z=1"]) for _ in range(rng.randint(0, 4)))
+
+    rows = [(base(), ref()) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "base string, ref string")
+    got = df.select("base", "ref", U.normalize_url("ref", "base").alias("n")).collect()
+    bad = [(r.base, r.ref, r.n, py_normalize(r.base, r.ref)) for r in got if r.n != py_normalize(r.base, r.ref)]
+    assert not bad, bad[:10]
