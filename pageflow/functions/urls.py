@@ -62,8 +62,13 @@ USES_RELATIVE = ["", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "h
 URL_JUNK = r"^[\x00-\x20]+|[\t\r\n]"
 
 
+C0_OR_SPACE = "".join(chr(i) for i in range(0x21))
+
+
 def _clean(u: Column) -> Column:
-    return F.regexp_replace(u, URL_JUNK, "")
+    """``URL_JUNK`` removed with character functions (no regex scan): tab/CR/LF deleted,
+    then leading C0 controls and spaces trimmed."""
+    return F.ltrim(F.translate(u, "\t\r\n", ""), F.lit(C0_OR_SPACE))
 
 
 def url_parts(u: ColumnOrName) -> Column:
