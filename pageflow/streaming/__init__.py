@@ -1,0 +1 @@
+"""Structured Streaming jobs: ingest, watermark de-dup, visited upsert, event-time counters."""
