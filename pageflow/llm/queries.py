@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pageflow.llm import quality_rules
+from pageflow.llm import minhash, quality_rules
 
 QUERIES = {
+    "op3_minhash_near_dedup": minhash.query,
     "op9_quality_rules": quality_rules.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_minhash_near_dedup": minhash.SQL,
+}
