@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import pageflow
 from pageflow.session import checkpoint_dir
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(pageflow.__file__)))
+if _ROOT not in [os.path.abspath(p or ".") for p in ["", *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]:
+    # Python workers don't see the folder that the driver imported this package from
+    cloudpickle.register_pickle_by_value(pageflow)
+
 #: What a word is in quality and duplicate operators: a run without ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

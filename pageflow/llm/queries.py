@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pageflow.llm import minhash, quality_rules
+from pageflow.llm import minhash, phrase_index, quality_rules
 
 QUERIES = {
     "op3_minhash_near_dedup": minhash.query,
+    "op8_benchmark_decontamination": phrase_index.query,
     "op9_quality_rules": quality_rules.query,
 }
 
 SQL: dict[str, str] = {
     "op3_minhash_near_dedup": minhash.SQL,
+    "op8_benchmark_decontamination": phrase_index.SQL,
 }
