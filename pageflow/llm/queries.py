@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pageflow.llm import minhash, phrase_index, quality_rules
+from pageflow.llm import minhash, phrase_index, pii, quality_rules
 
 QUERIES = {
+    "op1_pii": pii.query,
     "op3_minhash_near_dedup": minhash.query,
     "op8_benchmark_decontamination": phrase_index.query,
     "op9_quality_rules": quality_rules.query,
