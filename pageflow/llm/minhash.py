@@ -8,10 +8,10 @@ similarity s meet in no bucket with chance (1 - s^rows)^bands: 5e-6 at 0.8, 3e-9
 * Rows with equal shingle sets form one class, so exact copies cost one row each.
 * In each bucket the least class is the hub of a star: one candidate edge per member, never a pair
   of each two members. Candidates are confirmed on whole sets.
-* A star can miss a link between two members that are both unlike their hub. So buckets whose
-  members are not yet all in one component get further hubs (twice as many each round, taken from
-  outside the bucket's largest component) until every bucket is one component or all of its pairs
-  across components have been tested: no cap, and nothing to do for groups of copies.
+* A star can miss a link between two members that are both unlike their hub. So for the classes of
+  buckets that aren't one component after the stars, the links across components are found exactly:
+  through the rarest shingles, one of which two sets so alike must share (``_open_pairs``). Groups of
+  copies are one component by then and cost nothing; no bucket is capped.
 
 Rows with null or empty text (or white space alone) have no shingles: they are linked with nothing
 and kept. Rows without ``doc_id`` are kept, without component. Repeated rows share class and
@@ -20,12 +20,10 @@ component. Other columns of the input are not read, so their names can't clash.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageflow.llm.common import checkpointed, table, utf8, written
@@ -125,20 +123,33 @@ def distinct_rows(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataF
     return docs.join(again, same, "left_anti").unionAll(docs.join(again, same, "left_semi").dropDuplicates([key, text]))
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame, percent: int, hubs: int) -> tuple[DataFrame, int]:
-    """Untested (u, v) pairs across components, from the first ``hubs`` members of each bucket that
-    are outside its largest component; and the most such members that a bucket has."""
-    named = members.join(roots, F.col("rep") == F.col("u"), "left").select("band", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    parts = named.groupBy("band", "root").count()
-    main = parts.groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts"), F.sum("count").alias("size"), F.max("count").alias("most"))
-    main = checkpointed(main.filter("parts > 1").select(F.col("band").alias("b"), "main", F.expr("size - most").alias("minor")))
-    minors = main.agg(F.max("minor")).first()[0] or 0
-    mixed = named.join(main, F.col("band") == F.col("b")).select("band", "rep", "n", "root", "main")
-    first = Window.partitionBy("band").orderBy("rep", "n")
-    picked = mixed.filter("root <> main").withColumn("at", F.row_number().over(first)).filter(F.col("at") <= hubs)
-    picked = picked.select(F.col("band").alias("b"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
-    pairs = mixed.join(picked, F.col("band") == F.col("b")).filter("root <> hub_root").filter(_fits(percent))
-    return pairs.select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct(), minors
+def _open_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(u, v) that may still be links, among the classes of buckets that aren't one component yet.
+
+    With shingles ordered from rare to common, two sets alike enough share one of the first
+    n - ceil(2p / (1 + p) * n) + 1 of the shorter and the first n - ceil(p * n) + 1 of the longer, where
+    p is the least similarity. Shingles that no other of these classes has take up places but can't be
+    shared; of edited copies they often take up all. From the first shared one on, both must have
+    shingles enough left for the overlap.
+    """
+    named = members.join(roots, F.col("rep") == F.col("u"), "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
+    mixed = named.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select(F.col("band").alias("x"))
+    left = checkpointed(named.join(mixed, F.col("band") == F.col("x"), "left_semi").select("rep", "root").distinct())
+    own = left.join(sets.withColumnRenamed("rep", "w"), F.col("rep") == F.col("w")).select("rep", "root", "shingles")
+    each = checkpointed(own.select("rep", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("t")))
+    often = each.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1").withColumnRenamed("t", "s")
+    rare = each.join(often, F.col("t") == F.col("s")).groupBy("rep", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("shared"))
+    own_only = F.expr("n - size(shared)")
+    short = F.expr(f"n - CAST(ceil({2 * percent} * n / {100 + percent}) AS INT) + 1") - own_only
+    long = F.expr(f"n - CAST(ceil({percent} * n / 100) AS INT) + 1") - own_only
+    rare = rare.withColumn("short", short).withColumn("long", long).filter("long > 0")
+    first = rare.select("rep", "root", "n", "short", F.size("shared").alias("behind"), F.posexplode(F.expr("slice(shared, 1, long)")).alias("at", "x"))
+    first = checkpointed(first.select("rep", "root", "n", F.col("x.t").alias("t"), (F.col("at") < F.col("short")).alias("short"), (F.col("behind") - F.col("at")).alias("left")))
+    other = first.filter("short").select(F.col("t").alias("s"), F.col("rep").alias("hub"), F.col("root").alias("hub_root"), F.col("n").alias("hub_n"), F.col("left").alias("hub_left"))
+    enough = F.expr(f"{100 + percent} * least(left, hub_left) >= {percent} * (n + hub_n)")
+    longer = F.struct("n", "rep") > F.struct("hub_n", "hub")
+    pairs = first.join(other, (F.col("t") == F.col("s")) & longer & (F.col("root") != F.col("hub_root")) & enough & F.expr(_fits(percent)))
+    return pairs.select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct()
 
 
 def _fits(percent: int) -> str:
@@ -168,24 +179,15 @@ def near_duplicates(
     shared = shared.select(F.col("band").alias("b"), F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"))
     members = checkpointed(each.join(shared, F.col("band") == F.col("b")).select("band", "rep", "n", "hub", "hub_n"))
     pairs = checkpointed(members.filter(_fits(percent)).select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct())
-    members = members.select("band", "rep", "n")
+    members = members.select("band", "rep")
 
     wanted = members.select(F.col("rep").alias("w")).distinct()
     texts = distinct_rows(docs.join(wanted, F.col("doc_id") == F.col("w"), "left_semi"), usable.select("doc_id"), "doc_id", "text")
     sets = written(texts.select(F.col("doc_id").alias("rep"), shingle_set(F.col("text"), words).alias("shingles")), "sets")
 
-    links, tested, hubs = [], [pairs], 8
-    while True:
-        links.append(checkpointed(_confirmed(pairs, sets, percent)))
-        roots = star_components(reduce(DataFrame.unionAll, links))
-        pairs, minors = _open_pairs(members, roots, percent, hubs)
-        for old in tested:
-            pairs = pairs.join(old, ["u", "v"], "left_anti")
-        pairs = checkpointed(pairs)
-        if not pairs.head(1) and minors <= hubs:
-            break
-        tested.append(pairs)
-        hubs *= 4
+    links = checkpointed(_confirmed(pairs, sets, percent))
+    rest = checkpointed(_open_pairs(members, sets, star_components(links), percent).join(pairs, ["u", "v"], "left_anti"))
+    roots = star_components(links.unionAll(_confirmed(rest, sets, percent)))
 
     named = classes.join(roots, F.col("rep") == F.col("u"), "left").select(F.col("set_key").alias("k"), F.coalesce("root", "rep").alias("component"))
     named = named.groupBy("k").agg(F.min("component").alias("component"))
