@@ -16,12 +16,14 @@ own; order within a group is fixed by (length, key, piece), so a repeated task p
 
 from __future__ import annotations
 
-import re
+import base64
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,56 +31,39 @@ from pyspark.sql import functions as F
 from pageflow.llm.common import table, written
 
 CAPACITY, END_ID, GROUP_PIECES = 1024, 2, 100_000
-#: Spans between spaces whose ids are remembered in a task.
-_REMEMBERED = 300_000
-
 
 def vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class Ids:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+class Coder:
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, with no special tokens.
 
-    The vocabulary's splitting rule never joins across a single space before another character: the
-    space belongs to what follows. So a text is cut there, and each distinct span is encoded
-    once. Texts with other white space before a space are encoded whole.
+    The rank file holds the vocabulary of ``byte_bpe_50k.json``, and its library gives the ids that
+    the ``tokenizers`` library gives with the JSON file, in a quarter of the time (compared in the
+    tests over the vocabulary, all planes and random texts).
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.coder = Tokenizer.from_file(path)
-        self.coder.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        import public_tokenizers
+        import tiktoken
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _GAP.search(t) else [" " + x for x in t.split(" ")] for t in texts]
-        for c in cut:
-            if c:
-                c[0] = c[0][1:]
-        new = list(set().union(*(c for c in cut if c)) - self.known.keys())
-        if len(self.known) + len(new) > _REMEMBERED:
-            self.known = {}
-            new = list(set().union(*(c for c in cut if c)))
-        for k in range(0, len(new), 10_000):
-            self.known.update(zip(new[k : k + 10_000], self._encode(new[k : k + 10_000]), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) if c else self._encode([t])[0] for c, t in zip(cut, texts, strict=True)]
+    def ids(self, text: str) -> bytes:
+        return array("I", self.coder.encode_ordinary(text)).tobytes()
 
 
-_GAP = re.compile(r"\s |[\x1c-\x20\x85\s]$")
-_HELD: dict[str, Ids] = {}
+_HELD: dict[str, Coder] = {}
 
 
-def _coder(path: str) -> Ids:
+def _coder(path: str) -> Coder:
     if path not in _HELD:  # once per Python worker
-        _HELD[path] = Ids(path)
+        _HELD[path] = Coder(path)
     return _HELD[path]
 
 
@@ -98,17 +83,14 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = _coder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 keys = part.column(0).to_pylist()
                 out: list[tuple] = []
-                for k, raw in zip(keys, coder.of([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    raw += end
+                for k, raw in zip(keys, part.column(1).to_pylist(), strict=True):
+                    raw = coder.ids(raw or "") + end
                     for p, (a, b) in enumerate(bounds(len(raw) // 4, capacity)):
                         ids = raw[4 * a : 4 * b]
                         out.append((k, p, a, b - a, zlib.crc32(ids), ids))
@@ -170,7 +152,6 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
 def pack(parts: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """``parts`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     stored = written(parts.select(*names), "pieces")
     groups = 1 + stored.filter(F.col("length") < capacity).count() // group_pieces
@@ -179,12 +160,12 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_P
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        rows = pa.Table.from_batches(held).to_pandas()
-        rows = rows.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
-        bins, offsets = best_fit(rows["length"].tolist(), capacity)
+        rows = pa.Table.from_batches(held)
+        keys = [("length", "descending"), *((n, "ascending") for n in ("doc_id", "piece", "start", "ids_crc32"))]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=keys))
+        bins, offsets = best_fit(rows.column("length").to_pylist(), capacity)
         first = TaskContext.get().partitionId() << 32
-        made = pa.Table.from_pandas(rows, preserve_index=False)
-        columns = [made.column(n).combine_chunks().cast(t) for n, t in zip(names, kinds, strict=False)]
+        columns = [rows.column(n).combine_chunks() for n in names]
         columns += [pa.array(np.array(bins, np.int64) + first), pa.array(offsets, pa.int64())]
         yield from pa.Table.from_arrays(columns, names=[*names, "sequence_id", "offset"]).to_batches(max_chunksize=10_000)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pageflow.llm import minhash, phrase_index, pii, quality_rules
+from pageflow.llm import minhash, packing, phrase_index, pii, quality_rules
 
 QUERIES = {
     "op1_pii": pii.query,
+    "op2_best_fit_packing": packing.query,
     "op3_minhash_near_dedup": minhash.query,
     "op8_benchmark_decontamination": phrase_index.query,
     "op9_quality_rules": quality_rules.query,
