@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pageflow.llm import minhash, packing, phrase_index, pii, quality_rules
+from pageflow.llm import chat_format, minhash, packing, phrase_index, pii, quality_rules, warc
 
 QUERIES = {
     "op1_pii": pii.query,
     "op2_best_fit_packing": packing.query,
     "op3_minhash_near_dedup": minhash.query,
+    "op4_chat_format": chat_format.query,
+    "op5_warc": warc.query,
     "op8_benchmark_decontamination": phrase_index.query,
     "op9_quality_rules": quality_rules.query,
 }
 
 SQL: dict[str, str] = {
     "op3_minhash_near_dedup": minhash.SQL,
+    "op4_chat_format": chat_format.SQL,
+    "op5_warc": warc.SQL,
     "op8_benchmark_decontamination": phrase_index.SQL,
 }
