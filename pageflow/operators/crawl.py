@@ -69,7 +69,6 @@ def crawl_reach(
     max_pages: int = 0,
     dedup: bool = True,
     html_as_page: bool = True,
-    max_levels: int = 10_000,
 ) -> DataFrame:
     """K1-K4: breadth-first crawl.
 
@@ -90,10 +89,8 @@ def crawl_reach(
     """
     keys = _persist(page_keys(pages), ["host", "url"])
     e = _persist(edges.select("host", "src", "dst", "pos"), ["host", "src"])
-    # proven bound for the ranking plan: new URLs of a level <= frontier size x max out-degree
-    max_out = e.groupBy("host", "src").count().agg(F.max("count")).first()[0] or 0
     start = seeds.select("host", "url").distinct()
-    level0 = rank_in_groups(start, ["host"], ["url"], "lrank", None)
+    level0 = rank_in_groups(start, ["host"], ["url"], "lrank")
     level0 = _persist(level0.select(F.lit("u").alias("kind"), "host", "url", F.lit(0).alias("depth"), "lrank",
                                     F.col("lrank").alias("rank"), F.lit(None).cast("string").alias("h")))
     frontier = level0.filter("kind = 'u'")
@@ -103,7 +100,7 @@ def crawl_reach(
     parts: list[DataFrame] = []
     cached: list[DataFrame] = []
     depth = 0
-    while depth < max_levels:
+    while True:
         seen = _union(seen_parts)
         f = frontier.select("host", "url", "depth", "lrank", "rank").join(keys, ["host", "url"], "left")
         alive = F.col("h").isNotNull() & expandable_route("url", html_as_page)
@@ -138,7 +135,7 @@ def crawl_reach(
             cached.append(first)
             new_per_parent = first.groupBy("host", F.col("parent_rank").alias("lrank")).agg(F.count("*").alias("n_new"))
             lv = f.join(new_per_parent, ["host", "lrank"], "left").fillna(0, ["n_new"]).join(counts, "host")
-            lv = running_sum_in_groups(lv, ["host"], ["lrank"], "n_new", "before", n_front)
+            lv = running_sum_in_groups(lv, ["host"], ["lrank"], "n_new", "before")
             processed = lv.withColumn("processed", (F.col("n_seen") + F.col("before")) < max_pages).drop("n_new", "n_seen", "before")
             processed = processed.persist()
             cached.append(processed)
@@ -155,8 +152,7 @@ def crawl_reach(
         # the level's output: a view of this level's persisted rows, written once at the end
         parts.append(processed.select("host", "url", "depth", "rank", status.alias("status")))
         # rank new URLs after the site's largest rank (= its discovered count), by (parent rank, pos)
-        bound = n_front * max_out
-        nxt = rank_in_groups(first, ["host"], ["parent_rank", "pos", "url"], "lrank", bound)
+        nxt = rank_in_groups(first, ["host"], ["parent_rank", "pos", "url"], "lrank")
         nxt = nxt.join(counts, "host").select(
             F.lit("u").alias("kind"), "host", "url", F.lit(depth + 1).alias("depth"), "lrank",
             (F.col("n_seen") + F.col("lrank")).alias("rank"), F.lit(None).cast("string").alias("h"))

@@ -3,10 +3,10 @@
 ``row_number() over (partition by g order by o)`` sends a whole group to one task; when
 one host or one name holds a third of all rows that task does a third of the job. Here
 the rows are range-partitioned on ``(g, o)`` (the sampler splits a hot group over many
-partitions), written once, numbered inside each partition, and the per-(partition,
-group) counts - a table of at most #partitions rows per group - give each piece its
-offset. Operators call :func:`rank_in_groups` / :func:`running_sum_in_groups`, which use
-a plain window when a measured row count (or proven bound) is small.
+partitions), written once, numbered or summed inside each (partition, group) piece, and the
+per-piece totals - a table of at most #partitions rows per group - give each piece its
+offset. There is one path for every input size, in DataFrame operations alone, and NULL is a group
+like any other.
 """
 
 from __future__ import annotations
@@ -32,90 +32,33 @@ def _range_split(df: DataFrame, cols: list[str]) -> DataFrame:
     return tagged.checkpoint(eager=True)
 
 
-def group_row_number(df: DataFrame, group_cols: list[str], order_cols: list[str], name: str = "rn") -> DataFrame:
-    """Adds ``name`` = 1-based row number of each row inside its group, by ``order_cols``.
-
-    ``order_cols`` should make the order total (end with a unique id) so that a
-    recomputed partition numbers its rows the same way.
-    """
-    tagged = _range_split(df, group_cols + order_cols)
-    pieces = tagged.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
+def _with_offsets(rows: DataFrame, tagged: DataFrame, group_cols: list[str], total, *extra) -> DataFrame:
+    """``rows`` (of ``tagged``) with ``_off``: the totals of the group's earlier pieces."""
+    pieces = tagged.groupBy("_pid", *group_cols).agg(total.alias("_n"), *extra)
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    t, p = tagged.alias("t"), pieces.alias("p")
+    t, p = rows.alias("t"), pieces.alias("p")
     cond = [F.col("t._pid") == F.col("p._pid")] + [F.col(f"t.{c}").eqNullSafe(F.col(f"p.{c}")) for c in group_cols]
-    out = t.join(p, cond, "inner").select("t.*", F.col("p._first"), F.col("p._off"))
-    return out.withColumn(name, F.col("_off") + (F.col("_mid") - F.col("_first")) + 1).drop("_pid", "_mid", "_first", "_off")
+    kept = [F.col(f"p.{c}") for c in pieces.columns if c not in ("_pid", *group_cols)]
+    return t.join(p, cond, "inner").select("t.*", *kept)
 
 
-def group_running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str, name: str) -> DataFrame:
-    """Adds ``name`` = exclusive running sum of ``value_col`` inside each group, by ``order_cols``.
+def rank_in_groups(df: DataFrame, group_cols: list[str], order_cols: list[str], name: str = "rn") -> DataFrame:
+    """Adds ``name`` = 1-based row number of each row inside its group, by ``order_cols``.
 
-    Same layout as :func:`group_row_number`: range partitions split hot groups; each
-    partition sums its own rows in order (Arrow batches, carried across batches), and the
-    per-(partition, group) totals give each piece its offset.
+    ``order_cols`` should make the order total (end with a unique id) so that a
+    recomputed partition numbers its rows the same way.
     """
-    import pandas as pd
-
-    tagged = _range_split(df, group_cols + order_cols).drop("_mid")
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    out_schema = StructType([*tagged.schema.fields, StructField("_local", LongType())])
-
-    def local_sums(batches):
-        carry_key, carry = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(_local=pd.Series(dtype="int64"))
-                continue
-            if len(group_cols) == 1:
-                key = pdf[group_cols[0]].astype(str)
-            else:
-                key = pdf[group_cols[0]].astype(str)
-                for c in group_cols[1:]:
-                    key = key + "\x1f" + pdf[c].astype(str)
-            vals = pdf[value_col].fillna(0).astype("int64")
-            incl = vals.groupby(key, sort=False).cumsum()
-            excl = incl - vals
-            if carry_key is not None:
-                excl = excl + (key == carry_key).astype("int64") * carry
-            last_key = key.iloc[-1]
-            tail = excl.iloc[-1] + vals.iloc[-1]
-            carry_key, carry = last_key, int(tail)
-            yield pdf.assign(_local=excl.astype("int64"))
-
-    local = tagged.mapInPandas(local_sums, out_schema)
-    pieces = tagged.groupBy("_pid", *group_cols).agg(F.sum(F.coalesce(F.col(value_col), F.lit(0))).alias("_n"))
-    w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    t, p = local.alias("t"), pieces.alias("p")
-    cond = [F.col("t._pid") == F.col("p._pid")] + [F.col(f"t.{c}").eqNullSafe(F.col(f"p.{c}")) for c in group_cols]
-    out = t.join(p, cond, "inner").select("t.*", F.col("p._off"))
-    return out.withColumn(name, (F.col("_off") + F.col("_local")).cast("long")).drop("_pid", "_local", "_off")
-
-
-# Below this many rows a plain window is used: one task per group holds at most this
-# many small rows, which is cheap; above it the skew-proof layout is used.
-SMALL_RANK_ROWS = 2_000_000
-
-
-def rank_in_groups(df: DataFrame, group_cols: list[str], order_cols: list[str], name: str, rows: int | None = None) -> DataFrame:
-    """Row number per group, choosing the plan by a row count: ``rows`` when the caller has a
-    measured count or a proven bound, else the input is counted."""
-    if rows is None:
-        rows = df.count()
-    if rows <= SMALL_RANK_ROWS:
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        return df.withColumn(name, F.row_number().over(w).cast("long"))
-    return group_row_number(df, group_cols, order_cols, name)
+    tagged = _range_split(df, group_cols + order_cols)
+    out = _with_offsets(tagged, tagged, group_cols, F.count("*"), F.min("_mid").alias("_first"))
+    return out.withColumn(name, F.col("_off") + (F.col("_mid") - F.col("_first")) + 1).drop("_pid", "_mid", "_first", "_off")
 
 
-def running_sum_in_groups(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str, name: str,
-                          rows: int | None = None) -> DataFrame:
-    """Exclusive running sum per group, choosing the plan by a measured count or bound ``rows``."""
-    if rows is None:
-        rows = df.count()
-    if rows <= SMALL_RANK_ROWS:
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(name, F.coalesce(F.sum(value_col).over(w), F.lit(0)).cast("long"))
-    return group_running_sum(df, group_cols, order_cols, value_col, name)
+def running_sum_in_groups(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str, name: str) -> DataFrame:
+    """Adds ``name`` = exclusive running sum of ``value_col`` inside each group, by ``order_cols``."""
+    tagged = _range_split(df, group_cols + order_cols)
+    value = F.coalesce(F.col(value_col), F.lit(0)).cast("long")
+    piece = Window.partitionBy("_pid", *group_cols).orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    local = tagged.withColumn("_local", F.coalesce(F.sum(value).over(piece), F.lit(0)))
+    out = _with_offsets(local, tagged, group_cols, F.sum(value))
+    return out.withColumn(name, (F.col("_off") + F.col("_local")).cast("long")).drop("_pid", "_mid", "_local", "_off")

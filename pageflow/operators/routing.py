@@ -59,8 +59,7 @@ def crawl_outcome(fetches: DataFrame, text_col: str = "text") -> DataFrame:
     return fetches.withColumn("outcome", outcome)
 
 
-def assign_filenames(files: DataFrame, order_col: str, category_col: str = "category", scope: tuple[str, ...] = ("host",),
-                     max_passes: int = 64) -> DataFrame:
+def assign_filenames(files: DataFrame, order_col: str, category_col: str = "category", scope: tuple[str, ...] = ("host",)) -> DataFrame:
     """Collision-free file names per (scope, category) in arrival order.
 
     The name is the path basename (``md5(url).unknown`` when empty). The k-th repeat of
@@ -74,7 +73,7 @@ def assign_filenames(files: DataFrame, order_col: str, category_col: str = "cate
     df = df.withColumn("_ext", F.regexp_extract("original_name", r"[^.](\.[^.]*)$", 1))
     df = df.withColumn("_stem", F.expr("substring(original_name, 1, length(original_name) - length(_ext))"))
     keys = [*scope, category_col]
-    # numbering is skew-proof above a measured size: a name repeated by a third of all rows is split over many tasks
+    # a name repeated by a third of all rows is split over many tasks
     df = rank_in_groups(df, [*keys, "original_name"], [order_col], "_k").withColumn("_k", F.col("_k") - 1)
 
     def named(k: Column) -> Column:
@@ -83,11 +82,9 @@ def assign_filenames(files: DataFrame, order_col: str, category_col: str = "cate
     df = df.withColumn("filename", named(F.col("_k")))
     # Second-order collisions ("a.txt, a.txt, a_1.txt"): later claimants of a name move on,
     # pass after pass, until names are unique. Almost always zero extra passes; the check is
-    # an aggregate over names, never a collect of rows.
-    for _ in range(max_passes):
-        clash = df.groupBy(*keys, "filename").count().filter("count > 1").limit(1).count()
-        if clash == 0:
-            break
+    # an aggregate over names, never a collect of rows. A pass only raises numbers, and no number
+    # exceeds the count of rows, so the loop ends. The ranking's checkpoint cuts the lineage.
+    while df.groupBy(*keys, "filename").count().filter("count > 1").limit(1).count():
         df = rank_in_groups(df, [*keys, "filename"], [order_col], "_rank").withColumn("_rank", F.col("_rank") - 1)
         df = df.withColumn("_k", F.col("_k") + F.col("_rank")).withColumn("filename", named(F.col("_k"))).drop("_rank")
     return df.drop("_ext", "_stem", "_k")

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pageflow.operators.ranking import group_row_number, group_running_sum
+from pageflow.operators.ranking import rank_in_groups, running_sum_in_groups
 
 
 def _skewed(spark):
@@ -13,18 +13,18 @@ def _skewed(spark):
     return df.repartition(13)
 
 
-def test_group_row_number_equals_window(spark):
+def test_rank_equals_window(spark):
     df = _skewed(spark)
-    got = group_row_number(df, ["g"], ["o"], "rn")
+    got = rank_in_groups(df, ["g"], ["o"], "rn")
     exp = df.withColumn("rn2", F.row_number().over(Window.partitionBy("g").orderBy("o")))
     j = got.join(exp, ["g", "o"])
     assert j.count() == 30000
     assert j.filter("rn != rn2").count() == 0
 
 
-def test_group_running_sum_equals_window(spark):
+def test_running_sum_equals_window(spark):
     df = _skewed(spark)
-    got = group_running_sum(df, ["g"], ["o"], "v", "before")
+    got = running_sum_in_groups(df, ["g"], ["o"], "v", "before")
     w = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
     exp = df.withColumn("b2", F.coalesce(F.sum("v").over(w), F.lit(0)))
     j = got.join(exp, ["g", "o"])
@@ -32,16 +32,30 @@ def test_group_running_sum_equals_window(spark):
     assert j.filter("before != b2").count() == 0
 
 
-def test_operators_on_the_skew_proof_path(spark, sf_dir, monkeypatch):
-    """Force the large-data path (threshold 0) and compare operators with plain windows."""
+def test_null_groups_text_none_and_large_values(spark):
+    """NULL and the text 'None' are two groups, and values beyond 2^53 stay exact."""
+    big = 2**53 + 1
+    rows = [(None, 1, 0, None), (None, 2, 6, 0), ("None", 1, 7, 0), ("None", 2, 8, 0), ("a", 1, big, 1), ("a", 2, None, 1), ("a", 3, 1, 1), ("a\x1fb", 1, 5, None)]
+    df = spark.createDataFrame([(g, o, v) for g, o, v, _ in rows], "g string, o long, v long")
+    got = {(r.g, r.o): r.before for r in running_sum_in_groups(df, ["g"], ["o"], "v", "before").collect()}
+    assert got == {(None, 1): 0, (None, 2): 0, ("None", 1): 0, ("None", 2): 7, ("a", 1): 0, ("a", 2): big, ("a", 3): big, ("a\x1fb", 1): 0}
+    ranks = {(r.g, r.o): r.rn for r in rank_in_groups(df, ["g"], ["o"]).collect()}
+    assert ranks == {k: k[1] for k in got}
+
+
+def test_schedule_equals_window(spark, sf_dir):
     from pageflow.operators import crawl as K
-    from pageflow.operators import ranking
     from pageflow.plans import fixtures as X
 
-    monkeypatch.setattr(ranking, "SMALL_RANK_ROWS", 0)
     f = X.fetches(X.table(spark, sf_dir, "pages")).select("page_id", "host")
     got = K.fetch_schedule(f, 3, 1.0, ["host"], ["page_id"])
     exp = f.withColumn("seq2", F.row_number().over(Window.partitionBy("host").orderBy("page_id")))
     j = got.join(exp, ["page_id", "host"])
     assert j.count() == f.count()
     assert j.filter("seq != seq2 OR batch != floor((seq2 - 1) / 3)").count() == 0
+
+
+def test_no_python_in_the_ranking(spark):
+    df = _skewed(spark)
+    plan = running_sum_in_groups(df, ["g"], ["o"], "v", "before")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
