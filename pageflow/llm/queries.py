@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pageflow.llm import chat_format, minhash, packing, phrase_index, pii, quality_model, quality_rules, warc
+from pageflow.llm import chat_format, minhash, packing, phrase_index, pii, quality_model, quality_rules, sharding, warc
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat_format": chat_format.query,
     "op5_warc": warc.query,
     "op6_quality_classifier": quality_model.query,
+    "op7_sharding": sharding.query,
     "op8_benchmark_decontamination": phrase_index.query,
     "op9_quality_rules": quality_rules.query,
 }
