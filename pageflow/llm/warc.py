@@ -19,14 +19,13 @@ repeat are records of their own. Other columns aren't read.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import hashlib
-
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +35,8 @@ from pageflow.llm.common import checkpointed, partitions, shared_path, table, wr
 
 #: Entries of an index block, records of an archive file, bytes of the least payload that is revisited.
 BLOCK, FILE_RECORDS, LEAST = 512, 1000, 100
+#: Repeated payloads (80 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 LINE, GAP = "\r\n", "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -45,7 +46,9 @@ def record_kinds(pages: DataFrame, least: int = LEAST) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("bytes", F.octet_length("payload")).withColumn("digest", F.sha2("payload", 256))
     groups = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    groups = groups.filter("n > 1").select(F.col("digest").alias("d"), "first")
+    groups = checkpointed(groups.filter("n > 1").select(F.col("digest").alias("d"), "first"))
+    if groups.count() <= BROADCAST_ROWS:  # then payloads need no shuffle
+        groups = F.broadcast(groups)
     joined = rows.join(groups, F.col("digest") == F.col("d"), "left")
     later = F.coalesce(~F.col("first").eqNullSafe(F.col("page_id")) & F.col("first").isNotNull(), F.lit(False))
     return joined.select("page_id", "url", "payload", "bytes", "digest", F.when(later, F.col("first")).alias("refers_to"))
