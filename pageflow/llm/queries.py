@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pageflow.llm import chat_format, minhash, packing, phrase_index, pii, quality_model, quality_rules, sharding, warc
+from pageflow.llm import chat_format, minhash, packing, phrase_index, pii, quality_model, quality_rules, sharding, suffixes, warc
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_sharding": sharding.query,
     "op8_benchmark_decontamination": phrase_index.query,
     "op9_quality_rules": quality_rules.query,
+    "op10_suffix_dedup": suffixes.query,
 }
 
 SQL: dict[str, str] = {
