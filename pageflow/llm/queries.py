@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pageflow.llm import chat_format, minhash, packing, phrase_index, pii, quality_model, quality_rules, sharding, suffixes, warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_benchmark_decontamination": phrase_index.query,
     "op9_quality_rules": quality_rules.query,
     "op10_suffix_dedup": suffixes.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
