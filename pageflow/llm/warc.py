@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -214,30 +215,61 @@ def look_up(index: DataFrame, wanted: DataFrame) -> DataFrame:
 READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, same boolean"
 
 
+def _record(page_id: int | None, raw: bytes) -> tuple:
+    """A row of READ from the bytes of one record."""
+    head, _, block = raw.partition(b"\r\n\r\n")
+    fields = parse_head(head)
+    said = fields["warc-payload-digest"].removeprefix("sha256:")
+    if fields["warc-type"] == "revisit":
+        return page_id, None, said, "revisit", int(fields["warc-refers-to-page-id"]), None
+    payload = block.partition(b"\r\n\r\n")[2]
+    own = hashlib.sha256(payload).hexdigest()
+    return page_id, len(payload), own, "response", None, own == said
+
+
+def _read_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
+
+
+def _opens(path: str) -> bool:
+    """Whether Arrow's file systems can read the folder (local and mounted ones, S3, GCS, Azure, HDFS with libhdfs)."""
+    try:
+        system, inner = pafs.FileSystem.from_uri(path)
+        return system.get_file_info(inner).type == pafs.FileType.Directory
+    except (OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return False
+
+
 def read_records(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
-    """The records at the found byte ranges: type, size and digest of the payload as it stands there."""
+    """The records at the found byte ranges: type, size and digest of the payload as it stands there.
+
+    Tasks read the ranges alone, sorted by file and offset. Where only Spark's readers can open
+    the folder, files and their ranges (at most ``FILE_RECORDS`` a file) are joined instead.
+    """
+    if _opens(path):
+
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            name = file = None
+            for batch in batches:
+                rows = []
+                for page_id, uri, at, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if uri != name:
+                        system, inner = pafs.FileSystem.from_uri(uri)
+                        name, file = uri, system.open_input_file(inner)
+                    rows.append(_record(page_id, file.read_at(length, at)))
+                yield _read_batch(rows)
+
+        ranges = found.repartition(F.col("path")).sortWithinPartitions("path", "at")
+        return ranges.select("page_id", "path", "at", "length").mapInArrow(fetch, READ)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
         for batch in batches:
             for content, ranges in zip(batch.column(0), batch.column(1), strict=True):
-                whole, rows = content.as_buffer(), []
-                for r in ranges.as_py():
-                    raw = whole.slice(r["at"], r["length"]).to_pybytes()
-                    head, _, block = raw.partition(b"\r\n\r\n")
-                    fields = parse_head(head)
-                    _, _, payload = block.partition(b"\r\n\r\n")
-                    said = fields["warc-payload-digest"].removeprefix("sha256:")
-                    refers = fields.get("warc-refers-to-page-id")
-                    if fields["warc-type"] == "revisit":
-                        rows.append((r["page_id"], None, said, "revisit", int(refers), None))
-                    else:
-                        own = hashlib.sha256(payload).hexdigest()
-                        rows.append((r["page_id"], len(payload), own, "response", None, own == said))
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
-
-    # at most as many ranges as an archive file has records
+                whole = content.as_buffer()
+                yield _read_batch([_record(r["page_id"], whole.slice(r["at"], r["length"]).to_pybytes()) for r in ranges.as_py()])
+
     ranges = found.groupBy(F.col("path").alias("p")).agg(F.collect_list(F.struct("page_id", "at", "length")).alias("ranges"))
     return _archives(spark, path).join(ranges, F.col("path") == F.col("p")).select("content", "ranges").mapInArrow(cut, READ)
 

@@ -44,6 +44,11 @@ def test_small_blocks_and_hot_url(spark, monkeypatch):
     assert warc.read_records(spark, path, found).filter("record_type = 'response' AND NOT same").count() == 0
 
 
+def test_folders_that_only_spark_opens(spark, monkeypatch):
+    monkeypatch.setattr(warc, "_opens", lambda path: False)
+    assert Counter(map(tuple, warc.captures(spark, frame(spark, PAGES)).collect())) == Counter(plain(PAGES))
+
+
 def test_archives_are_valid(spark):
     path = warc.write_archives(frame(spark, PAGES), shared_path(spark, "warc"))
     for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect():
