@@ -207,6 +207,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K, window: i
 
     kept = rows.filter("seed IS NOT NULL")
     shared = kept.groupBy(F.col("seed").alias("s")).agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).filter("a <> b").select("s")
+    shared = checkpointed(shared)  # both sides of the join get a shuffle of their own, whose hot keys can be split
     left = kept.join(shared, F.col("seed") == F.col("s"), "left_semi")
     reps = classes.select(F.col("rep").alias("r"), F.col("text_key").alias("t"))
     left = checkpointed(left.join(reps, (F.col("doc_id") == F.col("r")) & (F.col("text_key") == F.col("t")), "left_semi").distinct())
