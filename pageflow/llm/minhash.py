@@ -167,11 +167,8 @@ def near_duplicates(
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     rowset = written(docs.select("doc_id", sketch(F.col("text"), words, bands, rows).alias("s")).select("doc_id", "s.*"), "sketch")
     usable = rowset.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    least = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    own = usable.select("doc_id", F.col("set_key").alias("k"), "n", "bands").join(
-        least, (F.col("k") == F.col("set_key")) & (F.col("doc_id") == F.col("rep"))
-    )
-    classes = written(own.groupBy("rep", "set_key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = written(classes, "classes")  # n and bands depend on the set alone
 
     # buckets with two classes at least, and a star around the least class of each
     each = classes.select("rep", "n", F.explode("bands").alias("band"))
@@ -190,7 +187,7 @@ def near_duplicates(
     roots = star_components(links.unionAll(_confirmed(rest, sets, percent)))
 
     named = classes.join(roots, F.col("rep") == F.col("u"), "left").select(F.col("set_key").alias("k"), F.coalesce("root", "rep").alias("component"))
-    named = named.groupBy("k").agg(F.min("component").alias("component"))
+    named = checkpointed(named)  # a row per set; the join's other side can be split at hot sets
     out = rowset.select("doc_id", "n", "set_key").join(named, F.col("set_key") == F.col("k"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
