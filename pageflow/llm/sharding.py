@@ -40,7 +40,7 @@ def equal_text_edges(nodes: DataFrame, most: int) -> DataFrame:
     """(u, v): stars over groups of equal texts, each row with a hub. A group of more than ``most`` rows
     can't stay whole: it is dealt into as many equal stars as it needs, whose hubs are linked."""
     groups = nodes.groupBy("text_key").agg(F.count("*").alias("n")).filter("n > 1")
-    groups = groups.select(F.col("text_key").alias("k"), F.ceil(F.col("n") / max(1, most)).alias("stars"))
+    groups = checkpointed(groups.select(F.col("text_key").alias("k"), F.ceil(F.col("n") / max(1, most)).alias("stars")))
     dealt = nodes.select("node", "text_key").join(groups, F.col("text_key") == F.col("k")).select("node", "text_key", F.pmod(F.xxhash64("node"), F.col("stars")).alias("star"))
     hubs = checkpointed(dealt.groupBy("text_key", "star").agg(F.min("node").alias("v")))
     own = hubs.select(F.col("text_key").alias("k"), F.col("star").alias("s"), "v")
