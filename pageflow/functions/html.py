@@ -2,12 +2,15 @@
 
 No tree parser: documents are cut at tags with regular expressions and the pieces are
 handled with higher-order array functions, all inside the JVM. The rules (documented
-in the README) are the ones a forgiving HTML parser applies to well-formed pages; a
-block element's text ends at the next block-level tag.
+in the README) are the ones a forgiving HTML parser applies.
 """
 
 from __future__ import annotations
 
+import json
+from functools import cache
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,24 +27,22 @@ DROP_WITH_NOSCRIPT = ("script", "style", "noscript")
 DROP_WITH_META = ("script", "style", "meta", "link")
 # Block elements whose text the block extractor emits, and the tags that end a block.
 BLOCK_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")
-BOUNDARY_TAGS = ("p", "h[1-6]", "li", "ul", "ol", "div", "nav", "article", "section", "footer", "header",
-                 "body", "html", "table")
-# Named character references decoded (``&amp;`` is decoded last).
-NAMED_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"),
-    ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&laquo;", "«"),
-    ("&raquo;", "»"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
-    ("&rdquo;", "”"), ("&bull;", "•"), ("&euro;", "€"), ("&pound;", "£"),
-    ("&yen;", "¥"), ("&cent;", "¢"), ("&sect;", "§"), ("&deg;", "°"),
-    ("&times;", "×"), ("&divide;", "÷"),
+BOUNDARY_TAGS = ("p", "h[1-6]", "li", "ul", "ol", "div", "nav", "article", "section", "footer", "header", "main", "aside",
+                 "form", "blockquote", "body", "html", "table", "td", "th")
+# Elements that closing tags and paragraphs inside them don't reach out of.
+CELL_TAGS = ("table", "td", "th")
+# What the code points 0x80-0x9F of numeric references stand for (0: nothing).
+C1_REFERENCES = [
+    0x20AC, 0x81, 0x201A, 0x0192, 0x201E, 0x2026, 0x2020, 0x2021, 0x02C6, 0x2030, 0x0160, 0x2039, 0x0152, 0x8D, 0x017D, 0x8F,
+    0x90, 0x2018, 0x2019, 0x201C, 0x201D, 0x2022, 0x2013, 0x2014, 0x02DC, 0x2122, 0x0161, 0x203A, 0x0153, 0x9D, 0x017E, 0x0178,
 ]
 
-SENTINEL = "\u0001"
-# A tag is '<' + letter, '/', '!' or '?' up to the next '>' - never across another '<', so
-# a stray '<' in text costs O(1) instead of a scan to the end of the document.
-TAG = r"(?s)<[!/?A-Za-z][^<>]*>"
-COMMENT = r"(?s)<!--.*?-->"
+# Attributes step over quoted values (quotes count after '=' only), so a '>' inside one doesn't end
+# the tag; a '<' outside quotes does, so a stray '<' in text costs O(1) instead of a scan to
+# the end of the document.
+ATTRIBUTES = r"""(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+# A tag is '<' + letter, '/', '!' or '?' and attributes up to the next '>'.
+TAG = rf"<[!/?A-Za-z]{ATTRIBUTES}>"
 
 
 # Void elements (no closing tag): only the tag itself is removed.
@@ -49,8 +50,9 @@ VOID_TAGS = ("meta", "link")
 
 
 def _element_pattern(tags: tuple[str, ...]) -> str:
-    alts = "|".join(rf"<{t}\b[^>]*>" if t in VOID_TAGS else rf"<{t}\b.*?</{t}\s*>" for t in tags)
-    return rf"(?is)<!--.*?-->|{alts}"
+    # an element or comment that is never closed runs to the end of the document
+    alts = "|".join(rf"<{t}(?:[\s/]{ATTRIBUTES})?>" if t in VOID_TAGS else rf"<{t}[\s/>].*?(?:</{t}[\s/]*>|\z)" for t in tags)
+    return rf"(?is)<!--.*?(?:-->|\z)|{alts}"
 
 
 def strip_elements(html: ColumnOrName, tags: tuple[str, ...] = DROP_SCRIPT_STYLE) -> Column:
@@ -58,35 +60,57 @@ def strip_elements(html: ColumnOrName, tags: tuple[str, ...] = DROP_SCRIPT_STYLE
     return F.regexp_replace(_col(html), _element_pattern(tags), "")
 
 
-def _decode_numeric(c: Column) -> Column:
-    """``&#NNN;`` / ``&#xHH;`` to the code point, via UTF-32 bytes (no Python)."""
+@cache
+def _reference_tables() -> tuple[str, str]:
+    """All named references of HTML5 as JSON: by first letter, and those that need no ';'."""
+    by: dict[str, dict[str, str]] = {}
+    for name, text in html5.items():
+        by.setdefault(name[0], {})[name] = text
+    return json.dumps(by), json.dumps({k: v for k, v in html5.items() if not k.endswith(";")})
 
-    def piece(x: Column, i: Column) -> Column:
-        dec = F.regexp_extract(x, r"^([0-9]{1,7});", 1)
-        hx = F.regexp_extract(x, r"^[xX]([0-9a-fA-F]{1,6});", 1)
-        cp_hex = F.when(dec != "", F.hex(dec.cast("long"))).when(hx != "", F.upper(hx))
-        ok = cp_hex.isNotNull() & (F.conv(F.coalesce(cp_hex, F.lit("0")), 16, 10).cast("long").between(1, 0x10FFFF))
-        ch = F.decode(F.unhex(F.lpad(cp_hex, 8, "0")), "UTF-32")
-        rest = F.regexp_replace(x, r"^(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", "")
-        return F.when(i == 0, x).when(ok, F.concat(ch, rest)).otherwise(F.concat(F.lit("&#"), x))
 
-    return let(c, lambda v: F.when(v.contains("&#"), F.array_join(F.transform(F.split(v, "&#"), piece), "")).otherwise(v))
+def _code_point(digits: Column, base: int) -> Column:
+    """The text of a numeric reference, as HTML5 reads it."""
+    plain = F.ltrim(digits, F.lit("0"))
+    n = F.when(F.length(plain) > 7, F.lit(0x110000)).when(plain == "", F.lit(0)).otherwise(F.conv(plain, base, 10).cast("int"))
+
+    def text(n: Column) -> Column:
+        c1 = F.element_at(F.array(*[F.lit(x) for x in C1_REFERENCES]), F.greatest(F.lit(1), F.least(F.lit(32), n - 0x7F)))
+        shown = F.when(n.between(0x80, 0x9F), c1).otherwise(n)
+        gone = n.between(1, 8) | (n == 0x0B) | n.between(0x0E, 0x1F) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+        bad = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(shown), 8, "0")), "UTF-32")
+        return F.when(bad, F.lit("\ufffd")).when(gone, F.lit("")).otherwise(char)
+
+    return let(n, text)
 
 
 def unescape_html(c: ColumnOrName) -> Column:
-    """Decode character references: numeric ones and the named set above, ``&amp;`` last."""
-    names = F.create_map(*[x for ent, ch in NAMED_ENTITIES + [("&amp;", "&")] for x in (F.lit(ent[1:-1]), F.lit(ch))])
+    """Decode character references in one pass, as HTML5 (and ``html.unescape``) reads them:
+    numeric ones of any length, all named ones, the old names without ';' by longest prefix."""
+    by, old = _reference_tables()
+    names = F.from_json(F.lit(by), "map<string, map<string, string>>")  # constants, folded once
+    legacy = F.from_json(F.lit(old), "map<string, string>")
+
+    def named(word: Column, x: Column) -> Column:
+        whole = F.try_element_at(F.try_element_at(names, F.substring(word, 1, 1)), word)
+        parts = [F.when(F.length(word) > k, F.concat(F.try_element_at(legacy, F.substring(word, 1, k)), F.substring(x, k + 1, 1 << 30))) for k in (6, 5, 4, 3, 2)]
+        rest = F.substring(x, F.length(word) + 1, 1 << 30)
+        return F.coalesce(F.concat(whole, rest), *parts, F.concat(F.lit("&"), x))
 
     def piece(x: Column, i: Column) -> Column:
-        # each piece after an '&': a known name followed by ';' is replaced, once
-        name = F.regexp_extract(x, r"^([A-Za-z][A-Za-z0-9]{1,7});", 1)
-        ch = F.try_element_at(names, name)
-        return F.when(i == 0, x).when(ch.isNotNull(), F.concat(ch, F.substring(x, F.length(name) + 2, 1 << 30))).otherwise(F.concat(F.lit("&"), x))
-
-    def named(out: Column) -> Column:
-        return F.when(out.contains("&"), F.array_join(F.transform(F.split(out, "&"), piece), "")).otherwise(out)
+        dec, hx = F.regexp_extract(x, r"^#([0-9]+);?", 1), F.regexp_extract(x, r"^#[xX]([0-9a-fA-F]+);?", 1)
+        rest = F.regexp_replace(x, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", "")
+        word = F.regexp_extract(x, r"^[^\t\n\f <&#;]{1,32};?", 0)
+        return (
+            F.when(i == 0, x)
+            .when(dec != "", F.concat(_code_point(dec, 10), rest))
+            .when(hx != "", F.concat(_code_point(hx, 16), rest))
+            .when(word == "", F.concat(F.lit("&"), x))
+            .otherwise(let(word, lambda w: named(w, x)))
+        )
 
-    return let(_decode_numeric(_col(c)), named)
+    return let(_col(c), lambda v: F.when(v.contains("&"), F.array_join(F.transform(F.split(v, "&"), piece), "")).otherwise(v))
 
 
 def strip_ws(c: ColumnOrName) -> Column:
@@ -103,15 +127,17 @@ def clean_text(c: ColumnOrName) -> Column:
 
 def _text_nodes(body: Column) -> Column:
     """Text nodes between tags: decoded, stripped, empties dropped (``stripped_strings``)."""
-    pieces = F.split(F.regexp_replace(body, TAG, SENTINEL), SENTINEL)
-    return F.filter(F.transform(pieces, lambda x: strip_ws(unescape_html(x))), lambda x: x != "")
+    return F.filter(F.transform(F.split(body, TAG), lambda x: strip_ws(unescape_html(x))), lambda x: x != "")
 
 
 def page_title(html: ColumnOrName) -> Column:
-    """H2: decoded text of the first ``<title>``; NULL when absent or empty."""
-    raw = F.regexp_extract(_col(html), r"(?is)<title[^>]*>(.*?)</title", 1)
-    has = _col(html).rlike(r"(?is)<title[^>]*>.*?</title")
-    return F.when(has & (raw != ""), unescape_html(raw))
+    """H2: decoded text of the first ``<title>`` outside comments, scripts and styles; NULL when absent or empty."""
+
+    def first(body: Column) -> Column:
+        raw = F.regexp_extract(body, rf"(?is)<title(?:[\s/]{ATTRIBUTES})?>(.*?)</title", 1)
+        return F.when(raw != "", unescape_html(raw))
+
+    return let(strip_elements(html), first)
 
 
 def page_text(html: ColumnOrName, sep: str = " ", drop: tuple[str, ...] = DROP_SCRIPT_STYLE) -> Column:
@@ -129,24 +155,74 @@ def alt_text(html: ColumnOrName) -> Column:
     return clean_text(page_text(html, " "))
 
 
-def block_text(html: ColumnOrName) -> Column:
-    """H4: text of p/h1-h6/li blocks in document order, cleaned to one line.
+def _last(stack: Column, holds) -> Column:
+    """1-based place of the last element of the stack whose tag fulfils ``holds``, 0 if none."""
+    return F.coalesce(F.array_max(F.transform(stack, lambda x, j: F.when(holds(x["tag"]), j + 1).otherwise(0))), F.lit(0))
+
 
-    A block's text runs from its open tag to the next block-level tag (open or close).
+def _block_ends(tags: Column) -> Column:
+    """(i, e) of every block: it holds the pieces i .. e - 1. ``tags`` are (tag, open) in document order;
+    piece i is the text behind tag i - 1.
+
+    A stack of open elements as a forgiving parser keeps it: a paragraph ends where a block
+    starts, an item where the next item of its list starts, a heading where another starts, and a closing
+    tag ends everything inside its element. Closing tags without an element are ignored.
     """
-    body = strip_elements(html, DROP_SCRIPT_STYLE)
-    block_open = r"(?i)<(?:p|h[1-6]|li)(?:\s[^<>]*)?>"
-    boundary = r"(?i)</?(?:" + "|".join(BOUNDARY_TAGS) + r")(?:\s[^<>]*)?/?>"
-    marked = F.regexp_replace(F.regexp_replace(body, block_open, SENTINEL + "B"), boundary, SENTINEL + "E")
-    pieces = F.filter(F.split(marked, SENTINEL), lambda x: x.startswith("B"))
-    texts = F.transform(pieces, lambda x: clean_text(unescape_html(F.regexp_replace(F.substring(x, 2, 1 << 30), TAG, " "))))
-    return clean_text(F.array_join(texts, " "))
+    is_heading = lambda t: t.rlike("^h[1-6]$")
+    is_cell = lambda t: t.isin(*CELL_TAGS)
+    empty = F.expr("CAST(array() AS array<struct<tag: string, i: int>>)")
+    none = F.expr("CAST(array() AS array<struct<i: int, e: int>>)")
+
+    def step(state: Column, item: Column) -> Column:
+        stack, tag = state["stack"], item["tag"]
+        size, cell = F.size(stack), _last(stack, is_cell)
+        same = F.when(is_heading(tag), _last(stack, is_heading)).otherwise(_last(stack, lambda t: t == tag))
+        closes = F.when((same > cell) | is_cell(tag), F.when(same > 0, same - 1).otherwise(size)).otherwise(size)
+        p, li, lists = _last(stack, lambda t: t == "p"), _last(stack, lambda t: t == "li"), _last(stack, lambda t: t.isin("ul", "ol"))
+        after_p = F.when(p > cell, p - 1).otherwise(size)
+        after_li = F.when((tag == "li") & (li > F.greatest(lists, cell)), li - 1).otherwise(size)
+        top = F.get(stack, size - 1)["tag"]
+        after_h = F.when(is_heading(tag) & F.coalesce(is_heading(top), F.lit(False)), size - 1).otherwise(size)
+        keep = F.when(item["open"], F.least(after_p, after_li, after_h)).otherwise(closes)
+        gone = F.filter(F.slice(stack, keep + 1, F.greatest(size - keep, F.lit(0))), lambda x: x["tag"].isin(*BLOCK_TAGS))
+        ended = F.concat(state["ends"], F.transform(gone, lambda x: F.struct(x["i"].alias("i"), state["at"].alias("e"))))
+        kept = F.slice(stack, F.lit(1), keep)
+        pushed = F.when(item["open"], F.concat(kept, F.array(F.struct(tag.alias("tag"), state["at"].alias("i"))))).otherwise(kept)
+        return F.struct(pushed.alias("stack"), ended.alias("ends"), (state["at"] + 1).alias("at"))
+
+    def close_all(state: Column) -> Column:
+        open_ = F.filter(state["stack"], lambda x: x["tag"].isin(*BLOCK_TAGS))
+        return F.array_sort(F.concat(state["ends"], F.transform(open_, lambda x: F.struct(x["i"].alias("i"), state["at"].alias("e")))))
+
+    return F.aggregate(tags, F.struct(empty.alias("stack"), none.alias("ends"), F.lit(1).alias("at")), step, close_all)
+
+
+def block_text(html: ColumnOrName) -> Column:
+    """H4: whole texts of p/h1-h6/li blocks in document order, cleaned to one line. A block inside another
+    one is part of the outer text and comes again by itself."""
+    name = "|".join(BOUNDARY_TAGS)
+    pattern = rf"(?i)<(/?)({name})(?:[\s/]{ATTRIBUTES})?>"
+
+    def texts(parts: Column) -> Column:
+        pieces = F.transform(parts["pieces"], lambda x: clean_text(unescape_html(F.regexp_replace(x, TAG, " "))))
+        tags = F.transform(parts["tags"], lambda x: F.struct(F.lower(F.regexp_extract(x, pattern, 2)).alias("tag"), (F.regexp_extract(x, pattern, 1) == "").alias("open")))
+
+        def joined(at: Column) -> Column:
+            blocks = F.transform(at["ends"], lambda b: F.array_join(F.filter(F.slice(at["pieces"], b["i"] + 1, b["e"] - b["i"]), lambda x: x != ""), " "))
+            return F.array_join(F.filter(blocks, lambda x: x != ""), " ")
+
+        return let(F.struct(pieces.alias("pieces"), _block_ends(tags).alias("ends")), joined)
+
+    def cut(body: Column) -> Column:
+        return let(F.struct(F.split(body, pattern).alias("pieces"), F.regexp_extract_all(body, F.lit(pattern), F.lit(0)).alias("tags")), texts)
+
+    return let(strip_elements(html, DROP_SCRIPT_STYLE), cut)
 
 
 def visible_text(html: ColumnOrName) -> Column:
     """H5: text nodes outside head/title/script/style/noscript/meta and comments, cleaned."""
     body = strip_elements(html, DROP_WITH_NOSCRIPT)
-    body = F.regexp_replace(body, r"(?is)<title\b.*?</title\s*>|<!doctype[^>]*>|<head\b[^>]*>[^<]*", " ")
+    body = F.regexp_replace(body, rf"(?is)<title(?:[\s/]{ATTRIBUTES})?>.*?</title\s*>|<!doctype[^>]*>|<head(?:[\s/]{ATTRIBUTES})?>[^<]*", " ")
     return clean_text(unescape_html(F.regexp_replace(body, TAG, " ")))
 
 
@@ -172,11 +248,13 @@ def with_source(text: ColumnOrName, url: ColumnOrName, style: str = "markdown",
     return F.concat(head, F.lit("\n\n"), text)
 
 
-# Anchor href attribute, double-quoted, single-quoted or bare.
-HREF = r"""(?is)<a\s(?:[^<>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
+# An anchor's first href attribute: double-quoted, single-quoted or bare; other attributes are stepped over.
+_OTHER = r"""(?:\s+(?!href[\s=/>])[^\s<>=/]++(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s"'<>][^\s<>]*+))?+|\s*/)*+"""
+HREF = rf"""(?i)<a(?=[\s/]){_OTHER}\s+href\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'<>][^\s<>]*+)"""
 
 
 def extract_hrefs(html: ColumnOrName) -> Column:
-    """Every ``<a href>`` value in document order, quotes removed and entity-decoded."""
-    raw = F.regexp_extract_all(_col(html), F.lit(HREF), 1)
-    return F.transform(raw, lambda v: unescape_html(F.regexp_replace(v, r"""^"(.*)"$|^'(.*)'$""", "$1$2")))
+    """Every ``<a href>`` value in document order outside comments, scripts and styles, quotes removed
+    and entity-decoded."""
+    raw = F.regexp_extract_all(strip_elements(html), F.lit(HREF), 1)
+    return F.transform(raw, lambda v: unescape_html(F.regexp_replace(v, r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2")))

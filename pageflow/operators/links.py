@@ -17,11 +17,13 @@ from pageflow.functions import urls as U
 HTTP_URL = r"^http[s]*://.+"
 
 
-def nav_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """H11 as a table: ``(page_id, host, pos, href)`` for every anchor with an href."""
+def nav_links(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """H11 as a table: ``(page_id, host, pos, href)`` for every anchor with an href, and the page's
+    ``keep`` columns (carried along, so that nothing has to be joined back)."""
     return pages.select(
         "page_id",
         U.url_netloc(url_col).alias("host"),
+        *keep,
         F.posexplode(H.extract_hrefs(html_col)).alias("pos", "href"),
     )
 

@@ -92,7 +92,7 @@ def q_seed_frontier(spark, sf):
 # ============================================================ U: URL functions
 _PARTS_SQL = (
     f"SELECT page_id, {O.scheme('url')} AS scheme, {O.netloc('url')} AS netloc, {O.path('url')} AS path, "
-    f"CASE WHEN {O._in(O.scheme('url'), U.USES_PARAMS)} THEN regexp_extract({O.raw_path('url')}, ';([^/]*)$', 1) ELSE '' END AS params, "
+    f"CASE WHEN {O._in(O.scheme('url'), O.USES_PARAMS)} THEN regexp_extract({O.raw_path('url')}, ';([^/]*)$', 1) ELSE '' END AS params, "
     f"{O.query('url')} AS query, {O.fragment('url')} AS fragment FROM pages"
 )
 
@@ -106,8 +106,7 @@ def q_url_parts(spark, sf):
     f"SELECT n.page_id, CAST(n.pos AS BIGINT) AS pos, {O.resolve('p.url', 'n.href')} AS resolved, "
     f"{O.resolve(O.site_base('p.url'), 'n.href')} AS resolved_base FROM nav_links n JOIN pages p ON p.page_id = n.page_id"))
 def q_url_resolve(spark, sf):
-    pages = t(spark, sf, "pages")
-    n = L.nav_links(pages).join(pages.select("page_id", "url"), "page_id")
+    n = L.nav_links(t(spark, sf, "pages"), keep=("url",))
     return n.select("page_id", F.col("pos").cast("long").alias("pos"), U.resolve_url("url", "href").alias("resolved"),
                     U.resolve_url(U.site_base("url"), "href").alias("resolved_base"))
 
@@ -248,6 +247,42 @@ def q_block_text(spark, sf):
     return t(spark, sf, "pages").select("page_id", H.block_text("html").alias("text"))
 
 
+# Real pages inside a list item, with an inner list and unclosed items around them.
+_NEST = ("<ul><li>top<div><section>", "</section></div><ul><li>sub</li></ul>tail</li><li>next<p>last</ul>")
+
+
+@register("block_text_nested", f"SELECT page_id, {O.block_text(chr(40) + O.lit(_NEST[0]) + ' || html || ' + O.lit(_NEST[1]) + chr(41))} AS text FROM pages")
+def q_block_text_nested(spark, sf):
+    """H4 over blocks in blocks."""
+    nested = F.concat(F.lit(_NEST[0]), "html", F.lit(_NEST[1]))
+    return t(spark, sf, "pages").select("page_id", H.block_text(nested).alias("text"))
+
+
+# Anchors in comments and scripts, quoted '>' and references around the links of real pages.
+_SNIPPETS = ("<!-- <a href=\"/old\"> --><script>'<a href=\"/js\">'</script><title lang=\"a>b\">&eacute;t&#233; &notin; &#146;</title>"
+             "<a title=\"a > b\" href=\"/quoted\">x</a><img alt=\"c > d\">", "<a href=/bare>y</a><script>open()")
+
+
+def _wrapped_sql(what: str) -> str:
+    return f"SELECT page_id, {what} FROM (SELECT page_id, {O.lit(_SNIPPETS[0])} || html || {O.lit(_SNIPPETS[1])} AS html FROM pages)"
+
+
+@register("wrapped_pages", _wrapped_sql(f"array_to_string({O.hrefs('html')}, ' ') AS links, {O.title('html')} AS title, {O.page_text('html')} AS text"))
+def q_wrapped_pages(spark, sf):
+    """H2, H3 and H11 over pages with commented, scripted and quoted markup."""
+    html = F.concat(F.lit(_SNIPPETS[0]), "html", F.lit(_SNIPPETS[1]))
+    p = t(spark, sf, "pages").select("page_id", html.alias("html"))
+    return p.select("page_id", F.array_join(H.extract_hrefs("html"), " ").alias("links"), H.page_title("html").alias("title"), H.page_text("html").alias("text"))
+
+
+@register("unquote", f"SELECT page_id, url_decode({O.path('url')}) AS path FROM (SELECT page_id, replace(url, '%', '%25') || '%20%C3%A9%2F' AS url FROM pages)")
+def q_unquote(spark, sf):
+    """U15 over page paths with escapes added."""
+    url = F.concat(F.replace(F.col("url"), F.lit("%"), F.lit("%25")), F.lit("%20%C3%A9%2F"))
+    p = t(spark, sf, "pages").select("page_id", url.alias("url"))
+    return p.select("page_id", U.unquote(U.url_path("url")).alias("path"))
+
+
 @register("visible_text", f"SELECT page_id, {O.visible_text('html')} AS text FROM pages")
 def q_visible_text(spark, sf):
     return t(spark, sf, "pages").select("page_id", H.visible_text("html").alias("text"))
@@ -295,12 +330,13 @@ def q_nav_links(spark, sf):
     return L.nav_links(t(spark, sf, "pages")).select("page_id", "host", F.col("pos").cast("long").alias("pos"), "href")
 
 
-_EDGES_SQL = O.cte(nav_links=O.NAV_LINKS) + (
+_EDGES_BODY = (
     "SELECT page_id, host, src, dst, CAST(min(pos) AS BIGINT) AS pos FROM ("
     f"SELECT n.page_id, n.host, {O.normalize('p.url')} AS src, {O.normalize('n.href', 'p.url')} AS dst, n.pos "
     "FROM nav_links n JOIN pages p ON p.page_id = n.page_id) "
     f"WHERE {O.is_valid('dst', 'host')} GROUP BY page_id, host, src, dst"
 )
+_EDGES_SQL = O.cte(nav_links=O.NAV_LINKS) + _EDGES_BODY
 
 
 @register("link_edges", _EDGES_SQL)
@@ -566,9 +602,6 @@ def q_fetch_schedule(spark, sf):
     return s.select("page_id", "host", F.col("seq").cast("long").alias("seq"), "batch", "offset_s")
 
 
-_EDGES_BODY = _EDGES_SQL.split("\n", 1)[1]
-
-
 @register("graph_summary", O.cte(nav_links=O.NAV_LINKS, e=f"SELECT DISTINCT host, src, dst FROM ({_EDGES_BODY})") + (
     "SELECT host, url, CAST(coalesce(o.out_degree, 0) AS BIGINT) AS out_degree, CAST(coalesce(i.in_degree, 0) AS BIGINT) AS in_degree, "
     "CAST(coalesce(o.dangling, 0) AS BIGINT) AS dangling FROM "
@@ -633,7 +666,7 @@ def q_crawl_stats(spark, sf):
 
 @register("files_by_category", _FILES + (
     "SELECT k.host, c.category, CAST(coalesce(n.files, 0) AS BIGINT) AS files FROM (SELECT DISTINCT host FROM files) k CROSS JOIN (VALUES "
-    + ", ".join(f"('{c}')" for c in U.CATALOGUE_WIDE) + ") c(category) LEFT JOIN ("
+    + ", ".join(f"('{c}')" for c in [*O.CATALOGUES['wide'], 'other']) + ") c(category) LEFT JOIN ("
     f"SELECT host, {O.category('url')} AS category, count(DISTINCT url) AS files FROM files GROUP BY 1, 2) n ON n.host = k.host AND n.category = c.category"))
 def q_files_by_category(spark, sf):
     f = X.files(t(spark, sf, "pages")).withColumn("category", U.file_category("url"))

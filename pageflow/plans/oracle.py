@@ -7,12 +7,33 @@ expressions, usually column names of a CTE, so statements stay readable.
 
 from __future__ import annotations
 
+import functools
+import html.entities
 import itertools
+import urllib.parse
 
-from pageflow.functions.html import BOUNDARY_TAGS, NAMED_ENTITIES
-from pageflow.functions.urls import CATALOGUES, URL_JUNK, URL_SPLIT, USES_PARAMS, USES_RELATIVE
 from pageflow.plans.fixtures import FILE_EXTS, METHODS, SITEMAP_CHUNK, SITEMAP_NS
 
+# The standard library's lists, and patterns and catalogues stated apart from the engine's.
+USES_PARAMS, USES_RELATIVE = urllib.parse.uses_params, urllib.parse.uses_relative
+URL_JUNK = r"^[\x00-\x20]+|[\t\r\n]"
+URL_SPLIT = r"^(?:([a-zA-Z][-+.a-zA-Z0-9]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
+# The extension catalogues, a line per category.
+_CATALOGUE_LINES = """
+document .pdf .doc .docx .txt .rtf .odt
+spreadsheet .xls .xlsx .csv .ods
+presentation .ppt .pptx .odp
+archive .zip .rar .7z .tar .gz
+image .jpg .jpeg .png .gif .bmp .svg
+audio .mp3 .wav .ogg .m4a
+video .mp4 .avi .mkv .mov
+code .py .js .html .css .java .cpp .h
+data .json .xml .yaml .sql
+ebook .epub .mobi .azw
+"""
+_WIDE = {c: exts for c, *exts in (x.split() for x in _CATALOGUE_LINES.split("\n") if x)}
+CATALOGUES = {"wide": _WIDE, "narrow": {k: v for k, v in _WIDE.items() if k not in ("code", "data", "ebook")}}
+
 # Python's whitespace class in RE2 (RE2's \s lacks \v).
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
@@ -67,12 +88,12 @@ def rstrip_slash(s: str) -> str:
     return f"regexp_replace({s}, '/+$', '')"
 
 
-_names = itertools.count()
+_counter = itertools.count()
 
 
 def let(value: str, fn) -> str:
     """Bind ``value`` once as a lambda variable (SQL text would otherwise repeat it)."""
-    v = f"v{next(_names)}"
+    v = f"v{next(_counter)}"
     return f"(list_transform([{value}], lambda {v}: {fn(v)})[1])"
 
 
@@ -160,30 +181,48 @@ def md5(u: str) -> str:
 
 
 # ---------------------------------------------------------------- HTML
+# Stated apart from the engine's patterns (RE2 has no possessive quantifiers or look-around).
+ATTRS = r"""(?:[^<>=]|=\s*(?:"[^"]*"|'[^']*')?)*"""
+ANY_TAG = rf"<[!/?A-Za-z]{ATTRS}>"
+# What numeric references to 128-159 stand for.
+C1 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+BLOCK_LEVEL = ["p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "div", "nav", "article", "section", "footer", "header",
+               "main", "aside", "form", "blockquote", "body", "html", "table", "td", "th"]
+
+
 def strip_elements(h: str, tags: tuple[str, ...] = ("script", "style")) -> str:
-    alts = "|".join(rf"<{t}\b[^>]*>" if t in ("meta", "link") else rf"<{t}\b.*?</{t}\s*>" for t in tags)
-    return f"regexp_replace({h}, {lit('(?is)<!--.*?-->|' + alts)}, '', 'g')"
-
-
-def _decode_numeric(c: str) -> str:
-    piece = (
-        "CASE WHEN j = 1 THEN y "
-        "WHEN regexp_matches(y, '^[0-9]{1,7};') AND CAST(regexp_extract(y, '^([0-9]{1,7});', 1) AS BIGINT) BETWEEN 1 AND 1114111 "
-        "THEN chr(CAST(regexp_extract(y, '^([0-9]{1,7});', 1) AS INTEGER)) || regexp_replace(y, '^[0-9]{1,7};', '') "
-        "WHEN regexp_matches(y, '^[xX][0-9a-fA-F]{1,6};') AND CAST('0x' || regexp_extract(y, '^[xX]([0-9a-fA-F]{1,6});', 1) AS BIGINT) BETWEEN 1 AND 1114111 "
-        "THEN chr(CAST(CAST('0x' || regexp_extract(y, '^[xX]([0-9a-fA-F]{1,6});', 1) AS BIGINT) AS INTEGER)) || regexp_replace(y, '^[xX][0-9a-fA-F]{1,6};', '') "
-        "ELSE '&#' || y END"
-    )
-    return f"(CASE WHEN contains({c}, '&#') THEN array_to_string(list_transform(string_split({c}, '&#'), lambda y, j: {piece}), '') ELSE {c} END)"
+    alts = [r"<!--.*?(?:-->|\z)"]
+    for t in tags:
+        alts.append(rf"<{t}(?:[\s/]{ATTRS})?>" if t in ("meta", "link") else rf"<{t}[\s/>].*?(?:</{t}[\s/]*>|\z)")
+    return f"regexp_replace({h}, {lit('(?is)' + '|'.join(alts))}, '', 'g')"
+
+
+@functools.cache
+def _names() -> tuple[str, str]:
+    """All names with ';' and those without, as DuckDB maps."""
+
+    def as_map(pairs: dict[str, str]) -> str:
+        return "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in pairs.items()) + "}"
+
+    return as_map(html.entities.html5), as_map({k: v for k, v in html.entities.html5.items() if ";" not in k})
 
 
 def unescape(c: str) -> str:
-    out = _decode_numeric(c)
-    named = out
-    for ent, ch in NAMED_ENTITIES:
-        named = f"replace({named}, {lit(ent)}, {lit(ch)})"
-    named = f"replace({named}, '&amp;', '&')"
-    return f"(CASE WHEN contains({out}, '&') THEN {named} ELSE {out} END)"
+    """``html.unescape``: pieces behind each '&', numbers and names in one pass."""
+    names, old = _names()
+    dec, hx = r"regexp_extract(y, '^#([0-9]+)', 1)", r"regexp_extract(y, '^#[xX]([0-9a-fA-F]+)', 1)"
+    number = (f"CASE WHEN {dec} <> '' THEN CASE WHEN length(ltrim({dec}, '0')) > 7 THEN 1114112 ELSE CAST({dec} AS BIGINT) END "
+              f"ELSE CASE WHEN length(ltrim({hx}, '0')) > 7 THEN 1114112 ELSE CAST('0x' || {hx} AS BIGINT) END END")
+    char = (f"CASE WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN n BETWEEN 128 AND 159 THEN {lit(C1)}[n - 127] "
+            "WHEN n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR n & 65534 = 65534 THEN '' "
+            "ELSE chr(CAST(n AS INTEGER)) END")
+    digits = "regexp_replace(y, '^#([0-9]+|[xX][0-9a-fA-F]+);?', '')"
+    word = r"regexp_extract(y, '^[^\t\n\f <&#;]{1,32};?')"
+    prefixes = " ".join(f"WHEN length(w) > {k} AND {old}[w[1:{k}]] IS NOT NULL THEN {old}[w[1:{k}]] || substr(y, {k + 1})" for k in (6, 5, 4, 3, 2))
+    named = f"CASE WHEN w = '' THEN '&' || y WHEN {names}[w] IS NOT NULL THEN {names}[w] || substr(y, length(w) + 1) {prefixes} ELSE '&' || y END"
+    piece = (f"CASE WHEN j = 1 THEN y WHEN regexp_matches(y, '^#([0-9]|[xX][0-9a-fA-F])') THEN list_transform([{number}], lambda n: {char})[1] || {digits} "
+             f"ELSE list_transform([{word}], lambda w: {named})[1] END")
+    return f"(CASE WHEN contains({c}, '&') THEN array_to_string(list_transform(string_split({c}, '&'), lambda y, j: {piece}), '') ELSE {c} END)"
 
 
 def strip_ws(c: str) -> str:
@@ -195,7 +234,7 @@ def clean(c: str) -> str:
 
 
 def text_nodes(body: str) -> str:
-    pieces = f"string_split(regexp_replace({body}, '(?s)<[!/?A-Za-z][^<>]*>', chr(1), 'g'), chr(1))"
+    pieces = f"regexp_split_to_array({body}, {lit(ANY_TAG)})"
     return f"list_filter(list_transform({pieces}, lambda x: {strip_ws(unescape('x'))}), lambda x: x <> '')"
 
 
@@ -203,35 +242,64 @@ def page_text(h: str, sep: str = " ", tags: tuple[str, ...] = ("script", "style"
     return f"array_to_string({text_nodes(strip_elements(h, tags))}, {lit(sep)})"
 
 
+TITLE_TAG = rf"(?is)<title(?:[\s/]{ATTRS})?>(.*?)</title"
+
+
 def title(h: str) -> str:
-    raw = f"regexp_extract({h}, '(?is)<title[^>]*>(.*?)</title', 1)"
-    return f"(CASE WHEN regexp_matches({h}, '(?is)<title[^>]*>.*?</title') AND {raw} <> '' THEN {unescape(raw)} END)"
+    return let(f"regexp_extract({strip_elements(h)}, {lit(TITLE_TAG)}, 1)", lambda r: f"CASE WHEN {r} <> '' THEN {unescape(r)} END")
 
 
 def block_text(h: str) -> str:
-    body = strip_elements(h)
-    opened = f"regexp_replace({body}, '(?i)<(?:p|h[1-6]|li)(?:\\s[^<>]*)?>', chr(1) || 'B', 'g')"
-    boundary = r"(?i)</?(?:" + "|".join(BOUNDARY_TAGS) + r")(?:\s[^<>]*)?/?>"
-    marked = f"regexp_replace({opened}, {lit(boundary)}, chr(1) || 'E', 'g')"
-    pieces = f"list_filter(string_split({marked}, chr(1)), lambda x: starts_with(x, 'B'))"
-    inner = "regexp_replace(substr(x, 2), '(?s)<[!/?A-Za-z][^<>]*>', ' ', 'g')"
-    texts = f"list_transform({pieces}, lambda x: {clean(unescape(inner))})"
-    return clean(f"array_to_string({texts}, ' ')")
+    """Without a stack: for each block's opening tag the tag that ends it, from list levels. A paragraph ends at
+    any block-level tag, a heading at any heading tag, an item at an item tag of its list or its list's end."""
+    names = "|".join(BLOCK_LEVEL)
+    pattern = lit(rf"(?i)</?(?:{names})(?:[\s/]{ATTRS})?>")
+
+    def with_tags(b: str) -> str:
+        tag = "{'t': lower(regexp_extract(x, '^</?([A-Za-z0-9]+)', 1)), 'o': NOT starts_with(x, '</')}"
+        piece = clean(unescape(f"regexp_replace(x, {lit(ANY_TAG)}, ' ', 'g')"))
+        parts = (f"{{'t': list_transform(regexp_extract_all({b}, {pattern}), lambda x: {tag}), "
+                 f"'q': list_transform(regexp_split_to_array({b}, {pattern}), lambda x: {piece})}}")
+
+        def with_levels(p: str) -> str:
+            step = f"list_transform({p}.t, lambda x: CASE WHEN x.t IN ('ul', 'ol') THEN CASE WHEN x.o THEN 1 ELSE -1 END ELSE 0 END)"
+            levels = let(step, lambda v: f"list_transform(range(1, len({v}) + 1), lambda k: list_sum({v}[1:k]))")
+
+            def blocks(lev: str) -> str:
+                t = f"{p}.t"
+                ends = (f"(CASE {t}[i].t WHEN 'p' THEN true WHEN 'li' THEN ({t}[j].t = 'li' AND {lev}[j] = {lev}[i]) OR {lev}[j] < {lev}[i] "
+                        f"ELSE starts_with({t}[j].t, 'h') AND length({t}[j].t) = 2 END)")
+                end = f"coalesce(list_filter(range(i + 1, len({t}) + 1), lambda j: {ends})[1], len({t}) + 1)"
+                starts = f"list_filter(range(1, len({t}) + 1), lambda i: {t}[i].o AND {t}[i].t IN ('p', 'li', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6'))"
+                texts = f"list_transform({starts}, lambda i: array_to_string(list_filter({p}.q[i + 1:{end}], lambda x: x <> ''), ' '))"
+                return f"array_to_string(list_filter({texts}, lambda x: x <> ''), ' ')"
+
+            return let(levels, blocks)
+
+        return let(parts, with_levels)
+
+    return let(strip_elements(h), with_tags)
 
 
 def visible_text(h: str) -> str:
     body = strip_elements(h, ("script", "style", "noscript"))
-    body = f"regexp_replace({body}, '(?is)<title\\b.*?</title\\s*>|<!doctype[^>]*>|<head\\b[^>]*>[^<]*', ' ', 'g')"
-    return clean(unescape(f"regexp_replace({body}, '(?s)<[!/?A-Za-z][^<>]*>', ' ', 'g')"))
+    head = rf"(?is)<title(?:[\s/]{ATTRS})?>.*?</title\s*>|<!doctype[^>]*>|<head(?:[\s/]{ATTRS})?>[^<]*"
+    body = f"regexp_replace({body}, {lit(head)}, ' ', 'g')"
+    return clean(unescape(f"regexp_replace({body}, {lit(ANY_TAG)}, ' ', 'g')"))
 
 
-HREF = r"""(?is)<a\s(?:[^<>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
+ANCHOR = rf"(?i)<a[\s/]{ATTRS}>"
+ATTRIBUTE = r"""\s([^\s<>=/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>][^\s<>]*)"""
 
 
 def hrefs(h: str) -> str:
-    raw = f"regexp_extract_all({h}, {lit(HREF)}, 1)"
-    unq = "regexp_replace(v, '^\"(.*)\"$|^''(.*)''$', '\\1\\2')"
-    return f"list_transform({raw}, lambda v: {unescape(unq)})"
+    """First ``href`` among the attributes of every whole anchor tag."""
+    tags = f"regexp_extract_all({strip_elements(h)}, {lit(ANCHOR)})"
+    attr = lit(ATTRIBUTE)
+    value = f"regexp_extract_all(g, {attr}, 2)[list_position(list_transform(regexp_extract_all(g, {attr}, 1), lambda k: lower(k)), 'href')]"
+    raw = f"list_filter(list_transform({tags}, lambda g: {value}), lambda v: v IS NOT NULL)"
+    unquoted = "CASE WHEN v[1] = chr(34) OR v[1] = chr(39) THEN v[2:-2] ELSE v END"
+    return f"list_transform({raw}, lambda v: {unescape(unquoted)})"
 
 
 # ---------------------------------------------------------------- derived views (CTE bodies)
