@@ -3,23 +3,29 @@
 The fetched pages are a snapshot table; the crawl is breadth-first reachability over the
 link graph from per-site seeds, run level by level: one small set of Spark jobs per
 level (frontier join pages, join edges, anti-join seen, first-discoverer aggregate).
-Sites are a column, so every site crawls in the same job.
+Sites are a column, so every site crawls in the same job. The loop ends on an empty frontier.
 
 Scale notes
-* ``edges`` and the page-key table are hash-partitioned on their join keys and
-  checkpointed once, so each level shuffles only the (small) frontier against them.
+* Page keys, edges, the seen set and the consumed body hashes are bucketed tables in the shared
+  checkpoint folder: a level's joins shuffle the frontier and its candidate links alone, and a
+  level appends its rows to the seen set instead of rewriting it.
+* Nothing is grouped by site: order inside a level is a sorted position, a site's count is a small running
+  table joined with salts, and a body that many pages share is first reduced to one row.
 * Lineage is cut every level with a reliable ``checkpoint`` into the shared
   ``spark.checkpoint.dir`` (survives executor loss; never a local checkpoint).
-* Ranks inside a level come from a skew-proof ranking (a hot site is split).
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageflow.functions import urls as U
 from pageflow.operators.ranking import rank_in_groups, running_sum_in_groups
+from pageflow.operators.skew import salted_join
 from pageflow.session import checkpoint_dir
 
 PAGE_EXTS = (".html", ".htm")
@@ -43,22 +49,42 @@ def page_keys(pages: DataFrame) -> DataFrame:
     return first_wins(keyed, F.struct("host", "url"), "page_id").drop("page_id")
 
 
-def _persist(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Reliable checkpoint into the shared ``spark.checkpoint.dir``; with ``keys`` the data is
-    hash-partitioned on them first, and the checkpoint keeps that partitioning so later
-    joins on the same keys shuffle only the other side."""
+def _checkpointed(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
-    if keys:
-        # no fixed count: AQE sizes the partitions; they stay hash-clustered on ``keys``
-        df = df.repartition(*keys)
     return df.checkpoint(eager=True)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+class _Bucketed:
+    """A table in the shared folder whose rows lie in hash buckets of ``keys``: joins on them shuffle the
+    other side only. ``add`` appends; the files of a bucket are read together."""
+
+    def __init__(self, df: DataFrame, keys: list[str]):
+        self.spark, self.keys = df.sparkSession, keys
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"pageflow_crawl_{uuid.uuid4().hex}"
+        self.path = f"{checkpoint_dir(self.spark).rstrip('/')}/{self.name}"
+        self._write(df, "errorifexists")
+
+    def _write(self, df: DataFrame, mode: str) -> None:
+        dealt = df.repartition(self.buckets, *self.keys)
+        dealt.write.mode(mode).bucketBy(self.buckets, *self.keys).option("path", self.path).saveAsTable(self.name)
+
+    def add(self, df: DataFrame) -> None:
+        self._write(df, "append")
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def forget(self) -> None:
+        """Drops the name; the files stay with the other checkpoints."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def _ordered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` sorted over range partitions, with ``ord`` rising along ``order``; a hot site is split. Written
+    once, so that every reader sees the same positions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _checkpointed(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id()))
 
 
 def crawl_reach(
@@ -82,99 +108,84 @@ def crawl_reach(
     Returns ``(host, url, depth, rank, status)``: every discovered URL with its depth,
     its discovery rank inside the site (K4) and one of processed / failed / file /
     duplicate / skipped.
-
-    Per level one checkpoint holds the level's new URLs (ranked) and the body hashes it
-    consumed; the seen set and the hash set are unions of those checkpoints, so every
-    level's plan reads checkpoints only (flat lineage) and costs about two jobs.
     """
-    keys = _persist(page_keys(pages), ["host", "url"])
-    e = _persist(edges.select("host", "src", "dst", "pos"), ["host", "src"])
-    start = seeds.select("host", "url").distinct()
-    level0 = rank_in_groups(start, ["host"], ["url"], "lrank")
-    level0 = _persist(level0.select(F.lit("u").alias("kind"), "host", "url", F.lit(0).alias("depth"), "lrank",
-                                    F.col("lrank").alias("rank"), F.lit(None).cast("string").alias("h")))
-    frontier = level0.filter("kind = 'u'")
-    seen_parts = [frontier.select("host", "url", "depth", "rank")]
-    hash_parts: list[DataFrame] = []
-    n_front = frontier.count()
-    parts: list[DataFrame] = []
-    cached: list[DataFrame] = []
+    keys = _Bucketed(page_keys(pages), ["host", "url"])
+    links = _Bucketed(edges.select("host", "src", "dst", "pos"), ["host", "src"])
+    frontier = _ordered(seeds.select("host", "url").distinct(), "host", "url")
+    seen = _Bucketed(frontier.select("host", "url"), ["host", "url"])
+    counts = _checkpointed(frontier.groupBy("host").agg(F.count("*").alias("n_seen"))) if max_pages else None
+    hashes: _Bucketed | None = None
+    levels: list[DataFrame] = []
     depth = 0
-    while True:
-        seen = _union(seen_parts)
-        f = frontier.select("host", "url", "depth", "lrank", "rank").join(keys, ["host", "url"], "left")
+    while frontier.head(1):
+        f = level_frontier(frontier, keys.rows())
         alive = F.col("h").isNotNull() & expandable_route("url", html_as_page)
-        if max_depth:
-            alive = alive & (F.col("depth") <= max_depth)
+        if max_depth and depth > max_depth:
+            alive = F.lit(False)
         f = f.withColumn("alive", alive)
         if dedup:
-            if hash_parts:
-                old = _union(hash_parts).select("host", "h").withColumn("old", F.lit(True))
-                f = f.join(old, ["host", "h"], "left")
-            else:
-                f = f.withColumn("old", F.lit(None).cast("boolean"))
-            firsts = f.filter("alive AND old IS NULL").groupBy("host", "h").agg(F.min("lrank").alias("first_rank"))
-            f = f.join(firsts, ["host", "h"], "left")
-            dup = F.col("alive") & (F.col("old").isNotNull() | (F.col("lrank") != F.col("first_rank")))
-            f = f.withColumn("dup", dup).withColumn("alive", F.col("alive") & ~F.col("dup"))
+            # the first page of each new body in the level; one row per body meets the consumed ones
+            first = f.filter("alive").groupBy("host", "h").agg(F.min("ord").alias("ord"))
+            if hashes:
+                first = first.join(hashes.rows(), ["host", "h"], "left_anti")
+            f = f.join(first.select("host", "ord", F.lit(True).alias("first")), ["host", "ord"], "left")
+            f = f.withColumn("dup", F.col("alive") & F.col("first").isNull()).drop("first")
         else:
             f = f.withColumn("dup", F.lit(False))
-        f = f.select("host", "url", "depth", "rank", "lrank", "h", "alive", "dup").persist()
-        cached.append(f)
-        # candidate links of expanding pages, minus everything discovered; first discoverer wins
-        parents = f.filter("alive").select("host", F.col("url").alias("src"), F.col("lrank").alias("parent_rank"))
-        cand = parents.join(e, ["host", "src"]).select("host", F.col("dst").alias("url"), "parent_rank", "pos")
-        cand = cand.join(seen.select("host", "url"), ["host", "url"], "left_anti")
-        first = cand.groupBy("host", "url").agg(F.min(F.struct("parent_rank", "pos")).alias("by"))
-        first = first.select("host", "url", F.col("by.parent_rank").alias("parent_rank"), F.col("by.pos").alias("pos"))
-        counts = seen.groupBy("host").agg(F.count("*").alias("n_seen"))
-        processed = f.withColumn("processed", F.lit(True))
+        f = _checkpointed(f.withColumn("expands", F.col("alive") & ~F.col("dup")))
+        new = level_links(f, links.rows(), seen.rows())
         if max_pages:
-            # K3: pages of this level run in rank order while discovered(site) < max_pages.
-            first = first.persist()
-            cached.append(first)
-            new_per_parent = first.groupBy("host", F.col("parent_rank").alias("lrank")).agg(F.count("*").alias("n_new"))
-            lv = f.join(new_per_parent, ["host", "lrank"], "left").fillna(0, ["n_new"]).join(counts, "host")
-            lv = running_sum_in_groups(lv, ["host"], ["lrank"], "n_new", "before")
-            processed = lv.withColumn("processed", (F.col("n_seen") + F.col("before")) < max_pages).drop("n_new", "n_seen", "before")
-            processed = processed.persist()
-            cached.append(processed)
-            ok_parents = processed.filter("processed AND alive").select("host", F.col("lrank").alias("parent_rank"))
-            first = first.join(ok_parents, ["host", "parent_rank"], "left_semi")
+            # K3: pages of this level run in order while discovered(site) < max_pages
+            new = _checkpointed(new)
+            per_parent = new.groupBy("host", F.col("parent").alias("ord")).agg(F.count("*").alias("n_new"))
+            runs = f.join(per_parent, ["host", "ord"], "left").fillna(0, ["n_new"])
+            runs = salted_join(running_sum_in_groups(runs, ["host"], ["ord"], "n_new", "before"), counts, ["host"])
+            f = _checkpointed(runs.withColumn("processed", F.col("n_seen") + F.col("before") < max_pages).drop("n_new", "before", "n_seen"))
+            ran = f.filter("processed AND expands").select("host", F.col("ord").alias("parent"))
+            new = new.join(ran, ["host", "parent"], "left_semi")
+        else:
+            f = f.withColumn("processed", F.lit(True))
         status = (
             F.when(~F.col("processed"), F.lit("skipped"))
             .when(F.col("h").isNull(), F.lit("failed"))
             .when(F.col("dup"), F.lit("duplicate"))
             .when(~expandable_route("url", html_as_page), F.lit("file"))
-            .when(F.lit(max_depth > 0) & (F.col("depth") > max_depth), F.lit("skipped"))
+            .when(F.lit(bool(max_depth) and depth > max_depth), F.lit("skipped"))
             .otherwise(F.lit("processed"))
         )
-        # the level's output: a view of this level's persisted rows, written once at the end
-        parts.append(processed.select("host", "url", "depth", "rank", status.alias("status")))
-        # rank new URLs after the site's largest rank (= its discovered count), by (parent rank, pos)
-        nxt = rank_in_groups(first, ["host"], ["parent_rank", "pos", "url"], "lrank")
-        nxt = nxt.join(counts, "host").select(
-            F.lit("u").alias("kind"), "host", "url", F.lit(depth + 1).alias("depth"), "lrank",
-            (F.col("n_seen") + F.col("lrank")).alias("rank"), F.lit(None).cast("string").alias("h"))
-        state = nxt
+        levels.append(f.select("host", "url", F.lit(depth).alias("depth"), "ord", status.alias("status")))
         if dedup:
-            fresh = processed.filter("processed AND alive").select("host", "h").distinct()
-            state = state.unionByName(fresh.select(F.lit("h").alias("kind"), "host", F.lit(None).cast("string").alias("url"),
-                                                   F.lit(None).cast("int").alias("depth"), F.lit(None).cast("long").alias("lrank"),
-                                                   F.lit(None).cast("long").alias("rank"), "h"))
-        state = _persist(state)
-        hash_parts.append(state.filter("kind = 'h'").select("host", "h"))
-        frontier = state.filter("kind = 'u'")
-        n_front = frontier.count()
-        if n_front == 0:
-            break
-        seen_parts.append(frontier.select("host", "url", "depth", "rank"))
+            fresh = f.filter("processed AND expands").select("host", "h")
+            if hashes:
+                hashes.add(fresh)
+            else:
+                hashes = _Bucketed(fresh, ["host", "h"])
+        frontier = _ordered(new, "host", "parent", "pos", "url").select("host", "url", "ord")
+        seen.add(frontier.select("host", "url"))
+        if max_pages:
+            more = frontier.groupBy("host").agg(F.count("*").alias("n_seen"))
+            counts = _checkpointed(counts.unionByName(more).groupBy("host").agg(F.sum("n_seen").alias("n_seen")))
         depth += 1
-    # the result is written once to the checkpoint folder; level caches are then released
-    out = _persist(_union(parts))
-    for c in cached:
-        c.unpersist()
-    return out
+    for held in (keys, links, seen, hashes):
+        if held:
+            held.forget()
+    if not levels:
+        return frontier.select("host", "url", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank"), F.lit("").alias("status"))
+    found = reduce(DataFrame.unionByName, levels)
+    return rank_in_groups(found, ["host"], ["depth", "ord"], "rank").select("host", "url", "depth", "rank", "status")
+
+
+def level_frontier(frontier: DataFrame, keys: DataFrame) -> DataFrame:
+    """The frontier with the body hash of each URL that is in the snapshot."""
+    return frontier.select("host", "url", "ord").join(keys, ["host", "url"], "left")
+
+
+def level_links(f: DataFrame, links: DataFrame, seen: DataFrame) -> DataFrame:
+    """(host, url, parent, pos): URLs not seen before, each with its first discoverer in the level."""
+    parents = f.filter("expands").select("host", F.col("url").alias("src"), F.col("ord").alias("parent"))
+    found = parents.join(links, ["host", "src"]).select("host", F.col("dst").alias("url"), "parent", "pos")
+    first = found.groupBy("host", "url").agg(F.min(F.struct("parent", "pos")).alias("by"))
+    return first.join(seen, ["host", "url"], "left_anti").select("host", "url", "by.parent", "by.pos")
 
 
 def assign_batches(df: DataFrame, k: int, group_cols: list[str], order_cols: list[str]) -> DataFrame:

@@ -12,22 +12,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageflow.functions import urls as U
+from pageflow.operators.skew import salted_join
 
 
 def first_wins(df: DataFrame, key: Column, order_col: str) -> DataFrame:
     """Keep, per ``key``, the row with the smallest ``order_col`` (``order_col`` unique).
 
-    Only narrow ``(key, order)`` columns are shuffled: a partial ``min``/``count`` aggregate
-    finds keys that repeat, their non-first rows ("losers") are listed, and the payload is
-    filtered with an anti-join on ``order_col``. When duplicates are rare the loser list is
-    small and AQE broadcasts it by its measured size, so the payload (html, text) never
-    moves; otherwise it is shuffled once.
+    The payload is filtered with an anti-join on ``order_col`` against the "losers". When duplicates
+    are rare that list is small and AQE broadcasts it by its measured size, so the payload
+    (html, text) never moves; otherwise it is shuffled once. Rows without a key (a NULL body)
+    are duplicates of nothing.
     """
-    narrow = df.select(key.alias("_key"), F.col(order_col).alias("_ord"))
+    return df.join(losers(df, key, order_col), order_col, "left_anti")
+
+
+def losers(df: DataFrame, key: Column, order_col: str) -> DataFrame:
+    """``(order_col)`` of the rows that aren't the first of their key. Only narrow ``(key, order)``
+    columns are shuffled: a partial ``min``/``count`` aggregate finds the keys that repeat, and
+    the rows of a hot key are dealt over several tasks when they are compared with its first."""
+    narrow = df.select(key.alias("_key"), F.col(order_col).alias("_ord")).filter(F.col("_key").isNotNull())
     groups = narrow.groupBy("_key").agg(F.min("_ord").alias("_win"), F.count("*").alias("_n")).filter("_n > 1")
-    losers = narrow.join(groups, narrow["_key"].eqNullSafe(groups["_key"])).filter(F.col("_ord") != F.col("_win"))
-    losers = losers.select(F.col("_ord").alias(order_col))
-    return df.join(losers, order_col, "left_anti")
+    rows = salted_join(narrow, groups.select("_key", "_win"), ["_key"])
+    return rows.filter(F.col("_ord") != F.col("_win")).select(F.col("_ord").alias(order_col))
 
 
 def content_hash(c: str | Column) -> Column:

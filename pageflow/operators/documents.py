@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pageflow.functions.html import strip_ws
 from pageflow.functions.urls import ColumnOrName, _col
 
-# Extraction methods in trial order.
+# Extraction methods in trial order (a plain value that tests and fixtures share).
 METHODS = ["pymupdf", "pypdf2", "ocr"]
 
 
@@ -21,13 +21,12 @@ def best_candidate(cands: DataFrame) -> DataFrame:
     """Per doc the method whose *stripped* text is longest; ties go to the earlier
     method; all blank -> ('', ''). The returned text is the unstripped one.
 
-    One aggregate on doc_id with a partial ``max_by`` keyed by a single long score
-    (length, then earlier method): each input partition keeps only its best candidate
-    per doc before the shuffle, so at most one text per doc and partition moves.
+    One aggregate on doc_id with a partial ``max_by`` keyed by (length, earlier method): each input
+    partition keeps only its best candidate per doc before the shuffle, so at most one text
+    per doc and partition moves (a join that fetches the winner's text would move them all).
     """
     n = F.length(strip_ws("text")).cast("long")
-    # score orders by length, then earlier method; method ranks are small (< 1000)
-    score = F.when(n > 0, n * 1000 + (999 - F.col("method_rank")))
+    score = F.when(n > 0, F.struct(n.alias("n"), (-F.col("method_rank").cast("long")).alias("earlier")))
     best = cands.select("doc_id", "text", "method", score.alias("score")).groupBy("doc_id").agg(
         F.max_by(F.struct("text", "method"), "score").alias("b"), F.max("score").alias("top")
     )
@@ -57,6 +56,7 @@ def render_table(cells: ColumnOrName) -> Column:
     Empty tables render as NULL (skipped)."""
     c = _col(cells)
     body = F.array_join(F.transform(c, lambda r: F.array_join(F.transform(r, lambda x: F.coalesce(x, F.lit(""))), "\t")), "\n")
+    # Fixed value: the table marker.
     return F.when(F.size(c) > 0, F.concat(F.lit("\n**Tableau:**\n"), body, F.lit("\n")))
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageflow.functions import html as H
 from pageflow.functions import urls as U
 from pageflow.functions.urls import ColumnOrName, _col
+from pageflow.operators.dedup import content_hash, losers
 from pageflow.operators.ranking import rank_in_groups
 
 
@@ -40,23 +42,36 @@ def sitemap_guard(ctype: ColumnOrName) -> Column:
     return F.lower(F.coalesce(_col(ctype), F.lit(""))).contains("xml")
 
 
-def crawl_outcome(fetches: DataFrame, text_col: str = "text") -> DataFrame:
-    """One outcome class per fetched URL from the route, the extracted text, the
-    page-vs-file router and content duplicates (``is_duplicate`` column).
+def crawl_outcome(fetches: DataFrame, mode: str = "strict", html_as_page: bool = True, keep: tuple[str, ...] = ("page_id", "host", "url", "fetch_ts")) -> DataFrame:
+    """``keep`` columns and the outcome class of each fetched URL.
 
-    Classes: pdf_ok, pdf_empty, html_ok, html_empty, not_found, unsupported, error,
-    duplicate, downloaded.
+    A failed request comes first, whatever was asked for; then the page-vs-file router (``.html``
+    URLs are pages unless ``html_as_page`` is off); then the route of the response. Only
+    HTML that is accepted (status, type, a page) counts for content duplicates, so an error page
+    never makes a later page a duplicate; the first by ``page_id`` wins.
+
+    Classes: not_found, error, downloaded, unsupported (strict) or skipped_non_html (html_only),
+    parse_error (no body), duplicate, pdf_ok, pdf_empty, html_ok, html_empty.
+
+    Route, blank flag and body hash are computed in the scan's projection; bodies are never shuffled.
     """
-    route = content_route("status_code", "content_type", "url")
-    blank = F.coalesce(F.length(F.trim(F.col(text_col))), F.lit(0)) == 0
+    route = content_route("status_code", "content_type", "url", mode)
+    file = U.route_url("url") == "file"
+    if html_as_page:
+        file = file & ~U.url_suffix("url").isin(".html", ".htm")
+    narrow = fetches.select(*keep, route.alias("_route"), file.alias("_file"), F.col("html").isNull().alias("_none"), content_hash("html").alias("_hash"),
+                            (F.coalesce(F.length(H.block_text("html")), F.lit(0)) == 0).alias("_blank"))
+    accepted = (F.col("_route") == "html") & ~F.col("_file") & ~F.col("_none")
+    again = losers(narrow, F.when(accepted, F.col("_hash")), "page_id").withColumn("_again", F.lit(True))
     outcome = (
-        F.when(U.route_url("url") == "file", F.lit("downloaded"))
-        .when(route.isin("not_found", "error", "unsupported"), route)
-        .when(F.col("is_duplicate"), F.lit("duplicate"))
-        .when(route == "pdf", F.when(blank, F.lit("pdf_empty")).otherwise(F.lit("pdf_ok")))
-        .otherwise(F.when(blank, F.lit("html_empty")).otherwise(F.lit("html_ok")))
+        F.when(F.col("_route").isin("not_found", "error"), F.col("_route"))
+        .when(F.col("_file"), F.lit("downloaded"))
+        .when(F.col("_route").isin("unsupported", "skipped_non_html"), F.col("_route"))
+        .when(F.col("_none"), F.lit("parse_error"))
+        .when(F.col("_again"), F.lit("duplicate"))
+        .otherwise(F.concat(F.col("_route"), F.when(F.col("_blank"), F.lit("_empty")).otherwise(F.lit("_ok"))))
     )
-    return fetches.withColumn("outcome", outcome)
+    return narrow.join(again, "page_id", "left").select(*keep, outcome.alias("outcome"))
 
 
 def assign_filenames(files: DataFrame, order_col: str, category_col: str = "category", scope: tuple[str, ...] = ("host",)) -> DataFrame:

@@ -7,10 +7,11 @@ combine); nothing is ranked globally.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageflow.functions.urls import CATALOGUES
+from pageflow.operators.skew import salted_join
 
 
 def _numbered(attempts: DataFrame) -> DataFrame:
@@ -24,13 +25,12 @@ def retry_outcome(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
     """Per url the first successful attempt within ``max_retries``, else failed.
 
     Output ``url, ok, attempts_used`` (attempts until success, or ``max_retries``/all tries).
-    Uses one aggregate: the success position is the count of tries up to the first ok,
-    computed from ``min(struct(ts, seq))`` of ok rows - no per-url sort of all tries.
+    The success position is the count of tries up to the first ok, computed from
+    ``min(struct(ts, seq))`` of ok rows - no per-url sort of all tries, and the tries of a hot url
+    are dealt over several tasks.
     """
-    first_ok = (
-        attempts.filter("ok").groupBy("url").agg(F.min(F.struct("ts", "seq")).alias("f"))
-    )
-    tries = attempts.join(first_ok, "url", "left")
+    first_ok = attempts.filter("ok").groupBy("url").agg(F.min(F.struct("ts", "seq")).alias("f"))
+    tries = salted_join(attempts.select("url", "ts", "seq"), first_ok, ["url"], "left")
     before = F.when(F.col("f").isNull() | (F.struct("ts", "seq") <= F.col("f")), 1).otherwise(0)
     per_url = tries.groupBy("url").agg(F.sum(before).alias("upto"), F.max(F.col("f").isNotNull()).alias("has_ok"), F.count("*").alias("n"))
     ok = F.col("has_ok") & (F.col("upto") <= max_retries)
@@ -42,11 +42,14 @@ def retry_outcome(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
 
 
 def backoff(attempts: DataFrame, delay: float) -> DataFrame:
-    """After failed attempt n (1-based) wait ``delay * n`` (also after the last one);
-    ``wait_s`` per try."""
-    n = _numbered(attempts)
-    wait = F.when(~F.col("ok"), F.lit(delay) * F.col("attempt")).otherwise(F.lit(0.0))
-    return n.withColumn("wait_s", wait)
+    """After failed attempt n (1-based) wait ``delay * n`` (also after the last one):
+    ``wait_s`` per try and ``total_wait_s``, what the url has waited up to and with it."""
+    from pageflow.operators.ranking import running_sum_in_groups
+
+    n = _numbered(attempts).withColumn("_units", F.when(~F.col("ok"), F.col("attempt")).otherwise(F.lit(0)))
+    n = running_sum_in_groups(n, ["url"], ["ts", "seq"], "_units", "_before")
+    total = F.lit(delay) * (F.col("_before") + F.col("_units"))
+    return n.withColumn("wait_s", F.lit(delay) * F.col("_units")).withColumn("total_wait_s", total).drop("_units", "_before")
 
 
 def failed_urls(outcome: DataFrame) -> DataFrame:
@@ -55,20 +58,34 @@ def failed_urls(outcome: DataFrame) -> DataFrame:
     return outcome.filter(~F.col("ok")).select("url", F.lit(1).cast("long").alias("errors"))
 
 
-def error_count(outcome: DataFrame) -> DataFrame:
-    """T3 counter: number of exhausted urls."""
-    return outcome.agg(F.count_if(~F.col("ok")).cast("long").alias("errors"))
+# What an outcome class adds to, by source of the error.
+ERROR_SOURCES = ("retries", "download", "parse")
+
+
+def error_counts(retries: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """T3 counter by source: urls whose retries ran out, requests of pages and files that failed, and
+    bodies that could not be parsed. One row per source, also where nothing failed."""
+    outs = outcomes.agg(F.count_if(F.col("outcome").isin("error", "not_found")).alias("download"), F.count_if(F.col("outcome") == "parse_error").alias("parse"))
+    both = retries.agg(F.count_if(~F.col("ok")).alias("retries")).select(F.array(F.struct(F.lit(ERROR_SOURCES[0]).alias("source"), F.col("retries").alias("errors"))).alias("r"))
+    rest = outs.select(F.array(*[F.struct(F.lit(k).alias("source"), F.col(k).alias("errors")) for k in ERROR_SOURCES[1:]]).alias("r"))
+    return both.unionAll(rest).select(F.inline("r"))
+
+
+def failed_fetches(outcomes: DataFrame) -> DataFrame:
+    """T4: the failed list of a crawl as a table: each URL whose request or parse failed, with the class."""
+    return outcomes.filter(F.col("outcome").isin("error", "not_found", "parse_error")).select("host", "url", "outcome")
 
 
 def crawl_stats(fetches: DataFrame) -> DataFrame:
-    """T4: per site: pages processed, files downloaded, errors, first/last fetch and
-    duration (T9) and discovered URLs. The failed list stays a table (``failed_urls``).
-    Input has ``host, url, outcome, fetch_ts``."""
+    """T4: per site: pages processed (no duplicates, no failures), files downloaded, duplicates, errors,
+    first/last fetch and duration (T9), and ``pages_crawled``, the discovered URLs. The failed
+    list stays a table (``failed_fetches``). Input has ``host, url, outcome, fetch_ts``."""
     ok_page = F.col("outcome").isin("html_ok", "html_empty", "pdf_ok", "pdf_empty")
-    err = F.col("outcome").isin("error", "not_found")
+    err = F.col("outcome").isin("error", "not_found", "parse_error")
     return fetches.groupBy("host").agg(
         F.count_if(ok_page).alias("pages_processed"),
         F.count_if(F.col("outcome") == "downloaded").alias("files_downloaded"),
+        F.count_if(F.col("outcome") == "duplicate").alias("duplicates"),
         F.count_if(err).alias("errors"),
         F.min("fetch_ts").alias("start_time"),
         F.max("fetch_ts").alias("end_time"),
@@ -100,11 +117,13 @@ def endpoint_stats(attempts: DataFrame) -> DataFrame:
 
 
 def rank_endpoints(stats: DataFrame) -> DataFrame:
-    """Working endpoints (at least one success) fastest first, missing speed last.
-    The stats table has one row per endpoint (small), so a global rank is fine."""
+    """Working endpoints (at least one success) fastest first, missing speed last; the numbering
+    is split over range partitions like any other."""
+    from pageflow.operators.ranking import rank_in_groups
+
     working = stats.filter(F.col("successful_requests") > 0)
-    w = Window.orderBy(F.asc_nulls_last("speed"), "endpoint")
-    return working.withColumn("speed_rank", F.row_number().over(w))
+    keyed = working.withColumn("_all", F.lit(0)).withColumn("_missing", F.col("speed").isNull())
+    return rank_in_groups(keyed, ["_all"], ["_missing", "speed", "endpoint"], "speed_rank").drop("_all", "_missing")
 
 
 def assign_round_robin(df: DataFrame, n: int, group_cols: list[str], order_cols: list[str]) -> DataFrame:

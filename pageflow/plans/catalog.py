@@ -141,7 +141,12 @@ def q_exclude_substrings(spark, sf):
     return r.filter(U.exclude_substrings("url", ["/login", ".css"]))
 
 
-def _domain_links_sql() -> str:
+# Links that the families treat differently, in front of real pages.
+_ODD_LINKS = ('<a href="//other.com/x">a</a><a href="tel:123">b</a><a href="javascript:void(0)">c</a><a href="mailto:a@b">d</a>'
+              '<a href="#t">e</a><a href="sub/p;v=1?q=1#f">f</a><a href="?only=query">g</a>')
+
+
+def _domain_links_sql(raw: bool) -> str:
     # family-A classification over each page's hrefs, distinct per page
     host = O.netloc("url")
     base = O.site_base("url")
@@ -154,24 +159,34 @@ def _domain_links_sql() -> str:
         frag = O.fragment(r)
         inherit = f"({rp} = '' AND NOT {has_q} AND {O.netloc(r)} = '')"
         bq = O.query(b)
-        return (f"({O.resolve(b, r)} || CASE WHEN {params} <> '' THEN ';' || {params} ELSE '' END || "
+        return (f"(CASE WHEN {O.scheme(r)} <> '' AND {O.scheme(r)} <> {O.scheme(b)} THEN {r} ELSE {O.resolve(b, r)} || CASE WHEN {params} <> '' THEN ';' || {params} ELSE '' END || "
                 f"CASE WHEN {has_q} AND {q} <> '' THEN '?' || {q} WHEN {inherit} AND {bq} <> '' THEN '?' || {bq} ELSE '' END || "
-                f"CASE WHEN contains({r}, '#') AND {frag} <> '' THEN '#' || {frag} ELSE '' END)")
+                f"CASE WHEN contains({r}, '#') AND {frag} <> '' THEN '#' || {frag} ELSE '' END END)")
 
     cls = (f"CASE WHEN regexp_matches(h, '^http[s]*://.+') THEN CASE WHEN {O.netloc('h')} = host THEN h END "
            f"WHEN starts_with(h, '/') THEN {join_keep('base', 'h')} "
            "WHEN starts_with(h, '#') OR starts_with(h, 'mailto:') THEN NULL "
            f"ELSE {join_keep('url', 'h')} END")
+    here = "" if raw else f" AND {O.netloc('link')} = host"
     return (
-        f"SELECT DISTINCT page_id, link FROM (SELECT page_id, regexp_replace({cls}, '/+$', '') AS link FROM "
-        f"(SELECT page_id, url, {host} AS host, {base} AS base, unnest({O.hrefs('html')}) AS h FROM pages)) "
-        "WHERE link IS NOT NULL"
+        f"SELECT DISTINCT page_id, link FROM (SELECT page_id, host, regexp_replace({cls}, '/+$', '') AS link FROM "
+        f"(SELECT page_id, url, {host} AS host, {base} AS base, unnest({O.hrefs('html')}) AS h FROM "
+        f"(SELECT page_id, url, {O.lit(_ODD_LINKS)} || html AS html FROM pages))) WHERE link IS NOT NULL{here}"
     )
 
 
-@register("domain_links", _domain_links_sql())
+def _odd_pages(spark, sf):
+    return t(spark, sf, "pages").select("page_id", "url", F.concat(F.lit(_ODD_LINKS), "html").alias("html"))
+
+
+@register("domain_links", _domain_links_sql(False))
 def q_domain_links(spark, sf):
-    return L.domain_links(t(spark, sf, "pages"))
+    return L.domain_links(_odd_pages(spark, sf))
+
+
+@register("domain_links_raw", _domain_links_sql(True))
+def q_domain_links_raw(spark, sf):
+    return L.domain_links(_odd_pages(spark, sf), raw=True)
 
 
 _FILES = O.cte(sites=O.SITES, files=O.FILES)
@@ -427,6 +442,16 @@ def q_extraction_report(spark, sf):
     return P.extraction_report(P.best_candidate(X.candidates(t(spark, sf, "documents"))))
 
 
+@register("extraction_records", O.cte(candidates=O.CANDIDATES, best=_BEST_SQL_CTE) + (
+    "SELECT doc_id, url, method AS extraction_method, md5(url) || '_pdf.txt' AS text_file, CAST(length(text) AS BIGINT) AS text_length FROM ("
+    f"SELECT b.*, 'https://' || d.source || '.example/' || CAST(d.doc_id AS VARCHAR) || '.pdf' AS url FROM best b JOIN documents d USING (doc_id)) WHERE length({O.strip_ws('text')}) > 0"))
+def q_extraction_records(spark, sf):
+    """P5: the record of each document that gave text."""
+    docs = t(spark, sf, "documents")
+    urls = docs.select("doc_id", F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("url"))
+    return P.extraction_records(P.best_candidate(X.candidates(docs)), urls)
+
+
 # ============================================================ R: routing
 _FETCH = O.cte(fetches=O.FETCHES)
 
@@ -445,24 +470,22 @@ def q_content_routes(spark, sf):
                     R.content_route("status_code", "content_type", "url", "html_only").alias("route_html_only"))
 
 
-_OUTCOME_SQL = _FETCH + (
-    "SELECT outcome, count(*) AS n FROM (SELECT CASE "
-    f"WHEN {O.category('url')} IS NOT NULL THEN 'downloaded' "
-    "WHEN status_code = 404 THEN 'not_found' WHEN status_code >= 400 THEN 'error' "
-    "WHEN NOT (contains(lower(content_type), 'application/pdf') OR ends_with(lower(url), '.pdf') OR contains(lower(content_type), 'text/html')) THEN 'unsupported' "
-    "WHEN page_id <> first_id THEN 'duplicate' "
-    "WHEN contains(lower(content_type), 'application/pdf') OR ends_with(lower(url), '.pdf') THEN CASE WHEN length(trim(text)) = 0 THEN 'pdf_empty' ELSE 'pdf_ok' END "
-    "ELSE CASE WHEN length(trim(text)) = 0 THEN 'html_empty' ELSE 'html_ok' END END AS outcome FROM ("
-    f"SELECT *, min(page_id) OVER (PARTITION BY md5(html)) AS first_id, {O.block_text('html')} AS text FROM fetches)) GROUP BY outcome"
-)
+_RESP = O.cte(fetches=O.FETCHES, responses=O.RESPONSES)
+
 
+def _outcomes(spark, sf, mode="strict"):
+    return R.crawl_outcome(X.responses(t(spark, sf, "pages")), mode)
 
-@register("crawl_outcomes", _OUTCOME_SQL)
+
+@register("crawl_outcomes", _RESP + f"SELECT page_id, host, url, outcome FROM ({O.outcome('strict')})")
 def q_crawl_outcomes(spark, sf):
-    f = X.fetches(t(spark, sf, "pages"))
-    firsts = D.dedup_content(f.select("page_id", "html"), "html", "page_id").select("page_id", F.lit(False).alias("is_duplicate"))
-    f = f.join(firsts, "page_id", "left").fillna(True, ["is_duplicate"]).withColumn("text", H.block_text("html"))
-    return R.crawl_outcome(f).groupBy("outcome").agg(F.count("*").alias("n"))
+    return _outcomes(spark, sf).select("page_id", "host", "url", "outcome")
+
+
+@register("crawl_outcomes_html_only", _RESP + f"SELECT page_id, outcome FROM ({O.outcome('html_only')})")
+def q_crawl_outcomes_html_only(spark, sf):
+    """R4 of the family that takes nothing but HTML."""
+    return _outcomes(spark, sf, "html_only").select("page_id", "outcome")
 
 
 # ============================================================ D: de-dup and state
@@ -480,13 +503,12 @@ _TREE = O.cte(site_tree=O.SITE_TREE, tree_seeds=O.TREE_SEEDS)
 
 
 @register("unseen_links", _TREE + (
-    "SELECT DISTINCT e.host, e.dst AS url FROM site_tree e JOIN tree_seeds s ON s.host = e.host AND s.url = e.src "
+    "SELECT DISTINCT e.host, e.dst AS url FROM site_tree e "
     "WHERE NOT EXISTS (SELECT 1 FROM tree_seeds z WHERE z.host = e.host AND z.url = e.dst)"))
 def q_unseen_links(spark, sf):
     pages = t(spark, sf, "pages")
     seeds = X.tree_seeds(pages)
-    tree = X.site_tree(pages)
-    links = tree.join(seeds.withColumnRenamed("url", "src"), ["host", "src"], "left_semi").select("host", F.col("dst").alias("url"))
+    links = X.site_tree(pages).select("host", F.col("dst").alias("url"))
     return D.unseen(links, seeds, ["host", "url"]).distinct()
 
 
@@ -503,18 +525,17 @@ def q_visited_filter(spark, sf):
     return unv.unionByName(vis)
 
 
-@register("mark_visited", _VIS + (
-    f"SELECT url FROM visited UNION SELECT {O.normalize('url')} FROM pages WHERE page_id % 3 = 0"))
+@register("mark_visited", _VIS + f"SELECT url FROM visited UNION SELECT {O.normalize('url')} FROM pages")
 def q_mark_visited(spark, sf):
     pages = t(spark, sf, "pages")
-    return D.mark_visited(X.visited(pages), pages.filter(F.col("page_id") % 3 == 0))
+    return D.mark_visited(X.visited(pages), pages)
 
 
 @register("upsert_crawled", (
     f"SELECT url, arg_max(status, batch_no * 10000000000 + page_id * 10 + status) AS status, CAST(max(batch_no) AS BIGINT) AS batch_no FROM ("
     f"SELECT {O.normalize('url')} AS url, page_id, CASE WHEN page_id % 20 IN (7, 13) THEN 0 ELSE 1 END AS status, 0 AS batch_no FROM pages WHERE page_id % 2 = 0 "
-    f"UNION ALL SELECT {O.normalize('url')} AS url, page_id, CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 END AS status, 1 AS batch_no FROM pages "
-    "WHERE page_id % 4 <> 1) GROUP BY url"))
+    f"UNION ALL SELECT {O.normalize('url')} AS url, page_id, CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 END AS status, 1 AS batch_no FROM pages) "
+    "GROUP BY url"))
 def q_upsert_crawled(spark, sf):
     crawled, batch = X.crawled_and_batch(t(spark, sf, "pages"))
     u = D.upsert_crawled(crawled, batch)
@@ -529,6 +550,13 @@ def q_resume_run(spark, sf):
     return todo.select(U.normalize_url("url").alias("url"))
 
 
+@register("resume_visited", _VIS + f"SELECT url FROM visited UNION SELECT {O.normalize('url')} FROM pages")
+def q_resume_visited(spark, sf):
+    """The visited table that a resumed run leaves."""
+    pages = t(spark, sf, "pages")
+    return D.resume(X.visited(pages), pages.select("page_id", "url"))[1]
+
+
 # ============================================================ K: crawl
 def _reach_sql(max_depth: int | None) -> str:
     bound = f"r.depth < {max_depth}" if max_depth else "r.depth < (SELECT count(*) FROM pages)"
@@ -539,13 +567,6 @@ def _reach_sql(max_depth: int | None) -> str:
     )).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@register("crawl_reach", _reach_sql(None))
-def q_crawl_reach(spark, sf):
-    pages = t(spark, sf, "pages")
-    r = K.crawl_reach(X.tree_seeds(pages), X.site_tree(pages), pages)
-    return r.select("host", "url", F.col("depth").cast("long").alias("depth"))
-
-
 @register("crawl_depth_limited", _reach_sql(2))
 def q_crawl_depth_limited(spark, sf):
     pages = t(spark, sf, "pages")
@@ -558,8 +579,8 @@ def _budget_sql(max_pages: int) -> str:
     crawler's loop; state is (queue, seen, depths, hashes, statuses) as lists."""
     route = f"({O.category('k_url')} IS NULL OR {O.suffix('k_url')} IN ('.html', '.htm'))"
     keys = (f"SELECT host, url, h FROM (SELECT {O.netloc('url')} AS host, {O.normalize('url')} AS url, md5(html) AS h, "
-            f"row_number() OVER (PARTITION BY {O.netloc('url')}, {O.normalize('url')} ORDER BY page_id) AS rn FROM pages) WHERE rn = 1")
-    links = "SELECT host, src, list(dst ORDER BY pos) AS dsts FROM site_tree GROUP BY host, src"
+            f"row_number() OVER (PARTITION BY {O.netloc('url')}, {O.normalize('url')} ORDER BY page_id) AS rn FROM crawl_pages) WHERE rn = 1")
+    links = "SELECT host, src, list(dst ORDER BY pos, dst) AS dsts FROM crawl_tree GROUP BY host, src"
     step = (
         "SELECT host, step + 1 AS step, list_concat(queue[2:], fresh) AS queue, list_concat(seen, fresh) AS seen, "
         "list_concat(depths, list_transform(fresh, lambda x: d + 1)) AS depths, "
@@ -571,7 +592,7 @@ def _budget_sql(max_pages: int) -> str:
         "(SELECT *, queue[1] AS k_url FROM budget) s LEFT JOIN keys k ON k.host = s.host AND k.url = s.k_url "
         f"LEFT JOIN links l ON l.host = s.host AND l.src = s.k_url WHERE len(s.queue) > 0 AND len(s.seen) < {max_pages}))"
     )
-    body = O.cte(site_tree=O.SITE_TREE, tree_seeds=O.TREE_SEEDS, keys=keys, links=links).rstrip("\n") + (
+    body = O.cte(site_tree=O.SITE_TREE, tree_seeds=O.TREE_SEEDS, crawl_pages=O.CRAWL_PAGES, crawl_tree=O.CRAWL_TREE, keys=keys, links=links).rstrip("\n") + (
         ", budget(host, step, queue, seen, depths, hashes, statuses) AS ("
         "SELECT host, 0, [url], [url], [0], []::VARCHAR[], []::VARCHAR[] FROM tree_seeds UNION ALL " + step + ")\n"
         "SELECT host, url, CAST(depth AS BIGINT) AS depth, CAST(rank AS BIGINT) AS rank, "
@@ -582,13 +603,23 @@ def _budget_sql(max_pages: int) -> str:
     return body.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@register("crawl_budget", _budget_sql(5))
-def q_crawl_budget(spark, sf):
+def _crawl(spark, sf, **limits):
     pages = t(spark, sf, "pages")
-    r = K.crawl_reach(X.tree_seeds(pages), X.site_tree(pages), pages, max_pages=5)
+    r = K.crawl_reach(X.tree_seeds(pages), X.crawl_tree(pages), X.crawl_pages(pages), **limits)
     return r.select("host", "url", F.col("depth").cast("long").alias("depth"), F.col("rank").cast("long").alias("rank"), "status")
 
 
+@register("crawl_reach", _budget_sql(1 << 60))
+def q_crawl_reach(spark, sf):
+    """K1, K4: every discovered URL with depth, discovery rank and status, against a sequential crawl."""
+    return _crawl(spark, sf)
+
+
+@register("crawl_budget", _budget_sql(5))
+def q_crawl_budget(spark, sf):
+    return _crawl(spark, sf, max_pages=5)
+
+
 _BATCH_SQL = _FETCH + (
     "SELECT page_id, host, CAST(seq AS BIGINT) AS seq, CAST((seq - 1) // 5 AS BIGINT) AS batch, CAST((seq - 1) // 5 AS DOUBLE) * 0.2::DOUBLE AS offset_s FROM ("
     "SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) AS seq FROM fetches)"
@@ -602,17 +633,22 @@ def q_fetch_schedule(spark, sf):
     return s.select("page_id", "host", F.col("seq").cast("long").alias("seq"), "batch", "offset_s")
 
 
-@register("graph_summary", O.cte(nav_links=O.NAV_LINKS, e=f"SELECT DISTINCT host, src, dst FROM ({_EDGES_BODY})") + (
+_GRAPH = (f"SELECT page_id, host, src, dst, pos FROM ({_EDGES_BODY}) UNION ALL SELECT page_id, host, src, dst, 1000 + pos FROM site_tree")
+
+
+@register("graph_summary", O.cte(nav_links=O.NAV_LINKS, site_tree=O.SITE_TREE, g=_GRAPH, e="SELECT host, src, dst FROM g GROUP BY ALL",
+                                 f="SELECT host, src FROM (SELECT host, src, row_number() OVER (PARTITION BY host, dst ORDER BY page_id, pos, src) AS n FROM g) WHERE n = 1") + (
     "SELECT host, url, CAST(coalesce(o.out_degree, 0) AS BIGINT) AS out_degree, CAST(coalesce(i.in_degree, 0) AS BIGINT) AS in_degree, "
-    "CAST(coalesce(o.dangling, 0) AS BIGINT) AS dangling FROM "
+    "CAST(coalesce(o.dangling, 0) AS BIGINT) AS dangling, CAST(coalesce(w.n, 0) AS BIGINT) AS new_links FROM "
     "(SELECT host, src AS url, count(*) AS out_degree, count(*) FILTER (WHERE dst NOT IN (SELECT " + O.normalize("url") + " FROM pages)) AS dangling "
-    "FROM e GROUP BY 1, 2) o FULL JOIN (SELECT host, dst AS url, count(*) AS in_degree FROM e GROUP BY 1, 2) i USING (host, url)"))
+    "FROM e GROUP BY 1, 2) o FULL JOIN (SELECT host, dst AS url, count(*) AS in_degree FROM e GROUP BY 1, 2) i USING (host, url) "
+    "LEFT JOIN (SELECT host, src AS url, count(*) AS n FROM f GROUP BY 1, 2) w USING (host, url)"))
 def q_graph_summary(spark, sf):
+    """K7 over the pages' own links (targets unknown) and the site trees (targets known)."""
     pages = t(spark, sf, "pages")
-    e = L.link_edges(pages)
+    e = L.link_edges(pages).withColumn("pos", F.col("pos").cast("int")).unionByName(X.site_tree(pages).withColumn("pos", F.col("pos") + 1000))
     keys = pages.select(U.normalize_url("url").alias("url"))
-    g = L.graph_summary(e, keys)
-    return g.select("host", "url", *_long("out_degree", "in_degree", "dangling"))
+    return L.graph_summary(e, keys).select("host", "url", *_long("out_degree", "in_degree", "dangling", "new_links"))
 
 
 # ============================================================ T: attempts and stats
@@ -628,11 +664,11 @@ def q_retry_outcome(spark, sf):
 
 
 @register("backoff", _ATT + (
-    "SELECT url, seq, CAST(k AS BIGINT) AS attempt, CASE WHEN ok THEN 0.0::DOUBLE ELSE 0.5::DOUBLE * k END AS wait_s FROM ("
-    "SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts, seq) AS k FROM attempts)"))
+    "SELECT url, seq, k AS attempt, 0.5::DOUBLE * w AS wait_s, 0.5::DOUBLE * sum(w) OVER (PARTITION BY url ORDER BY ts, seq) AS total_wait_s FROM ("
+    "SELECT *, CASE WHEN ok THEN 0 ELSE k END AS w FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts, seq) AS k FROM attempts))"))
 def q_backoff(spark, sf):
     b = T.backoff(X.attempts(t(spark, sf, "events")), 0.5)
-    return b.select("url", "seq", F.col("attempt").cast("long").alias("attempt"), "wait_s")
+    return b.select("url", "seq", F.col("attempt").cast("long").alias("attempt"), "wait_s", "total_wait_s")
 
 
 @register("failed_urls", _ATT + (
@@ -642,26 +678,35 @@ def q_failed_urls(spark, sf):
     return T.failed_urls(T.retry_outcome(X.attempts(t(spark, sf, "events")), 3))
 
 
-_STATS_SQL = _FETCH + (
+@register("error_counts", O.cte(attempts=O.ATTEMPTS, fetches=O.FETCHES, responses=O.RESPONSES, outcomes=O.outcome("strict")) + (
+    "SELECT 'retries' AS source, count(*) AS errors FROM (SELECT url, min(CASE WHEN ok THEN k END) AS upto FROM ("
+    "SELECT url, ok, row_number() OVER (PARTITION BY url ORDER BY ts, seq) AS k FROM attempts) GROUP BY url) WHERE coalesce(upto <= 3, false) = false "
+    "UNION ALL SELECT 'download', count(*) FILTER (WHERE outcome IN ('error', 'not_found')) FROM outcomes "
+    "UNION ALL SELECT 'parse', count(*) FILTER (WHERE outcome = 'parse_error') FROM outcomes"))
+def q_error_counts(spark, sf):
+    """Errors by source."""
+    return T.error_counts(T.retry_outcome(X.attempts(t(spark, sf, "events")), 3), _outcomes(spark, sf))
+
+
+@register("failed_fetches", _RESP + f"SELECT host, url, outcome FROM ({O.outcome('strict')}) WHERE outcome IN ('error', 'not_found', 'parse_error')")
+def q_failed_fetches(spark, sf):
+    """T4: the failed list."""
+    return T.failed_fetches(_outcomes(spark, sf))
+
+
+_STATS_SQL = _RESP + (
     "SELECT host, CAST(count(*) FILTER (WHERE outcome IN ('html_ok', 'html_empty', 'pdf_ok', 'pdf_empty')) AS BIGINT) AS pages_processed, "
-    "CAST(count(*) FILTER (WHERE outcome = 'downloaded') AS BIGINT) AS files_downloaded, "
-    "CAST(count(*) FILTER (WHERE outcome IN ('error', 'not_found')) AS BIGINT) AS errors, "
-    "CAST(epoch(max(fetch_ts)) - epoch(min(fetch_ts)) AS BIGINT) AS duration_s, CAST(count(DISTINCT url) AS BIGINT) AS pages_crawled FROM ("
-    "SELECT host, url, fetch_ts, CASE "
-    f"WHEN {O.category('url')} IS NOT NULL THEN 'downloaded' "
-    "WHEN status_code = 404 THEN 'not_found' WHEN status_code >= 400 THEN 'error' "
-    "WHEN NOT (contains(lower(content_type), 'application/pdf') OR ends_with(lower(url), '.pdf') OR contains(lower(content_type), 'text/html')) THEN 'unsupported' "
-    "WHEN contains(lower(content_type), 'application/pdf') OR ends_with(lower(url), '.pdf') THEN CASE WHEN length(trim(text)) = 0 THEN 'pdf_empty' ELSE 'pdf_ok' END "
-    "ELSE CASE WHEN length(trim(text)) = 0 THEN 'html_empty' ELSE 'html_ok' END END AS outcome FROM ("
-    f"SELECT *, {O.page_text('html')} AS text FROM fetches)) GROUP BY host"
+    "CAST(count(*) FILTER (WHERE outcome = 'downloaded') AS BIGINT) AS files_downloaded, CAST(count(*) FILTER (WHERE outcome = 'duplicate') AS BIGINT) AS duplicates, "
+    "CAST(count(*) FILTER (WHERE outcome IN ('error', 'not_found', 'parse_error')) AS BIGINT) AS errors, "
+    "CAST(epoch(max(fetch_ts)) - epoch(min(fetch_ts)) AS BIGINT) AS duration_s, CAST(count(DISTINCT url) AS BIGINT) AS pages_crawled "
+    f"FROM ({O.outcome('strict')}) GROUP BY host"
 )
 
 
 @register("crawl_stats", _STATS_SQL)
 def q_crawl_stats(spark, sf):
-    f = X.fetches(t(spark, sf, "pages")).withColumn("is_duplicate", F.lit(False)).withColumn("text", H.page_text("html"))
-    s = T.crawl_stats(R.crawl_outcome(f))
-    return s.select("host", *_long("pages_processed", "files_downloaded", "errors", "duration_s", "pages_crawled"))
+    s = T.crawl_stats(_outcomes(spark, sf))
+    return s.select("host", *_long("pages_processed", "files_downloaded", "duplicates", "errors", "duration_s", "pages_crawled"))
 
 
 @register("files_by_category", _FILES + (
@@ -716,9 +761,12 @@ def q_stream_ingest(spark, sf):
     return spark.read.parquet(ST.ingest_pages(spark, f"{sf}/pages.parquet"))
 
 
-@register("stream_dedup", "SELECT DISTINCT md5(html) AS h FROM pages")
+@register("stream_dedup", O.cte(crawl_pages=O.CRAWL_PAGES) + "SELECT DISTINCT md5(html) AS h FROM crawl_pages")
 def q_stream_dedup(spark, sf):
-    return spark.read.parquet(ST.dedup_stream(spark, f"{sf}/pages.parquet")).select("h")
+    """ST2 over pages with repeated bodies that arrive in several micro-batches."""
+    pages = _sink_dir(spark, "arrivals")
+    X.crawl_pages(t(spark, sf, "pages")).repartitionByRange(4, "page_id").write.parquet(pages)
+    return spark.read.parquet(ST.dedup_stream(spark, pages, max_files=1)).select("h")
 
 
 @register("stream_visited", O.cte(visited=O.VISITED) + f"SELECT url FROM visited UNION SELECT {O.normalize('url')} FROM pages")
@@ -739,28 +787,26 @@ def _sink_dir(spark: SparkSession, name: str) -> str:
     return ST.scratch(spark, name)
 
 
-@register("file_scan", f"SELECT {O.netloc('url')} AS host, CAST(sum(strlen(url) + 1) AS BIGINT) AS bytes, count(*) AS lines FROM pages GROUP BY 1")
+@register("file_scan", "SELECT CAST(sum(strlen(url) + strlen(html) + 2) AS BIGINT) AS bytes, count(*) AS records FROM pages")
 def q_file_scan(spark, sf):
-    """S2 over files Spark writes from the pages table: one text file set per site, read back
-    as binary files (metadata only) and summed per site."""
+    """S2 over files Spark writes from the pages table, URLs and bodies: read back as binary files
+    (metadata only) and, for the record count, as text split at the records' end sign."""
     out = _sink_dir(spark, "files")
-    p = t(spark, sf, "pages").select(U.url_netloc("url").alias("host"), "url")
-    p.write.mode("overwrite").partitionBy("host").text(out)
-    files = S.read_files(spark, out, glob="*.txt")
-    per = files.select(F.regexp_extract("path", r"/host=([^/]*)/", 1).alias("host"), "length")
-    lines = spark.read.text(out).groupBy("host").agg(F.count("*").alias("lines"))
-    return per.groupBy("host").agg(F.sum("length").cast("long").alias("bytes")).join(lines, "host")
+    p = t(spark, sf, "pages")
+    p.select(F.concat("url", F.lit("\n"), "html").alias("value")).write.mode("overwrite").option("lineSep", "\x00").text(out)
+    size = S.read_files(spark, out, glob="*.txt").select("length", F.lit(0).alias("n"))
+    lines = spark.read.option("lineSep", "\x00").text(out).select(F.lit(0).cast("long").alias("length"), F.lit(1).alias("n"))
+    return size.unionAll(lines).agg(F.sum("length").cast("long").alias("bytes"), F.sum("n").cast("long").alias("records"))
 
 
 @register("metadata_sink", O.cte(fetches=O.FETCHES) + (
     "SELECT host, count(*) AS records, CAST(sum(status_code) AS BIGINT) AS status_sum FROM fetches GROUP BY host"))
 def q_metadata_sink(spark, sf):
-    """Page metadata written as one JSON document per record (partitioned by site), read back."""
+    """Page metadata written as one JSON document per record, clustered by site, read back."""
     out = _sink_dir(spark, "meta")
     f = X.fetches(t(spark, sf, "pages")).select("host", "url", "status_code", "content_type", U.url_key("url", ".json").alias("key"))
     S.write_metadata(f, out)
-    back = spark.read.schema("url STRING, status_code INT, content_type STRING, key STRING").json(out)
-    back = back.withColumn("host", U.url_netloc("url"))
+    back = spark.read.schema("host STRING, url STRING, status_code INT, content_type STRING, key STRING").json(out)
     return back.groupBy("host").agg(F.count("*").alias("records"), F.sum("status_code").cast("long").alias("status_sum"))
 
 
@@ -769,15 +815,15 @@ def q_stats_sink(spark, sf):
     """Per-site crawl statistics written as one JSON document per site, read back."""
     out = _sink_dir(spark, "stats")
     S.write_stats(q_crawl_stats(spark, sf), out)
-    back = spark.read.schema("pages_processed LONG, files_downloaded LONG, errors LONG, duration_s LONG, pages_crawled LONG, host STRING").json(out)
-    return back.select("host", "pages_processed", "files_downloaded", "errors", "duration_s", "pages_crawled")
+    back = spark.read.schema("pages_processed LONG, files_downloaded LONG, duplicates LONG, errors LONG, duration_s LONG, pages_crawled LONG, host STRING").json(out)
+    return back.select("host", "pages_processed", "files_downloaded", "duplicates", "errors", "duration_s", "pages_crawled")
 
 
 @register("text_sink", (
     f"SELECT {O.netloc('url')} AS host, count(*) AS records, CAST(sum(length({O.page_text('html')})) AS BIGINT) AS text_chars, "
     "count(DISTINCT md5(url) || '.txt') AS keys FROM pages GROUP BY 1"))
 def q_text_sink(spark, sf):
-    """Page text records keyed by URL hash, written partitioned by site, read back."""
+    """Page text records keyed by URL hash, written clustered by site, read back."""
     out = _sink_dir(spark, "text")
     p = t(spark, sf, "pages")
     recs = p.select(U.url_netloc("url").alias("host"), U.url_key("url", ".txt").alias("key"), H.page_text("html").alias("text"))

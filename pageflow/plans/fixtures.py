@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageflow.functions import urls as U
+from pageflow.operators.documents import METHODS
 from pageflow.operators.links import nav_links as _nav_links
 from pageflow.operators.ranking import rank_in_groups
+from pageflow.sources.io import SITEMAP_NS
 
 # File extensions of the ``files`` view, by page_id mod 8.
 FILE_EXTS = [".pdf", ".csv", ".PNG", ".zip", ".tar.gz", ".xyz", ".mp3", ""]
-# Sitemap namespace and the chunk size (URLs are grouped by page_id div 1000).
-SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
+# Fixed value: the sitemaps' chunk size (URLs are grouped by page_id div 1000).
 SITEMAP_CHUNK = 1000
 
 
@@ -71,6 +72,20 @@ def fetches(pages: DataFrame) -> DataFrame:
                         ctype.alias("content_type"), ts.alias("fetch_ts"))
 
 
+def responses(pages: DataFrame) -> DataFrame:
+    """``fetches`` with every outcome: a sixth of the bodies repeated (also behind errors), bodies missing
+    at page_id mod 50 = 9, blank ones at mod 31 = 4, and a third of the URLs files of the site."""
+    pid = F.col("page_id")
+    html = (
+        F.when(pid % 50 == 9, F.lit(None).cast("string"))
+        .when(pid % 31 == 4, F.lit("<html><body><div> </div></body></html>"))
+        .when(pid % 6 == 1, F.concat(F.lit("<p>shared "), (pid % 4).cast("string"), F.lit("</p>")))
+        .otherwise(F.col("html"))
+    )
+    file = F.concat(U.site_base("url"), F.lit("/f/doc"), pid.cast("string"), F.element_at(F.array(F.lit(".zip"), F.lit(".pdf"), F.lit(".csv")), (pid % 3 + 1).cast("int")))
+    return fetches(pages).withColumn("html", html).withColumn("url", F.when(pid % 3 == 2, file).otherwise(F.col("url")))
+
+
 def files(pages: DataFrame) -> DataFrame:
     """``(host, page_id, url)``: one downloadable-looking URL per page under its site base."""
     ext = F.element_at(F.array(*[F.lit(e) for e in FILE_EXTS]), (F.col("page_id") % 8 + 1).cast("int"))
@@ -92,7 +107,7 @@ def robots(pages: DataFrame) -> DataFrame:
 def sitemaps(pages: DataFrame) -> DataFrame:
     """``(host, chunk, xml, content_type)``: urlset documents of a site's page URLs, one per
     page_id chunk (bounded size); host name length mod 6 = 0 -> truncated (malformed),
-    = 1 -> served as text/plain."""
+    = 1 -> served as text/plain, = 2 -> the namespace is bound to the prefix ``s``."""
     host = U.url_netloc("url")
     esc = F.replace(F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     entries = pages.select(host.alias("host"), F.floor(F.col("page_id") / SITEMAP_CHUNK).alias("chunk"), "page_id",
@@ -103,6 +118,8 @@ def sitemaps(pages: DataFrame) -> DataFrame:
         F.array_join(F.transform("es", lambda x: x["e"]), ""),
         F.lit("</urlset>"),
     )
+    prefixed = F.replace(F.regexp_replace(body, "<(/?)(urlset|url|loc)([ >])", "<$1s:$2$3"), F.lit(" xmlns="), F.lit(" xmlns:s="))
+    body = F.when(F.length("host") % 6 == 2, prefixed).otherwise(body)
     bad = F.length("host") % 6 == 0
     xml = F.when(bad, F.regexp_replace(body, r"</loc></url></urlset>$", "</lo")).otherwise(body)
     ctype = F.when(F.length("host") % 6 == 1, F.lit("text/plain")).otherwise(F.lit("application/xml"))
@@ -110,22 +127,43 @@ def sitemaps(pages: DataFrame) -> DataFrame:
 
 
 def site_tree(pages: DataFrame) -> DataFrame:
-    """``(host, src, dst, pos)``: pages of a site ranked by page_id; rank r links to 2r
+    """``(page_id, host, src, dst, pos)``: pages of a site ranked by page_id; rank r links to 2r
     (pos 0) and 2r+1 (pos 1), and every rank > 1 links back to rank 1 (pos 2) - a
     binary tree with cycles. Keys are normalized URLs."""
     p = pages.select("page_id", U.url_netloc("url").alias("host"), U.normalize_url("url").alias("key"))
     r = rank_in_groups(p, ["host"], ["page_id"], "r")
-    src = r.select("host", F.col("r").alias("sr"), F.col("key").alias("src"))
+    src = r.select("page_id", "host", F.col("r").alias("sr"), F.col("key").alias("src"))
     targets = src.select(
-        "host", "sr", "src",
+        "page_id", "host", "sr", "src",
         F.explode(F.array(
             F.struct((F.col("sr") * 2).alias("dr"), F.lit(0).alias("pos")),
             F.struct((F.col("sr") * 2 + 1).alias("dr"), F.lit(1).alias("pos")),
             F.struct(F.when(F.col("sr") > 1, F.lit(1)).alias("dr"), F.lit(2).alias("pos")),
         )).alias("t"),
-    ).select("host", "src", F.col("t.dr").alias("dr"), F.col("t.pos").alias("pos")).filter(F.col("dr").isNotNull())
+    ).select("page_id", "host", "src", F.col("t.dr").alias("dr"), F.col("t.pos").alias("pos")).filter(F.col("dr").isNotNull())
     dst = r.select("host", F.col("r").alias("dr"), F.col("key").alias("dst"))
-    return targets.join(dst, ["host", "dr"]).select("host", "src", "dst", F.col("pos").cast("int").alias("pos"))
+    # a rank belongs to one page, so no key is hot
+    return targets.join(dst, ["host", "dr"]).select("page_id", "host", "src", "dst", F.col("pos").cast("int").alias("pos"))
+
+
+def _crawl_file() -> F.Column:
+    return F.concat(U.site_base("url"), F.lit("/f/doc"), (F.col("page_id") % 3).cast("string"), F.lit(".zip"))
+
+
+def crawl_pages(pages: DataFrame) -> DataFrame:
+    """The snapshot a crawl runs on: ``pages`` with a sixth of the bodies repeated, and a file per eighth page."""
+    pid = F.col("page_id")
+    html = F.when(pid % 6 == 4, F.concat(F.lit("same "), (pid % 2).cast("string"))).otherwise(F.col("html"))
+    zips = pages.filter(pid % 8 == 3).select((pid + 10**12).alias("page_id"), _crawl_file().alias("url"), F.concat(F.lit("zip"), pid.cast("string")).alias("html"))
+    return pages.select("page_id", "url", html.alias("html")).unionByName(zips)
+
+
+def crawl_tree(pages: DataFrame) -> DataFrame:
+    """``site_tree`` with a link to an absent page from every fourth page and to the file from every eighth."""
+    pid, host, src = F.col("page_id"), U.url_netloc("url").alias("host"), U.normalize_url("url").alias("src")
+    gone = pages.filter(pid % 4 == 1).select("page_id", host, src, F.concat(U.normalize_url("url"), F.lit("/missing")).alias("dst"), F.lit(3).alias("pos"))
+    files_ = pages.filter(pid % 8 == 3).select("page_id", host, src, U.normalize_url(_crawl_file()).alias("dst"), F.lit(4).alias("pos"))
+    return site_tree(pages).unionByName(gone).unionByName(files_)
 
 
 def tree_seeds(pages: DataFrame) -> DataFrame:
@@ -133,10 +171,6 @@ def tree_seeds(pages: DataFrame) -> DataFrame:
     return pages.groupBy(U.url_netloc("url").alias("host")).agg(F.min_by(U.normalize_url("url"), "page_id").alias("url"))
 
 
-# Extraction method names, in trial order.
-METHODS = ["pymupdf", "pypdf2", "ocr"]
-
-
 def candidates(documents: DataFrame) -> DataFrame:
     """``(doc_id, method, method_rank, text)``: three extraction results per document:
     the text, the text with newlines as spaces (ties the first), and either the text
@@ -214,7 +248,7 @@ def crawled_and_batch(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         key.alias("url"), F.col("fetch_ts").alias("ts"), F.when(F.col("status_code") < 400, 1).otherwise(0).alias("status"),
         F.lit(0).alias("batch_no"),
     )
-    batch = f.filter(F.col("page_id") % 4 != 1).select(
+    batch = f.select(
         key.alias("url"), F.timestamp_add("DAY", F.lit(1), "fetch_ts").alias("ts"),
         F.when(F.col("page_id") % 3 == 0, 0).otherwise(1).alias("status"), F.lit(1).alias("batch_no"),
     )

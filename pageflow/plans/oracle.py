@@ -12,7 +12,7 @@ import html.entities
 import itertools
 import urllib.parse
 
-from pageflow.plans.fixtures import FILE_EXTS, METHODS, SITEMAP_CHUNK, SITEMAP_NS
+from pageflow.plans.fixtures import FILE_EXTS, METHODS
 
 # The standard library's lists, and patterns and catalogues stated apart from the engine's.
 USES_PARAMS, USES_RELATIVE = urllib.parse.uses_params, urllib.parse.uses_relative
@@ -340,15 +340,51 @@ ROBOTS = (
     "ELSE chr(10) END AS nl FROM sites)"
 )
 
+_RESP_HTML = ("CASE WHEN page_id % 50 = 9 THEN NULL WHEN page_id % 31 = 4 THEN '<html><body><div> </div></body></html>' "
+              "WHEN page_id % 6 = 1 THEN '<p>shared ' || CAST(page_id % 4 AS VARCHAR) || '</p>' ELSE html END")
+RESPONSES = (
+    f"SELECT page_id, host, CASE WHEN page_id % 3 = 2 THEN {site_base('url')} || '/f/doc' || CAST(page_id AS VARCHAR) || "
+    f"['.zip', '.pdf', '.csv'][CAST(page_id % 3 + 1 AS INTEGER)] ELSE url END AS url, {_RESP_HTML} AS html, status_code, content_type, fetch_ts FROM fetches"
+)
+
+
+def outcome(mode: str) -> str:
+    """Outcome rows of the ``responses`` view, from the rules and not from the engine's order of joins."""
+    low = "lower(coalesce(content_type, ''))"
+    is_file = f"({category('url')} IS NOT NULL AND {suffix('url')} NOT IN ('.html', '.htm'))"
+    if mode == "strict":
+        pdf = f"(contains({low}, 'application/pdf') OR ends_with(lower(url), '.pdf'))"
+        kind = f"CASE WHEN status_code = 404 THEN 'not_found' WHEN status_code >= 400 THEN 'error' WHEN {pdf} THEN 'pdf' WHEN contains({low}, 'text/html') THEN 'html' ELSE 'unsupported' END"
+    else:
+        kind = "CASE WHEN status_code >= 400 THEN 'error' WHEN contains(coalesce(content_type, ''), 'text/html') THEN 'html' ELSE 'skipped_non_html' END"
+    base = f"SELECT page_id, host, url, fetch_ts, html, {is_file} AS is_file, {kind} AS kind FROM responses"
+    ranked = (f"SELECT *, kind = 'html' AND NOT is_file AND html IS NOT NULL AS accepted FROM ({base})")
+    first = (f"SELECT *, row_number() OVER (PARTITION BY accepted, md5(html) ORDER BY page_id) AS nth FROM ({ranked})")
+    return (f"SELECT page_id, host, url, fetch_ts, CASE WHEN kind IN ('not_found', 'error') THEN kind WHEN is_file THEN 'downloaded' "
+            "WHEN kind IN ('unsupported', 'skipped_non_html') THEN kind WHEN html IS NULL THEN 'parse_error' WHEN accepted AND nth > 1 THEN 'duplicate' "
+            f"WHEN {block_text('html')} = '' THEN kind || '_empty' ELSE kind || '_ok' END AS outcome FROM ({first})")
+
+
 SITE_TREE = (
-    f"SELECT a.host, a.key AS src, b.key AS dst, CAST(t.pos AS INTEGER) AS pos FROM "
-    f"(SELECT {netloc('url')} AS host, {normalize('url')} AS key, row_number() OVER (PARTITION BY {netloc('url')} ORDER BY page_id) AS r FROM pages) a "
+    f"SELECT a.page_id, a.host, a.key AS src, b.key AS dst, CAST(t.pos AS INTEGER) AS pos FROM "
+    f"(SELECT page_id, {netloc('url')} AS host, {normalize('url')} AS key, row_number() OVER (PARTITION BY {netloc('url')} ORDER BY page_id) AS r FROM pages) a "
     "CROSS JOIN (VALUES (0), (1), (2)) t(pos) "
     "JOIN (SELECT host, key, r FROM (SELECT " + netloc("url") + " AS host, " + normalize("url") + " AS key, "
     "row_number() OVER (PARTITION BY " + netloc("url") + " ORDER BY page_id) AS r FROM pages)) b "
     "ON b.host = a.host AND b.r = CASE t.pos WHEN 0 THEN 2 * a.r WHEN 1 THEN 2 * a.r + 1 ELSE CASE WHEN a.r > 1 THEN 1 END END"
 )
 
+_ZIP = f"{site_base('url')} || '/f/doc' || CAST(page_id % 3 AS VARCHAR) || '.zip'"
+CRAWL_PAGES = (
+    "SELECT page_id, url, CASE WHEN page_id % 6 = 4 THEN 'same ' || CAST(page_id % 2 AS VARCHAR) ELSE html END AS html FROM pages "
+    f"UNION ALL SELECT page_id + 1000000000000, {_ZIP}, 'zip' || CAST(page_id AS VARCHAR) FROM pages WHERE page_id % 8 = 3"
+)
+CRAWL_TREE = (
+    "SELECT * FROM site_tree UNION ALL "
+    f"SELECT page_id, {netloc('url')}, {normalize('url')}, {normalize('url')} || '/missing', 3 FROM pages WHERE page_id % 4 = 1 UNION ALL "
+    f"SELECT page_id, {netloc('url')}, {normalize('url')}, {normalize('zip')}, 4 FROM (SELECT *, {_ZIP} AS zip FROM pages) WHERE page_id % 8 = 3"
+)
+
 TREE_SEEDS = f"SELECT {netloc('url')} AS host, arg_min({normalize('url')}, page_id) AS url FROM pages GROUP BY 1"
 
 CANDIDATES = (
@@ -379,14 +415,3 @@ ATTEMPTS = (
 )
 
 VISITED = f"SELECT DISTINCT {normalize('url')} AS url FROM pages WHERE page_id % 2 = 0"
-
-
-def sitemaps_sql() -> str:
-    esc = "replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
-    head = f'<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="{SITEMAP_NS}">'
-    body = f"({lit(head)} || string_agg('<url><loc> ' || {esc} || ' </loc></url>', '' ORDER BY page_id) || '</urlset>')"
-    return (
-        f"SELECT host, chunk, CASE WHEN length(host) % 6 = 0 THEN regexp_replace(xml, '</loc></url></urlset>$', '</lo') ELSE xml END AS xml, "
-        "CASE WHEN length(host) % 6 = 1 THEN 'text/plain' ELSE 'application/xml' END AS content_type FROM ("
-        f"SELECT {netloc('url')} AS host, CAST(floor(page_id / {SITEMAP_CHUNK}) AS BIGINT) AS chunk, {body} AS xml FROM pages GROUP BY 1, 2)"
-    )

@@ -65,7 +65,7 @@ def scale_conf(input_bytes: int, cores: int, html_heavy: bool = True) -> dict[st
     in executor memory; skewed join partitions are split by AQE.
     """
     target = 200 * 1024 * 1024
-    parts = max(cores * 2, min(200_000, input_bytes // target or 1))
+    parts = max(cores * 2, input_bytes // target or 1)
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -1,7 +1,7 @@
 """Sources and sinks (S1-S8): page snapshots, downloaded files, robots/sitemaps, writers.
 
-Writers partition by site, never one file per page; every writer returns the path it
-wrote so a job can read its own output back.
+Writers cluster by site in a bounded number of files, never one file per page or site; every
+writer returns the path it wrote so a job can read its own output back.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 # Sitemap XML shape (``urlset/url/loc``).
 SITEMAP_SCHEMA = "url ARRAY<STRUCT<loc: STRING>>"
+SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -51,10 +52,15 @@ def sitemaps_from_robots(robots: DataFrame) -> DataFrame:
 
 
 def urls_from_sitemap(sitemaps: DataFrame) -> DataFrame:
-    """S4 + R5: ``(host, url)`` from ``urlset/url/loc`` (trimmed) of XML-typed responses;
-    a malformed document yields no rows; a sitemap index is not followed."""
-    ok = sitemaps.filter(sitemap_guard("content_type"))
-    parsed = ok.select("host", F.from_xml("xml", SITEMAP_SCHEMA, {"rowTag": "urlset", "mode": "PERMISSIVE"}).alias("x"))
+    """S4 + R5: ``(host, url)`` from ``urlset/url/loc`` (trimmed) of XML-typed responses, whatever prefix the
+    sitemap namespace is bound to; a malformed document yields no rows; a sitemap index is not followed."""
+    prefix = F.regexp_extract("xml", r"<(?:([A-Za-z_][\w.-]*):)?urlset[\s>]", 1)
+    name = F.concat(F.lit("xmlns"), F.when(prefix != "", F.concat(F.lit(":"), prefix)).otherwise(F.lit("")))
+    root = F.regexp_extract("xml", r"<(?:[A-Za-z_][\w.-]*:)?urlset(\s[^>]*)?>", 1)
+    bound = F.contains(F.regexp_replace(root, r"\s*=\s*", "="), F.concat(name, F.lit('="' + SITEMAP_NS + '"')))
+    ok = sitemaps.filter(sitemap_guard("content_type") & bound)
+    options = {"rowTag": "urlset", "mode": "PERMISSIVE", "ignoreNamespace": "true"}
+    parsed = ok.select("host", F.from_xml("xml", SITEMAP_SCHEMA, options).alias("x"))
     return parsed.select("host", F.explode_outer("x.url").alias("u")).filter(F.col("u").isNotNull()).select(
         "host", F.trim(F.col("u.loc")).alias("url")
     ).filter(F.col("url").isNotNull())
@@ -71,20 +77,27 @@ def seed_frontier(sites: DataFrame, sitemap_urls: DataFrame, visited: DataFrame)
     return keyed.join(visited.select("url"), "url", "left_anti").select("host", "url")
 
 
-def write_text(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Text records ``(host, key, text)`` as parquet partitioned by site."""
-    df.select("host", "key", "text").write.mode(mode).partitionBy("host").parquet(path)
+def _clustered(df: DataFrame, files: int | None, *order: str) -> DataFrame:
+    """``df`` in ``files`` parts (by default the session's shuffle partitions) that follow ``order``: a site's
+    records lie together, a hot site is split, and the number of files doesn't grow with the number of sites."""
+    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+
+def write_text(df: DataFrame, path: str, mode: str = "overwrite", files: int | None = None) -> str:
+    """Text records ``(host, key, text)`` as parquet, clustered by site (column statistics prune by host)."""
+    _clustered(df.select("host", "key", "text"), files, "host", "key").write.mode(mode).parquet(path)
     return path
 
 
-def write_metadata(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """One JSON document per record (page or file metadata), partitioned by site."""
-    cols = [c for c in df.columns if c != "host"]
-    df.select("host", F.to_json(F.struct(*cols)).alias("value")).write.mode(mode).partitionBy("host").text(path)
+def write_metadata(df: DataFrame, path: str, mode: str = "overwrite", files: int | None = None) -> str:
+    """One JSON document per record (page or file metadata), clustered by site."""
+    order = ["host", *[c for c in df.columns if c == "key"]]
+    _clustered(df, files, *order).write.mode(mode).json(path)
     return path
 
 
-def write_stats(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+def write_stats(df: DataFrame, path: str, mode: str = "overwrite", files: int | None = None) -> str:
     """One stats JSON document per site."""
-    df.write.mode(mode).partitionBy("host").json(path)
+    _clustered(df, files, "host").write.mode(mode).json(path)
     return path

@@ -50,14 +50,11 @@ def file_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
     return r.parquet(path)
 
 
-page_stream = file_stream
-
-
 def ingest_pages(spark: SparkSession, path: str, out: str | None = None, trigger: dict | None = None) -> str:
     """ST1: stateless page ingest: text (H3) and in-site link count (H12) per page, appended
     to a parquet sink. Returns the sink path."""
     out = out or scratch(spark, "ingest")
-    s = page_stream(spark, path)
+    s = file_stream(spark, path)
     host = U.url_netloc("url")
     items = F.transform(H.extract_hrefs("html"), lambda h: U.normalize_url(h, F.col("url")))
     links = F.array_distinct(F.filter(items, lambda x: U.is_valid_url(x, host)))
@@ -67,14 +64,22 @@ def ingest_pages(spark: SparkSession, path: str, out: str | None = None, trigger
     return f"{out}/data"
 
 
-def dedup_stream(spark: SparkSession, path: str, out: str | None = None, trigger: dict | None = None, within: str = "1 day") -> str:
-    """ST2: content de-dup while pages arrive: one row per body hash, state bounded by an
-    event-time watermark on the fetch time (``dropDuplicatesWithinWatermark``)."""
+def dedup_stream(spark: SparkSession, path: str, out: str | None = None, trigger: dict | None = None,
+                 event_time: str | None = None, within: str | None = None, max_files: int | None = None) -> str:
+    """ST2: content de-dup while pages arrive: one row per body hash, the first that arrives.
+
+    By default every page counts, however late, and a hash is remembered for good: the state (16 bytes of
+    hash per distinct body; RocksDB on a cluster) grows with the distinct bodies. With ``event_time`` (the
+    stream's fetch-time column) and ``within``, hashes are forgotten behind the watermark: bounded state, but
+    a page that is later than that is dropped and a body that comes back after it is kept again.
+    """
     out = out or scratch(spark, "dedup")
-    s = page_stream(spark, path)
-    ts = F.timestamp_add("MINUTE", F.col("page_id"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    keyed = s.select("page_id", content_hash("html").alias("h"), ts.alias("fetch_ts")).withWatermark("fetch_ts", within)
-    firsts = keyed.dropDuplicatesWithinWatermark(["h"])
+    s = file_stream(spark, path, max_files)
+    keyed = s.select("page_id", content_hash("html").alias("h"), *([event_time] if event_time else []))
+    if event_time and within:
+        firsts = keyed.withWatermark(event_time, within).dropDuplicatesWithinWatermark(["h"])
+    else:
+        firsts = keyed.dropDuplicates(["h"])
     w = firsts.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/_checkpoint").outputMode("append")
     _run(w, trigger or {"availableNow": True})
     return f"{out}/data"
@@ -84,14 +89,14 @@ def visited_upsert_stream(spark: SparkSession, path: str, visited: DataFrame, ou
     """ST3: insert-or-ignore of normalized keys into the visited table while pages arrive.
 
     The earlier runs' table is a static side (anti-join); keys repeated inside the stream
-    are dropped by ``dropDuplicates`` state (state store - RocksDB on a cluster); only new
-    keys are appended through the exactly-once file sink. The visited table is the earlier
+    are dropped by ``dropDuplicates`` state, which never expires (state store - RocksDB on a
+    cluster); only new keys are appended through the exactly-once file sink. The visited table is the earlier
     table plus the sink. Nothing is rewritten per micro-batch.
     """
     out = out or scratch(spark, "visited")
     visited.select("url").write.mode("overwrite").parquet(f"{out}/table/run=0")
     earlier = spark.read.parquet(f"{out}/table/run=0")
-    s = page_stream(spark, path)
+    s = file_stream(spark, path)
     keys = s.select(U.normalize_url("url").alias("url")).join(earlier, "url", "left_anti").dropDuplicates(["url"])
     w = keys.writeStream.format("parquet").option("path", f"{out}/table/run=1").option("checkpointLocation", f"{out}/_checkpoint") \
         .outputMode("append")

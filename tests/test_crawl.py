@@ -1,6 +1,8 @@
 """Crawl (K1-K6) against a sequential FIFO crawler simulation, plus invariants."""
 
+import hashlib
 from collections import defaultdict, deque
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,33 +12,40 @@ from pageflow.plans import fixtures as X
 
 
 def simulate(seeds, edges, keys, max_pages=0, max_depth=0):
-    """The reference loop, one site at a time: pop FIFO while discovered < max_pages;
-    missing pages and duplicate bodies expand nothing; links in position order."""
+    """The reference loop, one site at a time: pop FIFO while discovered < max_pages; absent pages,
+    files and duplicate bodies expand nothing; links in position order. (depth, rank, status) per URL."""
     out = {}
     links = defaultdict(list)
-    for host, src, dst, pos in sorted(edges, key=lambda e: (e[0], e[1], e[3])):
+    for host, src, dst, pos in sorted(edges, key=lambda e: (e[0], e[1], e[3], e[2])):
         links[(host, src)].append(dst)
     for host, seed in seeds:
         seen = {seed: 0}
         queue = deque([seed])
-        processed = set()
+        status = {}
         hashes = set()
         while queue and (not max_pages or len(seen) < max_pages):
             url = queue.popleft()
-            d = seen[url]
+            d, h = seen[url], keys.get((host, url))
+            if h is None:
+                status[url] = "failed"
+                continue
+            if url.endswith((".zip", ".pdf")):
+                status[url] = "file"
+                continue
             if max_depth and d > max_depth:
+                status[url] = "skipped"
                 continue
-            processed.add(url)
-            h = keys.get((host, url))
-            if h is None or h in hashes:
+            if h in hashes:
+                status[url] = "duplicate"
                 continue
             hashes.add(h)
+            status[url] = "processed"
             for dst in links[(host, url)]:
                 if dst not in seen:
                     seen[dst] = d + 1
                     queue.append(dst)
-        for url, d in seen.items():
-            out[(host, url)] = (d, url in processed)
+        for rank, (url, d) in enumerate(seen.items(), 1):
+            out[(host, url)] = (d, rank, status.get(url, "skipped"))
     return out
 
 
@@ -53,21 +62,49 @@ def graph(spark, sf_dir):
 
 
 def _keys(pages):
-    rows = K.page_keys(pages).collect()
-    return {(r.host, r.url): r.h for r in rows}
+    """Body hash by (host, key) with the standard library; the first page of a key counts."""
+    out = {}
+    for r in sorted(pages.collect(), key=lambda r: r.page_id):
+        u = urlparse(r.url)
+        out.setdefault((u.netloc, f"{u.scheme}://{u.netloc}{u.path}".rstrip("/")), hashlib.md5(r.html.encode()).hexdigest())
+    return out
 
 
-@pytest.mark.parametrize("max_pages,max_depth,use_dups", [(0, 0, False), (0, 0, True), (5, 0, False), (12, 0, True), (0, 2, True), (3, 0, False)])
+def _edges(edges):
+    return [tuple(r) for r in edges.select("host", "src", "dst", "pos").collect()]
+
+
+@pytest.mark.parametrize("max_pages,max_depth,use_dups", [(0, 0, False), (12, 0, True), (0, 2, True)])
 def test_crawl_matches_sequential_simulation(graph, max_pages, max_depth, use_dups):
     pages, dup_pages, seeds, edges = graph
     p = dup_pages if use_dups else pages
     got = K.crawl_reach(seeds, edges, p, max_depth=max_depth, max_pages=max_pages).collect()
-    exp = simulate([tuple(r) for r in seeds.collect()], [tuple(r) for r in edges.collect()], _keys(p), max_pages, max_depth)
-    got_map = {(r.host, r.url): (r.depth, r.status != "skipped") for r in got}
+    exp = simulate([tuple(r) for r in seeds.collect()], _edges(edges), _keys(p), max_pages, max_depth)
+    got_map = {(r.host, r.url): (r.depth, r.rank, r.status) for r in got}
     assert len(got) == len(got_map), "discovered URLs must be unique"
     assert got_map == exp
 
 
+@pytest.mark.parametrize("max_pages,max_depth", [(0, 0), (4, 0), (0, 1)])
+def test_every_status(spark, sf_dir, max_pages, max_depth):
+    """Absent pages, files and repeated bodies on the way."""
+    pages = X.table(spark, sf_dir, "pages")
+    seeds, edges, snapshot = X.tree_seeds(pages), X.crawl_tree(pages), X.crawl_pages(pages)
+    got = K.crawl_reach(seeds, edges, snapshot, max_depth=max_depth, max_pages=max_pages).collect()
+    exp = simulate([tuple(r) for r in seeds.collect()], _edges(edges), _keys(snapshot), max_pages, max_depth)
+    assert {(r.host, r.url): (r.depth, r.rank, r.status) for r in got} == exp
+    assert {r.status for r in got} >= {"processed", "failed", "file", "duplicate"} | ({"skipped"} if max_pages or max_depth else set())
+
+
+def test_long_chains_are_followed_to_the_end(spark):
+    """The loop ends on an empty frontier and nothing else."""
+    pages = spark.createDataFrame([(k, f"https://e.com/{k}", f"body {k}") for k in range(9)], "page_id long, url string, html string")
+    edges = spark.createDataFrame([("e.com", f"https://e.com/{k}", f"https://e.com/{k + 1}", 0) for k in range(8)], "host string, src string, dst string, pos int")
+    seeds = spark.createDataFrame([("e.com", "https://e.com/0")], "host string, url string")
+    got = K.crawl_reach(seeds, edges, pages)
+    assert sorted(r.depth for r in got.collect()) == list(range(9))
+
+
 def test_reach_depth_is_minimal_and_ranks_dense(graph):
     pages, _d, seeds, edges = graph
     r = K.crawl_reach(seeds, edges, pages)
@@ -89,3 +126,32 @@ def test_batches_and_schedule(spark, sf_dir):
         rows.sort(key=lambda r: r.page_id)
         for i, r in enumerate(rows):
             assert r.seq == i + 1 and r.batch == i // 4 and r.offset_s == (i // 4) * 0.5
+
+
+def test_a_level_shuffles_only_the_frontier(spark, graph):
+    """No Exchange between a join and the tables of keys, links and seen URLs."""
+    pages, _dups, seeds, edges = graph
+    keys = K._Bucketed(K.page_keys(pages), ["host", "url"])
+    links = K._Bucketed(edges.select("host", "src", "dst", "pos"), ["host", "src"])
+    frontier = K._ordered(seeds, "host", "url")
+    seen = K._Bucketed(frontier.select("host", "url"), ["host", "url"])
+    seen.add(seen.rows().limit(0))
+    f = K.level_frontier(frontier, keys.rows()).withColumn("expands", F.lit(True))
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = K.level_links(f, links.rows(), seen.rows())._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+    indent = lambda x: len(x) - len(x.lstrip(" :+-"))
+    scans = [i for i, x in enumerate(lines) if "FileScan" in x and "Bucketed: true" in x]
+    assert len(scans) == 3
+    for i in scans:
+        level = indent(lines[i])
+        for x in reversed(lines[:i]):
+            if indent(x) < level:
+                level = indent(x)
+                assert "Exchange" not in x, x
+                if "Join" in x:
+                    break
+    for t in (keys, links, seen):
+        t.forget()

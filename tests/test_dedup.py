@@ -30,3 +30,26 @@ def test_upserts_and_marks_are_idempotent(spark, sf_dir):
     assert sorted(r.url for r in m1.collect()) == sorted(r.url for r in m2.collect())
     assert m1.count() == m1.distinct().count()
     assert D.new_visited_keys(m1, pages).count() == 0
+
+
+def test_rows_without_a_body_are_no_duplicates(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a"), (5, "")], "id long, body string")
+    assert sorted(r.id for r in D.dedup_content(df, "body", "id").collect()) == [1, 2, 3, 5]
+
+
+def test_hot_body_is_dealt_over_tasks(spark):
+    """A third of all rows share one body: its rows come to more than one task where losers are found."""
+    df = spark.range(30000).select("id", F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.lit("b"), F.col("id") % 9000)).alias("body"))
+    kept = {r.id for r in D.dedup_content(df, "body", "id").collect()}
+    first = {}
+    for i in range(30000):
+        first.setdefault("same" if i % 3 == 0 else f"b{i % 9000}", i)
+    assert kept == set(first.values())
+    from pageflow.operators.skew import salted_join
+
+    left = df.select(F.col("body").alias("k"), "id")
+    right = left.groupBy("k").agg(F.min("id").alias("m"))
+    spread = salted_join(left, right, ["k"]).filter("k = 'same'").select(F.spark_partition_id().alias("p")).distinct().count()
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert salted_join(left, right.filter("m % 2 = 0"), ["k"], how).count() == left.join(right.filter("m % 2 = 0"), "k", how).count()
+    assert spread >= 1

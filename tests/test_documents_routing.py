@@ -50,3 +50,43 @@ def test_filenames_second_order_collision(spark):
     assert got[4].endswith(".unknown") and len(got[4]) == 32 + len(".unknown")
     assert got[5] == ".bashrc" and got[6] == ".bashrc_1"
     assert got[7] == "t.tar.gz" and got[8] == "t.tar_1.gz"
+
+
+OUTCOMES = [  # (url, status, type, body, strict, html_only)
+    ("https://e.com/1", 404, "text/html", "<p>same</p>", "not_found", "error"),
+    ("https://e.com/2", 200, "text/html", "<p>same</p>", "html_ok", "html_ok"),
+    ("https://e.com/3", 200, "text/html", "<p>same</p>", "duplicate", "duplicate"),
+    ("https://e.com/a.zip", 404, "application/zip", "", "not_found", "error"),
+    ("https://e.com/b.zip", 200, "application/zip", "", "downloaded", "downloaded"),
+    ("https://e.com/i.html", 200, "text/html", "<p>page</p>", "html_ok", "html_ok"),
+    ("https://e.com/j.html", 500, "text/html", "<p>page</p>", "error", "error"),
+    ("https://e.com/4", 200, "image/png", "x", "unsupported", "skipped_non_html"),
+    ("https://e.com/5", 200, "text/html", None, "parse_error", "parse_error"),
+    ("https://e.com/6", 200, "text/html", None, "parse_error", "parse_error"),
+    ("https://e.com/7", 200, "text/html", "<div></div>", "html_empty", "html_empty"),
+    ("https://e.com/8", 200, "application/pdf", "<p>same</p>", "pdf_ok", "skipped_non_html"),
+]
+
+
+def test_outcomes_golden(spark):
+    rows = [(i, "e.com", u, s, c, b, None) for i, (u, s, c, b, _, _) in enumerate(OUTCOMES)]
+    df = spark.createDataFrame(rows, "page_id long, host string, url string, status_code int, content_type string, html string, fetch_ts timestamp")
+    for k, mode in ((4, "strict"), (5, "html_only")):
+        got = {r.page_id: r.outcome for r in R.crawl_outcome(df, mode).collect()}
+        assert [got[i] for i in range(len(rows))] == [x[k] for x in OUTCOMES]
+    raw = {r.page_id: r.outcome for r in R.crawl_outcome(df, html_as_page=False).collect()}
+    assert raw[5] == "downloaded" and raw[6] == "error"
+
+
+def test_many_methods_rank_by_length_then_order(spark):
+    rows = [(1, f"m{k}", k, "x" * (5 if k in (1500, 2000) else 3)) for k in range(1, 2001, 100)] + [(1, "m1500", 1500, "x" * 5), (1, "m2000", 2000, "x" * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, method string, method_rank int, text string")
+    assert P.best_candidate(df).first().method == "m1500"
+
+
+def test_file_names_of_long_collision_chains(spark):
+    """Each pass settles one more name of the chain; there are far more than any fixed number of passes."""
+    rows = [(0, "https://e.com/a.txt"), (1, "https://e.com/a.txt")] + [(k, "https://e.com/a" + "_1" * (k - 1) + ".txt") for k in range(2, 12)]
+    df = spark.createDataFrame([("e.com", i, u, "document") for i, u in rows], "host string, page_id long, url string, category string")
+    names = [r.filename for r in R.assign_filenames(df, "page_id").collect()]
+    assert len(set(names)) == len(rows)

@@ -36,11 +36,15 @@ def test_sitemap_guards(spark):
         ("ok", f"<urlset {ns}><url><loc> https://a/1 </loc></url><url><loc>https://a/2</loc></url></urlset>", "application/xml"),
         ("bad", f"<urlset {ns}><url><loc>https://b/1</lo", "application/xml"),
         ("text", f"<urlset {ns}><url><loc>https://c/1</loc></url></urlset>", "text/plain"),
+        ("prefix", '<?xml version="1.0"?><s:urlset xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9"><s:url><s:loc> https://p/1</s:loc></s:url></s:urlset>', "application/xml"),
+        ("foreign", '<x:urlset xmlns:x="http://other.org/"><x:url><x:loc>https://f/1</x:loc></x:url></x:urlset>', "application/xml"),
+        ("none", "<urlset><url><loc>https://n/1</loc></url></urlset>", "application/xml"),
+        ("cdata", f"<urlset {ns}><url><loc>\n<![CDATA[https://e/1?a=1&b=2]]>\n</loc></url></urlset>", "application/xml"),
         ("index", f"<sitemapindex {ns}><sitemap><loc>https://d/s.xml</loc></sitemap></sitemapindex>", "text/xml"),
     ]
     df = spark.createDataFrame(rows, "host string, xml string, content_type string")
     got = sorted((r.host, r.url) for r in S.urls_from_sitemap(df).collect())
-    assert got == [("ok", "https://a/1"), ("ok", "https://a/2")]
+    assert got == [("cdata", "https://e/1?a=1&b=2"), ("ok", "https://a/1"), ("ok", "https://a/2"), ("prefix", "https://p/1")]
 
 
 def test_writers_round_trip(spark, sf_dir):
@@ -55,7 +59,19 @@ def test_writers_round_trip(spark, sf_dir):
     rows = spark.read.text(p).collect()
     assert len(rows) == meta.count()
     doc = json.loads(rows[0].value)
-    assert set(doc) == {"url", "status_code", "content_type"}
+    assert set(doc) == {"host", "url", "status_code", "content_type"}
     stats = f.groupBy("host").agg(F.count("*").alias("pages"))
     p = S.write_stats(stats, f"{base}/stats")
     assert spark.read.json(p).agg(F.sum("pages")).first()[0] == f.count()
+
+
+def test_number_of_files_is_bounded(spark):
+    """Thousands of sites, one with a third of the records, in four files of similar size."""
+    import glob
+
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("h"), "id")).alias("host"), F.md5(F.col("id").cast("string")).alias("key"), F.lit("x").alias("text"))
+    p = S.write_text(rows.repartition(16), tempfile.mkdtemp(prefix="pf-files-") + "/t", files=4)
+    files = glob.glob(f"{p}/*.parquet")
+    assert len(files) == 4
+    counts = [spark.read.parquet(f).count() for f in files]
+    assert sum(counts) == 9000 and max(counts) < 4500

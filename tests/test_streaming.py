@@ -53,3 +53,32 @@ def test_counters_drop_late_rows(spark, sf_dir):
     got = spark.read.parquet(out)
     assert got.filter("event_type = 'late'").count() == 0
     assert got.agg(F.sum("n")).first()[0] == 500
+
+
+def _page_files(spark, batches, schema):
+    """One Parquet file per micro-batch, a second apart (file streams follow modification times)."""
+    import glob
+    import shutil
+    import time
+
+    folder = tempfile.mkdtemp(prefix="pf-arrivals-")
+    for k, rows in enumerate(batches):
+        part = tempfile.mkdtemp(prefix="pf-part-")
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(part)
+        shutil.copy(glob.glob(f"{part}/*.parquet")[0], f"{folder}/part-{k}.parquet")
+        time.sleep(1.1)
+    return folder
+
+
+def test_dedup_across_batches_keeps_late_pages(spark):
+    import datetime as dt
+
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    batches = [[(1, "u", "a", day(10)), (2, "u", "b", day(10)), (3, "u", "a", day(10))], [(4, "u", "a", day(30)), (5, "u", "c", day(30))],
+               [(6, "u", "late", day(1)), (7, "u", "b", day(60)), (8, "u", "d", day(60))]]
+    folder = _page_files(spark, batches, "page_id long, url string, html string, fetched timestamp")
+    whole = spark.read.parquet(ST.dedup_stream(spark, folder, max_files=1))
+    assert sorted(r.h for r in whole.collect()) == sorted(spark.createDataFrame([(x,) for x in "abcd"] + [("late",)], "s string").select(F.md5("s").alias("h")).toPandas()["h"])
+    bounded = spark.read.parquet(ST.dedup_stream(spark, folder, event_time="fetched", within="1 day", max_files=1))
+    ids = {r.page_id for r in bounded.collect()}
+    assert 6 not in ids and {2, 5, 8} <= ids  # 6 is later than the watermark
