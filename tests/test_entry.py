@@ -21,4 +21,3 @@ def test_entry_runs_and_registry_is_consistent(spark):
     q, o = m.queries(), m.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 60
-    assert not [n for n in q if n.startswith("op") or "pipeline" in n]
