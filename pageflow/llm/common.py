@@ -13,8 +13,9 @@ import pageflow
 from pageflow.session import checkpoint_dir
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(pageflow.__file__)))
-if _ROOT not in [os.path.abspath(p or ".") for p in ["", *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]:
-    # Python workers don't see the folder that the driver imported this package from
+if _ROOT not in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))):
+    # Python workers elsewhere may not see the folder that the driver imported this package from,
+    # so its functions travel with the tasks
     cloudpickle.register_pickle_by_value(pageflow)
 
 #: What a word is in quality and duplicate operators: a run without ASCII white space.
