@@ -3,7 +3,7 @@
 Each round hangs the neighbours of a node on the least id in its neighbourhood: first the larger
 neighbours (large star), then the smaller ones (small star). Both keep the components, and the graph
 becomes one star per component after O(log^2 n) rounds, few in practice. A round is two grouped
-minima (combined before the shuffle) and two joins whose hot nodes adaptive execution can split; the
+minima (combined before the shuffle) and two joins that deal a hot node's edges over several tasks; the
 edges never outgrow the input. Every round is cut with a checkpoint.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageflow.llm.common import checkpointed
+from pageflow.operators.skew import salted_join
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -27,12 +28,12 @@ def star_components(edges: DataFrame) -> DataFrame:
     before = _mark(edges)
     while before[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("w")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = salted_join(both, least, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        hung = large.join(least, F.col("u") == F.col("w")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(hung.unionAll(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        hung = salted_join(large, least, ["u"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = checkpointed(hung.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
         now = _mark(edges)
         if now == before:
             break

@@ -173,7 +173,8 @@ def near_duplicates(
     # buckets with two classes at least, and a star around the least class of each
     each = classes.select("rep", "n", F.explode("bands").alias("band"))
     shared = each.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    shared = shared.select(F.col("band").alias("b"), F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"))
+    # written, so that the join below has a shuffle on both sides and a hot bucket can be split
+    shared = checkpointed(shared.select(F.col("band").alias("b"), F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
     members = checkpointed(each.join(shared, F.col("band") == F.col("b")).select("band", "rep", "n", "hub", "hub_n"))
     pairs = checkpointed(members.filter(_fits(percent)).select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct())
     members = members.select("band", "rep")
