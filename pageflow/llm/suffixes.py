@@ -1,18 +1,22 @@
 """Repeated passages by sparse suffix arrays (operator 10).
 
 Only suffixes that start at content-selected places are kept: of each run of ``WINDOW`` places, the one whose
-k-word hash is least (a minimiser). Equal passages select equal places, so documents that share
-``LEAST`` = 51 words share a kept suffix whose first LEAST - WINDOW + 1 words (the seed) are equal.
-
-1. Kept suffixes are narrow rows (seed hash, document, place), written once. Documents of equal words form a
-   class: all of them repeat from end to end, and only the first goes on. Seeds of one class go.
-2. The documents that are left supply each remaining suffix with its context: hashes of the words behind
-   the seed and before it, as far as the ends of a match can be from its nearest kept suffix.
-3. The suffixes are sorted over range partitions; a hot passage is split, because the sort key goes on with
-   context, document and place. Every suffix is compared with its neighbour of another document, once in
-   the order of the words behind and once in that of the words before. The rows at the ends of partitions are
-   compared in a second, small round. Matches are extended left and right, and count with LEAST words.
-4. The matches of a document become spans of words; overlapping spans become one.
+k-word hash is least (a minimiser). Each run of ``LEAST`` = 51 words belongs to the minimiser of its first
+places, whose next LEAST - WINDOW + 1 words (the seed) lie inside it. Equal runs select equal places, so
+documents that share one share a kept suffix of equal seed. The runs of one suffix start at consecutive
+words; together they are its block (at most LEAST + WINDOW - 1 words).
+
+1. Blocks are narrow rows (document, ends, hashes of seed and block), written once. Documents of equal words
+   form a class: all of them repeat from end to end, and only the first goes on. Seeds of one class go.
+2. Blocks that stand in two documents are spans. That is the inside of a long passage.
+3. What else can be shared is a part of a block, where a passage starts or ends. For seeds that have several
+   blocks, of which one isn't a span yet, the documents supply the hash of each run of LEAST words (at most
+   WINDOW for a block); of equal blocks in two documents only one is asked. Runs that stand in two documents
+   are spans. Every run is compared by its own key, so no match hides behind a neighbour.
+4. The spans of a document are merged where they overlap.
+
+Both comparisons are the least and greatest document of each hash, so hot passages are combined before the shuffle.
+Hashes have 64 bits.
 
 A-Z count as lower case; words are runs without ASCII white space. Null, empty and short texts repeat
 nothing, and passages that repeat inside one document alone don't count. ``doc_id`` names documents: repeated
@@ -26,35 +30,54 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pageflow.llm.common import checkpointed, partitions, table, utf8, written
+from pageflow.llm.common import checkpointed, table, utf8, written
 from pageflow.llm.minhash import distinct_rows
-from pageflow.llm.words import gram_hashes, word_hashes
+from pageflow.llm.words import gram_hashes, mix, word_hashes
 
 #: Words of the least match; words of the minimisers' grams; places of which one is kept.
 LEAST, K, WINDOW = 51, 5, 30
-#: Bytes of a word's hash in a context.
-WIDTH = 3
+#: Rows of a batch that a task gives back.
+ROWS = 50_000
+ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
-def minimisers(words: np.ndarray, k: int, window: int) -> np.ndarray:
-    """Places of the least k-word hash in each run of ``window`` places, the first of equals."""
+def _selected(words: np.ndarray, k: int, window: int) -> np.ndarray:
+    """For each run of ``window`` places, the place of the least k-word hash, the first of equals."""
     if len(words) < k + window - 1:
         return np.zeros(0, np.int64)
     runs = np.lib.stride_tricks.sliding_window_view(gram_hashes(words, k), window)
-    return np.unique(runs.argmin(axis=1) + np.arange(len(runs)))
+    return runs.argmin(axis=1) + np.arange(len(runs))
+
+
+def minimisers(words: np.ndarray, k: int, window: int) -> np.ndarray:
+    """Places of the least k-word hash in each run of ``window`` places, the first of equals."""
+    return np.unique(_selected(words, k, window))
+
+
+def run_hashes(words: np.ndarray, least: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``least`` words, by doubling: two overlapping runs give the longer one."""
+    size, out = 1, words
+    with np.errstate(over="ignore"):
+        while size < least:
+            step = min(size, least - size)
+            out = mix(out[:-step] * ODD + out[step:])
+            size += step
+    return out
 
 
-def kept_suffixes(words: np.ndarray, least: int, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, seeds) of the kept suffixes that have a whole seed."""
+def blocks(words: np.ndarray, runs: np.ndarray, least: int, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, seed, hash) of the block of each kept suffix; ``runs`` are the hashes of the runs of ``least`` words."""
     if len(words) < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    places, length = minimisers(words, k, window), least - window + 1
-    places = places[places + length <= len(words)]
-    return places, gram_hashes(words, length)[places]
+        return (*[np.zeros(0, np.int64)] * 2, *[np.zeros(0, np.uint64)] * 2)
+    places = _selected(words, k, window)[: len(runs)]
+    first = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+    last = np.append(first[1:], len(runs)) - 1
+    with np.errstate(over="ignore"):
+        both = mix((runs[first] * ODD + runs[last]) * ODD + (last - first).astype(np.uint64))
+    return first, last + least, gram_hashes(words, least - window + 1)[places[first]], both
 
 
 def _words(raw: pa.Scalar) -> np.ndarray:
@@ -65,127 +88,70 @@ def _text_key(words: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(words.tobytes()) - (1 << 63)
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    fields = [x.split() for x in schema.split(", ")]
-    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+def _batches(parts: list[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Record batches of tuples of arrays."""
+    columns = [pa.chunked_array([x if isinstance(x, pa.Array) else pa.array(x) for x in c]) for c in zip(*parts, strict=True)]
+    if columns:
+        yield from pa.Table.from_arrays(columns, names=names).combine_chunks().to_batches(max_chunksize=ROWS)
 
 
-SUFFIXES = "doc_id bigint, text_key bigint, place bigint, seed bigint"
+SUFFIXES = "doc_id bigint, text_key bigint, start bigint, stop bigint, seed bigint, block bigint"
 
 
 def _suffixes(docs: DataFrame, least: int, k: int, window: int) -> DataFrame:
-    """The kept suffixes of every document, and a row with null seed whose place is its number of words."""
+    """The blocks of every document, and a row with null seed whose stop is its number of words."""
+    names = [x.split()[0] for x in SUFFIXES.split(", ")]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in SUFFIXES.split(", ")]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                columns: list[list] = [[], [], [], []]
-                ends = []
-                for key, raw in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    words = _words(raw)
-                    text_key = _text_key(words)
-                    places, seeds = kept_suffixes(words, least, k, window)
-                    for c, x in zip(columns, (np.full(len(places), key), np.full(len(places), text_key), places, seeds.view(np.int64)), strict=True):
-                        c.append(x)
-                    ends.append((key, text_key, len(words), None))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], names=names)
-                yield _batch(ends, SUFFIXES)
+            parts, size = [], 0
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = _words(raw)
+                text_key, none = _text_key(words), pa.nulls(1, pa.int64())
+                start, stop, seed, block = blocks(words, run_hashes(words, least), least, k, window)
+                parts.append((np.full(len(start), key), np.full(len(start), text_key), start, stop, seed.view(np.int64), block.view(np.int64)))
+                parts.append((*[np.full(1, x) for x in (key, text_key, 0, len(words))], none, none))
+                size += len(start) + 1
+                if size >= ROWS:
+                    yield from _batches(parts, names)
+                    parts, size = [], 0
+            yield from _batches(parts, names)
 
     return docs.mapInArrow(keep, SUFFIXES)
 
 
-CONTEXT = "seed bigint, doc_id bigint, place bigint, behind binary, before binary"
+RUNS = "run bigint, lo bigint, hi bigint, start bigint"
 
 
-def _context(texts: DataFrame, left: DataFrame, least: int, window: int) -> DataFrame:
-    """The suffixes of ``left`` with hashes of the words behind the seed and of those before it, nearest first."""
-    length = least - window + 1
-    reach = least - length
+def _runs(texts: DataFrame, asked: DataFrame, least: int) -> DataFrame:
+    """The runs of ``least`` words of the blocks ``asked``, with the least and greatest document that has the block."""
+    names = [x.split()[0] for x in RUNS.split(", ")]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for key, raw, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            parts, size = [], 0
+            for raw, wanted in zip(batch.column(0), batch.column(1), strict=True):
                 words = _words(raw)
-                n, text_key = len(words), _text_key(words)
-                small = words.astype("<u8").view(np.uint8).reshape(n, 8)[:, :WIDTH]
-                ahead, back = small.tobytes(), small[::-1].tobytes()
-                for r in wanted.as_py():
-                    if r["text_key"] == text_key:
-                        p = r["place"]
-                        rows.append((r["seed"], key, p, ahead[WIDTH * (p + length) : WIDTH * (p + length + reach)], back[WIDTH * (n - p) : WIDTH * (n - p + reach)]))
-                if len(rows) >= 20_000:
-                    yield _batch(rows, CONTEXT)
-                    rows = []
-            yield _batch(rows, CONTEXT)
-
-    wanted = left.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("text_key", "place", "seed")).alias("wanted"))
-    return texts.join(wanted, F.col("doc_id") == F.col("d")).select("doc_id", "text", "wanted").mapInArrow(add, CONTEXT)
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """Words that two contexts share from their start."""
-    if a == b:
-        return len(a) // WIDTH
-    n = min(len(a), len(b))
-    x, y = np.frombuffer(a, np.uint8, n), np.frombuffer(b, np.uint8, n)
-    same = x == y
-    return (n if same.all() else int(same.argmin())) // WIDTH
-
-
-#: Spans have kind 0; rows at the ends of partitions are handed on with kind 1.
-SCANNED = "kind int, doc_id bigint, start bigint, stop bigint, other bigint, part int, at int, seed bigint, place bigint, behind binary, before binary"
-
-
-def _scan(batches: Iterator[pa.RecordBatch], length: int, least: int, ends: bool) -> Iterator[pa.RecordBatch]:
-    """Compares each row (seed, doc_id, place, behind, before) with the nearest earlier one of another document."""
-    part = TaskContext.get().partitionId()
-    first: list[tuple] = []  # the first row, and the first of another document
-    last = other = None  # the last row, and the last one of another document
-    for batch in batches:
-        out: list[tuple] = []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if not first or (len(first) == 1 and first[0][1] != row[1]):
-                first.append(row)
-            if last is not None and last[1] != row[1]:
-                other = last
-            last = row
-            if other is not None and other[0] == row[0]:
-                left, right = _common(other[4], row[4]), _common(other[3], row[3])
-                if left + length + right >= least:
-                    for a, b in ((other, row), (row, other)):
-                        out.append((0, a[1], a[2] - left, a[2] + length + right, b[1], *[None] * 6))
-        yield _batch(out, SCANNED)
-    if ends and last is not None:
-        kept = dict.fromkeys([*first, *([other] if other else []), last])
-        yield _batch([(1, r[1], None, None, None, part, k, r[0], *r[2:]) for k, r in enumerate(kept)], SCANNED)
-
-
-def _neighbours(suffixes: DataFrame, order: tuple[str, ...], least: int, window: int) -> DataFrame:
-    """(doc_id, start, stop, other): matches of neighbours in the order of ``order``."""
-    length, names = least - window + 1, ("seed", "doc_id", "place", "behind", "before")
-
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _scan(batches, length, least, True)
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _scan(batches, length, least, False)
-
-    n = partitions(suffixes.sparkSession)
-    placed = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*names)
-    found = checkpointed(placed.mapInArrow(inside, SCANNED))
-    # four rows per partition at most
-    ends = found.filter("kind = 1").repartition(1).sortWithinPartitions("part", "at").select(*names)
-    both = found.filter("kind = 0").unionByName(ends.mapInArrow(across, SCANNED))
-    return both.select("doc_id", "start", "stop", "other")
+                text_key, runs = _text_key(words), run_hashes(words, least).view(np.int64)
+                of = wanted.values
+                keys, start, stop, lo, hi = (of.field(x).to_numpy(zero_copy_only=False) for x in ("text_key", "start", "stop", "lo", "hi"))
+                own = keys == text_key
+                start, count, lo, hi = start[own], stop[own] - least + 1 - start[own], lo[own], hi[own]
+                total = int(count.sum())
+                at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(total)
+                parts.append((runs[at], np.repeat(lo, count), np.repeat(hi, count), at))
+                size += total
+                if size >= ROWS:
+                    yield from _batches(parts, names)
+                    parts, size = [], 0
+            yield from _batches(parts, names)
+
+    wanted = asked.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("text_key", "start", "stop", "lo", "hi")).alias("wanted"))
+    return texts.join(wanted, F.col("doc_id") == F.col("d")).select("text", "wanted").mapInArrow(add, RUNS)
 
 
 def _merged(spans: DataFrame) -> DataFrame:
-    """Overlapping spans of a document as one; ``other`` is the least document that shares any of it."""
+    """Overlapping spans of a document as one; ``other`` is the least of their other documents."""
     spans = spans.groupBy("doc_id", "start", "stop").agg(F.min("other").alias("other"))
     by = Window.partitionBy("doc_id").orderBy("start", "stop")
     far = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -198,7 +164,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K, window: i
     """(doc_id, start, stop, n_words, other): spans of words that stand in another document too."""
     docs = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), utf8(text).alias("text"))
     rows = written(_suffixes(docs, least, k, window), "suffixes")
-    whole = rows.filter(f"seed IS NULL AND place >= {least}").select("doc_id", "text_key", F.col("place").alias("n"))
+    whole = rows.filter(f"seed IS NULL AND stop >= {least}").select("doc_id", "text_key", F.col("stop").alias("n"))
     classes = checkpointed(whole.groupBy("text_key", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")))
     copied = classes.filter("rep <> last").select(F.col("text_key").alias("t"), F.col("n").alias("m"), "rep", "last")
     copies = whole.join(copied, (F.col("text_key") == F.col("t")) & (F.col("n") == F.col("m"))).select(
@@ -209,12 +175,32 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K, window: i
     shared = kept.groupBy(F.col("seed").alias("s")).agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).filter("a <> b").select("s")
     shared = checkpointed(shared)  # both sides of the join get a shuffle of their own, whose hot keys can be split
     left = kept.join(shared, F.col("seed") == F.col("s"), "left_semi")
-    reps = classes.select(F.col("rep").alias("r"), F.col("text_key").alias("t"))
-    left = checkpointed(left.join(reps, (F.col("doc_id") == F.col("r")) & (F.col("text_key") == F.col("t")), "left_semi").distinct())
+    reps = classes.select(F.col("rep").alias("r"), F.col("text_key").alias("t"), "last")
+    left = left.join(reps, (F.col("doc_id") == F.col("r")) & (F.col("text_key") == F.col("t"))).drop("r", "t")
+    left = checkpointed(left.withColumnRenamed("doc_id", "lo").withColumnRenamed("last", "hi").distinct())
+
+    # ``lo`` is the row's document; where ``hi`` is another one, the class repeats as a whole already
+    some = {c: F.first(c).alias(c) for c in ("text_key", "start", "stop", "seed")}
+    each = left.groupBy("block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("lo").alias("doc_id"), *some.values())
+    each = checkpointed(each)
+    twice = each.filter("lo <> hi").select(F.col("block").alias("x"), F.col("lo").alias("a"), F.col("hi").alias("b"))
+    at = F.when(F.col("lo") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other")
+    inside = left.filter("lo = hi").join(twice, F.col("block") == F.col("x")).select(F.col("lo").alias("doc_id"), "start", "stop", at)
+
+    open_ = checkpointed(each.groupBy(F.col("seed").alias("s")).agg(F.min("block").alias("a"), F.max("block").alias("b"), F.max(F.expr("lo = hi")).alias("o")).filter("a <> b AND o").select("s"))
+    columns = ("doc_id", "text_key", "start", "stop", "lo", "hi")
+    # a document may have the same block at several places; all of them are asked if no other document has it
+    single = each.filter("lo = hi").select(F.col("block").alias("x"))
+    alone = left.join(open_, F.col("seed") == F.col("s"), "left_semi").join(single, F.col("block") == F.col("x"), "left_semi")
+    alone = alone.withColumn("doc_id", F.col("lo")).select(*columns)
+    more = each.filter("lo <> hi").join(open_, F.col("seed") == F.col("s"), "left_semi").select(*columns)
     texts = distinct_rows(docs, whole.select("doc_id"), "doc_id", "text")
-    suffixes = written(_context(texts, left, least, window), "contexts")
-    spans = [copies, *(_neighbours(suffixes, ("seed", *order, "doc_id", "place"), least, window) for order in (("behind", "before"), ("before", "behind")))]
-    found = _merged(spans[0].unionAll(spans[1]).unionAll(spans[2]))
+    runs = written(_runs(texts, alone.unionAll(more), least), "runs")
+    again = checkpointed(runs.groupBy(F.col("run").alias("x")).agg(F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a <> b"))
+    ends = runs.filter("lo = hi").join(again, F.col("run") == F.col("x"))
+    ends = ends.select(F.col("lo").alias("doc_id"), "start", (F.col("start") + least).alias("stop"), at)
+
+    found = _merged(copies.unionAll(inside).unionAll(ends))
     return found.select(F.col("doc_id").alias(key), "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"), "other")
 
 

@@ -88,3 +88,13 @@ def test_minimisers_against_plain_search():
 
 def test_empty_table(spark):
     assert suffixes.repeated_passages(frame(spark, [(1, "a")]).limit(0)).count() == 0
+
+
+def test_cores_that_need_words_on_both_sides(spark):
+    """A passage of 51 words is a core and one of 10 heads or tails: partners are adjacent in no sort order."""
+    rng = random.Random(5)
+    some = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    core, heads, tails = some(45), [some(4) for _ in range(10)], [some(4) for _ in range(10)]
+    rows = [(k, " ".join(some(30) + rng.choice(heads) + core + rng.choice(tails) + some(30))) for k in range(600)]
+    want = covered(rows)
+    assert len(want) > 590 and found(suffixes.repeated_passages(frame(spark, rows))) == want
