@@ -98,3 +98,13 @@ def test_cores_that_need_words_on_both_sides(spark):
     rows = [(k, " ".join(some(30) + rng.choice(heads) + core + rng.choice(tails) + some(30))) for k in range(600)]
     want = covered(rows)
     assert len(want) > 590 and found(suffixes.repeated_passages(frame(spark, rows))) == want
+
+
+def test_passage_twice_in_the_least_document(spark):
+    rng = random.Random(6)
+    some = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage = some(200)
+    rows = [(5, " ".join(some(40) + passage + some(40) + passage + some(40))), (9, " ".join(some(25) + passage + some(25)))]
+    rows += [(k, " ".join(some(100))) for k in range(20, 60)]
+    want = covered(rows)
+    assert len(want[5]) == 400 and found(suffixes.repeated_passages(frame(spark, rows))) == want
