@@ -1,3 +1,4 @@
+import base64
 import re
 import zlib
 
@@ -50,6 +51,20 @@ def test_bands_reject_repetition_and_noise(spark):
     assert got[0]["kept"] and not got[2]["kept"] and got[3]["odd_share"] > 0.25 and not got[3]["kept"]
 
 
+def test_bands_reject_noise_of_any_length_and_repetition_under_half(spark, sf_dir):
+    rng = np.random.default_rng(4)
+    words = lambda n: [base64.b64encode(rng.bytes(int(rng.integers(2, 10)))).decode().rstrip("=") for _ in range(n)]
+    rows = [(k, " ".join(words(n // 4))[:n]) for k, n in enumerate((480, 1000, 4000, 20000, 60000))]
+    rows += [(10 + k, " ".join("".join(map(chr, rng.integers(0x4E00, 0x9F00, 2))) for _ in range(n // 7))) for k, n in enumerate((480, 1000, 4000, 20000, 60000))]
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    clean = spark.read.parquet(f"{sf_dir}/documents.parquet").join(labels, "doc_id").filter("length(text) BETWEEN 2500 AND 8000").orderBy("doc_id").limit(20).collect()
+    for r in clean:
+        w = r["text"].split()
+        rows.append((100 + r["doc_id"], " ".join(w + w[: len(w) * 28 // 100])))
+    got = quality_rules.measures(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 30 and not [r for r in got if r["base_failed"] or r["kept"]]
+
+
 def test_kept_rows_keep_their_columns(odd, spark):
     out = quality_rules.keep_good(odd)
     assert out.columns == odd.columns
