@@ -8,9 +8,10 @@
 3. Loose candidates get format and context features and are scored by boosted trees. The trees learn
    what checked data look like, from features that don't show the check: weak labels are the base
    checks and, for tokens, the key words or quotes in front of them. Candidates with equal features are
-   one row with a count, and the ``PATTERNS`` most frequent such rows are the training sample. A part
-   of them is left out of the fit and calibrates a threshold per generator: the lowest score
-   above which at least ``PRECISION`` of the held-out candidates carry the label.
+   one row with a count; ``PATTERNS`` such rows at most, an equal part for each generator, drawn by count,
+   are the training sample. A part of all rows is left out of the fit. All candidates of that part
+   calibrate a threshold per generator: the lowest score above which at least ``PRECISION`` of them
+   carry the label, from counts by score bucket.
 4. Selected loose spans that touch no base span are added to the base spans.
 
 The trees become a SQL expression. Positions are code points, ends exclusive. Null texts count as empty
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageflow.llm.boosting import Trees, fit
-from pageflow.llm.common import table, written
+from pageflow.llm.common import checkpointed, table, written
 
 #: Distinct feature rows the trees may be fitted on, share of the labelled among selected ones.
 PATTERNS, PRECISION = 4096, 0.97
+#: Score buckets of a unit of log odds, and the log odds beyond which they end.
+BUCKETS, FAR = 256, 32
 KINDS = ("email", "ip", "card", "phone", "secret", "number", "handle")
 
 _LOCAL = r"A-Za-z0-9._%+-"
@@ -117,24 +120,41 @@ def features(loose: DataFrame) -> DataFrame:
 
 
 def train(scored: DataFrame, patterns: int = PATTERNS, precision: float = PRECISION) -> tuple[Trees, dict[int, float]]:
-    """Trees and each generator's threshold, from the most frequent feature rows."""
+    """Trees from a sample of the feature rows, and each generator's threshold from all of them."""
     names = [f"f_{k}" for k in FEATURES]
-    rows = scored.groupBy(*names, "label").count().orderBy(F.desc("count"), *names, "label").limit(patterns).collect()
+    groups = checkpointed(scored.groupBy(*names, "label").count())
+    # the least of -ln(u) / count: a draw by count without replacement, the same in each run
+    draw = -F.log((F.pmod(F.xxhash64(*names, "label"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))) / F.col("count")
+    rows = []
+    for g in range(1, len(LOOSE) + 1):
+        rows += groups.filter(F.col("f_gen") == g).orderBy(draw, *names, "label").limit(-(-patterns // len(LOOSE))).collect()
+    rows.sort(key=lambda r: (-r["count"], *r[:-1]))
     data = np.array([[*r] for r in rows], np.int64).reshape(-1, len(names) + 2)
     bins, label, weight = data[:, :-2], data[:, -2], np.sqrt(data[:, -1].astype(float))
     held = np.array([sum((k + 3) * v for k, v in enumerate(row)) % 4 == 0 for row in bins.tolist()], bool)
-    if not (~held).any():
+    every = not (~held).any()
+    if every:
         held[:] = False
-    trees = fit(bins[~held], label[~held], weight[~held], trees=24, depth=3)
-    raw, limits = trees.raw(bins), {}
+    trees, limits = fit(bins[~held], label[~held], weight[~held], trees=24, depth=3), {}
+    left_out = sum(((k + 3) * F.col(c) for k, c in enumerate(names)), F.lit(0)) % 4 == 0
+    raw = groups.select("f_gen", "label", "count", F.expr(score_sql(trees)).alias("score"), left_out.alias("held"))
+    bucket = F.floor(F.greatest(F.least("score", F.lit(float(FAR))), F.lit(float(-FAR))) * BUCKETS)
+    sums = raw.groupBy("f_gen", "held", bucket.alias("bucket")).agg(
+        F.min("score").alias("score"), F.sum("count").alias("n"), F.sum(F.col("count") * F.col("label")).alias("good"), F.count("*").alias("rows")
+    )
+    found = sums.collect()
     for g in range(1, len(LOOSE) + 1):
-        use = (bins[:, 0] == g) & (held if (held & (bins[:, 0] == g)).sum() >= 20 else True)
-        order = np.argsort(-raw[use], kind="stable")
-        score, good, w = raw[use][order], label[use][order], data[use, -1][order].astype(float)
-        right = np.cumsum(good * w) / np.maximum(np.cumsum(w), 1e-9)
-        last = np.append(score[1:] < score[:-1], True)[: len(score)]  # ties are taken together
-        passing = np.flatnonzero(last & (right >= precision))
-        limits[g] = float(score[passing[-1]]) if len(passing) else float("inf")
+        own = [r for r in found if r["f_gen"] == g]
+        if not every and sum(r["rows"] for r in own if r["held"]) >= 20:
+            own = [r for r in own if r["held"]]
+        limits[g], good, n, last = float("inf"), 0, 0, {}
+        for r in own:  # a bucket is taken as a whole
+            x = last.setdefault(r["bucket"], [r["score"], 0, 0])
+            last[r["bucket"]] = [min(x[0], r["score"]), x[1] + r["good"], x[2] + r["n"]]
+        for _, (score, right, count) in sorted(last.items(), reverse=True):
+            good, n = good + right, n + count
+            if good >= precision * n:
+                limits[g] = score
     return trees, limits
 
 
