@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pageflow.llm import chat_format, minhash, packing, phrase_index, pii, quality_model, quality_rules, sharding, suffixes, warc
+from pageflow.llm import chat_format, fim, merkle, minhash, packing, phrase_index, pii, quality_model, quality_rules, sharding, suffixes, url_filter, warc
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_benchmark_decontamination": phrase_index.query,
     "op9_quality_rules": quality_rules.query,
     "op10_suffix_dedup": suffixes.query,
+    "op11_url_filter": url_filter.query,
+    "op12_merkle_manifest": merkle.query,
+    "op13_fill_in_middle": fim.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +27,7 @@ SQL: dict[str, str] = {
     "op4_chat_format": chat_format.SQL,
     "op5_warc": warc.SQL,
     "op8_benchmark_decontamination": phrase_index.SQL,
+    "op11_url_filter": url_filter.SQL,
+    "op12_merkle_manifest": merkle.SQL,
+    "op13_fill_in_middle": fim.SQL,
 }
