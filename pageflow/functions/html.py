@@ -14,6 +14,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pageflow.functions.blocks import block_ends
 from pageflow.functions.urls import ColumnOrName, _col, let
 
 # Python's str.isspace() set, as a Java regex class (Java's \s is ASCII only).
@@ -25,17 +26,14 @@ WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u20
 DROP_SCRIPT_STYLE = ("script", "style")
 DROP_WITH_NOSCRIPT = ("script", "style", "noscript")
 DROP_WITH_META = ("script", "style", "meta", "link")
-# Block elements whose text the block extractor emits, and the tags that end a block.
-BLOCK_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")
+# The tags that end a block.
 BOUNDARY_TAGS = ("p", "h[1-6]", "li", "ul", "ol", "div", "nav", "article", "section", "footer", "header", "main", "aside",
                  "form", "blockquote", "body", "html", "table", "td", "th")
-# Elements that closing tags and paragraphs inside them don't reach out of.
-CELL_TAGS = ("table", "td", "th")
-# What the code points 0x80-0x9F of numeric references stand for (0: nothing).
-C1_REFERENCES = [
-    0x20AC, 0x81, 0x201A, 0x0192, 0x201E, 0x2026, 0x2020, 0x2021, 0x02C6, 0x2030, 0x0160, 0x2039, 0x0152, 0x8D, 0x017D, 0x8F,
-    0x90, 0x2018, 0x2019, 0x201C, 0x201D, 0x2022, 0x2013, 0x2014, 0x02DC, 0x2122, 0x0161, 0x203A, 0x0153, 0x9D, 0x017E, 0x0178,
-]
+# What the code points 0x80-0x9F of numeric references stand for, in order.
+C1_REFERENCES = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+# Code points (six hexadecimal digits) that a numeric reference can't give, and those that give nothing.
+NO_CHARACTER = "^(?:000000|00D[89A-F]..|110000)$"
+NO_TEXT = "^0000(?:0[1-8BEF]|1.|7F)$|^00FD[DE].$|FFF[EF]$"
 
 # Attributes step over quoted values (quotes count after '=' only), so a '>' inside one doesn't end
 # the tag; a '<' outside quotes does, so a stray '<' in text costs O(1) instead of a scan to
@@ -61,56 +59,37 @@ def strip_elements(html: ColumnOrName, tags: tuple[str, ...] = DROP_SCRIPT_STYLE
 
 
 @cache
-def _reference_tables() -> tuple[str, str]:
-    """All named references of HTML5 as JSON: by first letter, and those that need no ';'."""
+def _decoder() -> str:
+    """The decoder of one text as a SQL lambda: written once, so that a use costs the driver two calls.
+
+    The text is cut at '&'. Each piece behind one starts with a reference (``w``) or doesn't; a reference by number
+    gives its digits without leading zeros (``d``), then six hexadecimal digits (``h``).
+    """
     by: dict[str, dict[str, str]] = {}
     for name, text in html5.items():
         by.setdefault(name[0], {})[name] = text
-    return json.dumps(by), json.dumps({k: v for k, v in html5.items() if not k.endswith(";")})
-
-
-def _code_point(digits: Column, base: int) -> Column:
-    """The text of a numeric reference, as HTML5 reads it."""
-    plain = F.ltrim(digits, F.lit("0"))
-    n = F.when(F.length(plain) > 7, F.lit(0x110000)).when(plain == "", F.lit(0)).otherwise(F.conv(plain, base, 10).cast("int"))
-
-    def text(n: Column) -> Column:
-        c1 = F.element_at(F.array(*[F.lit(x) for x in C1_REFERENCES]), F.greatest(F.lit(1), F.least(F.lit(32), n - 0x7F)))
-        shown = F.when(n.between(0x80, 0x9F), c1).otherwise(n)
-        gone = n.between(1, 8) | (n == 0x0B) | n.between(0x0E, 0x1F) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
-        bad = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(shown), 8, "0")), "UTF-32")
-        return F.when(bad, F.lit("\ufffd")).when(gone, F.lit("")).otherwise(char)
-
-    return let(n, text)
+    old = {k: v for k, v in html5.items() if not k.endswith(";")}
+    held = lambda x: "r'" + json.dumps(x).replace("'", "\\u0027") + "'"
+    names, legacy = f"from_json({held(by)}, 'map<string, map<string, string>>')", f"from_json({held(old)}, 'map<string, string>')"
+    prefix = "^(?:" + "|".join(sorted(old, key=len, reverse=True)) + ")"
+    bind = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    text = f"""CASE WHEN h RLIKE r'{NO_CHARACTER}' THEN '\ufffd' WHEN h RLIKE r'{NO_TEXT}' THEN ''
+        WHEN h RLIKE '^0000[89]' THEN substring('{C1_REFERENCES}', CAST(conv(right(h, 2), 16, 10) AS INT) - 127, 1)
+        ELSE decode(unhex(concat('00', h)), 'UTF-32') END"""
+    # more than seven digits are beyond all code points in either base
+    code = "CASE WHEN length(d) > 7 THEN 1114112 WHEN d = '' THEN 0 ELSE least(1114112, CAST(IF(w RLIKE '^#[xX]', conv(d, 16, 10), conv(d, 10, 10)) AS INT)) END"
+    number = bind("regexp_replace(w, '^#[xX]?0*|;$', '')", "d", bind(f"lpad(hex({code}), 6, '0')", "h", text))
+    by_prefix = bind(f"regexp_extract(w, '{prefix}', 0)", "p", f"concat(try_element_at({legacy}, p), substring(x, length(p) + 1))")
+    read = f"""coalesce(concat(IF(startswith(w, '#'), {number}, try_element_at(try_element_at({names}, left(w, 1)), w)), substring(x, length(w) + 1)),
+        {by_prefix}, concat('&', x))"""
+    word = r"regexp_extract(x, r'^(?:#(?:[0-9]+|[xX][0-9a-fA-F]+)|[^\t\n\f <&#;]{1,32});?', 0)"
+    return f"v -> IF(contains(v, '&'), array_join(transform(split(v, '&'), (x, i) -> IF(i = 0, x, {bind(word, 'w', read)})), ''), v)"
 
 
 def unescape_html(c: ColumnOrName) -> Column:
     """Decode character references in one pass, as HTML5 (and ``html.unescape``) reads them:
     numeric ones of any length, all named ones, the old names without ';' by longest prefix."""
-    by, old = _reference_tables()
-    names = F.from_json(F.lit(by), "map<string, map<string, string>>")  # constants, folded once
-    legacy = F.from_json(F.lit(old), "map<string, string>")
-
-    def named(word: Column, x: Column) -> Column:
-        whole = F.try_element_at(F.try_element_at(names, F.substring(word, 1, 1)), word)
-        parts = [F.when(F.length(word) > k, F.concat(F.try_element_at(legacy, F.substring(word, 1, k)), F.substring(x, k + 1, 1 << 30))) for k in (6, 5, 4, 3, 2)]
-        rest = F.substring(x, F.length(word) + 1, 1 << 30)
-        return F.coalesce(F.concat(whole, rest), *parts, F.concat(F.lit("&"), x))
-
-    def piece(x: Column, i: Column) -> Column:
-        dec, hx = F.regexp_extract(x, r"^#([0-9]+);?", 1), F.regexp_extract(x, r"^#[xX]([0-9a-fA-F]+);?", 1)
-        rest = F.regexp_replace(x, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", "")
-        word = F.regexp_extract(x, r"^[^\t\n\f <&#;]{1,32};?", 0)
-        return (
-            F.when(i == 0, x)
-            .when(dec != "", F.concat(_code_point(dec, 10), rest))
-            .when(hx != "", F.concat(_code_point(hx, 16), rest))
-            .when(word == "", F.concat(F.lit("&"), x))
-            .otherwise(let(word, lambda w: named(w, x)))
-        )
-
-    return let(_col(c), lambda v: F.when(v.contains("&"), F.array_join(F.transform(F.split(v, "&"), piece), "")).otherwise(v))
+    return F.element_at(F.call_function("transform", F.array(_col(c)), F.expr(_decoder())), 1)
 
 
 def strip_ws(c: ColumnOrName) -> Column:
@@ -155,48 +134,6 @@ def alt_text(html: ColumnOrName) -> Column:
     return clean_text(page_text(html, " "))
 
 
-def _last(stack: Column, holds) -> Column:
-    """1-based place of the last element of the stack whose tag fulfils ``holds``, 0 if none."""
-    return F.coalesce(F.array_max(F.transform(stack, lambda x, j: F.when(holds(x["tag"]), j + 1).otherwise(0))), F.lit(0))
-
-
-def _block_ends(tags: Column) -> Column:
-    """(i, e) of every block: it holds the pieces i .. e - 1. ``tags`` are (tag, open) in document order;
-    piece i is the text behind tag i - 1.
-
-    A stack of open elements as a forgiving parser keeps it: a paragraph ends where a block
-    starts, an item where the next item of its list starts, a heading where another starts, and a closing
-    tag ends everything inside its element. Closing tags without an element are ignored.
-    """
-    is_heading = lambda t: t.rlike("^h[1-6]$")
-    is_cell = lambda t: t.isin(*CELL_TAGS)
-    empty = F.expr("CAST(array() AS array<struct<tag: string, i: int>>)")
-    none = F.expr("CAST(array() AS array<struct<i: int, e: int>>)")
-
-    def step(state: Column, item: Column) -> Column:
-        stack, tag = state["stack"], item["tag"]
-        size, cell = F.size(stack), _last(stack, is_cell)
-        same = F.when(is_heading(tag), _last(stack, is_heading)).otherwise(_last(stack, lambda t: t == tag))
-        closes = F.when((same > cell) | is_cell(tag), F.when(same > 0, same - 1).otherwise(size)).otherwise(size)
-        p, li, lists = _last(stack, lambda t: t == "p"), _last(stack, lambda t: t == "li"), _last(stack, lambda t: t.isin("ul", "ol"))
-        after_p = F.when(p > cell, p - 1).otherwise(size)
-        after_li = F.when((tag == "li") & (li > F.greatest(lists, cell)), li - 1).otherwise(size)
-        top = F.get(stack, size - 1)["tag"]
-        after_h = F.when(is_heading(tag) & F.coalesce(is_heading(top), F.lit(False)), size - 1).otherwise(size)
-        keep = F.when(item["open"], F.least(after_p, after_li, after_h)).otherwise(closes)
-        gone = F.filter(F.slice(stack, keep + 1, F.greatest(size - keep, F.lit(0))), lambda x: x["tag"].isin(*BLOCK_TAGS))
-        ended = F.concat(state["ends"], F.transform(gone, lambda x: F.struct(x["i"].alias("i"), state["at"].alias("e"))))
-        kept = F.slice(stack, F.lit(1), keep)
-        pushed = F.when(item["open"], F.concat(kept, F.array(F.struct(tag.alias("tag"), state["at"].alias("i"))))).otherwise(kept)
-        return F.struct(pushed.alias("stack"), ended.alias("ends"), (state["at"] + 1).alias("at"))
-
-    def close_all(state: Column) -> Column:
-        open_ = F.filter(state["stack"], lambda x: x["tag"].isin(*BLOCK_TAGS))
-        return F.array_sort(F.concat(state["ends"], F.transform(open_, lambda x: F.struct(x["i"].alias("i"), state["at"].alias("e")))))
-
-    return F.aggregate(tags, F.struct(empty.alias("stack"), none.alias("ends"), F.lit(1).alias("at")), step, close_all)
-
-
 def block_text(html: ColumnOrName) -> Column:
     """H4: whole texts of p/h1-h6/li blocks in document order, cleaned to one line. A block inside another
     one is part of the outer text and comes again by itself."""
@@ -205,13 +142,12 @@ def block_text(html: ColumnOrName) -> Column:
 
     def texts(parts: Column) -> Column:
         pieces = F.transform(parts["pieces"], lambda x: clean_text(unescape_html(F.regexp_replace(x, TAG, " "))))
-        tags = F.transform(parts["tags"], lambda x: F.struct(F.lower(F.regexp_extract(x, pattern, 2)).alias("tag"), (F.regexp_extract(x, pattern, 1) == "").alias("open")))
 
         def joined(at: Column) -> Column:
             blocks = F.transform(at["ends"], lambda b: F.array_join(F.filter(F.slice(at["pieces"], b["i"] + 1, b["e"] - b["i"]), lambda x: x != ""), " "))
             return F.array_join(F.filter(blocks, lambda x: x != ""), " ")
 
-        return let(F.struct(pieces.alias("pieces"), _block_ends(tags).alias("ends")), joined)
+        return let(F.struct(pieces.alias("pieces"), block_ends(parts["tags"]).alias("ends")), joined)
 
     def cut(body: Column) -> Column:
         return let(F.struct(F.split(body, pattern).alias("pieces"), F.regexp_extract_all(body, F.lit(pattern), F.lit(0)).alias("tags")), texts)
@@ -219,6 +155,13 @@ def block_text(html: ColumnOrName) -> Column:
     return let(strip_elements(html, DROP_SCRIPT_STYLE), cut)
 
 
+def without_block_text(html: ColumnOrName) -> Column:
+    """True where :func:`block_text` is empty. A block that starts with a visible character settles it; only
+    pages without one are read block by block."""
+    starts = rf"(?i)<(?:p|h[1-6]|li)(?:[\s/]{ATTRIBUTES})?>{WS}*+[^&<\s\x1c-\x1f\x85\p{{Z}}]"
+    return let(strip_elements(html), lambda body: F.when(body.rlike(starts), False).otherwise(F.coalesce(F.length(block_text(html)), F.lit(0)) == 0))
+
+
 def visible_text(html: ColumnOrName) -> Column:
     """H5: text nodes outside head/title/script/style/noscript/meta and comments, cleaned."""
     body = strip_elements(html, DROP_WITH_NOSCRIPT)

@@ -6,27 +6,29 @@ level (frontier join pages, join edges, anti-join seen, first-discoverer aggrega
 Sites are a column, so every site crawls in the same job. The loop ends on an empty frontier.
 
 Scale notes
-* Page keys, edges, the seen set and the consumed body hashes are bucketed tables in the shared
-  checkpoint folder: a level's joins shuffle the frontier and its candidate links alone, and a
-  level appends its rows to the seen set instead of rewriting it.
+* Page keys and edges are bucketed tables, the seen set and the consumed body hashes growing ones
+  (``state``): a level's joins shuffle the frontier and its candidate links alone, a level adds its rows instead
+  of rewriting the rest, and additions are merged, so that deep sites don't leave thousands of small files.
 * Nothing is grouped by site: order inside a level is a sorted position, a site's count is a small running
   table joined with salts, and a body that many pages share is first reduced to one row.
-* Lineage is cut every level with a reliable ``checkpoint`` into the shared
-  ``spark.checkpoint.dir`` (survives executor loss; never a local checkpoint).
+* A level log in the shared folder holds every whole level: the URLs found and the next frontier. It cuts the
+  lineage, survives lost executors, and a crawl that is started again on the log of a lost driver goes on from
+  the last whole level.
 """
 
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageflow.functions import urls as U
 from pageflow.operators.ranking import rank_in_groups, running_sum_in_groups
 from pageflow.operators.skew import salted_join
+from pageflow.operators.state import Bucketed, Growing, lacking
 from pageflow.session import checkpoint_dir
+from pageflow.sources.commits import CommitLog
 
 PAGE_EXTS = (".html", ".htm")
 
@@ -54,37 +56,59 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-class _Bucketed:
-    """A table in the shared folder whose rows lie in hash buckets of ``keys``: joins on them shuffle the
-    other side only. ``add`` appends; the files of a bucket are read together."""
+class LevelLog:
+    """The whole levels of a crawl in a folder. Commit 0 has the seeds as first frontier, commit d + 1 the URLs found
+    at depth d and the frontier behind them. Files of a level that was never committed are not read."""
 
-    def __init__(self, df: DataFrame, keys: list[str]):
-        self.spark, self.keys = df.sparkSession, keys
-        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"pageflow_crawl_{uuid.uuid4().hex}"
-        self.path = f"{checkpoint_dir(self.spark).rstrip('/')}/{self.name}"
-        self._write(df, "errorifexists")
+    FOUND = "host string, url string, h string, ord bigint, expands boolean, processed boolean, status string, depth int"
+    FRONTIER = "host string, url string, ord bigint"
 
-    def _write(self, df: DataFrame, mode: str) -> None:
-        dealt = df.repartition(self.buckets, *self.keys)
-        dealt.write.mode(mode).bucketBy(self.buckets, *self.keys).option("path", self.path).saveAsTable(self.name)
+    def __init__(self, spark: SparkSession, folder: str, settings: dict):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.commits = CommitLog(spark, f"{self.folder}/levels")
+        self.levels = [self.commits.read(n) for n in self.commits.numbers()]
+        self.settings = settings
+        if self.levels and self.levels[0]["settings"] != settings:
+            raise ValueError(f"the crawl in {folder} was started with {self.levels[0]['settings']}, not {settings}")
 
-    def add(self, df: DataFrame) -> None:
-        self._write(df, "append")
+    @property
+    def depth(self) -> int:
+        """The depth of the frontier that comes next."""
+        return len(self.levels) - 1
 
-    def rows(self) -> DataFrame:
-        return self.spark.table(self.name)
+    def write(self, name: str, df: DataFrame) -> str:
+        path = f"{name}-{len(self.levels)}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.folder}/{path}")
+        return path
 
-    def forget(self) -> None:
-        """Drops the name; the files stay with the other checkpoints."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+    def read(self, schema: str, paths: list[str]) -> DataFrame:
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{p}" for p in paths])
 
+    def commit(self, found: str | None, frontier: str) -> int:
+        """Adds a level; returns the rows of its frontier."""
+        rows = self.read(self.FRONTIER, [frontier]).count()
+        level = {"found": found, "next": frontier, "rows": rows} | ({} if self.levels else {"settings": self.settings})
+        self.commits.commit(len(self.levels), level)
+        self.levels.append(level)
+        return rows
 
-def _ordered(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` sorted over range partitions, with ``ord`` rising along ``order``; a hot site is split. Written
-    once, so that every reader sees the same positions."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _checkpointed(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id()))
+    def frontier(self) -> DataFrame:
+        return self.read(self.FRONTIER, [self.levels[-1]["next"]])
+
+    def seen(self) -> DataFrame:
+        return self.read(self.FRONTIER, [x["next"] for x in self.levels if x["rows"]]).select("host", "url")
+
+    def found(self) -> DataFrame:
+        """Every URL found so far."""
+        return self.read(self.FOUND, [x["found"] for x in self.levels[1:]])
+
+
+def _in_order(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` sorted over range partitions, with ``ord`` rising along ``order``; a hot site is split, and few rows are few
+    partitions. To be written once, so that every reader sees the same positions."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id())
 
 
 def crawl_reach(
@@ -95,6 +119,7 @@ def crawl_reach(
     max_pages: int = 0,
     dedup: bool = True,
     html_as_page: bool = True,
+    log: str | None = None,
 ) -> DataFrame:
     """K1-K4: breadth-first crawl.
 
@@ -105,74 +130,86 @@ def crawl_reach(
     (0 = unlimited). ``max_pages`` (K3): a page is processed only while the site's
     discovered count is below it (0 = unlimited); one page may overshoot.
 
+    ``log``: a folder in shared storage. A crawl whose driver was lost goes on from its last whole level
+    when it is started again with the same folder, inputs and limits; a crawl that had ended only returns its result.
+
     Returns ``(host, url, depth, rank, status)``: every discovered URL with its depth,
     its discovery rank inside the site (K4) and one of processed / failed / file /
     duplicate / skipped.
     """
-    keys = _Bucketed(page_keys(pages), ["host", "url"])
-    links = _Bucketed(edges.select("host", "src", "dst", "pos"), ["host", "src"])
-    frontier = _ordered(seeds.select("host", "url").distinct(), "host", "url")
-    seen = _Bucketed(frontier.select("host", "url"), ["host", "url"])
-    counts = _checkpointed(frontier.groupBy("host").agg(F.count("*").alias("n_seen"))) if max_pages else None
-    hashes: _Bucketed | None = None
-    levels: list[DataFrame] = []
-    depth = 0
-    while frontier.head(1):
-        f = level_frontier(frontier, keys.rows())
-        alive = F.col("h").isNotNull() & expandable_route("url", html_as_page)
-        if max_depth and depth > max_depth:
-            alive = F.lit(False)
-        f = f.withColumn("alive", alive)
+    spark = edges.sparkSession
+    folder = log or f"{checkpoint_dir(spark).rstrip('/')}/crawl-{uuid.uuid4().hex}"
+    held = LevelLog(spark, folder, {"max_depth": max_depth, "max_pages": max_pages, "dedup": dedup, "html_as_page": html_as_page})
+    if not held.levels:
+        held.commit(None, held.write("next", _in_order(seeds.select("host", "url").distinct(), "host", "url")))
+    if held.levels[-1]["rows"]:
+        _crawl_levels(held, edges, pages)
+    return rank_in_groups(held.found().select("host", "url", "depth", "ord", "status"), ["host"], ["depth", "ord"], "rank").select("host", "url", "depth", "rank", "status")
+
+
+def _crawl_levels(held: LevelLog, edges: DataFrame, pages: DataFrame) -> None:
+    """Runs levels until a frontier is empty. All state but the log is made from it (and from the inputs) at the start."""
+    spark = held.spark
+    max_depth, max_pages, dedup, html_as_page = (held.settings[k] for k in ("max_depth", "max_pages", "dedup", "html_as_page"))
+    keys = Bucketed(spark, ["host", "url"]).add(page_keys(pages))
+    links = Bucketed(spark, ["host", "src"]).add(edges.select("host", "src", "dst", "pos"))
+    seen, hashes = Growing(spark, ["host", "url"]), Growing(spark, ["host", "h"])
+    rows = held.levels[-1]["rows"]
+    seen.add(held.seen(), sum(x["rows"] for x in held.levels))
+    if held.depth:
+        hashes.add(_consumed(held.found()))
+    counts = _checkpointed(held.seen().groupBy("host").agg(F.count("*").alias("n_seen"))) if max_pages else None
+    while rows:
+        depth = held.depth
+        deep = bool(max_depth) and depth > max_depth
+        f = level_frontier(held.frontier(), keys.rows())
+        page = F.lit(False) if deep else expandable_route("url", html_as_page)
+        f = f.withColumn("alive", F.col("h").isNotNull() & page)
         if dedup:
             # the first page of each new body in the level; one row per body meets the consumed ones
-            first = f.filter("alive").groupBy("host", "h").agg(F.min("ord").alias("ord"))
-            if hashes:
-                first = first.join(hashes.rows(), ["host", "h"], "left_anti")
+            first = hashes.lacking(f.filter("alive").groupBy("host", "h").agg(F.min("ord").alias("ord")))
             f = f.join(first.select("host", "ord", F.lit(True).alias("first")), ["host", "ord"], "left")
             f = f.withColumn("dup", F.col("alive") & F.col("first").isNull()).drop("first")
         else:
             f = f.withColumn("dup", F.lit(False))
-        f = _checkpointed(f.withColumn("expands", F.col("alive") & ~F.col("dup")))
-        new = level_links(f, links.rows(), seen.rows())
-        if max_pages:
-            # K3: pages of this level run in order while discovered(site) < max_pages
-            new = _checkpointed(new)
-            per_parent = new.groupBy("host", F.col("parent").alias("ord")).agg(F.count("*").alias("n_new"))
-            runs = f.join(per_parent, ["host", "ord"], "left").fillna(0, ["n_new"])
-            runs = salted_join(running_sum_in_groups(runs, ["host"], ["ord"], "n_new", "before"), counts, ["host"])
-            f = _checkpointed(runs.withColumn("processed", F.col("n_seen") + F.col("before") < max_pages).drop("n_new", "before", "n_seen"))
-            ran = f.filter("processed AND expands").select("host", F.col("ord").alias("parent"))
-            new = new.join(ran, ["host", "parent"], "left_semi")
-        else:
-            f = f.withColumn("processed", F.lit(True))
         status = (
-            F.when(~F.col("processed"), F.lit("skipped"))
-            .when(F.col("h").isNull(), F.lit("failed"))
+            F.when(F.col("h").isNull(), F.lit("failed"))
             .when(F.col("dup"), F.lit("duplicate"))
             .when(~expandable_route("url", html_as_page), F.lit("file"))
-            .when(F.lit(bool(max_depth) and depth > max_depth), F.lit("skipped"))
+            .when(F.lit(deep), F.lit("skipped"))
             .otherwise(F.lit("processed"))
         )
-        levels.append(f.select("host", "url", F.lit(depth).alias("depth"), "ord", status.alias("status")))
-        if dedup:
-            fresh = f.filter("processed AND expands").select("host", "h")
-            if hashes:
-                hashes.add(fresh)
-            else:
-                hashes = _Bucketed(fresh, ["host", "h"])
-        frontier = _ordered(new, "host", "parent", "pos", "url").select("host", "url", "ord")
-        seen.add(frontier.select("host", "url"))
+        level = f.select("host", "url", "h", "ord", (F.col("alive") & ~F.col("dup")).alias("expands"), F.lit(True).alias("processed"), status.alias("status"), F.lit(depth).alias("depth"))
+        at = held.write("found", level)
+        level = held.read(held.FOUND, [at])
+        new = level_links(level, links.rows(), seen.tables())
         if max_pages:
-            more = frontier.groupBy("host").agg(F.count("*").alias("n_seen"))
-            counts = _checkpointed(counts.unionByName(more).groupBy("host").agg(F.sum("n_seen").alias("n_seen")))
-        depth += 1
-    for held in (keys, links, seen, hashes):
-        if held:
-            held.forget()
-    if not levels:
-        return frontier.select("host", "url", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank"), F.lit("").alias("status"))
-    found = reduce(DataFrame.unionByName, levels)
-    return rank_in_groups(found, ["host"], ["depth", "ord"], "rank").select("host", "url", "depth", "rank", "status")
+            # K3: pages of this level run in order while discovered(site) < max_pages
+            new = _checkpointed(new)
+            per_parent = new.groupBy("host", F.col("parent").alias("ord")).agg(F.count("*").alias("n_new"))
+            runs = level.join(per_parent, ["host", "ord"], "left").fillna(0, ["n_new"])
+            runs = salted_join(running_sum_in_groups(runs, ["host"], ["ord"], "n_new", "before"), counts, ["host"])
+            runs = runs.withColumn("processed", F.col("n_seen") + F.col("before") < max_pages)
+            at = held.write("found", runs.withColumn("status", F.when(F.col("processed"), F.col("status")).otherwise("skipped")).select(*level.columns))
+            level = held.read(held.FOUND, [at])
+            ran = level.filter("processed AND expands").select("host", F.col("ord").alias("parent"))
+            new = new.join(ran, ["host", "parent"], "left_semi")
+        behind = held.write("next", _in_order(new, "host", "parent", "pos", "url").select("host", "url", "ord"))
+        rows = held.commit(at, behind)
+        if rows:
+            if dedup:
+                hashes.add(_consumed(level), held.levels[-2]["rows"])
+            seen.add(held.frontier().select("host", "url"), rows)
+            if max_pages:
+                more = held.frontier().groupBy("host").agg(F.count("*").alias("n_seen"))
+                counts = _checkpointed(counts.unionByName(more).groupBy("host").agg(F.sum("n_seen").alias("n_seen")))
+    for table in (keys, links, seen, hashes):
+        table.forget()
+
+
+def _consumed(level: DataFrame) -> DataFrame:
+    """The body hashes that pages of a level used up."""
+    return level.filter("processed AND expands").select("host", "h")
 
 
 def level_frontier(frontier: DataFrame, keys: DataFrame) -> DataFrame:
@@ -180,12 +217,12 @@ def level_frontier(frontier: DataFrame, keys: DataFrame) -> DataFrame:
     return frontier.select("host", "url", "ord").join(keys, ["host", "url"], "left")
 
 
-def level_links(f: DataFrame, links: DataFrame, seen: DataFrame) -> DataFrame:
+def level_links(f: DataFrame, links: DataFrame, seen: list[DataFrame]) -> DataFrame:
     """(host, url, parent, pos): URLs not seen before, each with its first discoverer in the level."""
     parents = f.filter("expands").select("host", F.col("url").alias("src"), F.col("ord").alias("parent"))
     found = parents.join(links, ["host", "src"]).select("host", F.col("dst").alias("url"), "parent", "pos")
     first = found.groupBy("host", "url").agg(F.min(F.struct("parent", "pos")).alias("by"))
-    return first.join(seen, ["host", "url"], "left_anti").select("host", "url", "by.parent", "by.pos")
+    return lacking(first, seen, ["host", "url"]).select("host", "url", "by.parent", "by.pos")
 
 
 def assign_batches(df: DataFrame, k: int, group_cols: list[str], order_cols: list[str]) -> DataFrame:

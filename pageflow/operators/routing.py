@@ -53,14 +53,16 @@ def crawl_outcome(fetches: DataFrame, mode: str = "strict", html_as_page: bool =
     Classes: not_found, error, downloaded, unsupported (strict) or skipped_non_html (html_only),
     parse_error (no body), duplicate, pdf_ok, pdf_empty, html_ok, html_empty.
 
-    Route, blank flag and body hash are computed in the scan's projection; bodies are never shuffled.
+    Route, blank flag and body hash are computed in the scan's projection; bodies are never shuffled. The flag is
+    taken for accepted pages alone, and blocks are only followed where no block starts with text.
     """
     route = content_route("status_code", "content_type", "url", mode)
     file = U.route_url("url") == "file"
     if html_as_page:
         file = file & ~U.url_suffix("url").isin(".html", ".htm")
+    asked = route.isin("html", "pdf") & ~file & F.col("html").isNotNull()
     narrow = fetches.select(*keep, route.alias("_route"), file.alias("_file"), F.col("html").isNull().alias("_none"), content_hash("html").alias("_hash"),
-                            (F.coalesce(F.length(H.block_text("html")), F.lit(0)) == 0).alias("_blank"))
+                            F.when(asked, H.without_block_text("html")).alias("_blank"))
     accepted = (F.col("_route") == "html") & ~F.col("_file") & ~F.col("_none")
     again = losers(narrow, F.when(accepted, F.col("_hash")), "page_id").withColumn("_again", F.lit(True))
     outcome = (

@@ -128,23 +128,96 @@ def test_batches_and_schedule(spark, sf_dir):
             assert r.seq == i + 1 and r.batch == i // 4 and r.offset_s == (i // 4) * 0.5
 
 
+def _chain(spark, n):
+    pages = spark.range(n).selectExpr("id AS page_id", "concat('https://e.com/', id) AS url", "concat('body ', id) AS html")
+    edges = spark.range(n - 1).selectExpr("'e.com' AS host", "concat('https://e.com/', id) AS src", "concat('https://e.com/', id + 1) AS dst", "0 AS pos")
+    return spark.createDataFrame([("e.com", "https://e.com/0")], "host string, url string"), edges, pages
+
+
+class Lost(Exception):
+    pass
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_pages": 12}, {"max_depth": 3}])
+def test_a_lost_driver_starts_again_from_the_last_whole_level(spark, sf_dir, tmp_path, monkeypatch, limits):
+    """The driver is lost while level 3 is written (its files are there, its commit isn't), and again at a later level."""
+    pages = X.table(spark, sf_dir, "pages")
+    seeds, edges, snapshot = X.tree_seeds(pages), X.crawl_tree(pages), X.crawl_pages(pages)
+    log, commit = f"{tmp_path}/crawl", K.CommitLog.commit
+
+    def lost_at(level):
+        def fail(self, number, content):
+            if number == level:
+                raise Lost
+            commit(self, number, content)
+
+        return fail
+
+    ran = []
+    for level in (3, 4):
+        monkeypatch.setattr(K.CommitLog, "commit", lost_at(level))
+        try:
+            K.crawl_reach(seeds, edges, snapshot, log=log, **limits)
+        except Lost:
+            ran.append(K.LevelLog(spark, log, {"max_depth": 0, "max_pages": 0, "dedup": True, "html_as_page": True} | limits).depth)
+    monkeypatch.setattr(K.CommitLog, "commit", commit)
+    assert ran and ran[0] == 2
+    got = K.crawl_reach(seeds, edges, snapshot, log=log, **limits).collect()
+    exp = simulate([tuple(r) for r in seeds.collect()], _edges(edges), _keys(snapshot), **limits)
+    assert {(r.host, r.url): (r.depth, r.rank, r.status) for r in got} == exp and len(got) == len(exp)
+    again = K.crawl_reach(seeds, edges.limit(0), snapshot.limit(0), log=log, **limits).collect()  # it had ended: nothing is read
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+    with pytest.raises(ValueError):
+        K.crawl_reach(seeds, edges, snapshot, log=log, dedup=False, **limits)
+
+
+def test_growing_tables_stay_compact(spark):
+    """200 additions: no bucket has more than FAN files per tier, and no row is lost or doubled."""
+    import re
+    from collections import Counter
+
+    from pageflow.operators import state
+
+    held = state.Growing(spark, ["host", "url"])
+    most = 0
+    for k in range(200):
+        held.add(spark.range(k * 3, k * 3 + 3).selectExpr("'e' AS host", "CAST(id AS string) AS url"), 3)
+        files = Counter((i, re.search(r"_(\d{5})\.c", f).group(1)) for i, t in enumerate(held.tables()) for f in t.inputFiles())
+        most = max(most, *files.values())
+    assert most <= state.FAN and len(held.tiers) == 3
+    rows = [r.url for t in held.tables() for r in t.collect()]
+    assert sorted(map(int, rows)) == list(range(600))
+    asked = spark.range(590, 610).selectExpr("'e' AS host", "CAST(id AS string) AS url")
+    assert sorted(int(r.url) for r in held.lacking(asked).collect()) == list(range(600, 610))
+    held.forget()
+
+
+def test_a_chain_over_many_levels(spark):
+    """More levels than a tier takes."""
+    seeds, edges, pages = _chain(spark, 20)
+    got = K.crawl_reach(seeds, edges, pages).collect()
+    assert sorted((r.depth, r["rank"], r.status) for r in got) == [(k, k + 1, "processed") for k in range(20)]
+
+
 def test_a_level_shuffles_only_the_frontier(spark, graph):
-    """No Exchange between a join and the tables of keys, links and seen URLs."""
+    """No Exchange between a join and the tables of keys, links and seen URLs (two tiers)."""
     pages, _dups, seeds, edges = graph
-    keys = K._Bucketed(K.page_keys(pages), ["host", "url"])
-    links = K._Bucketed(edges.select("host", "src", "dst", "pos"), ["host", "src"])
-    frontier = K._ordered(seeds, "host", "url")
-    seen = K._Bucketed(frontier.select("host", "url"), ["host", "url"])
-    seen.add(seen.rows().limit(0))
+    keys = K.Bucketed(spark, ["host", "url"]).add(K.page_keys(pages))
+    links = K.Bucketed(spark, ["host", "src"]).add(edges.select("host", "src", "dst", "pos"))
+    frontier = seeds.withColumn("ord", F.monotonically_increasing_id())
+    seen = K.Growing(spark, ["host", "url"], fan=2)
+    for _ in range(3):
+        seen.add(frontier.select("host", "url"), 10)
+    assert len(seen.tables()) == 2
     f = K.level_frontier(frontier, keys.rows()).withColumn("expands", F.lit(True))
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        lines = K.level_links(f, links.rows(), seen.rows())._jdf.queryExecution().executedPlan().toString().split("\n")
+        lines = K.level_links(f, links.rows(), seen.tables())._jdf.queryExecution().executedPlan().toString().split("\n")
     finally:
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
     indent = lambda x: len(x) - len(x.lstrip(" :+-"))
     scans = [i for i, x in enumerate(lines) if "FileScan" in x and "Bucketed: true" in x]
-    assert len(scans) == 3
+    assert len(scans) == 4
     for i in scans:
         level = indent(lines[i])
         for x in reversed(lines[:i]):
@@ -153,5 +226,5 @@ def test_a_level_shuffles_only_the_frontier(spark, graph):
                 assert "Exchange" not in x, x
                 if "Join" in x:
                     break
-    for t in (keys, links, seen):
-        t.forget()
+    for table in (keys, links, seen):
+        table.forget()

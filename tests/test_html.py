@@ -230,3 +230,32 @@ def test_stray_angle_brackets_stay_linear(spark):
     r = df.select(H.page_text("html").alias("t"), H.block_text("html").alias("b"), F.size(H.extract_hrefs("html")).alias("n")).first()
     assert time.time() - t0 < 20
     assert r.t.startswith("a < b a < b") and r.n == 0 and r.b.startswith("a < b")
+
+
+def test_block_text_grows_with_the_page_alone(spark):
+    """A page of 32,000 tags in seconds, and twice the page in about twice the time."""
+    import time
+
+    def seconds(n, unit="<li>item a text <p>b text</p>"):
+        df = spark.range(1).select(F.repeat(F.lit(unit), n).alias("html")).filter("length(html) > 0")
+        t = time.perf_counter()
+        found = df.select(F.length(H.block_text("html")).alias("n")).collect()[0].n
+        return found, time.perf_counter() - t
+
+    seconds(100)
+    size, once = seconds(8192)
+    assert size == 26 * 8192 - 1 and once < 3
+    size, twice = seconds(16384)
+    assert size == 26 * 16384 - 1 and twice < 2.2 * once + 0.5
+    assert seconds(2000, "<div><section><h2>x</h2>")[1] < 3  # 4,000 open elements
+
+
+def test_blank_flag_is_empty_block_text(spark):
+    import random
+
+    rng = random.Random(11)
+    bits = ["<p>", "</p>", "<li>", "<div>", "</div>", "<h2>", " ", " ", "&nbsp;", "&#32;", "&amp;", "x", "<b>", "<!--p-->", "<!-<!-- x -->- <p>y -->", "<script>p</script>", "<p class='a>b'>"]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randrange(0, 7)))) for k in range(600)] + [(1000, None), (1001, "")]
+    df = spark.createDataFrame(rows, "id long, html string")
+    wrong = df.filter(H.without_block_text("html") != (F.coalesce(F.length(H.block_text("html")), F.lit(0)) == 0))
+    assert wrong.collect() == []
