@@ -12,7 +12,7 @@ A node's place in the log follows from sizes alone (:func:`address`): no node st
 addresses its siblings in closed form. Proofs are extracted from the top tier down, each block handing the
 siblings above it to the blocks below.
 
-Where it runs: leaves are digested in the scan; only ids and digests are shuffled; a group's leaves are numbered by
+Where it runs: leaves are digested in one scan; only ids and digests are shuffled; a group's leaves are numbered by
 a range sort that splits hot groups; a builder holds 512 leaves, a proof task one block. Log and
 leaves are written to the shared folder, so lost executors cost their tasks alone.
 
@@ -277,6 +277,7 @@ class Manifest:
 
 def manifest(leaves: DataFrame, order: list[str]) -> Manifest:
     """The manifest of ``leaves`` (grp, hash, and a struct ``row`` that goes with each); a group's leaves in ``order``, then by hash."""
+    leaves = written(leaves, "leaves")  # the range sort reads its rows twice: the texts once
     ranked = rank_in_groups(leaves, ["grp"], [*order, "hash"], "rn")
     numbered = ranked.select("grp", (F.col("rn") - 1).alias("idx"), "hash", "row")
     groups = build(numbered, "manifest")
