@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageflow.functions import html as H
+from pageflow.functions import urls as U
 from pageflow.functions.html import strip_ws
 from pageflow.functions.urls import ColumnOrName, _col
 
@@ -110,3 +112,17 @@ def extraction_records(best: DataFrame, urls: DataFrame) -> DataFrame:
         F.concat(F.md5(F.encode("url", "UTF-8")), F.lit("_pdf.txt")).alias("text_file"),
         F.length("text").cast("long").alias("text_length"),
     )
+
+
+def page_record(url: str = "url", html: str = "html", fetched: str = "fetch_ts", status: str = "status_code", headers: str = "headers") -> dict[str, Column]:
+    """The fields of a page's record: url, title (null without one), timestamp (seconds since the epoch as a double),
+    headers (a map as the response gave them), status_code, content and text_key (file name of the text)."""
+    return {
+        "url": F.col(url),
+        "title": H.page_title(html),
+        "timestamp": F.unix_micros(F.col(fetched)).cast("double") / 1e6,
+        "headers": F.col(headers),
+        "status_code": F.col(status),
+        "content": H.page_text(html),
+        "text_key": U.url_key(url, ".txt"),
+    }

@@ -76,13 +76,14 @@ def failed_fetches(outcomes: DataFrame) -> DataFrame:
     return outcomes.filter(F.col("outcome").isin("error", "not_found", "parse_error")).select("host", "url", "outcome")
 
 
-def crawl_stats(fetches: DataFrame) -> DataFrame:
+def crawl_stats(fetches: DataFrame, discovered: DataFrame | None = None) -> DataFrame:
     """T4: per site: pages processed (no duplicates, no failures), files downloaded, duplicates, errors,
-    first/last fetch and duration (T9), and ``pages_crawled``, the discovered URLs. The failed
-    list stays a table (``failed_fetches``). Input has ``host, url, outcome, fetch_ts``."""
+    first/last fetch and duration (T9), ``pages_fetched`` and ``pages_crawled``, the distinct URLs that were discovered: those of
+    ``discovered(host, url)`` (seen set, links) and the fetched ones. The failed list stays a table
+    (``failed_fetches``). Input has ``host, url, outcome, fetch_ts``."""
     ok_page = F.col("outcome").isin("html_ok", "html_empty", "pdf_ok", "pdf_empty")
     err = F.col("outcome").isin("error", "not_found", "parse_error")
-    return fetches.groupBy("host").agg(
+    stats = fetches.groupBy("host").agg(
         F.count_if(ok_page).alias("pages_processed"),
         F.count_if(F.col("outcome") == "downloaded").alias("files_downloaded"),
         F.count_if(F.col("outcome") == "duplicate").alias("duplicates"),
@@ -90,8 +91,13 @@ def crawl_stats(fetches: DataFrame) -> DataFrame:
         F.min("fetch_ts").alias("start_time"),
         F.max("fetch_ts").alias("end_time"),
         (F.unix_timestamp(F.max("fetch_ts")) - F.unix_timestamp(F.min("fetch_ts"))).alias("duration_s"),
-        F.count_distinct("url").alias("pages_crawled"),
+        F.count_distinct("url").alias("pages_fetched"),
     )
+    if discovered is None:
+        return stats.withColumn("pages_crawled", F.col("pages_fetched"))
+    # distinct first: a link that many pages share is one row before anything is counted by site
+    urls = fetches.select("host", "url").unionByName(discovered.select("host", "url")).distinct()
+    return stats.join(urls.groupBy("host").agg(F.count("url").alias("pages_crawled")), "host")
 
 
 def files_by_category(files: DataFrame, catalogue: str = "wide", scope: tuple[str, ...] = ("host",)) -> DataFrame:

@@ -366,16 +366,17 @@ def q_unescape_titles(spark, sf):
 
 
 _RECORDS_SQL = O.cte(fetches=O.FETCHES) + (
-    f"SELECT page_id, url, {O.title('html')} AS title, status_code, content_type, {O.page_text('html')} AS content, "
-    "md5(url) || '.txt' AS text_key FROM fetches WHERE status_code < 400 AND contains(content_type, 'text/html')"
+    f"SELECT page_id, url, {O.title('html')} AS title, epoch(fetch_ts) AS timestamp, {O.HEADERS} AS headers, status_code, content_type, "
+    f"{O.page_text('html')} AS content, md5(url) || '.txt' AS text_key FROM fetches WHERE status_code < 400 AND contains(content_type, 'text/html')"
 )
 
 
 @register("page_records", _RECORDS_SQL)
 def q_page_records(spark, sf):
-    f = X.fetches(t(spark, sf, "pages")).filter((F.col("status_code") < 400) & F.col("content_type").contains("text/html"))
-    return f.select("page_id", "url", H.page_title("html").alias("title"), "status_code", "content_type",
-                    H.page_text("html").alias("content"), U.url_key("url", ".txt").alias("text_key"))
+    """H14; the map of headers as one JSON document."""
+    f = X.with_headers(X.fetches(t(spark, sf, "pages"))).filter((F.col("status_code") < 400) & F.col("content_type").contains("text/html"))
+    record = {k: c.alias(k) for k, c in P.page_record().items()} | {"headers": F.to_json("headers").alias("headers")}
+    return f.select("page_id", "content_type", *record.values())
 
 
 # ============================================================ P: documents
@@ -694,19 +695,22 @@ def q_failed_fetches(spark, sf):
     return T.failed_fetches(_outcomes(spark, sf))
 
 
-_STATS_SQL = _RESP + (
-    "SELECT host, CAST(count(*) FILTER (WHERE outcome IN ('html_ok', 'html_empty', 'pdf_ok', 'pdf_empty')) AS BIGINT) AS pages_processed, "
+_STATS_SQL = O.cte(fetches=O.FETCHES, responses=O.RESPONSES, nav_links=O.NAV_LINKS, outcomes=O.outcome("strict"), edges=_EDGES_BODY) + (
+    "SELECT o.host, CAST(count(*) FILTER (WHERE outcome IN ('html_ok', 'html_empty', 'pdf_ok', 'pdf_empty')) AS BIGINT) AS pages_processed, "
     "CAST(count(*) FILTER (WHERE outcome = 'downloaded') AS BIGINT) AS files_downloaded, CAST(count(*) FILTER (WHERE outcome = 'duplicate') AS BIGINT) AS duplicates, "
     "CAST(count(*) FILTER (WHERE outcome IN ('error', 'not_found', 'parse_error')) AS BIGINT) AS errors, "
-    "CAST(epoch(max(fetch_ts)) - epoch(min(fetch_ts)) AS BIGINT) AS duration_s, CAST(count(DISTINCT url) AS BIGINT) AS pages_crawled "
-    f"FROM ({O.outcome('strict')}) GROUP BY host"
+    "CAST(epoch(max(fetch_ts)) - epoch(min(fetch_ts)) AS BIGINT) AS duration_s, CAST(count(DISTINCT url) AS BIGINT) AS pages_fetched, "
+    "CAST(any_value(d.n) AS BIGINT) AS pages_crawled FROM outcomes o JOIN (SELECT host, count(DISTINCT url) AS n FROM ("
+    "SELECT host, url FROM outcomes UNION ALL SELECT host, dst FROM edges) GROUP BY host) d ON d.host = o.host GROUP BY o.host"
 )
+_STATS = ("pages_processed", "files_downloaded", "duplicates", "errors", "duration_s", "pages_fetched", "pages_crawled")
 
 
 @register("crawl_stats", _STATS_SQL)
 def q_crawl_stats(spark, sf):
-    s = T.crawl_stats(_outcomes(spark, sf))
-    return s.select("host", *_long("pages_processed", "files_downloaded", "duplicates", "errors", "duration_s", "pages_crawled"))
+    """T4; discovered are the fetched URLs and the in-site links (H12) of all pages."""
+    found = L.link_edges(t(spark, sf, "pages")).select("host", F.col("dst").alias("url"))
+    return T.crawl_stats(_outcomes(spark, sf), found).select("host", *_long(*_STATS))
 
 
 @register("files_by_category", _FILES + (
@@ -775,6 +779,32 @@ def q_stream_visited(spark, sf):
     return ST.read_visited(spark, ST.visited_upsert_stream(spark, f"{sf}/pages.parquet", X.visited(pages)))
 
 
+@register("stream_links", O.cte(nav_links=O.NAV_LINKS, edges=_EDGES_BODY) + (
+    "SELECT page_id, host, src, dst, pos, NOT EXISTS (SELECT 1 FROM edges s WHERE s.page_id % 3 = 0 AND s.host = e.host AND s.dst = e.dst) AS is_new FROM edges e"))
+def q_stream_links(spark, sf):
+    """ST1's links (H12) and new URLs (D2) over several micro-batches; a third of the pages were seen by an earlier run."""
+    pages, out = t(spark, sf, "pages"), _sink_dir(spark, "links")
+    pages.repartitionByRange(4, "page_id").write.parquet(f"{out}/arrivals")
+    sink = ST.LinkSink(spark, out)
+    sink.start(L.link_edges(pages.filter("page_id % 3 = 0")).select("host", F.col("dst").alias("url")))
+    ST.link_stream(spark, f"{out}/arrivals", sink, f"{out}/checkpoint", max_files=1)
+    new = sink.read("frontier").select("host", F.col("url").alias("dst"), F.lit(True).alias("new"))
+    edges = sink.read("edges").join(new, ["host", "dst"], "left")
+    return edges.select("page_id", "host", "src", "dst", F.col("pos").cast("long").alias("pos"), F.coalesce("new", F.lit(False)).alias("is_new"))
+
+
+@register("stream_upsert", QUERIES["upsert_crawled"][1])
+def q_stream_upsert(spark, sf):
+    """ST3 with D6: the crawled table of an earlier run, then a run's results that arrive in several micro-batches."""
+    crawled, batch = X.crawled_and_batch(t(spark, sf, "pages"))
+    out = _sink_dir(spark, "upserts")
+    table = ST.crawled_table(spark, f"{out}/table")
+    table.merge(crawled, -1)
+    batch.repartitionByRange(4, "url").write.parquet(f"{out}/arrivals")
+    ST.upsert_stream(spark, f"{out}/arrivals", table, f"{out}/checkpoint", max_files=1)
+    return table.read().select("url", F.col("status").cast("int").alias("status"), F.col("batch_no").cast("long").alias("batch_no"))
+
+
 @register("stream_counters", (
     "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, event_type, count(*) AS n, "
     "count(*) FILTER (WHERE event_type = 'error') AS errors, sum(value) AS value_sum FROM events GROUP BY 1, 2"))
@@ -815,8 +845,8 @@ def q_stats_sink(spark, sf):
     """Per-site crawl statistics written as one JSON document per site, read back."""
     out = _sink_dir(spark, "stats")
     S.write_stats(q_crawl_stats(spark, sf), out)
-    back = spark.read.schema("pages_processed LONG, files_downloaded LONG, duplicates LONG, errors LONG, duration_s LONG, pages_crawled LONG, host STRING").json(out)
-    return back.select("host", "pages_processed", "files_downloaded", "duplicates", "errors", "duration_s", "pages_crawled")
+    back = spark.read.schema("host STRING, " + ", ".join(f"{c} LONG" for c in _STATS)).json(out)
+    return back.select("host", *_STATS)
 
 
 @register("text_sink", (

@@ -72,6 +72,13 @@ def fetches(pages: DataFrame) -> DataFrame:
                         ctype.alias("content_type"), ts.alias("fetch_ts"))
 
 
+def with_headers(f: DataFrame) -> DataFrame:
+    """Fetches with the response's headers as a map; every third response names no entity tag."""
+    tag = F.when(F.col("page_id") % 3 != 0, F.map_from_arrays(F.array(F.lit("ETag")), F.array(F.md5("html"))))
+    given = F.map_from_arrays(F.array(F.lit("Content-Type"), F.lit("Content-Length")), F.array(F.col("content_type"), F.octet_length("html").cast("string")))
+    return f.withColumn("headers", F.map_concat(given, F.coalesce(tag, F.expr("CAST(map() AS map<string, string>)"))))
+
+
 def responses(pages: DataFrame) -> DataFrame:
     """``fetches`` with every outcome: a sixth of the bodies repeated (also behind errors), bodies missing
     at page_id mod 50 = 9, blank ones at mod 31 = 4, and a third of the URLs files of the site."""

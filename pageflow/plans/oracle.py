@@ -328,6 +328,9 @@ FETCHES = (
     "TIMESTAMP '2024-01-01 00:00:00' + to_minutes(page_id) AS fetch_ts FROM pages"
 )
 
+HEADERS = ("'{\"Content-Type\":\"' || content_type || '\",\"Content-Length\":\"' || CAST(strlen(html) AS VARCHAR) || '\"' || "
+           "CASE WHEN page_id % 3 <> 0 THEN ',\"ETag\":\"' || md5(html) || '\"' ELSE '' END || '}'")
+
 FILES = (
     f"SELECT s.host, p.page_id, s.base_url || '/f/doc' || CAST(p.page_id % 5 AS VARCHAR) || "
     f"[{', '.join(lit(e) for e in FILE_EXTS)}][CAST(p.page_id % 8 + 1 AS INTEGER)] AS url "

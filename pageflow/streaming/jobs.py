@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from pageflow.functions import html as H
 from pageflow.functions import urls as U
+from pageflow.operators import links as L
 from pageflow.operators.dedup import content_hash
 from pageflow.session import checkpoint_dir
+from pageflow.sources.versioned import VersionedTable
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -110,6 +112,77 @@ def read_visited(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.parquet(f"{table}/run=0").unionByName(spark.read.parquet(f"{table}/run=1"))
 
 
+CRAWLED = "url string, ts timestamp, status int, batch_no int"
+
+
+def crawled_table(spark: SparkSession, folder: str, buckets: int = 64) -> VersionedTable:
+    """D6's table: a row per URL, the latest (batch_no, ts) wins."""
+    return VersionedTable(spark, folder, CRAWLED, ["url"], ["batch_no", "ts"], buckets)
+
+
+def upsert_stream(spark: SparkSession, path: str, table: VersionedTable, checkpoint: str, trigger: dict | None = None, max_files: int | None = None) -> None:
+    """ST3, insert-or-replace: results of fetches (the table's columns) that arrive are merged into ``table`` batch by batch.
+
+    Each micro-batch rewrites the buckets it touches and commits under its id, so a batch that is replayed after a
+    failure changes nothing. Late rows lose against newer ones that are in the table. A restarted query goes on from
+    ``checkpoint``; the table is readable at every commit.
+    """
+    w = file_stream(spark, path, max_files).writeStream.foreachBatch(lambda rows, batch_id: _merged(table, rows, batch_id))
+    _run(w.option("checkpointLocation", checkpoint), trigger or {"availableNow": True})
+
+
+def _merged(table: VersionedTable, rows: DataFrame, batch_id: int) -> None:
+    table.merge(rows, batch_id)
+
+
+class LinkSink:
+    """ST1 with links: what a batch of pages gives is written to ``text`` (page_id, text) and ``edges`` (H12), and the URLs that
+    nobody saw before to ``frontier``. All three lie under the batch's id and count once the batch's commit to the
+    table of seen URLs, its last step, is there: each row is delivered exactly once, however often a batch is tried."""
+
+    OUTPUTS = {"text": "page_id bigint, text string", "edges": "page_id bigint, host string, src string, dst string, pos int", "frontier": "host string, url string"}
+
+    def __init__(self, spark: SparkSession, out: str, buckets: int = 64):
+        self.spark, self.out = spark, out.rstrip("/")
+        self.seen = VersionedTable(spark, f"{self.out}/seen", "host string, url string", ["host", "url"], buckets=buckets)
+
+    def start(self, seen: DataFrame) -> None:
+        """The URLs that are seen before the stream; ignored where it has begun."""
+        self.seen.merge(seen, -1)
+
+    def _path(self, name: str, batch_id: int) -> str:
+        return f"{self.out}/{name}/batch_id={batch_id}"
+
+    def write(self, pages: DataFrame, batch_id: int) -> None:
+        done = self.seen.batch()
+        if done is not None and batch_id <= done:
+            return
+        pages = pages.select("page_id", "url", "html").persist()  # one read of the batch for both outputs
+        try:
+            pages.select("page_id", H.page_text("html").alias("text")).write.mode("overwrite").parquet(self._path("text", batch_id))
+            L.link_edges(pages).write.mode("overwrite").parquet(self._path("edges", batch_id))
+        finally:
+            pages.unpersist()
+        edges = self.spark.read.schema(self.OUTPUTS["edges"]).parquet(self._path("edges", batch_id))
+        new = self.seen.lacking(edges.select("host", F.col("dst").alias("url")).distinct())
+        new.write.mode("overwrite").parquet(self._path("frontier", batch_id))
+        self.seen.merge(self.spark.read.schema(self.OUTPUTS["frontier"]).parquet(self._path("frontier", batch_id)), batch_id)
+
+    def read(self, name: str) -> DataFrame:
+        """An output's committed rows, with their batch_id."""
+        done = self.seen.batch()
+        rows = self.spark.read.schema(f"{self.OUTPUTS[name]}, batch_id bigint").option("basePath", f"{self.out}/{name}")
+        paths = [self._path(name, k) for k in range((-1 if done is None else done) + 1)]
+        return rows.parquet(*paths) if paths else self.spark.createDataFrame([], f"{self.OUTPUTS[name]}, batch_id bigint")
+
+
+def link_stream(spark: SparkSession, path: str, sink: LinkSink, checkpoint: str, trigger: dict | None = None, max_files: int | None = None) -> None:
+    """ST1: text, links and new URLs of pages while they arrive (see :class:`LinkSink`). The seen URLs are state in a
+    versioned table, so the frontier feeds a crawl at any commit and the state is no larger than the URLs."""
+    w = file_stream(spark, path, max_files).writeStream.foreachBatch(lambda pages, batch_id: sink.write(pages, batch_id))
+    _run(w.option("checkpointLocation", checkpoint), trigger or {"availableNow": True})
+
+
 def event_counters(spark: SparkSession, path: str, out: str | None = None, trigger: dict | None = None,
                    window: str = "1 day", lateness: str = "1 hour", max_files: int | None = None) -> str:
     """ST4: crawl counters per event-time tumbling window and type. Update mode: a row later
