@@ -10,13 +10,15 @@ At scale the pieces, as narrow rows (ids stay behind), are dealt out by hash int
 that many pieces leaves at most a few sequences unfilled, so the loss against one global packing is
 a small constant per group. Full pieces are a sequence each and take no part.
 
-Null texts count as empty (a document of id 2 alone). Repeated rows and null ids are documents of their
+Null texts count as empty (a document of id 2 alone). Bytes that aren't UTF-8 are read as the replacement character.
+Very long texts, also a single run of white space, are coded whole. Repeated rows and null ids are documents of their
 own; order within a group is fixed by (length, key, piece), so a repeated task packs the same.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,34 +30,43 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageflow.llm.common import table, written
+from pageflow.llm.common import table, utf8, written
 
 CAPACITY, END_ID, GROUP_PIECES = 1024, 2, 100_000
 
+#: The vocabulary's special string, and the length from which a run of one kind (white space, or none) is left to ``tokenizers``.
+SPECIAL, LONG_RUN = "<|endoftext|>", 100_000
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 class Coder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, with no special tokens.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, as ``tokenizers`` gives them with ``path`` and
+    ``add_special_tokens=False`` (a special string inside a text is its one id).
 
-    The rank file holds the vocabulary of ``byte_bpe_50k.json``, and its library gives the ids that
-    the ``tokenizers`` library gives with the JSON file, in a quarter of the time (compared in the
-    tests over the vocabulary, all planes and random texts).
+    Texts without special strings and very long runs take another way to the same ids (compared in the tests): the
+    vocabulary's rank file, a few times faster. That library can't get through a million white-space characters.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         import public_tokenizers
         import tiktoken
+        import tokenizers
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        self.whole = tokenizers.Tokenizer.from_file(path)
+        self.run = re.compile(rf"\s{{{LONG_RUN},}}|\S{{{LONG_RUN},}}")
 
     def ids(self, text: str) -> bytes:
-        return array("I", self.coder.encode_ordinary(text)).tobytes()
+        if SPECIAL in text or (len(text) >= LONG_RUN and self.run.search(text)):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.fast.encode_ordinary(text)).tobytes()
 
 
 _HELD: dict[str, Coder] = {}
@@ -90,7 +101,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
                 keys = part.column(0).to_pylist()
                 out: list[tuple] = []
                 for k, raw in zip(keys, part.column(1).to_pylist(), strict=True):
-                    raw = coder.ids(raw or "") + end
+                    raw = coder.ids((raw or b"").decode("utf-8", "replace")) + end
                     for p, (a, b) in enumerate(bounds(len(raw) // 4, capacity)):
                         ids = raw[4 * a : 4 * b]
                         out.append((k, p, a, b - a, zlib.crc32(ids), ids))
@@ -98,7 +109,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
                 columns = list(zip(*out, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), utf8(F.col(text).cast("string")).alias("text")).mapInArrow(cut, PIECES)
 
 
 class Capacities:

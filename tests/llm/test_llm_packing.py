@@ -13,7 +13,6 @@ from pageflow.llm import packing
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -25,6 +24,21 @@ def test_ids_are_those_of_tokenizers(plain):
     assert all(np.frombuffer(coder.ids(t), "<u4").tolist() == plain(t) for t in texts)
 
 
+def test_any_text_gets_through(spark, plain):
+    """Long runs, the special string and bytes that aren't UTF-8, against the plain call without switches."""
+    coder = packing.Coder(packing.vocabulary())
+    assert plain("a <|endoftext|> b") == [64, 220, 50256, 275]
+    texts = [" " * 3_000_000, "\n \t" * 400_000 + "x", "x" + " " * 1_000_000 + "y z", "a" * 1_500_000, "é" * 300_000, "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|" + ">" * 3]
+    assert all(np.frombuffer(coder.ids(t), "<u4").tolist() == plain(t) for t in texts)
+    raws = [b"ok \xff\xfe", b"\xe9t\xe9", b"\xf0\x9f\x99", *[t.encode() for t in texts[:2]], texts[5].encode()]
+    docs = spark.createDataFrame([(k, bytearray(r)) for k, r in enumerate(raws)], "doc_id long, raw binary").withColumn("text", F.col("raw").cast("string"))
+    got = {(r["doc_id"], r["piece"]): r for r in packing.packed_documents(docs).collect()}
+    for k, raw in enumerate(raws):
+        ids = plain(raw.decode("utf-8", "replace")) + [2]
+        assert sum(r["length"] for (i, _), r in got.items() if i == k) == len(ids)
+        assert got[k, 0]["ids_crc32"] == zlib.crc32(np.array(ids[: len(ids) % 1024 or 1024], "<u4").tobytes())
+
+
 def check(docs, placed, plain):
     """Every piece of every row is placed once, sequences are gapless and never too long."""
     rows, want, lengths = placed.collect(), [], []
