@@ -223,13 +223,16 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     found = found.withColumn("new", (F.coalesce(top, F.lit(-1)) <= F.col("start")).cast("int"))
     found = found.withColumn("run", F.sum("new").over(by))
     runs = found.groupBy("row", mark, "run").agg(F.min("start").alias("s"), F.max("end").alias("e"), F.min_by("kind", "start").alias("kind"))
-    runs = runs.groupBy("row", mark).agg(F.array_sort(F.collect_list(F.struct("s", "e", "kind"))).alias("_runs"))
-    runs = runs.groupBy(mark).agg(F.first("_runs").alias("_runs")).select(F.col(f"{mark}.{key}").alias("_key"), F.col(f"{mark}.{mark}").alias("_hash"), "_runs")
-    joined = rich.join(runs, rich[key].eqNullSafe(runs["_key"]) & (F.xxhash64(rich[text]) == runs["_hash"]), "left")
-    end = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("_runs", k - 1)["e"])
-    pieces = F.transform("_runs", lambda r, k: F.concat(F.substring(rich[text], end(k) + 1, r["s"] - end(k)), F.lit("["), F.upper(r["kind"]), F.lit("]")))
-    tail = F.substring(rich[text], F.element_at("_runs", -1)["e"] + 1, F.length(rich[text]))
-    new = F.when(F.col("_runs").isNull(), rich[text]).otherwise(F.concat(F.array_join(pieces, ""), tail))
+    held = runs.groupBy("row", mark).agg(F.array_sort(F.collect_list(F.struct("s", "e", "kind"))).alias("runs")).groupBy(mark).agg(F.first("runs").alias("runs"))
+    # no name that the input could have: joined and read by names made from all of its columns
+    at_key, at_hash, at_runs = (f"{mark}_{n}" for n in ("key", "hash", "runs"))
+    held = held.select(F.col(f"`{mark}`.`{key}`").alias(at_key), F.col(f"`{mark}`.`{mark}`").alias(at_hash), F.col("runs").alias(at_runs))
+    joined = rich.join(held, rich[key].eqNullSafe(held[at_key]) & (F.xxhash64(rich[text]) == held[at_hash]), "left")
+    spans_ = F.col(f"`{at_runs}`")
+    end = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(spans_, k - 1)["e"])
+    pieces = F.transform(spans_, lambda r, k: F.concat(F.substring(rich[text], end(k) + 1, r["s"] - end(k)), F.lit("["), F.upper(r["kind"]), F.lit("]")))
+    tail = F.substring(rich[text], F.element_at(spans_, -1)["e"] + 1, F.length(rich[text]))
+    new = F.when(spans_.isNull(), rich[text]).otherwise(F.concat(F.array_join(pieces, ""), tail))
     return joined.select(*[new.alias(c) if c == text else rich[c] for c in own]).unionByName(plain)
 
 

@@ -121,3 +121,11 @@ def test_rare_secrets_beside_many_frequent_numbers(spark):
         assert not of or sum(of) >= 0.97 * len(of), g
     secrets = pii.spans(docs, patterns=120).filter("kind = 'secret'").select("doc_id").distinct().count()
     assert secrets > 100  # 40 rows of secrets give coarse trees, but secrets do not vanish
+
+
+def test_redaction_beside_any_column_names(spark):
+    rows = [(1, "write to a.b@c.org now", "x", [1], 7, "k"), (2, None, "y", None, None, None), (1, "write to a.b@c.org now", "z", [2], 8, "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _runs string, _key array<int>, _hash long, runs string")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(((i, t and "write to [EMAIL] now", *r) for i, t, *r in rows), key=str)
