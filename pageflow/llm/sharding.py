@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from pageflow.llm.common import checkpointed, table, written
 from pageflow.operators.ranking import rank_in_groups
+from pageflow.operators.skew import salted_join
 
 SHARDS, ROUNDS = 8, 12
 
@@ -41,10 +42,10 @@ def equal_text_edges(nodes: DataFrame, most: int) -> DataFrame:
     can't stay whole: it is dealt into as many equal stars as it needs, whose hubs are linked."""
     groups = nodes.groupBy("text_key").agg(F.count("*").alias("n")).filter("n > 1")
     groups = checkpointed(groups.select(F.col("text_key").alias("k"), F.ceil(F.col("n") / max(1, most)).alias("stars")))
-    dealt = nodes.select("node", "text_key").join(groups, F.col("text_key") == F.col("k")).select("node", "text_key", F.pmod(F.xxhash64("node"), F.col("stars")).alias("star"))
+    rows = nodes.select(F.col("text_key").alias("k"), "node")  # one text may have a third of all rows: dealt over several tasks
+    dealt = salted_join(rows, groups, ["k"]).select("node", F.col("k").alias("text_key"), F.pmod(F.xxhash64("node"), F.col("stars")).alias("star"))
     hubs = checkpointed(dealt.groupBy("text_key", "star").agg(F.min("node").alias("v")))
-    own = hubs.select(F.col("text_key").alias("k"), F.col("star").alias("s"), "v")
-    spokes = dealt.join(own, (F.col("text_key") == F.col("k")) & (F.col("star") == F.col("s")) & (F.col("node") != F.col("v"))).select(F.col("node").alias("u"), "v")
+    spokes = salted_join(dealt, hubs, ["text_key", "star"]).filter("node <> v").select(F.col("node").alias("u"), "v")
     first = hubs.groupBy("text_key").agg(F.min("v").alias("f")).withColumnRenamed("text_key", "k")
     return spokes.unionAll(hubs.join(first, (F.col("text_key") == F.col("k")) & (F.col("v") != F.col("f"))).select(F.col("v").alias("u"), F.col("f").alias("v")))
 
