@@ -1,4 +1,4 @@
-"""Routing, outcomes and collision-free file names."""
+"""Routing and outcomes (U10, R1-R5); file names (U14) come from ``naming``."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pageflow.functions import html as H
 from pageflow.functions import urls as U
 from pageflow.functions.urls import ColumnOrName, _col
 from pageflow.operators.dedup import content_hash, losers
-from pageflow.operators.ranking import rank_in_groups
+from pageflow.operators.naming import assign_filenames  # noqa: F401
 
 
 def content_route(status: ColumnOrName, ctype: ColumnOrName, url: ColumnOrName, mode: str = "strict") -> Column:
@@ -74,34 +74,3 @@ def crawl_outcome(fetches: DataFrame, mode: str = "strict", html_as_page: bool =
         .otherwise(F.concat(F.col("_route"), F.when(F.col("_blank"), F.lit("_empty")).otherwise(F.lit("_ok"))))
     )
     return narrow.join(again, "page_id", "left").select(*keep, outcome.alias("outcome"))
-
-
-def assign_filenames(files: DataFrame, order_col: str, category_col: str = "category", scope: tuple[str, ...] = ("host",)) -> DataFrame:
-    """Collision-free file names per (scope, category) in arrival order.
-
-    The name is the path basename (``md5(url).unknown`` when empty). The k-th repeat of
-    a name gets ``stem_k.ext``. A generated name that equals another row's name is
-    resolved by further passes until every name in a category is unique (earlier rows win).
-    Numbering is per (scope, category, name) and skew-proof (see ``ranking``).
-    """
-    base = F.regexp_extract(U.url_path("url"), r"([^/]*)$", 1)
-    original = F.when(base == "", F.concat(U.url_key("url"), F.lit(".unknown"))).otherwise(base)
-    df = files.withColumn("original_name", original)
-    df = df.withColumn("_ext", F.regexp_extract("original_name", r"[^.](\.[^.]*)$", 1))
-    df = df.withColumn("_stem", F.expr("substring(original_name, 1, length(original_name) - length(_ext))"))
-    keys = [*scope, category_col]
-    # a name repeated by a third of all rows is split over many tasks
-    df = rank_in_groups(df, [*keys, "original_name"], [order_col], "_k").withColumn("_k", F.col("_k") - 1)
-
-    def named(k: Column) -> Column:
-        return F.when(k == 0, F.col("original_name")).otherwise(F.concat(F.col("_stem"), F.lit("_"), k.cast("string"), F.col("_ext")))
-
-    df = df.withColumn("filename", named(F.col("_k")))
-    # Second-order collisions ("a.txt, a.txt, a_1.txt"): later claimants of a name move on,
-    # pass after pass, until names are unique. Almost always zero extra passes; the check is
-    # an aggregate over names, never a collect of rows. A pass only raises numbers, and no number
-    # exceeds the count of rows, so the loop ends. The ranking's checkpoint cuts the lineage.
-    while df.groupBy(*keys, "filename").count().filter("count > 1").limit(1).count():
-        df = rank_in_groups(df, [*keys, "filename"], [order_col], "_rank").withColumn("_rank", F.col("_rank") - 1)
-        df = df.withColumn("_k", F.col("_k") + F.col("_rank")).withColumn("filename", named(F.col("_k"))).drop("_rank")
-    return df.drop("_ext", "_stem", "_k")

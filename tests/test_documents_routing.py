@@ -90,3 +90,54 @@ def test_file_names_of_long_collision_chains(spark):
     df = spark.createDataFrame([("e.com", i, u, "document") for i, u in rows], "host string, page_id long, url string, category string")
     names = [r.filename for r in R.assign_filenames(df, "page_id").collect()]
     assert len(set(names)) == len(rows)
+
+
+def _sequential_names(rows):
+    """One file after the other: the first name that is free."""
+    import os
+
+    taken, out = set(), {}
+    for i, url, category in sorted(rows):
+        original = url.rsplit("/", 1)[1]
+        stem, ext = os.path.splitext(original)
+        name, k = original, 0
+        while (category, name) in taken:
+            k += 1
+            name = f"{stem}_{k}{ext}"
+        taken.add((category, name))
+        out[i] = name
+    return out
+
+
+def _named(spark, rows):
+    df = spark.createDataFrame([("e.com", i, u, c, 7, "n") for i, u, c in rows], "host string, page_id long, url string, category string, z int, name string")
+    got = R.assign_filenames(df.drop("z", "name"), "page_id")
+    return {r.page_id: r.filename for r in got.collect()}
+
+
+def test_file_names_equal_sequential_naming_on_a_chain(spark):
+    """Every link of the chain moves the next one: 20 passes one after the other."""
+    for late in (False, True):  # the doubled name before its chain, or behind it
+        names = ["a.txt", "a.txt"] + ["a" + "_1" * k + ".txt" for k in range(1, 21)]
+        rows = [(k, f"https://e.com/{n}", "document") for k, n in enumerate(names)]
+        if late:
+            rows = [(k if k else 99, u, c) for k, u, c in rows]
+        assert _named(spark, rows) == _sequential_names(rows)
+
+
+def test_file_names_equal_sequential_naming_on_random_collisions(spark):
+    import random
+
+    rng = random.Random(21)
+    pool = ["a.txt", "a_1.txt", "a_2.txt", "a_3.txt", "a_1_1.txt", "a_1_2.txt", "a_2_1.txt", "a_1_1_1.txt", "a_10.txt", "a_01.txt", "a_0.txt", "b", "b_1", "b_2", ".c", ".c_1", "d..e", "d._1.e", "d.", "d_1.", "_1.txt", ".txt", ".txt_1"]
+    rows, i = [], 0
+    for trial in range(40):  # a category is a file system of its own
+        few = rng.sample(pool, rng.randrange(2, 9))
+        for _ in range(rng.randrange(3, 30)):
+            rows.append((i, f"https://e.com/{rng.choice(few)}", f"c{trial}"))
+            i += 1
+    rows += [(100000 + 2 * k, "https://e.com/hot.pdf", "document") for k in range(700)] + [(99001 + 2 * k, f"https://e.com/hot_{k}.pdf", "document") for k in range(1, 800, 2)]
+    rows += [(200000 + k, f"https://e.com/hot_{k}.pdf", "document") for k in range(600, 700)]
+    got, want = _named(spark, rows), _sequential_names(rows)
+    assert {k: (got.get(k), want[k]) for k in want if got.get(k) != want[k]} == {}
+    assert len(got) == len(rows)
