@@ -7,6 +7,7 @@ names and types are aligned with the oracle (integers as BIGINT, no structs/maps
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,9 @@ from pageflow.operators import routing as R
 from pageflow.operators import stats as T
 from pageflow.plans import fixtures as X
 from pageflow.plans import oracle as O
+from pageflow.session import checkpoint_dir
 from pageflow.sources import io as S
+from pageflow.sources.versioned import VersionedTable
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Builder, str | None]] = {}
@@ -526,6 +529,17 @@ def q_visited_filter(spark, sf):
     return unv.unionByName(vis)
 
 
+@register("visited_filter_bloom", QUERIES["visited_filter"][1])
+def q_visited_filter_bloom(spark, sf):
+    """D3 against a table in buckets with Bloom filters: only keys that may be there are joined with it."""
+    pages = t(spark, sf, "pages")
+    table = VersionedTable(spark, f"{checkpoint_dir(spark).rstrip('/')}/visited-{uuid.uuid4().hex}", "url string", ["url"], buckets=16, filters=True)
+    table.merge(X.visited(pages), 0)
+    asked = pages.select("page_id", F.col("url").alias("given"), U.normalize_url("url").alias("url"))
+    both = table.lacking(asked).withColumn("was_visited", F.lit(False)).unionByName(table.having(asked).withColumn("was_visited", F.lit(True)))
+    return both.select("page_id", F.col("given").alias("url"), "was_visited")
+
+
 @register("mark_visited", _VIS + f"SELECT url FROM visited UNION SELECT {O.normalize('url')} FROM pages")
 def q_mark_visited(spark, sf):
     pages = t(spark, sf, "pages")
@@ -785,7 +799,7 @@ def q_stream_links(spark, sf):
     """ST1's links (H12) and new URLs (D2) over several micro-batches; a third of the pages were seen by an earlier run."""
     pages, out = t(spark, sf, "pages"), _sink_dir(spark, "links")
     pages.repartitionByRange(4, "page_id").write.parquet(f"{out}/arrivals")
-    sink = ST.LinkSink(spark, out)
+    sink = ST.LinkSink(spark, out, buckets=16)
     sink.start(L.link_edges(pages.filter("page_id % 3 = 0")).select("host", F.col("dst").alias("url")))
     ST.link_stream(spark, f"{out}/arrivals", sink, f"{out}/checkpoint", max_files=1)
     new = sink.read("frontier").select("host", F.col("url").alias("dst"), F.lit(True).alias("new"))
@@ -798,7 +812,7 @@ def q_stream_upsert(spark, sf):
     """ST3 with D6: the crawled table of an earlier run, then a run's results that arrive in several micro-batches."""
     crawled, batch = X.crawled_and_batch(t(spark, sf, "pages"))
     out = _sink_dir(spark, "upserts")
-    table = ST.crawled_table(spark, f"{out}/table")
+    table = ST.crawled_table(spark, f"{out}/table", buckets=16)
     table.merge(crawled, -1)
     batch.repartitionByRange(4, "url").write.parquet(f"{out}/arrivals")
     ST.upsert_stream(spark, f"{out}/arrivals", table, f"{out}/checkpoint", max_files=1)

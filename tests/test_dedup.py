@@ -53,3 +53,29 @@ def test_hot_body_is_dealt_over_tasks(spark):
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert salted_join(left, right.filter("m % 2 = 0"), ["k"], how).count() == left.join(right.filter("m % 2 = 0"), "k", how).count()
     assert spread >= 1
+
+
+def test_bloom_membership_is_exact_and_joins_few_rows(spark, tmp_path):
+    """A large table and mostly new keys: the same rows as the plain joins, and about a hundredth of the absent rows joined."""
+    from pageflow.sources.versioned import VersionedTable
+
+    def table(name, filters):
+        held = VersionedTable(spark, f"{tmp_path}/{name}", "host string, url string", ["host", "url"], buckets=8, filters=filters)
+        held.merge(spark.range(20000).selectExpr("concat('h', id % 7) AS host", "concat('https://e.com/', id) AS url"), 0)
+        held.merge(spark.range(20000, 30000).selectExpr("concat('h', id % 7) AS host", "concat('https://e.com/', id) AS url"), 1)
+        return held
+
+    asked = spark.range(29000, 60000).selectExpr("concat('h', id % 7) AS host", "concat('https://e.com/', id) AS url", "id AS n").unionByName(
+        spark.createDataFrame([("h1", None, -1), (None, None, -2), ("h0", "https://e.com/0", -3), ("h0", "https://e.com/0", -4)], "host string, url string, n long"))
+    plain, filtered = table("plain", False), table("filtered", True)
+    rows = lambda df: sorted(r.n for r in df.collect())
+    assert rows(filtered.lacking(asked)) == rows(plain.lacking(asked)) == [-2, -1, *range(30000, 60000)]
+    assert rows(filtered.having(asked)) == rows(plain.having(asked)) == [-4, -3, *range(29000, 30000)]
+    absent, maybe = filtered.split(asked)
+    joined = maybe.count()
+    assert joined + absent.count() == asked.count() and 1002 <= joined < 1002 + 0.02 * 30000  # without filters: all 31,004
+    again = VersionedTable(spark, f"{tmp_path}/filtered", "host string, url string", ["host", "url"])  # settings are the table's
+    assert again.filtered and again.merge(spark.createDataFrame([("h9", "x")], "host string, url string"), 2)
+    assert again.vacuum(keep=1) > 0 and rows(again.having(asked)) == [-4, -3, *range(29000, 30000)]
+    empty = VersionedTable(spark, f"{tmp_path}/none", "host string, url string", ["host", "url"], filters=True)
+    assert empty.lacking(asked).count() == asked.count() and empty.having(asked).count() == 0
