@@ -25,6 +25,7 @@ from pageflow.plans import fixtures as X
 from pageflow.plans import oracle as O
 from pageflow.session import checkpoint_dir
 from pageflow.sources import io as S
+from pageflow.sources.sitemaps import urls_from_sitemap_files
 from pageflow.sources.versioned import VersionedTable
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +79,15 @@ def q_sitemap_urls(spark, sf):
     return S.urls_from_sitemap(X.sitemaps(t(spark, sf, "pages")))
 
 
+@register("sitemap_files", _SITEMAP_URLS_SQL)
+def q_sitemap_files(spark, sf):
+    """S4 over files that are read in splits: each sitemap is a file, found by its number."""
+    out = _sink_dir(spark, "sitemaps")
+    docs = X.sitemaps(t(spark, sf, "pages")).withColumn("doc", F.concat_ws("-", F.md5("host"), "chunk"))
+    docs.select("doc", "xml").write.partitionBy("doc").text(out)
+    return urls_from_sitemap_files(spark, out, docs.select("doc", "host", "content_type"), "doc")
+
+
 _SEED_SQL = O.cte(sites=O.SITES, visited=O.VISITED) + (
     "SELECT DISTINCT host, key AS url FROM (SELECT host, " + O.normalize("u") + " AS key FROM ("
     "SELECT host, base_url AS u FROM sites UNION ALL "

@@ -6,7 +6,7 @@ writer returns the path it wrote so a job can read its own output back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageflow.functions import urls as U
@@ -51,14 +51,18 @@ def sitemaps_from_robots(robots: DataFrame) -> DataFrame:
     )
 
 
+def sitemap_namespace(xml: str) -> Column:
+    """Whether a document's ``urlset`` is in the sitemap namespace, whatever prefix that is bound to."""
+    prefix = F.regexp_extract(xml, r"<(?:([A-Za-z_][\w.-]*):)?urlset[\s>]", 1)
+    name = F.concat(F.lit("xmlns"), F.when(prefix != "", F.concat(F.lit(":"), prefix)).otherwise(F.lit("")))
+    root = F.regexp_extract(xml, r"<(?:[A-Za-z_][\w.-]*:)?urlset(\s[^>]*)?>", 1)
+    return F.contains(F.regexp_replace(root, r"\s*=\s*", "="), F.concat(name, F.lit('="' + SITEMAP_NS + '"')))
+
+
 def urls_from_sitemap(sitemaps: DataFrame) -> DataFrame:
     """S4 + R5: ``(host, url)`` from ``urlset/url/loc`` (trimmed) of XML-typed responses, whatever prefix the
     sitemap namespace is bound to; a malformed document yields no rows; a sitemap index is not followed."""
-    prefix = F.regexp_extract("xml", r"<(?:([A-Za-z_][\w.-]*):)?urlset[\s>]", 1)
-    name = F.concat(F.lit("xmlns"), F.when(prefix != "", F.concat(F.lit(":"), prefix)).otherwise(F.lit("")))
-    root = F.regexp_extract("xml", r"<(?:[A-Za-z_][\w.-]*:)?urlset(\s[^>]*)?>", 1)
-    bound = F.contains(F.regexp_replace(root, r"\s*=\s*", "="), F.concat(name, F.lit('="' + SITEMAP_NS + '"')))
-    ok = sitemaps.filter(sitemap_guard("content_type") & bound)
+    ok = sitemaps.filter(sitemap_guard("content_type") & sitemap_namespace("xml"))
     options = {"rowTag": "urlset", "mode": "PERMISSIVE", "ignoreNamespace": "true"}
     parsed = ok.select("host", F.from_xml("xml", SITEMAP_SCHEMA, options).alias("x"))
     return parsed.select("host", F.explode_outer("x.url").alias("u")).filter(F.col("u").isNotNull()).select(

@@ -75,3 +75,53 @@ def test_number_of_files_is_bounded(spark):
     assert len(files) == 4
     counts = [spark.read.parquet(f).count() for f in files]
     assert sum(counts) == 9000 and max(counts) < 4500
+
+
+def _sitemap_cases():
+    """(name, document): well-formed ones of every prefix, odd ones, and malformed ones."""
+    ns = f'xmlns="{S.SITEMAP_NS}"'
+    doc = lambda body, attr=ns: f'<?xml version="1.0" encoding="UTF-8"?>\n<urlset {attr}>{body}</urlset>'
+    u = "<url><loc>https://e.com/a?x=1&amp;y=2</loc></url>"
+    more = "<url>\n <lastmod>2024-01-01</lastmod><loc> https://e.com/b\n</loc><priority>0.5</priority>\n</url>\n"
+    pre = (u + more).replace("<", "<s:").replace("<s:/", "</s:")
+    return {
+        "plain": doc(u + more + u), "one": doc(u), "prefix": doc(pre, f'xmlns:s="{S.SITEMAP_NS}"').replace("urlset", "s:urlset"),
+        "none": doc(""), "no_loc": doc("<url><lastmod>x</lastmod></url>"), "cdata": doc("<url><loc><![CDATA[https://e.com/c]]></loc></url>" + u),
+        "comment": doc("<!-- <loc>no</loc> -->" + u), "attribute": doc('<url><loc a="1">https://e.com/d</loc></url>' + u), "number": doc("<url><loc>https://e.com/&#65;</loc></url>"),
+        "image": doc(u + '<url><loc>https://e.com/e</loc><i:image xmlns:i="urn:i"><i:loc>https://e.com/i.png</i:loc></i:image></url>'), "empty_loc": doc("<url><loc></loc></url>" + u),
+        "cut": doc(u + more)[:-20], "cut_value": doc(u + more)[:120], "crossed": doc("<url><loc>https://e.com/x</url></loc>"), "mixed": doc(u + pre), "entity": doc("<url><loc>https://e.com/&nbsp;</loc></url>"),
+        "lone_amp": doc("<url><loc>https://e.com/?a&b</loc></url>"), "foreign": doc(u, 'xmlns="urn:other"'), "index": doc(u).replace("urlset", "sitemapindex"), "two_urls": doc("<url><loc>https://e.com/1</loc><loc>https://e.com/2</loc></url>"),
+        "behind": doc(u) + "<p>", "before": "x" + doc(u), "space": doc(u) + "\n \n", "blank": "", "text": "loc>loc>", "unclosed": doc(u.replace("</url>", "")), "slash": doc(u.replace("</loc>", "</ loc>")),
+    }
+
+
+def test_sitemap_files_give_what_whole_documents_give(spark, tmp_path):
+    from pageflow.sources.sitemaps import urls_from_sitemap_files
+
+    cases = _sitemap_cases()
+    for name, text in cases.items():
+        (tmp_path / f"{name}.xml").write_text(text)
+    rows = [(f"{n}.xml", n, "Application/XML", t) for n, t in cases.items()]
+    (tmp_path / "html.xml").write_text(cases["plain"])
+    docs = spark.createDataFrame(rows + [("html.xml", "html", "text/html", cases["plain"])], "doc string, host string, content_type string, xml string")
+    got = sorted(map(tuple, urls_from_sitemap_files(spark, str(tmp_path), docs.drop("xml")).collect()))
+    want = sorted(map(tuple, S.urls_from_sitemap(docs).select("host", "url").collect()))
+    assert got == want
+    hosts = {h for h, _ in got}
+    assert {"plain", "prefix", "image", "cdata"} <= hosts and not hosts & {"cut", "crossed", "lone_amp", "foreign", "html"}
+
+
+def test_a_sitemap_of_a_million_urls_is_read_by_several_tasks(spark, tmp_path):
+    from pageflow.sources.sitemaps import sitemap_pieces, urls_from_sitemap_files
+
+    with open(tmp_path / "big.xml", "w") as f:
+        f.write(f'<urlset xmlns="{S.SITEMAP_NS}">')
+        for k in range(0, 1_000_000, 1000):
+            f.write("".join(f"<url><loc>https://e.com/{i}?a=1&amp;b</loc></url>\n" for i in range(k, k + 1000)))
+        f.write("</urlset>")
+    pieces = sitemap_pieces(spark, str(tmp_path))
+    assert pieces.select("block").distinct().count() >= 4
+    docs = spark.createDataFrame([("big.xml", "e.com", "text/xml")], "doc string, host string, content_type string")
+    got = urls_from_sitemap_files(spark, str(tmp_path), docs)
+    ids = got.select(F.regexp_extract("url", r"^https://e\.com/(\d+)\?a=1&b$", 1).cast("long").alias("i"))
+    assert ids.agg(F.count("i"), F.count_distinct("i"), F.min("i"), F.max("i")).first()[:] == (1_000_000, 1_000_000, 0, 999_999)
