@@ -11,7 +11,7 @@ like any other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,22 +43,35 @@ def _with_offsets(rows: DataFrame, tagged: DataFrame, group_cols: list[str], tot
     return t.join(p, cond, "inner").select("t.*", *kept)
 
 
+def _ranked(tagged: DataFrame, group_cols: list[str], name: str) -> DataFrame:
+    out = _with_offsets(tagged, tagged, group_cols, F.count("*"), F.min("_mid").alias("_first"))
+    return out.withColumn(name, F.col("_off") + (F.col("_mid") - F.col("_first")) + 1).drop("_first", "_off")
+
+
+def _summed(tagged: DataFrame, group_cols: list[str], value: Column, name: str) -> DataFrame:
+    piece = Window.partitionBy("_pid", *group_cols).orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    local = tagged.withColumn("_local", F.coalesce(F.sum(value).over(piece), F.lit(0)))
+    out = _with_offsets(local, tagged, group_cols, F.sum(value))
+    return out.withColumn(name, (F.col("_off") + F.col("_local")).cast("long")).drop("_local", "_off")
+
+
 def rank_in_groups(df: DataFrame, group_cols: list[str], order_cols: list[str], name: str = "rn") -> DataFrame:
     """Adds ``name`` = 1-based row number of each row inside its group, by ``order_cols``.
 
     ``order_cols`` should make the order total (end with a unique id) so that a
     recomputed partition numbers its rows the same way.
     """
-    tagged = _range_split(df, group_cols + order_cols)
-    out = _with_offsets(tagged, tagged, group_cols, F.count("*"), F.min("_mid").alias("_first"))
-    return out.withColumn(name, F.col("_off") + (F.col("_mid") - F.col("_first")) + 1).drop("_pid", "_mid", "_first", "_off")
+    return _ranked(_range_split(df, group_cols + order_cols), group_cols, name).drop("_pid", "_mid")
 
 
 def running_sum_in_groups(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str, name: str) -> DataFrame:
     """Adds ``name`` = exclusive running sum of ``value_col`` inside each group, by ``order_cols``."""
-    tagged = _range_split(df, group_cols + order_cols)
     value = F.coalesce(F.col(value_col), F.lit(0)).cast("long")
-    piece = Window.partitionBy("_pid", *group_cols).orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
-    local = tagged.withColumn("_local", F.coalesce(F.sum(value).over(piece), F.lit(0)))
-    out = _with_offsets(local, tagged, group_cols, F.sum(value))
-    return out.withColumn(name, (F.col("_off") + F.col("_local")).cast("long")).drop("_pid", "_mid", "_local", "_off")
+    return _summed(_range_split(df, group_cols + order_cols), group_cols, value, name).drop("_pid", "_mid")
+
+
+def rank_and_sum_in_groups(df: DataFrame, group_cols: list[str], order_cols: list[str], rank: str, value: Column, total: str) -> DataFrame:
+    """Adds ``rank`` (1-based) and ``total``, the exclusive running sum of ``value``, which may use the rank: both from one
+    range sort that is written once."""
+    tagged = _ranked(_range_split(df, group_cols + order_cols), group_cols, rank)
+    return _summed(tagged, group_cols, F.coalesce(value, F.lit(0)).cast("long"), total).drop("_pid", "_mid")

@@ -14,13 +14,6 @@ from pageflow.functions.urls import CATALOGUES
 from pageflow.operators.skew import salted_join
 
 
-def _numbered(attempts: DataFrame) -> DataFrame:
-    """Attempt number per url in (ts, seq) order; skew-proof (a hot url is split)."""
-    from pageflow.operators.ranking import rank_in_groups
-
-    return rank_in_groups(attempts, ["url"], ["ts", "seq"], "attempt")
-
-
 def retry_outcome(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
     """Per url the first successful attempt within ``max_retries``, else failed.
 
@@ -44,12 +37,11 @@ def retry_outcome(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
 def backoff(attempts: DataFrame, delay: float) -> DataFrame:
     """After failed attempt n (1-based) wait ``delay * n`` (also after the last one):
     ``wait_s`` per try and ``total_wait_s``, what the url has waited up to and with it."""
-    from pageflow.operators.ranking import running_sum_in_groups
+    from pageflow.operators.ranking import rank_and_sum_in_groups
 
-    n = _numbered(attempts).withColumn("_units", F.when(~F.col("ok"), F.col("attempt")).otherwise(F.lit(0)))
-    n = running_sum_in_groups(n, ["url"], ["ts", "seq"], "_units", "_before")
-    total = F.lit(delay) * (F.col("_before") + F.col("_units"))
-    return n.withColumn("wait_s", F.lit(delay) * F.col("_units")).withColumn("total_wait_s", total).drop("_units", "_before")
+    units = F.when(~F.col("ok"), F.col("attempt")).otherwise(F.lit(0))
+    n = rank_and_sum_in_groups(attempts, ["url"], ["ts", "seq"], "attempt", units, "_before")
+    return n.withColumn("wait_s", F.lit(delay) * units).withColumn("total_wait_s", F.lit(delay) * (F.col("_before") + units)).drop("_before")
 
 
 def failed_urls(outcome: DataFrame) -> DataFrame:

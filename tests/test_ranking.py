@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pageflow.operators.ranking import rank_in_groups, running_sum_in_groups
+from pageflow.operators.ranking import rank_and_sum_in_groups, rank_in_groups, running_sum_in_groups
 
 
 def _skewed(spark):
@@ -43,6 +43,16 @@ def test_null_groups_text_none_and_large_values(spark):
     assert ranks == {k: k[1] for k in got}
 
 
+def test_rank_and_sum_from_one_sort(spark):
+    df = _skewed(spark)
+    got = rank_and_sum_in_groups(df, ["g"], ["o"], "rn", F.when(F.col("rn") % 2 == 0, F.col("rn")), "before")
+    w = Window.partitionBy("g").orderBy("o")
+    exp = df.withColumn("rn2", F.row_number().over(w))
+    exp = exp.withColumn("before2", F.coalesce(F.sum(F.when(F.col("rn2") % 2 == 0, F.col("rn2"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    both = got.join(exp.select("g", "o", "rn2", "before2"), ["g", "o"])
+    assert both.count() == df.count() and both.filter("rn != rn2 OR before != before2").count() == 0
+
+
 def test_schedule_equals_window(spark, sf_dir):
     from pageflow.operators import crawl as K
     from pageflow.plans import fixtures as X
