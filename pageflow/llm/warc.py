@@ -36,6 +36,8 @@ from pageflow.llm.common import checkpointed, partitions, shared_path, table, wr
 
 #: Entries of an index block, records of an archive file, bytes of the least payload that is revisited.
 BLOCK, FILE_RECORDS, LEAST = 512, 1000, 100
+#: Bytes of an archive file at most, unless a single record is larger; readers hold a file in memory.
+FILE_BYTES = 256 << 20
 #: Repeated payloads (80 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 LINE, GAP = "\r\n", "\r\n\r\n"
@@ -67,8 +69,16 @@ def clean_url(url) -> F.Column:
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", file_records: int = FILE_RECORDS) -> str:
-    """Writes a WARC record per page below ``path``."""
+    """Writes a WARC record per page below ``path``, in files of at most ``file_records`` records and about ``FILE_BYTES``.
+
+    Pages are written by size class, each eight times the one before it with an eighth of the records in a file. Nearly
+    all are of the first one; a class without pages isn't written.
+    """
     rows = record_kinds(pages)
+    size, least = F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)), FILE_BYTES // file_records
+    steps = [least * 8**k for k in range(len(str(FILE_BYTES)))]
+    size_class = lambda n: sum((F.when(n > step, 1).otherwise(0) for step in steps), F.lit(0))
+    classes = sorted(r[0] for r in pages.select(size_class(size)).distinct().collect()) or [0]  # some ten numbers at most
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{LINE}Content-Type: text/html; charset=utf-8{LINE}Content-Length: "), F.col("bytes").cast("string"), F.lit(GAP))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
@@ -83,7 +93,11 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
         line("WARC-Page-ID", F.col("page_id").cast("string")), line("WARC-Refers-To-Page-ID", F.col("refers_to").cast("string")),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")),
     )
-    rows.select(F.concat(head, F.lit(LINE), block).alias("value")).write.option("lineSep", GAP).option("maxRecordsPerFile", file_records).text(path)
+    own = size_class(F.col("bytes") + F.coalesce(F.octet_length("url"), F.lit(0)))
+    for k in classes:
+        some = rows if classes == [k] else rows.filter(own == k)
+        lines = some.select(F.concat(head, F.lit(LINE), block).alias("value"))
+        lines.write.mode("append").option("lineSep", GAP).option("maxRecordsPerFile", max(1, file_records // 8**k)).text(path)
     return path
 
 

@@ -60,6 +60,17 @@ def test_archives_are_valid(spark):
         assert at == len(r["content"])
 
 
+def test_files_are_bounded_by_bytes(spark, monkeypatch):
+    """Pages of every size in one partition: no file is much larger than the bound, unless it holds a single record."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 200_000)
+    rows = [(k, f"http://x.org/{k}", f"{k} " * 40) for k in range(300)] + [(1000 + k, f"http://y.org/{k}", f"{k}é" * (3000 * (k + 1))) for k in range(12)] + [(2000, "http://z.org/" + "u" * 300_000, None)]
+    path = warc.write_archives(frame(spark, rows).coalesce(1), shared_path(spark, "warc"), file_records=100)
+    files = [(bytes(r["content"]), len(list(warc.records(bytes(r["content"]))))) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()]
+    assert sum(n for _, n in files) == len(rows) and max(n for _, n in files) == 100
+    assert all(len(c) <= 300_000 or n == 1 for c, n in files)
+    assert Counter(map(tuple, warc.captures(spark, frame(spark, rows)).collect())) == Counter(plain(rows))
+
+
 def test_sort_keys():
     assert warc.surt("https://B.example.com:8080/a?x=1#f") == "com,example,b:8080)/a?x=1"
     assert warc.surt("http://a.org") == "org,a)/"
