@@ -1,6 +1,7 @@
 import base64
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -109,3 +110,47 @@ def test_flat_trees_against_walk():
             total += trees.leaf[t, node - 7]
         assert abs(total - raw) < 1e-9
     assert ((trees.raw(bins) > 0) == label).mean() > 0.9
+
+
+def plain_statistics(text):
+    """The thirty statistics one by one, over single bytes and words."""
+    import math
+    import string
+
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * 30
+    chars, n = [chr(b) for b in raw], len(raw)
+    share = lambda wanted: sum(c in wanted for c in chars) / n
+    stop, sign, blank = ".,;:!?'\"()-", "#*$%&|<>{}[]\\/_=+~^@`", "\t\x0b\x0c\r \n"
+    known = string.ascii_letters + string.digits + stop + sign + blank
+    words = [w for w in re.split("[\t\x0b\x0c\r \n]+", "".join(chars)) if w]
+    lines = [x for x in "".join(chars).split("\n") if x.strip(blank)]
+    entropy = lambda items: -sum(c / len(items) * math.log2(c / len(items)) for c in Counter(items).values())
+    per = lambda holds, of: sum(map(holds, of)) / max(1, len(of))
+
+    def again(k):
+        runs = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+        seen = Counter(runs)
+        return per(lambda r: seen[r] > 1, runs)
+
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / max(1, len(sizes))
+    letters = string.ascii_letters
+    return [
+        math.log(1 + n), math.log(1 + len(words)), math.log(1 + len(lines)), share(string.ascii_lowercase), share(string.ascii_uppercase), share(string.digits), share(blank), share(stop), share(sign),
+        sum(c >= "\x80" for c in chars) / n, sum(c < "\x80" and c not in known for c in chars) / n,
+        mean, math.sqrt(per(lambda s: (s - mean) ** 2, sizes)), math.log(1 + max(sizes, default=0)), len(set(words)) / max(1, len(words)), max(Counter(words).values(), default=0) / max(1, len(words)), again(2), again(3),
+        math.log(1 + n / max(1, len(lines))), 1 - len(set(lines)) / max(1, len(lines)), per(lambda x: x.rstrip(blank)[-1] in '.!?"', lines), entropy(chars), entropy(words) if words else 0.0,
+        per(lambda w: any(c in letters for c in w) and not any(c in string.ascii_lowercase for c in w), words), per(lambda w: w[-1] in sign + "!", words),
+        per(lambda w: all(c in string.digits for c in w), words), per(lambda s: s > 16, sizes), per(lambda w: w[-1] in ".,;:!?", words), share("!"), share("|"),
+    ]
+
+
+def test_statistics_against_plain_ones(odd, spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) < 4000 AND doc_id % 5 = 0").select("text")
+    texts = [r["text"] for r in odd.select("text").unionByName(docs).collect()] + ["x", "!", "| |", "\n.\n.\n", "A1 B2 a1", "ab " * 3, "\x00\x01 \x7f"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string")
+    got = {r["k"]: r["s"] for r in frame.select("k", quality_model.statistics_column("text").alias("s")).collect()}
+    for k, t in enumerate(texts):
+        assert np.allclose(got[k], plain_statistics(t), atol=1e-9), (t or "")[:80]
