@@ -6,17 +6,30 @@ always compress better. The same holds for its fixed chunks, so that a repetitiv
 long normal text is seen as well: a document fails if too large a share of its chunk bytes
 lies outside the chunk band.
 
-Rules per row, without a shuffle. Null and empty texts have no words and fail the base rule. Rows
-that repeat get the same result each; a null ``doc_id`` is passed on. Texts are read whole.
+``fit`` takes the bands from the corpus at hand: the ratios of all distinct texts that pass the base rule are
+counted by language and half octave of length, and a band is the shortest interval that holds half of them,
+widened by their own spread. Up to half of a class may so be noise or repetition without moving the band far, and copies
+count once. A class of fewer than ``LEAST_TEXTS`` texts is joined with the next longer ones. Lengths between two classes are interpolated. Beyond the last one the upper limit goes on rising, and
+below the first the lower one goes on falling. A language with fewer texts in all takes the bands of all languages together, and
+a corpus with fewer the constants of ``Bands``. The query and the pipeline's stage fit first, which reads the texts twice.
+
+Verdicts are per row; only counts are shuffled. Null and empty texts have no words and fail the base rule. Rows
+that repeat get the same result each; a null ``doc_id`` is passed on. Texts are read whole. Null languages, languages beyond the
+``LANGUAGES`` most frequent ones and tables without the column take the bands of all languages together.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from dataclasses import dataclass
+from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass, fields
+from functools import cached_property
+from math import exp, floor, inf, log, log2
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +62,57 @@ class Bands:
     chunk_share: float = 0.25
     level: int = 3
 
+    def whole(self, lang: str | None, size: int) -> tuple[float, float]:
+        """Limits of a whole text of ``size`` bytes."""
+        band = bisect_right(self.lengths, size)
+        return self.lowest[band], self.highest[band]
+
+    def chunk(self, lang: str | None, size: int) -> tuple[float, float]:
+        return self.chunk_lowest, self.chunk_highest
+
+
+#: Distinct texts of a band at least, and languages with bands of their own.
+LEAST_TEXTS, LANGUAGES = 200, 64
+#: Steps of log ratios that are counted; a band reaches REACH standard deviations, and FLOOR at least, from its middle.
+STEP, REACH, FLOOR = 0.01, 4.5, 0.1
+#: Change of log ratios per half octave of length, beyond the classes that have a band.
+SLOPE = 0.05
+#: The class of chunks, and the language name of all texts together.
+CHUNKS, ALL = -1, ""
+
+
+@dataclass(frozen=True)
+class FittedBands(Bands):
+    """Bands of a corpus: per language the (class, low, high) of log ratios, by class."""
+
+    curves: tuple[tuple[str, tuple[tuple[float, float, float], ...]], ...] = ()
+
+    @cached_property
+    def _known(self) -> dict[str, tuple[tuple, tuple | None]]:
+        """By language, the middles of its classes with their low and high, and the limits of chunks."""
+        return {
+            name: (tuple(zip(*((c + 0.5, low, high) for c, low, high in curve if c != CHUNKS), strict=True)), next((c[1:] for c in curve if c[0] == CHUNKS), None))
+            for name, curve in self.curves
+        }
+
+    def _curve(self, lang: str | None) -> tuple[tuple, tuple | None]:
+        return self._known.get(lang or ALL) or self._known.get(ALL) or ((), None)
+
+    def whole(self, lang: str | None, size: int) -> tuple[float, float]:
+        curve, _ = self._curve(lang)
+        if not curve:
+            return super().whole(lang, size)
+        at, (x, lows, highs) = 2 * log2(max(size, 1)), curve
+        low, high = float(np.interp(at, x, lows)), float(np.interp(at, x, highs))
+        return exp(low - SLOPE * max(0.0, x[0] - at)), exp(high + SLOPE * max(0.0, at - x[-1]))
+
+    def chunk(self, lang: str | None, size: int) -> tuple[float, float]:
+        _, limits = self._curve(lang)
+        if limits is None:
+            return self.whole(lang, size) if self.curves else super().chunk(lang, size)
+        low, high = limits
+        return exp(low - SLOPE * max(0.0, 2 * log2(self.chunk_bytes / max(size, 1)))), exp(high)
+
 
 MEASURES = StructType(
     [
@@ -90,7 +154,14 @@ def chunk_bounds(n: int, size: int, least: int) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], n], strict=True))
 
 
-def measure(raw: bytes, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple:
+def chunk_ratios(raw: bytes, bands: Bands, packer: zstandard.ZstdCompressor) -> Iterator[tuple[int, int, float]]:
+    """(start, stop, ratio) of each chunk that is judged."""
+    for a, b in chunk_bounds(len(raw), bands.chunk_bytes, bands.chunk_least):
+        if b - a >= bands.chunk_least:
+            yield a, b, (b - a) / len(packer.compress(raw[a:b]))
+
+
+def measure(raw: bytes, bands: Bands, packer: zstandard.ZstdCompressor, lang: str | None = None) -> tuple:
     """One row of MEASURES for a text in UTF-8."""
     words = raw.split()
     n = len(words)
@@ -102,26 +173,108 @@ def measure(raw: bytes, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple
     kept = not failed
     if raw:
         ratio = len(raw) / len(packer.compress(raw))
-        band = bisect_right(bands.lengths, len(raw))
-        for a, b in chunk_bounds(len(raw), bands.chunk_bytes, bands.chunk_least):
-            if b - a >= bands.chunk_least:
-                part = (b - a) / len(packer.compress(raw[a:b]))
-                odd += (b - a) * (not bands.chunk_lowest <= part <= bands.chunk_highest)
+        for a, b, part in chunk_ratios(raw, bands, packer):
+            low, high = bands.chunk(lang, b - a)
+            odd += (b - a) * (not low <= part <= high)
         odd /= len(raw)
-        kept = kept and bands.lowest[band] <= ratio <= bands.highest[band] and odd <= bands.chunk_share
+        low, high = bands.whole(lang, len(raw))
+        kept = kept and low <= ratio <= high and odd <= bands.chunk_share
     spaces = sum(raw.count(x) for x in SPACES)
     symbols = sum(raw.count(x) for x in SYMBOLS)
     return n, points - spaces, symbols, len(lines) - len(set(lines)), repeat, failed, kept, ratio, odd
 
 
-def quality(text: str = "text", bands: Bands | None = None) -> F.Column:
+COUNTED = "lang string, class int, step int, print bigint"
+
+
+def _counted(raw: bytes, lang: str, bands: Bands, packer: zstandard.ZstdCompressor) -> Iterator[tuple]:
+    """A row of COUNTED for a text that passes the base rule, and for each of its whole chunks."""
+    words = raw.split()
+    if len(words) < 50 or 100 * repeated_words(words) > 50 * len(words):
+        return
+    step = lambda ratio: floor(log(ratio) / STEP)
+    named = lambda part: xxhash.xxh3_64_intdigest(part) - (1 << 63)
+    yield lang, floor(2 * log2(len(raw))), step(len(raw) / len(packer.compress(raw))), named(raw)
+    for a, b, ratio in chunk_ratios(raw, bands, packer):
+        if b - a >= bands.chunk_bytes:
+            yield lang, CHUNKS, step(ratio), named(raw[a:b])
+
+
+def _band(steps: list[tuple[int, int]]) -> tuple[float, float]:
+    """Limits of log ratios from (step, texts): the shortest interval with half of the texts, widened."""
+    steps = sorted(steps)
+    least = sum(n for _, n in steps) / 2
+    width, middle, first, held = inf, 0.0, 0, 0
+    for step, n in steps:
+        held += n
+        while held - steps[first][1] >= least:
+            held -= steps[first][1]
+            first += 1
+        if held >= least and step + 1 - steps[first][0] < width:
+            width, middle = step + 1 - steps[first][0], (step + 1 + steps[first][0]) / 2
+    # half of a normal distribution lies within 0.6745 standard deviations
+    reach = max(FLOOR, REACH * width / 2 * STEP / 0.6745)
+    return middle * STEP - reach, middle * STEP + reach
+
+
+def _curve_of(sizes: dict[int, dict[int, int]]) -> tuple[tuple[float, float, float], ...]:
+    """(class, low, high) of (class, step) counts; classes join the next ones until they hold ``LEAST_TEXTS`` texts."""
+    curve, steps, place = [], defaultdict(int), 0
+    for size, counts in sorted(sizes.items()):
+        for step, n in counts.items():
+            steps[step] += n
+            place += size * n
+        texts = sum(steps.values())
+        if texts >= LEAST_TEXTS:
+            curve.append((place / texts, *_band(list(steps.items()))))
+        if texts >= LEAST_TEXTS or size == CHUNKS:
+            steps, place = defaultdict(int), 0
+    return tuple(curve)
+
+
+def _lang(docs: DataFrame, lang: str | None) -> F.Column:
+    return F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str | None = "lang", bands: Bands | None = None) -> Bands:
+    """The bands of all distinct texts of ``docs`` that pass the base rule.
+
+    The driver sees the counts alone: (``LANGUAGES`` + 1) x classes x steps at most, whatever the corpus.
+    """
+    bands = bands or Bands()
+    rows = docs.select(utf8(text).alias("t"), _lang(docs, lang).alias("l"))
+    by = rows.filter("l <> ''").groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES)
+    names = {r.l for r in by.collect()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=bands.level)
+        for batch in batches:
+            out: list[tuple] = []
+            for raw, of in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                if raw.is_valid:
+                    out.extend(_counted(raw.as_buffer().to_pybytes(), of if of in names else ALL, bands, packer))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "class", "step", "print"])
+
+    each = rows.mapInArrow(count, COUNTED).distinct().groupBy("lang", "class", "step").count()
+    found: dict[str, dict[int, dict[int, int]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(int)))
+    for of, size, step, n in each.collect():
+        for name in {of, ALL}:
+            found[name][size][step] += n
+    curves = {name: _curve_of(sizes) for name, sizes in found.items()}
+    curves = {name: curve for name, curve in curves.items() if any(c[0] != CHUNKS for c in curve)}
+    return FittedBands(**{f.name: getattr(bands, f.name) for f in fields(Bands)}, curves=tuple(sorted(curves.items())))
+
+
+def quality(text: str = "text", bands: Bands | None = None, lang: F.Column | None = None) -> F.Column:
     """The measures and the verdict of a text column as a struct."""
     bands = bands or Bands()
 
     @F.arrow_udf(MEASURES)
-    def judge(texts: pa.Array) -> pa.Array:
+    def judge(texts: pa.Array, langs: pa.Array) -> pa.Array:
         packer = zstandard.ZstdCompressor(level=bands.level)
-        rows = [measure(x.as_buffer().to_pybytes() if x.is_valid else b"", bands, packer) for x in texts]
+        rows = [measure(x.as_buffer().to_pybytes() if x.is_valid else b"", bands, packer, of) for x, of in zip(texts, langs.to_pylist(), strict=True)]
         columns = list(zip(*rows, strict=True)) or [()] * len(MEASURES)
         kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
         kinds["bigint"] = kinds["long"]
@@ -130,23 +283,24 @@ def quality(text: str = "text", bands: Bands | None = None) -> F.Column:
             names=MEASURES.names,
         )
 
-    return judge(utf8(text))
+    return judge(utf8(text), F.lit(None).cast("string") if lang is None else lang)
 
 
-def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: Bands | None = None) -> DataFrame:
+def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: Bands | None = None, lang: str | None = "lang") -> DataFrame:
     """``key`` and the measures of each row."""
-    return docs.select(key, quality(text, bands).alias("_m")).select(key, "_m.*")
+    return docs.select(key, quality(text, bands, _lang(docs, lang)).alias("_m")).select(key, "_m.*")
 
 
-def keep_good(docs: DataFrame, text: str = "text", bands: Bands | None = None) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", bands: Bands | None = None, lang: str | None = "lang") -> DataFrame:
     """The rows of ``docs`` that pass, with their columns."""
     name = "_verdict_" + "_".join(docs.columns)
-    return docs.withColumn(name, quality(text, bands)["kept"]).filter(F.col(name)).drop(name)
+    return docs.withColumn(name, quality(text, bands, _lang(docs, lang))["kept"]).filter(F.col(name)).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return measures(docs, bands=fit(docs))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_good(docs)
+    return keep_good(docs, bands=fit(docs))

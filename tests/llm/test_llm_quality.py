@@ -1,7 +1,7 @@
 import base64
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -66,6 +66,79 @@ def test_bands_reject_noise_of_any_length_and_repetition_under_half(spark, sf_di
     assert len(got) == 30 and not [r for r in got if r["base_failed"] or r["kept"]]
 
 
+def prose(rng, words, n):
+    return " ".join(rng.choice(words, n))
+
+
+def corpus(seed=8, n=900):
+    """Texts of random words with 60 to 1,500 words in two languages of different spread, and their ids."""
+    rng = np.random.default_rng(seed)
+    plain = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(3000)]
+    wide = ["".join(map(chr, rng.integers(0x4E00, 0x5200, 2))) for _ in range(3000)]
+    return rng, [(k, "aa" if k % 3 else "zz", prose(rng, plain if k % 3 else wide, int(60 * 25 ** rng.random()))) for k in range(n)], plain
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(*r, 1.5) for r in rows], "doc_id long, lang string, text string, ratio double")
+
+
+def test_fitted_bands_against_plain_counts(spark):
+    import math
+
+    import zstandard
+
+    _, rows, _ = corpus(n=3600)
+    rows += [(5000 + k, "aa", rows[1][2]) for k in range(800)] + [(9000, None, None), (9001, "", ""), (9002, "rare", rows[2][2] + " end")]
+    bands = quality_rules.fit(docs_of(spark, rows))
+    logs = defaultdict(set)
+    for _, lang, text in rows:
+        raw = (text or "").encode()
+        if len(raw.split()) >= 50:
+            size, ratio = math.floor(2 * math.log2(len(raw))), len(raw) / len(zstandard.ZstdCompressor(level=3).compress(raw))
+            for name in {lang, ""}:
+                logs[name, size].add((math.floor(math.log(ratio) * 100), text))
+    want, pool = {}, {}
+    for name, size in sorted(logs):
+        pool.setdefault(name, []).extend((s, size) for s, _ in logs[name, size])
+        if len(pool[name]) >= quality_rules.LEAST_TEXTS:
+            texts = pool.pop(name)
+            place, steps = (name, sum(k for _, k in texts) / len(texts)), sorted(s for s, _ in texts)
+            half = -(-len(steps) // 2)
+            width, first = min((steps[k + half - 1] + 1 - steps[k], steps[k]) for k in range(len(steps) - half + 1))
+            reach = max(0.1, 4.5 * width / 200 / 0.6745)
+            want[place] = ((first + width / 2) / 100 - reach, (first + width / 2) / 100 + reach)
+    got = {(name, c[0]): c[1:] for name, curve in bands.curves for c in curve if c[0] != quality_rules.CHUNKS}
+    assert len(want) >= 6 and {k[0] for k in want} == {"", "aa", "zz"} and got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_fitted_bands_keep_clean_texts_beside_a_third_of_noise_and_copies(spark):
+    rng, rows, plain = corpus(n=1800)
+    clean = {r[0] for r in rows}
+    base64ish = lambda n: " ".join(base64.b64encode(rng.bytes(int(rng.integers(3, 10)))).decode().rstrip("=") for _ in range(n))
+    noise = [(10_000 + k, "aa", base64ish(int(60 * 20 ** rng.random()))) for k in range(800)]
+    again = [(20_000 + k, "aa", (w := prose(rng, plain, int(rng.integers(300, 900)))) + " " + w[: len(w) * 45 // 100]) for k in range(100)]
+    copies = [(30_000 + k, "aa", rows[1][2]) for k in range(600)]
+    docs = docs_of(spark, rows + noise + again + copies)
+    got = {r["doc_id"]: r for r in quality_rules.measures(docs, bands=quality_rules.fit(docs)).collect()}
+    left = lambda ids: sum(got[i]["kept"] for i in ids)
+    assert not any(got[i]["base_failed"] for i in clean) and left(clean) >= 0.99 * len(clean)
+    assert left(r[0] for r in copies) == len(copies)
+    assert left(r[0] for r in noise) <= 0.05 * len(noise) and left(r[0] for r in again) <= 0.1 * len(again)
+    kept = quality_rules.keep_good(docs, bands=quality_rules.fit(docs))
+    assert kept.columns == docs.columns and kept.count() == left(got)
+
+
+def test_fitted_bands_go_on_beyond_their_classes(spark):
+    bands = quality_rules.FittedBands(curves=(("", ((20, 0.5, 0.8), (22, 0.6, 0.9))),))
+    sizes = [1 << k for k in range(0, 40)]
+    low, high = zip(*(bands.whole("xx", s) for s in sizes), strict=True)
+    assert list(low) == sorted(low) and list(high) == sorted(high) and high[-1] > high[12] and low[0] < low[10]
+    assert low[-1] == low[12] and bands.whole(None, 0) == bands.whole(None, 1)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert quality_rules.fit(empty).whole("en", 600) == quality_rules.Bands().whole("en", 600) and quality_rules.measures(empty, bands=quality_rules.fit(empty)).count() == 0
+
+
 def test_kept_rows_keep_their_columns(odd, spark):
     out = quality_rules.keep_good(odd)
     assert out.columns == odd.columns
