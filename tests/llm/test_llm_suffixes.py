@@ -108,3 +108,59 @@ def test_passage_twice_in_the_least_document(spark):
     rows += [(k, " ".join(some(100))) for k in range(20, 60)]
     want = covered(rows)
     assert len(want[5]) == 400 and found(suffixes.repeated_passages(frame(spark, rows))) == want
+
+
+def test_suffix_order_alone_finds_passages_of_two_documents(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(4000)]
+    rows = []
+    for k in range(80):
+        passage = rng.choices(words, k=(50, 51, 53, 79, 80, 400)[k % 6])
+        for j in range(2):
+            text = [*rng.choices(words, k=rng.randint(0, 60)), "x" * (j + 3), *passage, "y" * (j + 3), *rng.choices(words, k=rng.randint(0, 60))]
+            rows.append((10 * k + j, " ".join(text)))
+    seen = {}
+
+    def keep(suffixes_, least, window):
+        seen["rows"], seen["spans"] = suffixes_.count(), real(suffixes_, least, window).collect()
+        return real(suffixes_, least, window)
+
+    real = suffixes.neighbours
+    monkeypatch.setattr(suffixes, "neighbours", keep)
+    got = found(suffixes.repeated_passages(frame(spark, rows)))
+    spans = defaultdict(set)
+    for r in seen["spans"]:
+        spans[r["doc_id"]].update(range(r["start"], r["stop"]))
+    # a row at the start or end of a partition may lack one neighbour, the other side finds it
+    want = covered(rows)
+    assert got == want and seen["rows"] >= len(want)
+    assert sum(len(want[i] & spans[i]) for i in want) >= 0.9 * sum(map(len, want.values())) and all(spans[i] <= want[i] for i in spans)
+
+
+def test_scan_against_plain_neighbours():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    least, window, reach = 51, 30, 29
+    texts = {d: [rng.choice("ab") for _ in range(reach)] + ["s"] * 22 + [rng.choice("ab") for _ in range(rng.choice((12, 20, 29)))] for d in range(300)}
+    rows = []
+    for d, t in texts.items():
+        behind, before = t[reach + 22 :], t[:reach][::-1]
+        pad = lambda ws: np.array([ord(w) for w in ws] + [0] * (reach - len(ws)), "<u4").tobytes()
+        rows.append((5 + d % 2, d // 2, reach, len(behind), len(before), pad(behind), pad(before)))
+    rows.sort(key=lambda r: (r[0], r[5], r[6], r[1], r[2]))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)], names=list("abcdefg"))
+    common = lambda a, b, most: next((k for k in range(most) if a[4 * k : 4 * k + 4] != b[4 * k : 4 * k + 4]), most)
+    want = set()
+    for k, r in enumerate(rows):
+        for side in (rows[:k][::-1], rows[k + 1 :]):
+            o = next((x for x in side if x[1] != r[1]), None)
+            if o and o[0] == r[0]:
+                right, left = common(r[5], o[5], min(r[3], o[3])), common(r[6], o[6], min(r[4], o[4]))
+                if left + 22 + right >= least:
+                    want.add((r[1], reach - left, reach + 22 + right, o[1]))
+    for cuts in ([0, 300], [0, 1, 2, 100, 300]):
+        out = suffixes._scan((batch(rows[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)), least, window)
+        assert {tuple(r.values()) for x in out for r in x.to_pylist()} == want
+    assert list(suffixes._scan(iter([batch(rows[:5]).slice(0, 0)]), least, window)) == []
