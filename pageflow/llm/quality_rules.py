@@ -11,7 +11,8 @@ counted by language and half octave of length, and a band is the shortest interv
 widened by their own spread. Up to half of a class may so be noise or repetition without moving the band far, and copies
 count once. A class of fewer than ``LEAST_TEXTS`` texts is joined with the next longer ones. Lengths between two classes are interpolated. Beyond the last one the upper limit goes on rising, and
 below the first the lower one goes on falling. A language with fewer texts in all takes the bands of all languages together, and
-a corpus with fewer the constants of ``Bands``. The query and the pipeline's stage fit first, which reads the texts twice.
+a corpus with fewer the constants of ``Bands``. Fitted bands widen those constants and never narrow them, so that
+a band of few lengths or of one uniform source can't reject ordinary text. The query and the pipeline's stage fit first, which reads the texts twice.
 
 Verdicts are per row; only counts are shuffled. Null and empty texts have no words and fail the base rule. Rows
 that repeat get the same result each; a null ``doc_id`` is passed on. Texts are read whole. Null languages, languages beyond the
@@ -104,14 +105,16 @@ class FittedBands(Bands):
             return super().whole(lang, size)
         at, (x, lows, highs) = 2 * log2(max(size, 1)), curve
         low, high = float(np.interp(at, x, lows)), float(np.interp(at, x, highs))
-        return exp(low - SLOPE * max(0.0, x[0] - at)), exp(high + SLOPE * max(0.0, at - x[-1]))
+        least, most = super().whole(lang, size)
+        return min(least, exp(low - SLOPE * max(0.0, x[0] - at))), max(most, exp(high + SLOPE * max(0.0, at - x[-1])))
 
     def chunk(self, lang: str | None, size: int) -> tuple[float, float]:
         _, limits = self._curve(lang)
         if limits is None:
             return self.whole(lang, size) if self.curves else super().chunk(lang, size)
         low, high = limits
-        return exp(low - SLOPE * max(0.0, 2 * log2(self.chunk_bytes / max(size, 1)))), exp(high)
+        least, most = super().chunk(lang, size)
+        return min(least, exp(low - SLOPE * max(0.0, 2 * log2(self.chunk_bytes / max(size, 1))))), max(most, exp(high))
 
 
 MEASURES = StructType(

@@ -134,7 +134,7 @@ def test_fitted_bands_go_on_beyond_their_classes(spark):
     sizes = [1 << k for k in range(0, 40)]
     low, high = zip(*(bands.whole("xx", s) for s in sizes), strict=True)
     assert list(low) == sorted(low) and list(high) == sorted(high) and high[-1] > high[12] and low[0] < low[10]
-    assert low[-1] == low[12] and bands.whole(None, 0) == bands.whole(None, 1)
+    assert low[-1] < 1.9 and bands.whole(None, 0) == bands.whole(None, 1)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert quality_rules.fit(empty).whole("en", 600) == quality_rules.Bands().whole("en", 600) and quality_rules.measures(empty, bands=quality_rules.fit(empty)).count() == 0
 
