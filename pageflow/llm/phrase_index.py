@@ -5,33 +5,39 @@ postings, that is each term with the sorted places where it stands in the block.
 shuffle, blocks are bounded in size, and the table is written once to the shared folder, so that any
 number of benchmarks can be looked up in it and a lost executor repeats single blocks.
 
-A lookup takes phrases (windows of benchmark words). The index gives each term's count in the whole
-corpus; within a block, the postings of a phrase's rarest term, less its offset in the phrase, are
-the candidate starts, and the lists of the other terms are intersected with them from rare to common.
-Benchmarks are looked up in parts of bounded size, so what a task holds of them does not grow with
-the benchmark table; hits of all parts are merged per document.
+A lookup takes phrases (windows of benchmark words, cut in tasks and dealt by hash over parts of bounded
+size in the shared folder). Tasks read one part at a time and look it up in each block: of a phrase's terms
+the one with the shortest postings in the block gives the candidates, and the lists of the others, from rare
+to common, are intersected with them. Offset by the terms' places in the phrase they give exact matches; within
+a stretch of ``span`` words, in any order and with other words between, proximity matches. Hits of a part are
+written before the next is read, and merged per document; the driver sees the number of parts alone.
 
 Null texts have no words. Repeated rows and null ids are documents of their own. Benchmark rows
-without id, or without words, match nothing. Only the named columns are read.
+without id, or without words, match nothing; repeated ones count once. Only the named columns are read.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-from functools import reduce
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageflow.llm.common import table, utf8, written
+from pageflow.llm.common import shared_path, table, utf8, written
+from pageflow.llm.warc import _opens
 
-#: Words of an index block, and bytes of benchmark text that are looked up at once.
-BLOCK_WORDS, PART_BYTES = 1 << 20, 1 << 25
+#: Words of an index block, bytes of benchmark text that are looked up at once (their windows take about
+#: ``window`` times that), and candidates that are tested at once.
+BLOCK_WORDS, PART_BYTES, TESTED = 1 << 20, 1 << 22, 1 << 20
+#: Words of a stretch that a proximity match fits in.
+SPAN = 20
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 INDEX = "block string, doc_ids array<bigint>, starts array<bigint>, terms array<binary>, offsets array<bigint>, places binary"
@@ -81,63 +87,91 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
     return written(docs.select(F.col(key).alias("doc_id"), utf8(text).alias("text")).mapInArrow(blocks, INDEX), "postings")
 
 
-def term_counts(index: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
-    """How often each wanted term stands in the corpus."""
+class Phrases:
+    """A part of the benchmark's windows: their terms by width, and the items that hold them."""
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[bytes] = Counter()
-        for batch in batches:
-            for terms, offsets in zip(batch.column(0), batch.column(1), strict=True):
-                size = np.diff(offsets.values.to_numpy())
-                for k, t in enumerate(terms.values.to_pylist()):
-                    if t in wanted:
-                        total[t] += int(size[k])
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
-
-    found = index.select("terms", "offsets").mapInArrow(counts, "term binary, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    return {bytes(r.term): r.n for r in found.collect()}  # at most the terms of one part of the benchmark
+    def __init__(self, windows: pa.Table):
+        self.vocabulary: dict[bytes, int] = defaultdict(count().__next__)
+        owners: dict[bytes, list[int]] = defaultdict(list)
+        for window, item in zip(windows["window"].to_pylist(), windows["item_id"].to_pylist(), strict=True):
+            owners[window].append(item)
+        by_width: dict[int, list[tuple[list[int], list[int]]]] = defaultdict(list)
+        for window, items in owners.items():
+            words = [self.vocabulary[w] for w in window.split()]
+            by_width[len(words)].append((words, items))
+        self.widths = [(np.array([w for w, _ in rows], np.int64), [i for _, i in rows]) for rows in by_width.values()]
 
 
 class Postings:
-    """One block of the index, as far as a vocabulary needs it."""
+    """One block of the index, as far as a vocabulary needs it.
+
+    ``key`` holds the postings of all its terms as (term, place) in one sorted array, so that the lists of many
+    terms can be searched at once.
+    """
 
     def __init__(self, row: dict, vocabulary: dict[bytes, int]):
         self.block, self.ids = row["block"], row["doc_ids"]
         self.starts = np.array(row["starts"], np.int64)
-        self.places = np.frombuffer(row["places"], np.int32)
+        places = np.frombuffer(row["places"], np.int32)
         offsets = np.array(row["offsets"], np.int64)
-        self.first = np.zeros(len(vocabulary), np.int64)
-        self.size = np.zeros(len(vocabulary), np.int64)
-        self.at = np.full(len(self.places), -1, np.int32)
+        self.n = len(places)
+        self.known = np.full(len(vocabulary), -1, np.int64)  # a term's number in this block
+        lists = []
         for k, t in enumerate(row["terms"]):
             if (v := vocabulary.get(t)) is not None:
-                self.first[v], self.size[v] = offsets[k], offsets[k + 1] - offsets[k]
-                self.at[self.places[offsets[k] : offsets[k + 1]]] = v
+                self.known[v] = len(lists)
+                lists.append(places[offsets[k] : offsets[k + 1]])
+        self.size = np.array([len(x) for x in lists], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.key = np.concatenate([x + np.int64(k) * (self.n + 1) for k, x in enumerate(lists)]) if lists else np.zeros(0, np.int64)
 
     def of(self, term: int) -> np.ndarray:
-        return self.places[self.first[term] : self.first[term] + self.size[term]].astype(np.int64)
+        return self.key[self.first[term] : self.first[term] + self.size[term]] - term * (self.n + 1)
 
     def document(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, place, "right") - 1
 
-    def phrases(self, words: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, start) of each occurrence; words: a row per phrase, rare: its columns from rare to common."""
-        alive = np.flatnonzero((self.size[words] > 0).all(axis=1))
-        lead = rare[alive, 0]
-        term = words[alive, lead]
-        n = self.size[term]
-        which = np.repeat(np.arange(len(alive)), n)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = self.places[np.repeat(self.first[term], n) + step].astype(np.int64) - lead[which]
-        width = words.shape[1]
-        ok = (start >= 0) & (start + width <= len(self.at))
-        which, start = alive[which[ok]], start[ok]
-        for k in range(1, width):
-            column = rare[which, k]
-            ok = self.at[start + column] == words[which, column]
-            which, start = which[ok], start[ok]
-        ok = self.document(start) == self.document(start + width - 1)
-        return which[ok], start[ok]
+    def stands(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether each term has a posting from ``low`` to ``high``."""
+        base = term * (self.n + 1)
+        at = np.searchsorted(self.key, base + low)
+        return (at < len(self.key)) & (self.key[np.minimum(at, len(self.key) - 1)] <= base + high)
+
+    def candidates(self, term: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, place) of all postings of each row's term, at most ``TESTED`` at a time."""
+        ends = np.cumsum(self.size[term])
+        for low in range(0, int(ends[-1]) if len(ends) else 0, TESTED):
+            flat = np.arange(low, min(low + TESTED, ends[-1]))
+            row = np.searchsorted(ends, flat, "right")
+            t = term[row]
+            yield row, self.key[self.first[t] + flat - (ends[row] - self.size[t])] - t * (self.n + 1)
+
+    def matches(self, words: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(phrase, place of its rarest term, start or -1) of proximity matches, some at a time; a start is an exact match's."""
+        terms = self.known[words]
+        alive = np.flatnonzero((terms >= 0).all(axis=1))
+        terms, width = terms[alive], words.shape[1]
+        span = max(span, width)
+        rare = np.argsort(self.size[terms], axis=1, kind="stable") if len(alive) else np.zeros((0, width), np.int64)
+        for row, place in self.candidates(terms[np.arange(len(alive)), rare[:, 0]]):
+            doc = self.document(place)
+            first, last = self.starts[doc], self.starts[doc + 1] - 1
+            for k in range(1, width):
+                ok = self.stands(terms[row, rare[row, k]], np.maximum(place - span + 1, first), np.minimum(place + span - 1, last))
+                row, place, first, last = row[ok], place[ok], first[ok], last[ok]
+            start = place - rare[row, 0]
+            exact = (start >= first) & (start + width - 1 <= last)
+            for k in range(width):
+                exact[exact] = self.stands(terms[row[exact], k], start[exact] + k, start[exact] + k)
+            near = exact.copy()
+            for back in range(span):  # the stretches that hold the rarest term
+                open_ = np.flatnonzero(~near)
+                low = place[open_] - back
+                for k in range(1, width):
+                    ok = self.stands(terms[row[open_], rare[row[open_], k]], np.maximum(low, first[open_]), np.minimum(low + span - 1, last[open_]))
+                    open_, low = open_[ok], low[ok]
+                near[open_] = True
+            yield alive[row[near]], place[near], np.where(exact, start, -1)[near]
 
     def near(self, terms: list[int], within: int) -> np.ndarray:
         """Places of the rarest term with every other term at most ``within`` words away in its document."""
@@ -146,8 +180,7 @@ class Postings:
         doc = self.document(place)
         low, high = np.maximum(place - within, self.starts[doc]), np.minimum(place + within, self.starts[doc + 1] - 1)
         for t in rest:
-            other = self.of(t)
-            ok = np.searchsorted(other, low) < np.searchsorted(other, high, "right")
+            ok = self.stands(np.int64(t), low, high)
             place, low, high = place[ok], low[ok], high[ok]
         return place
 
@@ -159,58 +192,94 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: value[0] for name, value in one.items()}
 
 
-HITS = "block string, doc bigint, runs array<struct<s: bigint, e: bigint>>, items array<bigint>"
+WINDOWS = "window binary, item_id bigint"
+HITS = "block string, doc bigint, runs array<struct<s: bigint, e: bigint>>, items array<bigint>, near array<bigint>"
 
 
-def _part_hits(index: DataFrame, part: list, window: int) -> DataFrame:
-    """Hits of some benchmark rows (item_id, text): per document the hit runs of words and the items."""
-    items = [(i, alnum_words((t or "").encode())) for i, t in part if i is not None]
-    vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}))}
-    n = term_counts(index, set(vocabulary))
-    often = np.array([n.get(w, 0) for w in vocabulary], np.int64)
-    owners: dict[tuple, set[int]] = defaultdict(set)
-    for i, ws in items:
-        ids = [vocabulary[w] for w in ws]
-        for k in range(max(1, len(ids) - window + 1) if ids else 0):
-            owners[tuple(ids[k : k + window])].add(i)
-    phrases = []
-    for width in sorted({len(x) for x in owners}):
-        rows = [x for x in owners if len(x) == width and all(often[v] for v in x)]
-        if rows:
-            words = np.array(rows, np.int32)
-            phrases.append((words, np.argsort(often[words], axis=1, kind="stable"), [sorted(owners[x]) for x in rows]))
+def benchmark_windows(items: DataFrame, window: int, part_bytes: int = PART_BYTES) -> tuple[str, int]:
+    """Writes the distinct (window, item_id) of (item_id, text) rows to the shared folder; its path and number of parts."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, raw in zip(batch.column(0), batch.column(1), strict=True):
+                words = alnum_words(raw.as_buffer().to_pybytes())
+                number = max(1, len(words) - window + 1) if words else 0
+                for low in range(0, number, 1 << 16):
+                    some = [b" ".join(words[k : k + window]) for k in range(low, min(number, low + (1 << 16)))]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([item.as_py()] * len(some), pa.int64())], names=["window", "item_id"])
+
+    given = items.filter("item_id IS NOT NULL AND text IS NOT NULL")
+    size = given.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    parts = -(-size // part_bytes)
+    path = shared_path(items.sparkSession, "windows")
+    if parts:
+        pairs = given.select("item_id", utf8("text").alias("text")).mapInArrow(cut, WINDOWS).distinct()
+        dealt = pairs.withColumn("part", F.pmod(F.xxhash64("window", "item_id"), F.lit(parts)))
+        dealt.repartition("part").write.partitionBy("part").parquet(path)
+    return path, parts
+
+
+def _reader(spark: SparkSession, path: str, part: int) -> Callable[[], pa.Table]:
+    """How a task gets a part's windows: from the shared folder, or, where only Spark's readers can open it, sent along."""
+    kinds = pa.schema([("window", pa.binary()), ("item_id", pa.int64())])
+    if not _opens(path):
+        rows = spark.read.schema(f"{WINDOWS}, part int").parquet(path).filter(F.col("part") == part).select("window", "item_id").collect()
+        sent = pa.Table.from_pylist([{"window": bytes(r.window), "item_id": r.item_id} for r in rows], kinds)
+        return lambda: sent
+
+    def read() -> pa.Table:
+        system, inner = pafs.FileSystem.from_uri(f"{path}/part={part}")
+        if system.get_file_info(inner).type == pafs.FileType.NotFound:  # no window was dealt to this part
+            return kinds.empty_table()
+        files = [f.path for f in system.get_file_info(pafs.FileSelector(inner)) if f.path.endswith(".parquet")]
+        return pa.concat_tables([pq.ParquetFile(system.open_input_file(f)).read(columns=["window", "item_id"]).cast(kinds) for f in files])
+
+    return read
+
+
+def _part_hits(index: DataFrame, read: Callable[[], pa.Table], span: int) -> DataFrame:
+    """Hits of a part's windows: per document the hit runs of words, the items and those near it."""
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = None
         for row in _rows(batches):
-            block = Postings(row, vocabulary)
-            mark = np.zeros(len(block.at) + 1, np.int64)
+            phrases = phrases or Phrases(read())
+            block = Postings(row, phrases.vocabulary)
+            mark = np.zeros(block.n + 1, np.int64)
             found: dict[int, set[int]] = defaultdict(set)
-            for words, rare, of in phrases:
-                which, start = block.phrases(words, rare)
-                np.add.at(mark, start, 1)
-                np.add.at(mark, start + words.shape[1], -1)
-                for d, w in set(zip(block.document(start).tolist(), which.tolist(), strict=True)):
-                    found[d].update(of[w])
+            close: dict[int, set[int]] = defaultdict(set)
+            for words, owners in phrases.widths:
+                for which, place, start in block.matches(words, span):
+                    doc, exact = block.document(place), start >= 0
+                    np.add.at(mark, start[exact], 1)
+                    np.add.at(mark, start[exact] + words.shape[1], -1)
+                    for d, w in set(zip(doc.tolist(), which.tolist(), strict=True)):
+                        close[d].update(owners[w])
+                    for d, w in set(zip(doc[exact].tolist(), which[exact].tolist(), strict=True)):
+                        found[d].update(owners[w])
             hit = np.concatenate([[False], np.cumsum(mark[:-1]) > 0, [False]])
             runs = {}
-            for d in found:
+            for d in close:
                 a, b = block.starts[d], block.starts[d + 1]
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], hit[a + 1 : b + 1], [False]]).astype(np.int8)))
                 runs[d] = [{"s": int(s), "e": int(e)} for s, e in edge.reshape(-1, 2)]
-            kinds = (pa.string(), pa.int64(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.int64()))
-            columns = ([block.block] * len(runs), list(runs), list(runs.values()), [sorted(found[d]) for d in runs])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "doc", "runs", "items"])
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            columns = ([block.block] * len(runs), list(runs), list(runs.values()), [sorted(found[d]) for d in runs], [sorted(close[d]) for d in runs])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "doc", "runs", "items", "near"])
 
     return index.mapInArrow(look_up, HITS)
 
 
-def _parts(items: DataFrame, part_bytes: int) -> Iterator[list]:
-    """The benchmark rows, in parts of about ``part_bytes``."""
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    parts = -(-size // part_bytes)
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, parts))))
-    for k in range(parts):
-        yield [(r.item_id, r.text) for r in dealt.filter(F.col("part") == k).select("item_id", "text").collect()]
+def benchmark_hits(index: DataFrame, items: DataFrame, window: int, span: int, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(block, doc, runs, items, near) of every part of the benchmark, written part by part."""
+    spark = index.sparkSession
+    windows, parts = benchmark_windows(items, window, part_bytes)
+    if not parts:
+        return spark.createDataFrame([], HITS)
+    path = shared_path(spark, "hits")
+    for part in range(parts):
+        _part_hits(index, _reader(spark, windows, part), span).write.parquet(f"{path}/part={part}")
+    return spark.read.schema(f"{HITS}, part int").parquet(path).drop("part")
 
 
 def proximity_matches(index: DataFrame, terms: list[str], within: int) -> DataFrame:
@@ -221,41 +290,43 @@ def proximity_matches(index: DataFrame, terms: list[str], within: int) -> DataFr
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block = Postings(row, vocabulary)
-            place = block.near(list(vocabulary.values()), within) if vocabulary and block.size.all() else np.zeros(0, np.int64)
+            place = block.near(block.known.tolist(), within) if vocabulary and (block.known >= 0).all() else np.zeros(0, np.int64)
             doc = block.document(place)
             yield pa.RecordBatch.from_arrays([pa.array([block.ids[d] for d in doc], pa.int64()), pa.array(place - block.starts[doc], pa.int64())], names=["doc_id", "place"])
 
     return index.mapInArrow(look_up, "doc_id bigint, place bigint")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """(key, n_words, n_hit, n_items, items_sha256, contaminated) of each row of ``docs``.
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES, span: int = SPAN
+) -> DataFrame:
+    """(key, n_words, n_hit, n_items, items_sha256, contaminated, n_near) of each row of ``docs``.
 
     A word is hit if an occurrence of a benchmark window of ``window`` words covers it; a document
-    is contaminated if a twentieth of its words are hit.
+    is contaminated if a twentieth of its words are hit. ``n_near`` counts the items of which all words of a window,
+    in any order, stand in a stretch of ``span`` words (at least the window's); exact matches are among them.
     """
     index = build_index(docs, key, text)
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    hits = [_part_hits(index, part, window) for part in _parts(items, part_bytes)]
+    hits = benchmark_hits(index, items, window, span, part_bytes)
     sized = F.transform(F.sequence(F.lit(0), F.size("doc_ids") - 1), lambda k: F.struct(
         k.cast("bigint").alias("d"), F.get("doc_ids", k).alias("doc_id"), (F.get("starts", k + 1) - F.get("starts", k)).alias("n")))
     rows = index.select("block", F.explode(sized).alias("r")).select("block", "r.*")
-    if hits:
-        merged = reduce(DataFrame.unionAll, hits).groupBy(F.col("block").alias("b"), "doc").agg(
-            F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        rows = rows.join(merged, (F.col("block") == F.col("b")) & (F.col("d") == F.col("doc")), "left")
-    else:
-        rows = rows.selectExpr("*", "CAST(NULL AS array<struct<s: bigint, e: bigint>>) AS runs", "CAST(NULL AS array<bigint>) AS items")
+    merged = hits.groupBy(F.col("block").alias("b"), "doc").agg(
+        F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
+        *(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("items", "near")))
+    rows = rows.join(merged, (F.col("block") == F.col("b")) & (F.col("d") == F.col("doc")), "left")
     n_hit = F.expr(
         "aggregate(coalesce(runs, array()), named_struct('n', 0L, 'at', 0L), (a, r) -> named_struct('n', "
         "a.n + greatest(0L, r.e - greatest(a.at, r.s)), 'at', greatest(a.at, r.e)), a -> a.n)"
     )
     names = F.array_sort(F.transform(F.coalesce("items", F.expr("CAST(array() AS array<bigint>)")), lambda i: i.cast("string")))
-    out = rows.select("doc_id", F.col("n").alias("n_words"), n_hit.alias("n_hit"), names.alias("names"))
+    out = rows.select("doc_id", F.col("n").alias("n_words"), n_hit.alias("n_hit"), names.alias("names"), F.coalesce(F.size("near"), F.lit(0)).alias("near"))
     return out.select(
         F.col("doc_id").alias(key), "n_words", "n_hit", F.size("names").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", "names"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        F.greatest("near", F.lit(0)).cast("bigint").alias("n_near"),
     )
 
 
@@ -284,8 +355,17 @@ e AS (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM d, k WHERE
 h AS (SELECT doc_id, p, k, array_to_string(w[p : p + k - 1], ' ') AS g FROM e),
 m AS (SELECT h.doc_id, h.p, h.k, g.item_id FROM h JOIN g USING (k, g)),
 c AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM m) GROUP BY 1),
+y AS (SELECT k, g, list_distinct(string_split(g, ' ')) AS ts FROM (SELECT DISTINCT k, g FROM g)),
+o AS (SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS p FROM d),
+v AS (SELECT term, count(*) AS n FROM o GROUP BY 1),
+l AS (SELECT k, g, arg_min(term, n) AS term FROM (SELECT k, g, unnest(ts) AS term FROM y) JOIN v USING (term) GROUP BY 1, 2),
+a AS (SELECT o.doc_id, y.k, y.g, y.ts, d.w, o.p FROM o JOIN l USING (term) JOIN y ON y.k = l.k AND y.g = l.g JOIN d ON d.doc_id = o.doc_id
+  WHERE list_has_all(d.w[greatest(1, o.p - 19) : o.p + 19], y.ts)),
+b AS (SELECT doc_id, k, g, ts, w, unnest(range(greatest(1, p - 19), p + 1)) AS s FROM a),
+r AS (SELECT b.doc_id, count(DISTINCT g.item_id) AS n FROM b JOIN g ON b.k = g.k AND b.g = g.g WHERE list_has_all(b.w[b.s : b.s + 19], b.ts) GROUP BY 1),
 t AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM m GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
-  sha256(coalesce(t.s, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+  sha256(coalesce(t.s, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated,
+  coalesce(r.n, 0) AS n_near
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN r USING (doc_id)
 """

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -123,6 +124,47 @@ def test_contamination_of_odd_rows(odd, spark):
     assert phrase_index.contamination(docs, items.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def plain_near(rows, items, window, span):
+    """(doc, number of items of which a window's words stand in a stretch of ``span`` words)."""
+    cut = {(i, frozenset(w[k : k + window]), min(len(w), window)) for i, t in items if i is not None and (w := words_of(t)) for k in range(max(1, len(w) - window + 1))}
+    out = []
+    for i, t in rows:
+        w = words_of(t)
+        wide = {k: [set(w[a : a + max(span, k)]) for a in range(len(w))] for k in {k for _, _, k in cut}}
+        out.append((i, len({j for j, s, k in cut if any(s <= x for x in wide[k])})))
+    return out
+
+
+def test_near_items_against_all_stretches(odd, spark):
+    draw = random.Random(3)
+    text = lambda n, kinds: " ".join(draw.choice("abcdefghijklmnopqrst"[:kinds]) for _ in range(n))
+    rows = [(k, text(draw.choice((0, 3, 7, 30, 200)), 20)) for k in range(60)] + [(60, "a " * 900), (61, None)]
+    items = [(k, text(draw.choice((0, 1, 2, 4, 5, 9)), draw.choice((2, 20)))) for k in range(40)] + [(40, "a a a a"), (40, "a a a a"), (None, "b")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for window, span, part in ((4, 6, 1 << 22), (4, 4, 128), (3, 9, 100)):
+        got = phrase_index.contamination(docs, bench, window=window, span=span, part_bytes=part).collect()
+        assert sorted((r["doc_id"], r["n_near"]) for r in got) == sorted(plain_near(rows, items, window, span))
+        assert all(r["n_near"] >= r["n_items"] for r in got)
+        plain = plain_hits(rows, [x for x in items if x[0] is not None], window)
+        assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in got) == sorted(plain)
+    some = [x[:2] for x in ITEMS]
+    got = phrase_index.contamination(odd, spark.createDataFrame(some, "item_id long, text string")).collect()
+    want = plain_near([(i, t) for i, t in odd.select("doc_id", "text").collect()], some, 13, 20)
+    assert sorted(((r["doc_id"], r["n_near"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_windows_by_either_way(spark, monkeypatch):
+    """Tasks that can't open the folder get the part sent along; candidates come in pieces."""
+    docs = spark.createDataFrame([(k, f"x one two three four y{k}") for k in range(20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "one two three four five"), (2, "two one")], "item_id long, text string")
+    columns = ("doc_id", "n_hit", "n_items", "n_near")
+    at_once = sorted(phrase_index.contamination(docs, bench, window=4).select(*columns).collect())
+    assert at_once[0] == (0, 4, 1, 2)
+    monkeypatch.setattr(phrase_index, "_opens", lambda path: False)
+    monkeypatch.setattr(phrase_index, "TESTED", 3)
+    assert sorted(phrase_index.contamination(docs, bench, window=4).select(*columns).collect()) == at_once
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red a b green c blue"), (2, "red x x x x x x green blue"), (3, "blue green"), (4, "Green red. blue red")], "doc_id long, text string")
     index = phrase_index.build_index(docs, block_words=8)
