@@ -18,6 +18,7 @@ from pageflow.functions import urls as U
 from pageflow.operators import links as L
 from pageflow.operators.dedup import content_hash
 from pageflow.session import checkpoint_dir
+from pageflow.sources.commits import file_system
 from pageflow.sources.versioned import VersionedTable
 
 
@@ -40,13 +41,14 @@ def ntz_to_instant(c: str) -> F.Column:
 
 
 def file_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """A parquet file stream. ``path`` is a directory, or one file (then its folder is
-    watched for files of that name pattern)."""
+    """A parquet file stream. ``path`` is a directory, whatever its name (a table in parts is often called
+    ``x.parquet`` too), or one file (then its folder is watched for files of that name pattern)."""
     schema = spark.read.parquet(path).schema
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    if path.endswith(".parquet"):
+    fs, at = file_system(spark, path)
+    if fs.exists(at) and fs.getFileStatus(at).isFile():
         folder, name = path.rsplit("/", 1)
         return r.option("pathGlobFilter", name).parquet(folder)
     return r.parquet(path)

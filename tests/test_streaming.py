@@ -199,3 +199,22 @@ def test_link_stream_delivers_once(spark, sf_dir, tmp_path, monkeypatch):
     new = D.unseen(L.link_edges(pages).select("host", F.col("dst").alias("url")), seen, ["host", "url"]).distinct()
     assert rows(sink.read("frontier").select("host", "url")) == rows(new) != []
     assert rows(sink.seen.read()) == rows(seen.unionByName(new).distinct())
+
+
+def test_tables_in_parts_are_streamed_whole(spark, tmp_path):
+    """A table is a folder called pages.parquet: every part is read, as from a table that is one file."""
+    import glob
+    import shutil
+
+    from pageflow.plans.catalog import QUERIES
+
+    html = [f'<p>page {k}</p><a href="/a{k % 4}">x</a><a href="http://b.c/">y</a>' for k in range(40)]
+    pages = spark.createDataFrame([(k, f"http://h{k % 3}.org/p{k % 30}/", t) for k, t in enumerate(html)], "page_id long, url string, html string")
+    pages.repartition(5).write.parquet(f"{tmp_path}/parts/pages.parquet")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/one")
+    (tmp_path / "single").mkdir()
+    shutil.copy(glob.glob(f"{tmp_path}/one/*.parquet")[0], f"{tmp_path}/single/pages.parquet")
+    assert len(glob.glob(f"{tmp_path}/parts/pages.parquet/*.parquet")) == 5
+    for name, n in (("stream_ingest", 40), ("stream_visited", len({(k % 3, k % 30) for k in range(40)}))):
+        parts, single = (sorted(map(tuple, QUERIES[name][0](spark, f"{tmp_path}/{d}").collect())) for d in ("parts", "single"))
+        assert parts == single and len(parts) == n
