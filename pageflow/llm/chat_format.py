@@ -8,15 +8,18 @@ that reply is trainable. A turn is written as an opening mark for its role, the
 ``<<SYS>>`` opens system turns, ``<<ROLE:hex>>`` those of any other role. In texts, a backslash goes in
 front of every control string and every backslash, so that formatting is reversible for any text.
 
-The examples of a conversation are prefixes of one formatted stream. ``formatted`` therefore stores
-each turn once, with its place in the stream, and for an assistant turn the example's number and the
-span of its loss mask: what is stored grows with the input, however long a conversation is.
-``examples`` writes the whole texts out for training. The window over a conversation sorts narrow runs
-that can spill, and digests are taken from sorted rows one after the other, so no task holds a conversation.
+``formatted`` gives each turn its place in the conversation's formatted text, and for an assistant turn the
+example's number and the span of its loss mask. ``expanded`` writes the examples out: a row per reply, with
+the whole text from the conversation's first turn to the reply, and a row for turns after the last reply. ``stored_turns``
+parses that output: of each example the turns that the one before it did not have, and the text under its mask.
+
+Whole examples grow with the square of a conversation's length; their number is that of the replies. One row holds one
+example, so a conversation has to fit in a row; no task holds more than one conversation's text and one batch of
+rows. zstd keeps what neighbouring examples share nearly once on disk. Digests are taken from sorted rows one after the other.
 
 Null texts count as empty, null roles as the empty role. Turns are ordered by (turn, role, text), nulls
 first, so ties and repeated rows have a fixed order; rows without conv_id form one conversation.
-Turns after the last reply are kept without loss. Other columns aren't read.
+Turns after the last reply are kept without loss mask. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -70,12 +73,46 @@ def formatted(turns: DataFrame) -> DataFrame:
     )
 
 
+def expanded(stream: DataFrame) -> DataFrame:
+    """(conv_id, example, text, at, loss_start, loss_end, first, since): prefix-target expansion, a row per reply.
+
+    ``text`` is all from the conversation's first turn to the reply. Turns from ``first`` on, at offset ``since``, are not
+    in the example before. Turns after the last reply are a row without example, which starts at offset ``at``.
+    """
+    turn = F.struct("pos", "at", "piece", "example", "loss_start", "loss_end")
+    whole = stream.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    whole = whole.withColumn("text", F.array_join(F.transform("turns", lambda x: x["piece"]), ""))
+    # where examples end: behind each reply, and behind the last turn
+    stops = F.filter("turns", lambda x: x["example"].isNotNull() | (x["pos"] == F.size("turns") - 1))
+    narrow = F.transform(stops, lambda x: F.struct(x["pos"].alias("pos"), (x["at"] + F.length(x["piece"])).alias("to"), x["example"].alias("example"), x["loss_start"].alias("loss_start"), x["loss_end"].alias("loss_end")))
+    whole = whole.select("conv_id", "text", narrow.alias("stops"))
+    rows = whole.select("conv_id", "text", "stops", F.posexplode("stops").alias("k", "stop"))
+    before = F.when(F.col("k") > 0, F.get("stops", F.col("k") - 1))
+    rows = rows.select("conv_id", "text", "stop.*", F.coalesce(before["pos"] + 1, F.lit(0)).alias("first"), F.coalesce(before["to"], F.lit(0)).alias("since"))
+    at = F.when(F.col("example").isNull(), F.col("since")).otherwise(0)
+    rows = rows.withColumn("at", at).withColumn("text", F.substring("text", F.col("at") + 1, F.col("to") - F.col("at")))
+    return rows.select("conv_id", "example", "text", "at", "loss_start", "loss_end", "first", "since")
+
+
 def examples(stream: DataFrame) -> DataFrame:
     """(conv_id, example, text, loss_start, loss_end): the examples written out in full."""
-    target = stream.filter("example IS NOT NULL").select(F.col("conv_id").alias("c"), F.col("pos").alias("last"), F.col("example").alias("number"), F.col("loss_start").alias("s"), F.col("loss_end").alias("e"))
-    both = stream.join(target, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") <= F.col("last")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "")
-    return both.groupBy(F.col("c").alias("conv_id"), F.col("number").alias("example"), F.col("s").alias("loss_start"), F.col("e").alias("loss_end")).agg(text.alias("text"))
+    return expanded(stream).filter("example IS NOT NULL").select("conv_id", "example", "text", "loss_start", "loss_end")
+
+
+#: A turn in a text: up to the first end mark that no backslash escapes.
+PIECE = rf"(?s)(?:[^\\<]++|\\.|<(?!/s>))*+{END}"
+
+
+def stored_turns(rows: DataFrame) -> DataFrame:
+    """The stream of :func:`formatted`, read from the texts and masks of :func:`expanded`: each turn from the first example that has it."""
+    new = F.substring("text", F.col("since") - F.col("at") + 1, F.length("text"))
+    pieces = rows.select("conv_id", "example", "first", "loss_start", "loss_end", F.regexp_extract_all(new, F.lit(PIECE), F.lit(0)).alias("pieces"))
+    each = pieces.select("conv_id", "example", "first", "loss_start", "loss_end", F.size("pieces").alias("n"), F.posexplode("pieces").alias("k", "piece"))
+    own = (F.col("k") == F.col("n") - 1) & F.col("example").isNotNull()
+    return each.select(
+        "conv_id", (F.col("first") + F.col("k")).alias("pos"), F.when(own, F.col("loss_end") + len(END) - F.length("piece")).alias("at"), "piece",
+        *[F.when(own, F.col(c)).alias(c) for c in ("example", "loss_start", "loss_end")],
+    )
 
 
 def read_back(stream: DataFrame) -> DataFrame:
@@ -134,7 +171,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    return digests(read_back(written(formatted(turns.unionByName(probe)), "chat")))
+    made = written(expanded(formatted(turns.unionByName(probe))), "examples", "zstd")
+    return digests(read_back(stored_turns(made)))
 
 
 SQL = rf"""

@@ -50,3 +50,20 @@ def test_query_holds_the_probe(spark, sf_dir):
     rows = {r["conv_id"]: r for r in chat.query(spark, sf_dir).collect()}
     assert rows[-1]["n_turns"] == 2 and rows[-1]["loss_chars"] == len(chat.PROBE)
     assert rows[-1]["loss_sha256"] == hashlib.sha256(chat.PROBE.encode()).hexdigest()
+
+
+def test_the_query_writes_examples_and_reads_them(spark, tmp_path, monkeypatch):
+    """What the query stores are whole examples, one per reply, and its rows come from their texts and masks."""
+    frame(spark, ROWS).select("conv_id", "turn", "role", "text").write.parquet(f"{tmp_path}/conversations.parquet")
+    kept = []
+    write = chat.written
+    monkeypatch.setattr(chat, "written", lambda df, *a: kept.append(write(df, *a)) or kept[-1])
+    got = {r[0]: tuple(r)[1:5] for r in chat.query(spark, str(tmp_path)).collect()}
+    probe = [(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)]
+    assert got == plain(ROWS + probe)
+    rows = [r for k in kept for r in k.collect()]
+    made = [r for r in rows if r["example"] is not None]
+    assert len(made) == sum(r[2] == "assistant" for r in ROWS + probe)
+    one = sorted((r for r in made if r["conv_id"] == 1), key=lambda r: r["example"])
+    assert one[0]["text"] == r"<<SYS>>be brief</s>[INST]hi \</s> \[INST]</s>[/INST]yo\\\</s></s>" and one[1]["text"].startswith(one[0]["text"])
+    assert [r["text"] for r in rows if r["conv_id"] == 1 and r["example"] is None] == [r"[INST]left over \<<SYS>></s>"]
