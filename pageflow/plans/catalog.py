@@ -808,10 +808,11 @@ def q_stream_visited(spark, sf):
 def q_stream_links(spark, sf):
     """ST1's links (H12) and new URLs (D2) over several micro-batches; a third of the pages were seen by an earlier run."""
     pages, out = t(spark, sf, "pages"), _sink_dir(spark, "links")
-    pages.repartitionByRange(4, "page_id").write.parquet(f"{out}/arrivals")
+    files = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)  # of each of the four micro-batches
+    pages.repartitionByRange(4 * files, "page_id").write.parquet(f"{out}/arrivals")
     sink = ST.LinkSink(spark, out, buckets=16)
     sink.start(L.link_edges(pages.filter("page_id % 3 = 0")).select("host", F.col("dst").alias("url")))
-    ST.link_stream(spark, f"{out}/arrivals", sink, f"{out}/checkpoint", max_files=1)
+    ST.link_stream(spark, f"{out}/arrivals", sink, f"{out}/checkpoint", max_files=files)
     new = sink.read("frontier").select("host", F.col("url").alias("dst"), F.lit(True).alias("new"))
     edges = sink.read("edges").join(new, ["host", "dst"], "left")
     return edges.select("page_id", "host", "src", "dst", F.col("pos").cast("long").alias("pos"), F.coalesce("new", F.lit(False)).alias("is_new"))

@@ -159,7 +159,8 @@ class LinkSink:
         done = self.seen.batch()
         if done is not None and batch_id <= done:
             return
-        pages = pages.select("page_id", "url", "html").persist()  # one read of the batch for both outputs
+        # a batch may be one large file: its pages are dealt over all tasks, and read once for both outputs
+        pages = pages.select("page_id", "url", "html").repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions"))).persist()
         try:
             pages.select("page_id", H.page_text("html").alias("text")).write.mode("overwrite").parquet(self._path("text", batch_id))
             L.link_edges(pages).write.mode("overwrite").parquet(self._path("edges", batch_id))

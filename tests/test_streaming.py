@@ -218,3 +218,19 @@ def test_tables_in_parts_are_streamed_whole(spark, tmp_path):
     for name, n in (("stream_ingest", 40), ("stream_visited", len({(k % 3, k % 30) for k in range(40)}))):
         parts, single = (sorted(map(tuple, QUERIES[name][0](spark, f"{tmp_path}/{d}").collect())) for d in ("parts", "single"))
         assert parts == single and len(parts) == n
+
+
+def test_a_batch_of_one_file_is_dealt_over_all_tasks(spark, tmp_path, monkeypatch):
+    """Links of a large file are extracted by as many tasks as the session has partitions, not by the file's one."""
+    from pageflow.operators import links as L
+
+    pages = spark.createDataFrame([(k, f"http://h{k % 3}.org/p{k}", f'<a href="/a{k % 7}">x</a>') for k in range(400)], "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/in")
+    dealt, extract = [], L.link_edges
+    with monkeypatch.context() as m:
+        m.setattr(L, "link_edges", lambda df, *a: dealt.append(df.select(F.spark_partition_id()).distinct().count()) or extract(df, *a))
+        sink = ST.LinkSink(spark, f"{tmp_path}/out", buckets=3)
+        ST.link_stream(spark, f"{tmp_path}/in", sink, f"{tmp_path}/check")
+    assert dealt == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+    order = ["page_id", "host", "src", "dst", "pos"]
+    assert sorted(map(tuple, sink.read("edges").select(*order).collect())) == sorted(map(tuple, extract(pages).select(*order).collect()))
