@@ -9,6 +9,7 @@ Scale notes
 * Page keys and edges are bucketed tables, the seen set and the consumed body hashes growing ones
   (``state``): a level's joins shuffle the frontier and its candidate links alone, a level adds its rows instead
   of rewriting the rest, and additions are merged, so that deep sites don't leave thousands of small files.
+  The last levels' rows, up to ``RECENT_ROWS``, are read from the level log: small levels write no buckets.
 * Nothing is grouped by site: order inside a level is a sorted position, a site's count is a small running
   table joined with salts, and a body that many pages share is first reduced to one row.
 * A level log in the shared folder holds every whole level: the URLs found and the next frontier. It cuts the
@@ -26,11 +27,13 @@ from pyspark.sql import functions as F
 from pageflow.functions import urls as U
 from pageflow.operators.ranking import rank_in_groups, running_sum_in_groups
 from pageflow.operators.skew import salted_join
-from pageflow.operators.state import Bucketed, Growing, lacking
+from pageflow.operators.state import ROWS_PER_TASK, Bucketed, Growing, lacking
 from pageflow.session import checkpoint_dir
 from pageflow.sources.commits import CommitLog
 
 PAGE_EXTS = (".html", ".htm")
+#: Rows of levels that are read from the level log itself before they go into the growing tables.
+RECENT_ROWS = 100_000
 
 
 def expandable_route(url_col: str = "url", html_as_page: bool = True) -> F.Column:
@@ -97,8 +100,13 @@ class LevelLog:
     def frontier(self) -> DataFrame:
         return self.read(self.FRONTIER, [self.levels[-1]["next"]])
 
-    def seen(self) -> DataFrame:
-        return self.read(self.FRONTIER, [x["next"] for x in self.levels if x["rows"]]).select("host", "url")
+    def seen(self, since: int = 0) -> DataFrame:
+        """The URLs of the frontiers from commit ``since`` on."""
+        return self.read(self.FRONTIER, [x["next"] for x in self.levels[since:] if x["rows"]]).select("host", "url")
+
+    def consumed(self, since: int = 0) -> DataFrame:
+        """The body hashes that the levels used up which were committed from ``since`` on."""
+        return _consumed(self.read(self.FOUND, [x["found"] for x in self.levels[since:] if x["found"]]))
 
     def found(self) -> DataFrame:
         """Every URL found so far."""
@@ -155,19 +163,26 @@ def _crawl_levels(held: LevelLog, edges: DataFrame, pages: DataFrame) -> None:
     links = Bucketed(spark, ["host", "src"]).add(edges.select("host", "src", "dst", "pos"))
     seen, hashes = Growing(spark, ["host", "url"]), Growing(spark, ["host", "h"])
     rows = held.levels[-1]["rows"]
-    seen.add(held.seen(), sum(x["rows"] for x in held.levels))
-    if held.depth:
-        hashes.add(_consumed(held.found()))
+    kept = 0  # commits of the log that the growing tables have; later ones are read from the log itself
     counts = _checkpointed(held.seen().groupBy("host").agg(F.count("*").alias("n_seen"))) if max_pages else None
     while rows:
         depth = held.depth
+        more = sum(x["rows"] for x in held.levels[kept:])
+        if more > RECENT_ROWS:
+            seen.add(held.seen(kept), more)
+            if dedup:
+                hashes.add(held.consumed(kept), more)
+            kept = len(held.levels)
+        recent = kept < len(held.levels)
+        few = rows <= keys.buckets * ROWS_PER_TASK
         deep = bool(max_depth) and depth > max_depth
-        f = level_frontier(held.frontier(), keys.rows())
+        f = level_frontier(held.frontier(), keys.rows(), few)
         page = F.lit(False) if deep else expandable_route("url", html_as_page)
         f = f.withColumn("alive", F.col("h").isNotNull() & page)
         if dedup:
             # the first page of each new body in the level; one row per body meets the consumed ones
-            first = hashes.lacking(f.filter("alive").groupBy("host", "h").agg(F.min("ord").alias("ord")))
+            first = f.filter("alive").groupBy("host", "h").agg(F.min("ord").alias("ord"))
+            first = lacking(first, [*hashes.tables(), *([held.consumed(kept)] if recent else [])], ["host", "h"])
             f = f.join(first.select("host", "ord", F.lit(True).alias("first")), ["host", "ord"], "left")
             f = f.withColumn("dup", F.col("alive") & F.col("first").isNull()).drop("first")
         else:
@@ -182,7 +197,7 @@ def _crawl_levels(held: LevelLog, edges: DataFrame, pages: DataFrame) -> None:
         level = f.select("host", "url", "h", "ord", (F.col("alive") & ~F.col("dup")).alias("expands"), F.lit(True).alias("processed"), status.alias("status"), F.lit(depth).alias("depth"))
         at = held.write("found", level)
         level = held.read(held.FOUND, [at])
-        new = level_links(level, links.rows(), seen.tables())
+        new = level_links(level, links.rows(), [*seen.tables(), *([held.seen(kept)] if recent else [])], few)
         if max_pages:
             # K3: pages of this level run in order while discovered(site) < max_pages
             new = _checkpointed(new)
@@ -196,13 +211,9 @@ def _crawl_levels(held: LevelLog, edges: DataFrame, pages: DataFrame) -> None:
             new = new.join(ran, ["host", "parent"], "left_semi")
         behind = held.write("next", _in_order(new, "host", "parent", "pos", "url").select("host", "url", "ord"))
         rows = held.commit(at, behind)
-        if rows:
-            if dedup:
-                hashes.add(_consumed(level), held.levels[-2]["rows"])
-            seen.add(held.frontier().select("host", "url"), rows)
-            if max_pages:
-                more = held.frontier().groupBy("host").agg(F.count("*").alias("n_seen"))
-                counts = _checkpointed(counts.unionByName(more).groupBy("host").agg(F.sum("n_seen").alias("n_seen")))
+        if rows and max_pages:
+            fresh = held.frontier().groupBy("host").agg(F.count("*").alias("n_seen"))
+            counts = _checkpointed(counts.unionByName(fresh).groupBy("host").agg(F.sum("n_seen").alias("n_seen")))
     for table in (keys, links, seen, hashes):
         table.forget()
 
@@ -212,14 +223,19 @@ def _consumed(level: DataFrame) -> DataFrame:
     return level.filter("processed AND expands").select("host", "h")
 
 
-def level_frontier(frontier: DataFrame, keys: DataFrame) -> DataFrame:
+def _hashed(df: DataFrame, few: bool) -> DataFrame:
+    """With ``few`` rows a task, ``df`` is hashed where it meets a whole table, which then isn't sorted."""
+    return df.hint("shuffle_hash") if few else df
+
+
+def level_frontier(frontier: DataFrame, keys: DataFrame, few: bool = False) -> DataFrame:
     """The frontier with the body hash of each URL that is in the snapshot."""
-    return frontier.select("host", "url", "ord").join(keys, ["host", "url"], "left")
+    return _hashed(frontier.select("host", "url", "ord"), few).join(keys, ["host", "url"], "left")
 
 
-def level_links(f: DataFrame, links: DataFrame, seen: list[DataFrame]) -> DataFrame:
+def level_links(f: DataFrame, links: DataFrame, seen: list[DataFrame], few: bool = False) -> DataFrame:
     """(host, url, parent, pos): URLs not seen before, each with its first discoverer in the level."""
-    parents = f.filter("expands").select("host", F.col("url").alias("src"), F.col("ord").alias("parent"))
+    parents = _hashed(f.filter("expands").select("host", F.col("url").alias("src"), F.col("ord").alias("parent")), few)
     found = parents.join(links, ["host", "src"]).select("host", F.col("dst").alias("url"), "parent", "pos")
     first = found.groupBy("host", "url").agg(F.min(F.struct("parent", "pos")).alias("by"))
     return lacking(first, seen, ["host", "url"]).select("host", "url", "by.parent", "by.pos")

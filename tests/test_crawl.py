@@ -228,3 +228,15 @@ def test_a_level_shuffles_only_the_frontier(spark, graph):
                     break
     for table in (keys, links, seen):
         table.forget()
+
+
+def test_small_levels_write_no_buckets(spark, monkeypatch):
+    """The last levels are read from the level log: growing tables get rows only when there are many. The result is the same."""
+    seeds, edges, pages = _chain(spark, 6)
+    added, add = [], K.Growing.add
+    monkeypatch.setattr(K.Growing, "add", lambda self, df, rows=None: added.append(rows) or add(self, df, rows))
+    rows = lambda: sorted(map(tuple, K.crawl_reach(seeds, edges, pages).collect()))
+    small = rows()
+    assert added == [] and len(small) == 6
+    monkeypatch.setattr(K, "RECENT_ROWS", 1)
+    assert rows() == small and len(added) > 2
