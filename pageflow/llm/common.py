@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -39,13 +41,34 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: columns that a reader leaves out are not read."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: For tables whose rows take megabytes: Parquet's writer looks at its sizes after every row (it waits for 100
+#: otherwise), so that a page holds about one row and a row group a few, whatever a task writes.
+LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(1 << 24)}
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 1 << 22) -> Iterator[None]:
+    """Python tasks that run meanwhile get Arrow batches that end with the row that takes them to ``size`` bytes.
+
+    By default up to 64 MB go in one, which an executor holds outside its heap, and the memory of such large buffers
+    comes back late or in pieces.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

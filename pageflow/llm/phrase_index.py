@@ -3,7 +3,8 @@
 The index is split by documents: a row of the index table is a block of some documents with its own
 postings, that is each term with the sorted places where it stands in the block. Building it needs no
 shuffle, blocks are bounded in size, and the table is written once to the shared folder, so that any
-number of benchmarks can be looked up in it and a lost executor repeats single blocks.
+number of benchmarks can be looked up in it and a lost executor repeats single blocks. A row takes megabytes, so
+Python tasks get rows in small batches, and Parquet's row groups and pages hold few.
 
 A lookup takes phrases (windows of benchmark words, cut in tasks and dealt by hash over parts of bounded
 size in the shared folder). Tasks read one part at a time and look it up in each block: of a phrase's terms
@@ -24,18 +25,21 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageflow.llm.common import shared_path, table, utf8, written
+from pageflow.llm.common import LARGE_ROWS, shared_path, small_batches, table, utf8, written
 from pageflow.llm.warc import _opens
 
 #: Words of an index block, bytes of benchmark text that are looked up at once (their windows take about
-#: ``window`` times that), and candidates that are tested at once.
-BLOCK_WORDS, PART_BYTES, TESTED = 1 << 20, 1 << 22, 1 << 20
+#: ``window`` times that), candidates that are tested at once, and phrases that are.
+BLOCK_WORDS, PART_BYTES, TESTED, PHRASES = 1 << 20, 1 << 22, 1 << 18, 1 << 16
+#: Bytes of a text whose words are held at once, and items of hits that are returned at once.
+SLICE, RETURNED = 1 << 22, 1 << 18
 #: Words of a stretch that a proximity match fits in.
 SPAN = 20
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -48,6 +52,16 @@ def alnum_words(raw: bytes) -> list[bytes]:
     return raw.translate(_TABLE).split()
 
 
+def alnum_slices(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of ``alnum_words``, some megabytes at a time."""
+    at, raw = 0, raw.translate(_TABLE)
+    while at < len(raw):
+        end = raw.find(b" ", at + SLICE)
+        end = len(raw) if end < 0 else end
+        yield raw[at:end].split()
+        at = end
+
+
 def _block(name: str, ids: list, sizes: list[int], terms: dict[bytes, int], parts: list[np.ndarray]) -> pa.RecordBatch:
     stream = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     places = np.argsort(stream, kind="stable").astype(np.int32)
@@ -71,12 +85,12 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
         held = 0
         for batch in batches:
             for key_, raw in zip(batch.column(0), batch.column(1), strict=True):
-                words = alnum_words(raw.as_buffer().to_pybytes()) if raw.is_valid else []
                 ids.append(key_.as_py())
-                sizes.append(len(words))
-                if words:
+                sizes.append(0)
+                for words in alnum_slices(raw.as_buffer().to_pybytes()) if raw.is_valid else ():
                     parts.append(np.fromiter(map(terms.__getitem__, words), np.int32, len(words)))
-                held += len(words) + 1
+                    sizes[-1] += len(words)
+                held += sizes[-1] + 1
                 if held >= block_words:
                     yield _block(f"{TaskContext.get().partitionId()}-{number}", ids, sizes, terms, parts)
                     number += 1
@@ -84,22 +98,35 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
         if ids:
             yield _block(f"{TaskContext.get().partitionId()}-{number}", ids, sizes, terms, parts)
 
-    return written(docs.select(F.col(key).alias("doc_id"), utf8(text).alias("text")).mapInArrow(blocks, INDEX), "postings")
+    texts = docs.select(F.col(key).alias("doc_id"), utf8(text).alias("text"))
+    with small_batches(docs.sparkSession):
+        return written(texts.mapInArrow(blocks, INDEX), "postings", **LARGE_ROWS)
 
 
 class Phrases:
     """A part of the benchmark's windows: their terms by width, and the items that hold them."""
 
     def __init__(self, windows: pa.Table):
-        self.vocabulary: dict[bytes, int] = defaultdict(count().__next__)
-        owners: dict[bytes, list[int]] = defaultdict(list)
-        for window, item in zip(windows["window"].to_pylist(), windows["item_id"].to_pylist(), strict=True):
-            owners[window].append(item)
-        by_width: dict[int, list[tuple[list[int], list[int]]]] = defaultdict(list)
-        for window, items in owners.items():
-            words = [self.vocabulary[w] for w in window.split()]
-            by_width[len(words)].append((words, items))
-        self.widths = [(np.array([w for w, _ in rows], np.int64), [i for _, i in rows]) for rows in by_width.values()]
+        distinct = windows["window"].combine_chunks().dictionary_encode()
+        number = distinct.indices.to_numpy()
+        self.owners = windows["item_id"].to_numpy()[np.argsort(number, kind="stable")]
+        self.offsets = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(distinct.dictionary)))])
+        vocabulary: dict[bytes, int] = defaultdict(count().__next__)
+        by_width: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        for low in range(0, len(distinct.dictionary), PHRASES):
+            words = pc.split_pattern(distinct.dictionary.slice(low, PHRASES), b" ")
+            width, flat = pc.list_value_length(words).to_numpy(), words.flatten().dictionary_encode()
+            term = np.array([vocabulary[w] for w in flat.dictionary.to_pylist()], np.int32)[flat.indices.to_numpy()]
+            first = np.cumsum(width) - width
+            for w in np.unique(width):
+                of = np.flatnonzero(width == w)
+                by_width[int(w)].append((term[first[of][:, None] + np.arange(w)], low + of))
+        self.terms = pa.array(list(vocabulary), pa.binary())
+        self.widths = [tuple(map(np.concatenate, zip(*parts, strict=True))) for parts in by_width.values()]
+
+    def items(self, phrases: np.ndarray) -> np.ndarray:
+        """The distinct items that hold any of some phrases, sorted."""
+        return np.unique(np.concatenate([self.owners[self.offsets[p] : self.offsets[p + 1]] for p in phrases]))
 
 
 class Postings:
@@ -109,21 +136,21 @@ class Postings:
     terms can be searched at once.
     """
 
-    def __init__(self, row: dict, vocabulary: dict[bytes, int]):
-        self.block, self.ids = row["block"], row["doc_ids"]
-        self.starts = np.array(row["starts"], np.int64)
-        places = np.frombuffer(row["places"], np.int32)
-        offsets = np.array(row["offsets"], np.int64)
+    def __init__(self, row: pa.RecordBatch, vocabulary: pa.Array):
+        of = {name: row.column(name)[0] for name in row.schema.names}
+        self.block, self.ids = of["block"].as_py(), of["doc_ids"].values
+        self.starts = of["starts"].values.to_numpy()
+        places = np.frombuffer(of["places"].as_buffer(), np.int32)
+        offsets = of["offsets"].values.to_numpy()
         self.n = len(places)
+        number = pc.index_in(of["terms"].values, value_set=vocabulary).fill_null(-1).to_numpy()
+        wanted = np.flatnonzero(number >= 0)
         self.known = np.full(len(vocabulary), -1, np.int64)  # a term's number in this block
-        lists = []
-        for k, t in enumerate(row["terms"]):
-            if (v := vocabulary.get(t)) is not None:
-                self.known[v] = len(lists)
-                lists.append(places[offsets[k] : offsets[k + 1]])
-        self.size = np.array([len(x) for x in lists], np.int64)
+        self.known[number[wanted]] = np.arange(len(wanted))
+        self.size = offsets[wanted + 1] - offsets[wanted]
         self.first = np.cumsum(self.size) - self.size
-        self.key = np.concatenate([x + np.int64(k) * (self.n + 1) for k, x in enumerate(lists)]) if lists else np.zeros(0, np.int64)
+        self.key = places[np.repeat(offsets[wanted] - self.first, self.size) + np.arange(self.size.sum())].astype(np.int64)
+        self.key += np.repeat(np.arange(len(wanted)) * (self.n + 1), self.size)
 
     def of(self, term: int) -> np.ndarray:
         return self.key[self.first[term] : self.first[term] + self.size[term]] - term * (self.n + 1)
@@ -148,10 +175,14 @@ class Postings:
 
     def matches(self, words: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(phrase, place of its rarest term, start or -1) of proximity matches, some at a time; a start is an exact match's."""
+        for low in range(0, len(words), PHRASES):
+            for row, place, start in self._matches(words[low : low + PHRASES], max(span, words.shape[1])):
+                yield low + row, place, start
+
+    def _matches(self, words: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         terms = self.known[words]
         alive = np.flatnonzero((terms >= 0).all(axis=1))
         terms, width = terms[alive], words.shape[1]
-        span = max(span, width)
         rare = np.argsort(self.size[terms], axis=1, kind="stable") if len(alive) else np.zeros((0, width), np.int64)
         for row, place in self.candidates(terms[np.arange(len(alive)), rare[:, 0]]):
             doc = self.document(place)
@@ -185,11 +216,10 @@ class Postings:
         return place
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            one = batch.slice(k, 1).to_pydict()
-            yield {name: value[0] for name, value in one.items()}
+            yield batch.slice(k, 1)
 
 
 WINDOWS = "window binary, item_id bigint"
@@ -237,6 +267,27 @@ def _reader(spark: SparkSession, path: str, part: int) -> Callable[[], pa.Table]
     return read
 
 
+def _hits(block: Postings, phrases: Phrases, hit: np.ndarray, found: np.ndarray, close: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of a block's hits; ``hit``: the words that are, ``found`` and ``close``: sorted pairs of exact and proximity matches."""
+    kinds = len(phrases.offsets)
+    bounds = lambda pairs, doc: np.searchsorted(pairs, [doc * kinds, (doc + 1) * kinds])
+    schema = pa.schema([("block", pa.string()), ("doc", pa.int64()), ("runs", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("items", pa.list_(pa.int64())), ("near", pa.list_(pa.int64()))])
+    rows, held = [], 0
+    for doc in np.unique(close // kinds):
+        a, b = block.starts[doc], block.starts[doc + 1]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], hit[a + 1 : b + 1], [False]]).astype(np.int8)))
+        (low, high), (from_, to) = bounds(close, doc), bounds(found, doc)
+        near = phrases.items(close[low:high] % kinds)
+        items = phrases.items(found[from_:to] % kinds) if to > from_ else near[:0]
+        rows.append((block.block, int(doc), [{"s": int(s), "e": int(e)} for s, e in edge.reshape(-1, 2)], items, near))
+        held += len(items) + len(near) + len(edge)
+        if held >= RETURNED:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
 def _part_hits(index: DataFrame, read: Callable[[], pa.Table], span: int) -> DataFrame:
     """Hits of a part's windows: per document the hit runs of words, the items and those near it."""
 
@@ -244,28 +295,18 @@ def _part_hits(index: DataFrame, read: Callable[[], pa.Table], span: int) -> Dat
         phrases = None
         for row in _rows(batches):
             phrases = phrases or Phrases(read())
-            block = Postings(row, phrases.vocabulary)
+            block, kinds = Postings(row, phrases.terms), len(phrases.offsets)
             mark = np.zeros(block.n + 1, np.int64)
-            found: dict[int, set[int]] = defaultdict(set)
-            close: dict[int, set[int]] = defaultdict(set)
-            for words, owners in phrases.widths:
+            found, close = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # (document, phrase) as one number
+            for words, number in phrases.widths:
                 for which, place, start in block.matches(words, span):
-                    doc, exact = block.document(place), start >= 0
+                    pair, exact = block.document(place) * kinds + number[which], start >= 0
                     np.add.at(mark, start[exact], 1)
                     np.add.at(mark, start[exact] + words.shape[1], -1)
-                    for d, w in set(zip(doc.tolist(), which.tolist(), strict=True)):
-                        close[d].update(owners[w])
-                    for d, w in set(zip(doc[exact].tolist(), which[exact].tolist(), strict=True)):
-                        found[d].update(owners[w])
+                    found.append(np.unique(pair[exact]))
+                    close.append(np.unique(pair))
             hit = np.concatenate([[False], np.cumsum(mark[:-1]) > 0, [False]])
-            runs = {}
-            for d in close:
-                a, b = block.starts[d], block.starts[d + 1]
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], hit[a + 1 : b + 1], [False]]).astype(np.int8)))
-                runs[d] = [{"s": int(s), "e": int(e)} for s, e in edge.reshape(-1, 2)]
-            kinds = (pa.string(), pa.int64(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            columns = ([block.block] * len(runs), list(runs), list(runs.values()), [sorted(found[d]) for d in runs], [sorted(close[d]) for d in runs])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "doc", "runs", "items", "near"])
+            yield from _hits(block, phrases, hit, np.unique(np.concatenate(found)), np.unique(np.concatenate(close)))
 
     return index.mapInArrow(look_up, HITS)
 
@@ -277,22 +318,23 @@ def benchmark_hits(index: DataFrame, items: DataFrame, window: int, span: int, p
     if not parts:
         return spark.createDataFrame([], HITS)
     path = shared_path(spark, "hits")
-    for part in range(parts):
-        _part_hits(index, _reader(spark, windows, part), span).write.parquet(f"{path}/part={part}")
+    with small_batches(spark):
+        for part in range(parts):
+            _part_hits(index, _reader(spark, windows, part), span).write.parquet(f"{path}/part={part}")
     return spark.read.schema(f"{HITS}, part int").parquet(path).drop("part")
 
 
 def proximity_matches(index: DataFrame, terms: list[str], within: int) -> DataFrame:
     """(doc_id, place): words of the rarest term that have all other terms at most ``within`` words away."""
     wanted = [w for t in terms for w in alnum_words(t.encode())]
-    vocabulary = {w: k for k, w in enumerate(sorted(set(wanted)))}
+    vocabulary = pa.array(sorted(set(wanted)), pa.binary())
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block = Postings(row, vocabulary)
-            place = block.near(block.known.tolist(), within) if vocabulary and (block.known >= 0).all() else np.zeros(0, np.int64)
+            place = block.near(block.known.tolist(), within) if len(vocabulary) and (block.known >= 0).all() else np.zeros(0, np.int64)
             doc = block.document(place)
-            yield pa.RecordBatch.from_arrays([pa.array([block.ids[d] for d in doc], pa.int64()), pa.array(place - block.starts[doc], pa.int64())], names=["doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([block.ids.take(pa.array(doc)), pa.array(place - block.starts[doc], pa.int64())], names=["doc_id", "place"])
 
     return index.mapInArrow(look_up, "doc_id bigint, place bigint")
 

@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -165,6 +166,44 @@ def test_windows_by_either_way(spark, monkeypatch):
     assert sorted(phrase_index.contamination(docs, bench, window=4).select(*columns).collect()) == at_once
 
 
+def test_index_blocks_are_read_one_by_one(spark, tmp_path, monkeypatch):
+    """Blocks take megabytes: tasks get them in Arrow batches of a few MB, from row groups of a few, with a page to a block."""
+    from pyspark import cloudpickle
+
+    import pageflow
+
+    cloudpickle.register_pickle_by_value(pageflow)  # so that tasks see what is patched here
+    plain, seen = phrase_index._rows, f"{tmp_path}/seen"
+
+    def rows(batches):
+        for batch in batches:
+            with open(seen, "a") as out:
+                out.write(f"{batch.num_rows} {batch.nbytes}\n")
+            yield from plain([batch])
+
+    monkeypatch.setattr(phrase_index, "_rows", rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = spark.range(0, 60, 1, 1).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 200000), k -> concat('w', cast(pmod(hash(id * 7 + k), 3000) AS string))), ' ') AS text")
+    index = phrase_index.build_index(texts)
+    items = spark.createDataFrame([(1, "w1 w2 w3"), (2, texts.first()["text"][:200])], "item_id long, text string")
+    hits = phrase_index.benchmark_hits(index, items, 13, 20).collect()
+    assert 2 in {i for r in hits for i in r["items"]}
+    batches = [tuple(map(int, x.split())) for x in open(seen)]
+    assert sum(n for n, _ in batches) == index.count() == 10
+    assert max(size for _, size in batches) < 1.5e7
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    assert max(m.row_group(k).total_byte_size for m in files for k in range(m.num_row_groups)) < 3e7
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_words_of_slices(monkeypatch):
+    raw = "One, two\tthree ".encode() * 50 + b"x" * 40 + " é漢 y".encode()
+    for size in (1, 7, 1 << 22):
+        monkeypatch.setattr(phrase_index, "SLICE", size)
+        assert [w for ws in phrase_index.alnum_slices(raw) for w in ws] == phrase_index.alnum_words(raw)
+        assert [w for ws in phrase_index.alnum_slices(b"") for w in ws] == []
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red a b green c blue"), (2, "red x x x x x x green blue"), (3, "blue green"), (4, "Green red. blue red")], "doc_id long, text string")
     index = phrase_index.build_index(docs, block_words=8)
